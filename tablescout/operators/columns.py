@@ -75,7 +75,7 @@ def _cell(field: T.StructField) -> tuple[Column, ...]:
         (
             F.lit(None)
             if isinstance(kind, INTEGER_TYPES + FLOAT_TYPES + TIME_TYPES)
-            else F.decode(c, F.lit("UTF-8"))
+            else F.make_valid_utf8(c.cast("string"))
             if isinstance(kind, T.BinaryType)
             else c
         ).cast("string"),
@@ -131,6 +131,14 @@ def named(no: Column, fields: list[tuple[int, T.StructField]]) -> Column:
     return F.element_at(F.array(*[F.lit(names.get(i, "")) for i in range(1, width + 1)]), no)
 
 
+def with_order(df: DataFrame, order_by: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """Add sort keys _k0, _k1 ..; without columns to order by, rows go as they are read."""
+    if order_by is None:
+        return df.withColumn("_k0", F.monotonically_increasing_id()), ["_k0"]
+    keys = [f"_k{i}" for i in range(len(order_by))]
+    return df.select("*", *[col(c).alias(k) for c, k in zip(order_by, keys)]), keys
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 

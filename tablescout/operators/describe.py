@@ -23,6 +23,7 @@ from tablescout.operators.columns import (
     stack_rows,
     union_all,
     value_counts,
+    with_order,
 )
 from tablescout.operators.outliers import table_outlier_examples
 from tablescout.operators.quantiles import column_quantiles
@@ -129,29 +130,27 @@ def shown_cell(df: DataFrame, name: str) -> Column:
     if kind in ("double", "float"):
         text = display_number(c.cast("double"))
     elif kind == "binary":
-        text = F.decode(c, F.lit("UTF-8"))
+        text = F.make_valid_utf8(c.cast("string"))
     else:
         text = c.cast("string")
     return F.coalesce(text, F.lit(""))
 
 
-def table_first_rows(df: DataFrame, order_by: list[str], options: Options = DEFAULTS) -> DataFrame:
+def table_first_rows(df: DataFrame, order_by: list[str] | None, options: Options = DEFAULTS) -> DataFrame:
     """(column_no, column_name, row_1 ..): the first rows, one output row per column.
 
-    Files have no row order of their own, so the order is an argument. Only the few
-    first rows leave the sort.
+    The order is an argument; None takes the rows as they are read, which is the order
+    of the lines for a table of one file. Only the few first rows leave the sort.
     """
     wanted = range(1, options.first_rows + 1)
+    keyed, keys = with_order(missing_to_null(df), order_by)
     first = (
-        missing_to_null(df)
-        .select(*[col(f.name) for _, f in flat_fields(df)])
-        .orderBy(*[col(c) for c in order_by])
+        keyed.select(*[col(f.name) for _, f in flat_fields(df)], *keys)
+        .orderBy(*keys)
         .limit(options.first_rows)
     )
     # at most first_rows rows reach this window
-    numbered = first.withColumn(
-        "row_no", F.row_number().over(Window.orderBy(*[col(c) for c in order_by]))
-    )
+    numbered = first.withColumn("row_no", F.row_number().over(Window.orderBy(*keys)))
     cells = stack_rows(
         numbered,
         [(F.lit(no), F.col("row_no"), shown_cell(df, f.name)) for no, f in flat_fields(df)],
@@ -172,7 +171,7 @@ def table_first_rows(df: DataFrame, order_by: list[str], options: Options = DEFA
 
 
 def first_rows(
-    catalog: dict[str, DataFrame], order_by: dict[str, list[str]], options: Options = DEFAULTS
+    catalog: dict[str, DataFrame], order_by: dict[str, list[str] | None], options: Options = DEFAULTS
 ) -> DataFrame:
     return union_all(
         [
@@ -186,7 +185,7 @@ def first_rows(
 
 
 def table_description(
-    df: DataFrame, order_by: list[str], options: Options = DEFAULTS
+    df: DataFrame, order_by: list[str] | None, options: Options = DEFAULTS
 ) -> DataFrame:
     """One row per column: type, first rows, mean, median, mode, range and outliers."""
     fields = flat_fields(df)
@@ -216,7 +215,7 @@ def table_description(
 
 
 def describe_tables(
-    catalog: dict[str, DataFrame], order_by: dict[str, list[str]], options: Options = DEFAULTS
+    catalog: dict[str, DataFrame], order_by: dict[str, list[str] | None], options: Options = DEFAULTS
 ) -> DataFrame:
     """Descriptions of all tables that have rows, with their shape."""
     parts = []

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablescout.functions import words
 from tablescout.functions.text import strip
-from tablescout.operators.columns import col
+from tablescout.operators.columns import col, with_order
 from tablescout.operators.describe import shown_cell
 from tablescout.operators.numbering import number_rows
 
@@ -32,7 +32,7 @@ def _headers(df: DataFrame) -> list[str]:
     return [name.strip() or f"column {i}" for i, name in enumerate(df.columns, start=1)]
 
 
-def describe_rows(df: DataFrame, order_by: list[str]) -> DataFrame:
+def describe_rows(df: DataFrame, order_by: list[str] | None) -> DataFrame:
     """(row_no, text): ``Row i: h1 is v1; h2 is v2.`` for every row."""
     cells = []
     for name, header in zip(df.columns, _headers(df)):
@@ -41,8 +41,8 @@ def describe_rows(df: DataFrame, order_by: list[str]) -> DataFrame:
             F.concat(F.lit(f"{header} is "), F.when(value == "", "blank").otherwise(value))
         )
     sentence = F.concat_ws("; ", *cells).alias("sentence")
-    keyed = df.select(*[col(c).alias(f"k{i}") for i, c in enumerate(order_by)], sentence)
-    numbered = number_rows(keyed, [f"k{i}" for i in range(len(order_by))])
+    keyed, keys = with_order(df, order_by)
+    numbered = number_rows(keyed.select(*keys, sentence), keys)
     return numbered.select(
         "row_no",
         F.concat(F.lit("Row "), F.col("row_no").cast("string"), F.lit(": "), "sentence", F.lit(".")).alias(
@@ -51,7 +51,7 @@ def describe_rows(df: DataFrame, order_by: list[str]) -> DataFrame:
     )
 
 
-def describe_table(df: DataFrame, order_by: list[str]) -> DataFrame:
+def describe_table(df: DataFrame, order_by: list[str] | None) -> DataFrame:
     """(row_no, text): a structure sentence as row 0, then one sentence per row."""
     structure = F.concat(
         F.lit(f"Table with {len(df.columns)} columns and "),

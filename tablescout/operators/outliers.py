@@ -14,6 +14,7 @@ from tablescout.operators.columns import (
     numeric_fields,
     stack_rows,
     union_all,
+    with_order,
 )
 from tablescout.operators.quantiles import column_quantiles
 from tablescout.options import DEFAULTS, Options
@@ -118,7 +119,7 @@ def outlier_rows(df: DataFrame, column: str, options: Options = DEFAULTS) -> Dat
 
 
 def table_outlier_examples(
-    df: DataFrame, order_by: list[str], options: Options = DEFAULTS
+    df: DataFrame, order_by: list[str] | None, options: Options = DEFAULTS
 ) -> DataFrame:
     """(column_no, column_name, outliers): count and first three outliers as text.
 
@@ -141,11 +142,8 @@ def table_outlier_examples(
     if not searched:
         return base.withColumnRenamed("otherwise", "outliers")
 
-    keys = [f"k{i}" for i in range(len(order_by))]
-    ordered = missing_to_null(df).select(
-        *[col(f.name) for _, f in fields],
-        *[col(c).alias(k) for c, k in zip(order_by, keys)],
-    )
+    keyed, keys = with_order(missing_to_null(df), order_by)
+    ordered = keyed.select(*[col(f.name) for _, f in fields], *keys)
     # counts in one pass; only the first three rows per column go through a sort
     counted = stack_rows(
         ordered.agg(
@@ -200,7 +198,7 @@ def table_outlier_examples(
 
 
 def outlier_examples(
-    catalog: dict[str, DataFrame], order_by: dict[str, list[str]], options: Options = DEFAULTS
+    catalog: dict[str, DataFrame], order_by: dict[str, list[str] | None], options: Options = DEFAULTS
 ) -> DataFrame:
     return union_all(
         [

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tablescout.functions.text import display_number
-from tablescout.operators.columns import FLOAT_TYPES, col, union_all
+from tablescout.operators.columns import FLOAT_TYPES, col, union_all, with_order
 from tablescout.operators.describe import shown_cell
 from tablescout.options import DEFAULTS, Options
 
@@ -18,7 +18,7 @@ def format_cell(df: DataFrame, name: str) -> Column:
     kind = df.schema[name].dataType
     c = col(name)
     if isinstance(kind, T.BinaryType):
-        text = F.when(F.is_valid_utf8(c.cast("string")), F.decode(c, F.lit("UTF-8"))).otherwise(F.hex(c))
+        text = F.when(F.is_valid_utf8(c.cast("string")), c.cast("string")).otherwise(F.hex(c))
     elif isinstance(kind, FLOAT_TYPES):
         text = display_number(c.cast("double"))
     else:
@@ -31,7 +31,7 @@ def format_cells(df: DataFrame) -> DataFrame:
     return df.select(*[format_cell(df, c).alias(c) for c in df.columns])
 
 
-def preview(df: DataFrame, order_by: list[str], options: Options = DEFAULTS) -> DataFrame:
+def preview(df: DataFrame, order_by: list[str] | None, options: Options = DEFAULTS) -> DataFrame:
     """(total_rows, row_no, cells, not_shown): the first rows of the first columns.
 
     An empty table gives one row without a row number.
@@ -39,10 +39,11 @@ def preview(df: DataFrame, order_by: list[str], options: Options = DEFAULTS) ->
     shown = df.columns[: options.preview_columns]
     extra = df.columns[options.preview_columns :]
     note = f"(+{len(extra)} more column(s) not shown: {', '.join(extra)})" if extra else ""
-    first = df.orderBy(*[col(c) for c in order_by]).limit(options.preview_rows)
+    keyed, keys = with_order(df, order_by)
+    first = keyed.orderBy(*keys).limit(options.preview_rows)
     # at most preview_rows rows reach this window
     numbered = first.select(
-        F.row_number().over(Window.orderBy(*[col(c) for c in order_by])).alias("row_no"),
+        F.row_number().over(Window.orderBy(*keys)).alias("row_no"),
         F.array(*[shown_cell(df, c) for c in shown]).alias("cells"),
         F.lit(1).alias("one"),
     )
@@ -53,7 +54,7 @@ def preview(df: DataFrame, order_by: list[str], options: Options = DEFAULTS) ->
 
 
 def table_preview(
-    catalog: dict[str, DataFrame], order_by: dict[str, list[str]], options: Options = DEFAULTS
+    catalog: dict[str, DataFrame], order_by: dict[str, list[str] | None], options: Options = DEFAULTS
 ) -> DataFrame:
     """Previews of all tables; a table that cannot be read keeps a row with its error."""
     parts = []

@@ -52,13 +52,13 @@ def profile_folder(
 def describe_folder(
     spark: SparkSession,
     root: str,
-    order_by: dict[str, list[str]] | None = None,
+    order_by: dict[str, list[str] | None] | None = None,
     options: Options = DEFAULTS,
 ) -> DataFrame:
     """Describe every delimited file under root; lines with surplus fields are skipped.
 
-    Rows come in the order of the given columns, by default of all columns.
+    First rows and outlier examples follow the given columns, by default the lines.
     """
     catalog, _ = load_folder(spark, root, bad_lines="skip", options=options)
-    order = {name: (order_by or {}).get(name, df.columns) for name, df in catalog.items()}
+    order = {name: (order_by or {}).get(name) for name in catalog}
     return describe_tables(catalog, order, options)

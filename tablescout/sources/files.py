@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tablescout.functions import paths
 from tablescout.functions.text import INTEGER_TEXT, NUMBER_TEXT, null_if_missing, strip
-from tablescout.operators.columns import chunks, col
+from tablescout.operators.columns import chunks, col, union_all
 from tablescout.operators.numbering import number_rows
 from tablescout.options import DEFAULTS, Options
 
@@ -195,26 +195,32 @@ def _cp1252_from_latin1(c: Column) -> Column:
     return F.translate(c, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
 
 
-def read_text_table(spark: SparkSession, path: str | list[str], traits: FileTraits) -> DataFrame:
+def read_text_table(
+    spark: SparkSession,
+    path: str | list[str],
+    traits: FileTraits,
+    names: list[str] | None = None,
+) -> DataFrame:
     """All columns as text plus SURPLUS, which is set on rows with too many fields.
 
-    Short rows are filled up with NULL. A file is only kept in one piece when some
-    quoted field of it spans lines.
+    Column names come from the first line unless they are given. Short rows are filled
+    up with NULL. A file is only kept in one piece when some quoted field of it spans
+    lines.
     """
     reader = (
         spark.read.option("sep", traits.separator)
         .option("encoding", "UTF-8" if traits.encoding == "utf-8" else "ISO-8859-1")
         .option("quote", '"')
         .option("escape", '"')
-        .option("header", True)
+        .option("header", names is None)
         .option("multiLine", traits.open_quotes)
         .option("recursiveFileLookup", True)
     )
-    names = reader.csv(path).columns
+    if names is None:
+        names = reader.csv(path).columns
     if not names:
         raise ValueError(f"no columns to read from {path}")
-    names = [n.lstrip("﻿") if i == 0 else n for i, n in enumerate(names)]
-    names = unique_names(names)
+    names = unique_names(n.lstrip("\ufeff") for n in names)
     fields = [T.StructField(n, T.StringType()) for n in [*names, SURPLUS]]
     rows = reader.schema(T.StructType(fields)).csv(path)
     if traits.encoding == "cp1252":
@@ -270,6 +276,14 @@ def infer_types(df: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     )
 
 
+def _check_bad_lines(rows: DataFrame, path: str, bad_lines: str) -> None:
+    if bad_lines == "error":
+        if not rows.where(F.col(SURPLUS).isNotNull()).isEmpty():
+            raise ValueError(f"a line of {path} has more fields than its header")
+    elif bad_lines != "skip":
+        raise ValueError(f"unknown rule for bad lines: {bad_lines}")
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
@@ -279,11 +293,23 @@ def read_delimited(
 ) -> DataFrame:
     """One delimited file as a typed table; bad_lines is ``error`` or ``skip``."""
     rows = read_text_table(spark, path, traits)
-    if bad_lines == "error":
-        if not rows.where(F.col(SURPLUS).isNotNull()).isEmpty():
-            raise ValueError(f"a line of {path} has more fields than its header")
-    elif bad_lines != "skip":
-        raise ValueError(f"unknown rule for bad lines: {bad_lines}")
+    _check_bad_lines(rows, path, bad_lines)
+    return infer_types(missing_tokens_to_null(skip_bad_lines(rows)), options)
+
+
+def read_table_folder(
+    spark: SparkSession, folder: str, bad_lines: str = "error", options: Options = DEFAULTS
+) -> DataFrame:
+    """One table written as many files; files of one kind are read together."""
+    kinds = file_traits(spark, folder).groupBy("encoding", "separator", "open_quotes").agg(
+        F.sort_array(F.collect_list("path")).alias("paths")
+    )
+    parts = []
+    for row in kinds.collect():  # the listing: one path per file
+        traits = FileTraits(row["encoding"], row["separator"], row["open_quotes"])
+        parts.append(read_text_table(spark, row["paths"], traits))
+    rows = union_all(parts)
+    _check_bad_lines(rows, folder, bad_lines)
     return infer_types(missing_tokens_to_null(skip_bad_lines(rows)), options)
 
 
@@ -310,10 +336,10 @@ def text_catalog(
     )
     text = F.make_valid_utf8(F.col("content").cast("string"))
     if errors == "ignore":
-        text = F.replace(text, F.lit("�"), F.lit(""))
+        text = F.replace(text, F.lit("\ufffd"), F.lit(""))
     elif errors != "replace":
         raise ValueError(f"unknown rule for undecodable bytes: {errors}")
-    text = F.regexp_replace(text, "^﻿", "")
+    text = F.regexp_replace(text, "^\ufeff", "")
     return files.select("path", F.regexp_replace(text, r"\r\n?", "\n").alias("text"))
 
 
