@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,7 @@ MISSING_TOKENS = (
     "null",
 )
 
+BLANK_TEXT = rf"^{WHITESPACE}*$"
 INTEGER_TEXT = rf"^{WHITESPACE}*[+-]?[0-9]+{WHITESPACE}*$"
 NUMBER_TEXT = (
     rf"(?i)^{WHITESPACE}*[+-]?"
@@ -39,7 +42,7 @@ NUMBER_TEXT = (
 )
 
 # fixed values: the date layouts tried on text columns, each with the shape a value
-# must have before it is parsed (so that plain text never reaches the parser)
+# must have before it is parsed, so that plain text never reaches the parser
 DATE_LAYOUTS = (
     ("yyyy-MM-dd", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
     ("yyyy-MM-dd HH:mm", r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}$"),
@@ -61,26 +64,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{WHITESPACE}+|{WHITESPACE}+$", "")
 
 
-def is_blank(c: Column) -> Column:
-    """True for text made of white space only, the empty text included."""
-    return c.rlike(rf"^{WHITESPACE}*$")
-
-
 def null_if_missing(c: Column) -> Column:
     """NULL for the missing-value tokens; a lone space is a value."""
     return F.when(~c.isin(*MISSING_TOKENS), c)
 
 
-def is_number_text(c: Column) -> Column:
-    return c.rlike(NUMBER_TEXT)
-
-
-def is_date_text(c: Column, layout: str, shape: str) -> Column:
-    """True when c has the layout's shape and names an existing date."""
-    parsed = F.try_to_timestamp(c, F.lit(layout)).isNotNull()
-    return F.when(c.rlike(shape), parsed).otherwise(F.lit(False))
-
-
 def display_number(c: Column) -> Column:
     """Text of a double without an exponent between 1e-4 and 1e16."""
     plain = c.cast("string")
@@ -146,32 +134,85 @@ def sorted_tokens(c: Column) -> Column:
     return F.array_join(F.array_sort(words), " ")
 
 
-def common_subsequence_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, one table row per character of a."""
-    width = F.length(b)
-    start = F.array_repeat(F.lit(0), width + 1)
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def next_row(row: Column, i: Column) -> Column:
-        letter = F.substring(a, i, F.lit(1))
 
+LONGEST_BIT_ROW = 61
+
+
+def _letters(c: Column) -> Column:
+    return F.filter(F.split(c, ""), lambda x: x != "")
+
+
+def _subsequence_bits(a: Column, b: Column) -> Column:
+    """Common subsequence length with one table row held in the bits of a bigint.
+
+    A zero bit marks a place where the length grows by one; a has at most
+    LONGEST_BIT_ROW letters, so that the sums stay below 2^63.
+    """
+    letters = _letters(F.reverse(a))
+    places = F.map_from_entries(
+        F.transform(
+            F.array_distinct(letters),
+            lambda c: F.struct(
+                c,
+                F.conv(
+                    F.array_join(F.transform(letters, lambda x: F.when(x == c, "1").otherwise("0")), ""),
+                    2,
+                    10,
+                ).cast("bigint"),
+            ),
+        )
+    )
+
+    def steps(held: Column) -> Column:
+        ones, masks = held["ones"], held["masks"]
+
+        def step(row: Column, letter: Column) -> Column:
+            met = row.bitwiseAND(F.coalesce(F.try_element_at(masks, letter), F.lit(0).cast("bigint")))
+            return bind(met, lambda m: (row + m).bitwiseOR(row - m).bitwiseAND(ones))
+
+        return F.length(a) - F.bit_count(F.aggregate(_letters(b), ones, step))
+
+    ones = F.expr(f"{(1 << LONGEST_BIT_ROW) - 1}L")
+    all_ones = F.call_function("shiftright", ones, F.lit(LONGEST_BIT_ROW) - F.length(a))
+    return bind(F.struct(all_ones.alias("ones"), places.alias("masks")), steps)
+
+
+def _subsequence_rows(a: Column, b: Column) -> Column:
+    """Common subsequence length for names of any length, one array per table row."""
+    width = F.length(b)
+
+    def next_row(row: Column, letter: Column) -> Column:
         def extend(acc: Column, j: Column) -> Column:
             best = F.when(
                 letter == F.substring(b, j, F.lit(1)), F.element_at(row, j) + 1
             ).otherwise(F.greatest(F.element_at(acc, -1), F.element_at(row, j + 1)))
             return F.concat(acc, F.array(best))
 
-        return F.when(width == 0, row).otherwise(
-            F.aggregate(F.sequence(F.lit(1), F.greatest(width, F.lit(1))), F.array(F.lit(0)), extend)
-        )
+        return F.aggregate(F.sequence(F.lit(1), width), F.array(F.lit(0)), extend)
+
+    return F.element_at(F.aggregate(_letters(a), F.array_repeat(F.lit(0), width + 1), next_row), -1)
+
 
-    height = F.length(a)
-    last = F.aggregate(F.sequence(F.lit(1), F.greatest(height, F.lit(1))), start, next_row)
-    return F.when((height == 0) | (width == 0), F.lit(0)).otherwise(F.element_at(last, -1))
+def common_subsequence_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence."""
+    return (
+        F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0))
+        .when(F.length(a) <= LONGEST_BIT_ROW, _subsequence_bits(a, b))
+        .otherwise(_subsequence_rows(a, b))
+    )
 
 
 def name_similarity(a: Column, b: Column) -> Column:
     """Percent agreement of two names, whatever the order of their tokens."""
-    left, right = sorted_tokens(a), sorted_tokens(b)
-    total = F.length(left) + F.length(right)
-    ratio = common_subsequence_length(left, right).cast("double") * 200.0 / F.greatest(total, F.lit(1))
-    return F.when(total == 0, F.lit(100.0)).when(left == right, F.lit(100.0)).otherwise(ratio)
+
+    def compared(names: Column) -> Column:
+        left, right = names["a"], names["b"]
+        total = F.length(left) + F.length(right)
+        ratio = common_subsequence_length(left, right).cast("double") * 200.0 / total
+        return F.when(left == right, F.lit(100.0)).otherwise(ratio)
+
+    return bind(F.struct(sorted_tokens(a).alias("a"), sorted_tokens(b).alias("b")), compared)

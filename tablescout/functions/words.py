@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tablescout.functions.text import WHITESPACE
+from tablescout.functions.text import WHITESPACE, bind
 
 # fixed values: English number words
 UNITS = (
@@ -50,38 +50,48 @@ def digits_to_words(digits: Column) -> Column:
     last group below one hundred is attached with " and ".
     """
     names = _below_thousand()
-    significant = F.regexp_replace(digits, "^0+", "")
-    groups = len(SCALES) + 1
-    padded = F.lpad(significant, LONGEST_DIGITS, "0")
-    values = F.transform(
-        F.sequence(F.lit(0), F.lit(groups - 1)),
-        lambda g: F.substring(padded, g * 3 + 1, F.lit(3)).cast("int"),
-    )
-    scales = F.array(*[F.lit(s) for s in reversed(SCALES)], F.lit(""))
-    higher = F.filter(
-        F.zip_with(
-            F.slice(values, 1, groups - 1),
-            F.slice(scales, 1, groups - 1),
-            lambda v, s: F.when(v > 0, F.concat(_lookup(names, v), F.lit(" "), s)),
+
+    def grouped(significant: Column) -> Column:
+        groups = F.ceil(F.length(significant) / F.lit(3)).cast("int")
+        padded = F.lpad(significant, groups * 3, F.lit("0"))
+        values = F.transform(
+            F.sequence(F.lit(0), groups - 1),
+            lambda g: F.substring(padded, g * 3 + 1, F.lit(3)).cast("int"),
+        )
+        return bind(values, spoken)
+
+    def spoken(values: Column) -> Column:
+        scales = F.split(F.lit("|".join(reversed(SCALES))), r"\|")
+        higher = F.filter(
+            F.zip_with(
+                F.slice(values, F.lit(1), F.size(values) - 1),
+                F.slice(scales, F.lit(len(SCALES) + 2) - F.size(values), F.size(values) - 1),
+                lambda v, s: F.when(v > 0, F.concat(_lookup(names, v), F.lit(" "), s)),
+            ),
+            lambda part: part.isNotNull(),
+        )
+        return bind(
+            F.struct(F.array_join(higher, ", ").alias("head"), F.element_at(values, -1).alias("last")),
+            joined,
+        )
+
+    def joined(parts: Column) -> Column:
+        head, last = parts["head"], parts["last"]
+        link = F.when(last < 100, F.lit(" and ")).otherwise(F.lit(", "))
+        return F.when(last == 0, head).otherwise(F.concat(head, link, _lookup(names, last)))
+
+    return bind(
+        F.regexp_replace(digits, "^0+(?=[0-9])", ""),
+        lambda d: F.when(F.length(d) <= 3, _lookup(names, d.cast("int"))).when(
+            F.length(d) <= LONGEST_DIGITS, grouped(d)
         ),
-        lambda part: part.isNotNull(),
-    )
-    last = F.element_at(values, -1)
-    head = F.array_join(higher, ", ")
-    joined = (
-        F.when(F.size(higher) == 0, _lookup(names, last))
-        .when(last == 0, head)
-        .when(last < 100, F.concat(head, F.lit(" and "), _lookup(names, last)))
-        .otherwise(F.concat(head, F.lit(", "), _lookup(names, last)))
     )
-    return F.when(F.length(significant) <= LONGEST_DIGITS, joined)
 
 
 def int_to_words(number: Column) -> Column:
     """Words of an integer column; negative numbers start with "minus"."""
-    text = number.cast("string")
-    spoken = digits_to_words(F.regexp_replace(text, "^-", ""))
-    return F.when(text.startswith("-"), F.concat(F.lit("minus "), spoken)).otherwise(spoken)
+    spoken = digits_to_words(F.regexp_replace(number.cast("string"), "^-", ""))
+    return F.concat(F.when(number < 0, "minus ").otherwise(""), spoken)
 
 
 def _digit_by_digit(digits: Column) -> Column:

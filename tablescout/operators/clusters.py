@@ -11,13 +11,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tablescout.functions import sqltext
 from tablescout.operators.columns import (
+    as_double,
     chunks,
-    col,
     missing_to_null,
     numeric_fields,
     stack_rows,
@@ -40,40 +41,52 @@ class _Target:
     n: int
 
 
+def _measure(
+    tables: dict[str, list[tuple[int, str, list[str]]]],
+    catalog: dict[str, DataFrame],
+    names: list[str],
+    options: Options,
+) -> list[Row]:
+    """(pos, *names) per column, one job; a column is (pos, name, aggregates as SQL text)."""
+    parts = []
+    for table, columns in tables.items():
+        cleaned = missing_to_null(catalog[table])
+        for group in chunks(columns, options.aggregates_per_job // len(names)):
+            measured = cleaned.selectExpr(
+                *[f"{a} as {n}_{pos}" for pos, _, wanted in group for n, a in zip(names, wanted)]
+            )
+            rows = [(pos, *[f"{n}_{pos}" for n in names]) for pos, _, _ in group]
+            parts.append(stack_rows(measured, rows, ["pos", *names]))
+    return union_all(parts).collect() if parts else []
+
+
 def _targets(catalog: dict[str, DataFrame], options: Options) -> list[_Target]:
     """Numeric columns with at least ten values, three of them different."""
-    found: list[_Target] = []
-    pos = 0
-    for table, df in catalog.items():
-        cleaned = missing_to_null(df)
-        for group in chunks(numeric_fields(df), options.aggregates_per_job // 3):
-            doubles = [(no, f, col(f.name).cast("double")) for no, f in group]
-            ends = cleaned.agg(
-                *[F.count(c).alias(f"n_{no}") for no, _, c in doubles],
-                *[F.min(c).alias(f"low_{no}") for no, _, c in doubles],
-                *[F.max(c).alias(f"high_{no}") for no, _, c in doubles],
-            ).first()
-            open_ones = [
-                (no, f, c)
-                for no, f, c in doubles
-                if ends[f"n_{no}"] >= MIN_VALUES and ends[f"low_{no}"] != ends[f"high_{no}"]
-            ]
-            if not open_ones:
-                continue
-            # a third value exists when something lies strictly between the ends
-            between = cleaned.agg(
-                *[
-                    F.count_if((c > F.lit(ends[f"low_{no}"])) & (c < F.lit(ends[f"high_{no}"]))).alias(
-                        f"m_{no}"
-                    )
-                    for no, _, c in open_ones
-                ]
-            ).first()
-            for no, f, _ in open_ones:
-                if between[f"m_{no}"] > 0:
-                    pos += 1
-                    found.append(_Target(pos, table, f.name, ends[f"n_{no}"]))
-    return found
+    columns = {
+        pos: (table, f.name)
+        for pos, (table, f) in enumerate(
+            ((t, f) for t, df in catalog.items() for _, f in numeric_fields(df)), start=1
+        )
+    }
+    by_table: dict[str, list[tuple[int, str, list[str]]]] = {}
+    for pos, (table, name) in columns.items():
+        c = as_double(name)
+        wanted = [f"count({c})", f"min({c})", f"max({c})"]
+        by_table.setdefault(table, []).append((pos, name, wanted))
+    sizes = {}
+    inner: dict[str, list[tuple[int, str, list[str]]]] = {}
+    for row in _measure(by_table, catalog, ["n", "low", "high"], options):
+        if row["n"] < MIN_VALUES or row["low"] == row["high"]:
+            continue
+        table, name = columns[row["pos"]]
+        sizes[row["pos"]] = row["n"]
+        # a third value exists when something lies strictly between the ends
+        low, high = sqltext.double(row["low"]), sqltext.double(row["high"])
+        c = as_double(name)
+        wanted = [f"count_if({c} > {low} and {c} < {high})"]
+        inner.setdefault(table, []).append((row["pos"], name, wanted))
+    usable = {r["pos"] for r in _measure(inner, catalog, ["between"], options) if r["between"]}
+    return [_Target(pos, *columns[pos], sizes[pos]) for pos in sorted(usable)]
 
 
 def _sample_histogram(
@@ -91,10 +104,11 @@ def _sample_histogram(
             continue
         rows = []
         for t in own:
-            value = col(t.name).cast("double")
+            value = as_double(t.name)
             if t.n > options.cluster_sample:
-                value = F.when(F.rand(SEED + t.pos) < options.cluster_sample / t.n, value)
-            rows.append((F.lit(t.pos), value))
+                share = sqltext.double(options.cluster_sample / t.n)
+                value = f"case when rand({SEED + t.pos}) < {share} then {value} end"
+            rows.append((t.pos, value))
         parts.append(stack_rows(missing_to_null(df), rows, ["pos", "v"]))
     return cut_lineage(
         union_all(parts)
@@ -280,39 +294,38 @@ def cluster_report(catalog: dict[str, DataFrame], options: Options = DEFAULTS) -
             aggregates, rows = [], []
             for t in group:
                 k, centres = fitted[t.pos]
-                c = col(t.name).cast("double")
+                c = as_double(t.name)
                 borders = [(a + b) / 2 for a, b in zip(centres, centres[1:])]
                 for cluster, inside in enumerate(_intervals(c, borders)):
                     tag = f"{t.pos}_{cluster}"
                     aggregates += [
-                        F.count_if(inside).alias(f"n_{tag}"),
-                        F.min(F.when(inside, c)).alias(f"low_{tag}"),
-                        F.max(F.when(inside, c)).alias(f"high_{tag}"),
+                        f"count_if({inside}) as n_{tag}",
+                        f"min({c}) filter (where {inside}) as low_{tag}",
+                        f"max({c}) filter (where {inside}) as high_{tag}",
                     ]
                     rows.append(
                         (
-                            F.lit(table),
-                            F.lit(t.name),
-                            F.lit(k),
-                            F.lit(cluster),
-                            F.col(f"n_{tag}"),
-                            F.round(F.col(f"low_{tag}"), 2),
-                            F.round(F.col(f"high_{tag}"), 2),
+                            sqltext.text(table),
+                            sqltext.text(t.name),
+                            k,
+                            cluster,
+                            f"n_{tag}",
+                            f"round(low_{tag}, 2)",
+                            f"round(high_{tag}, 2)",
                         )
                     )
-            counted = missing_to_null(df).agg(*aggregates)
-            parts.append(stack_rows(counted, rows, names))
+            parts.append(stack_rows(missing_to_null(df).selectExpr(*aggregates), rows, names))
     return union_all(parts).where(F.col("cluster_size") > 0)
 
 
-def _intervals(c: Column, borders: list[float]) -> list[Column]:
+def _intervals(value: str, borders: list[float]) -> list[str]:
     """Membership tests of the intervals between the borders, lowest first."""
     tests = []
     for i in range(len(borders) + 1):
-        test = c.isNotNull()
+        test = [f"{value} is not null"]
         if i > 0:
-            test = test & (c > F.lit(borders[i - 1]))
+            test.append(f"{value} > {sqltext.double(borders[i - 1])}")
         if i < len(borders):
-            test = test & (c <= F.lit(borders[i]))
-        tests.append(test)
+            test.append(f"{value} <= {sqltext.double(borders[i])}")
+        tests.append("(" + " and ".join(test) + ")")
     return tests

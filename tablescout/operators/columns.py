@@ -1,19 +1,20 @@
-"""Column classes of a table and its long form.
+"""Column classes of a table and the counts of its values.
 
-The long form has one row per cell, ``(column_no, l, d, s, t)``: integers in ``l``,
-floats in ``d``, dates and timestamps in ``t``, everything else as text in ``s``.
-Grouping the typed fields spares the number-to-text conversion of every cell.
+Values are counted in four typed families: integers in ``l``, floats in ``d``, dates and
+timestamps in ``t``, everything else as text in ``s``. Grouping the typed values spares
+the number-to-text conversion of every cell.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablescout.functions import sqltext
 from tablescout.functions.text import display_number
 
 INTEGER_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -21,32 +22,33 @@ FLOAT_TYPES = (T.FloatType, T.DoubleType)
 TIME_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 NESTED_TYPES = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 
-CELL = ("l", "d", "s", "t")
+FAMILIES = {"l": "bigint", "d": "double", "s": "string", "t": "timestamp_ntz"}
+CELL = tuple(FAMILIES)
 
-
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+Fields = list[tuple[int, T.StructField]]
 
 
 def col(name: str) -> Column:
-    return F.col(quoted(name))
+    return F.col(sqltext.name(name))
+
+
+def as_double(name: str) -> str:
+    return f"double({sqltext.name(name)})"
 
 
 def missing_to_null(df: DataFrame) -> DataFrame:
     """NaN becomes NULL, so that later steps know one kind of missing value."""
     if not any(isinstance(f.dataType, FLOAT_TYPES) for f in df.schema.fields):
         return df
-    return df.select(
-        *[
-            F.nanvl(col(f.name), F.lit(None).cast(f.dataType)).alias(f.name)
-            if isinstance(f.dataType, FLOAT_TYPES)
-            else col(f.name)
-            for f in df.schema.fields
-        ]
-    )
+    cleaned = []
+    for f in df.schema.fields:
+        q = sqltext.name(f.name)
+        is_float = isinstance(f.dataType, FLOAT_TYPES)
+        cleaned.append(f"nanvl({q}, cast(null as {f.dataType.simpleString()})) as {q}" if is_float else q)
+    return df.selectExpr(*cleaned)
 
 
-def flat_fields(df: DataFrame) -> list[tuple[int, T.StructField]]:
+def flat_fields(df: DataFrame) -> Fields:
     """(column number, field) of all columns that hold single values."""
     return [
         (no, f)
@@ -55,53 +57,59 @@ def flat_fields(df: DataFrame) -> list[tuple[int, T.StructField]]:
     ]
 
 
-def numeric_fields(df: DataFrame) -> list[tuple[int, T.StructField]]:
+def numeric_fields(df: DataFrame) -> Fields:
     return [(no, f) for no, f in flat_fields(df) if isinstance(f.dataType, T.NumericType)]
 
 
-def stack_rows(df: DataFrame, rows: Iterable[tuple[Column, ...]], names: list[str]) -> DataFrame:
-    """Several output rows per input row, expanded inside one projection."""
+def stack_rows(df: DataFrame, rows: Iterable[Sequence[object]], names: Sequence[str]) -> DataFrame:
+    """Several output rows per input row; the cells are SQL text."""
     rows = list(rows)
-    cells = [c for row in rows for c in row]
-    return df.select(F.stack(F.lit(len(rows)), *cells).alias(*names))
+    cells = ", ".join(str(cell) for row in rows for cell in row)
+    return df.selectExpr(f"stack({len(rows)}, {cells}) as ({', '.join(names)})")
 
 
-def _cell(field: T.StructField) -> tuple[Column, ...]:
-    c = col(field.name)
+def _family(field: T.StructField) -> tuple[str, str]:
+    """Family of a column and its value in that family as SQL text."""
+    q = sqltext.name(field.name)
     kind = field.dataType
-    return (
-        (c if isinstance(kind, INTEGER_TYPES) else F.lit(None)).cast("bigint"),
-        (c if isinstance(kind, FLOAT_TYPES) else F.lit(None)).cast("double"),
-        (
-            F.lit(None)
-            if isinstance(kind, INTEGER_TYPES + FLOAT_TYPES + TIME_TYPES)
-            else F.make_valid_utf8(c.cast("string"))
-            if isinstance(kind, T.BinaryType)
-            else c
-        ).cast("string"),
-        (c if isinstance(kind, TIME_TYPES) else F.lit(None)).cast("timestamp_ntz"),
-    )
-
-
-def long_form(df: DataFrame) -> DataFrame:
-    """(column_no, l, d, s, t), one row per cell of the flat columns."""
-    fields = flat_fields(df)
-    rows = [(F.lit(no), *_cell(f)) for no, f in fields]
-    return stack_rows(missing_to_null(df), rows, ["column_no", *CELL])
+    if isinstance(kind, INTEGER_TYPES):
+        return "l", f"bigint({q})"
+    if isinstance(kind, FLOAT_TYPES):
+        return "d", f"double({q})"
+    if isinstance(kind, TIME_TYPES):
+        return "t", f"cast({q} as timestamp_ntz)"
+    if isinstance(kind, T.BinaryType):
+        return "s", f"make_valid_utf8(string({q}))"
+    return "s", f"string({q})"
 
 
 def value_counts(df: DataFrame) -> DataFrame:
     """(column_no, l, d, s, t, n): how often each value occurs in each column.
 
-    Repeated values collapse before the shuffle, so a value that fills a third of a
-    column reaches the reducers as one row per task.
+    One narrow scan per family, which reads only the family's columns. Repeated values
+    collapse before the shuffle, so a value that fills a third of a column reaches the
+    reducers as one row per task.
     """
-    return long_form(df).groupBy("column_no", *CELL).agg(F.count(F.lit(1)).alias("n"))
+    cleaned = missing_to_null(df)
+    members: dict[str, list[tuple[int, str]]] = {}
+    for no, f in flat_fields(df):
+        family, value = _family(f)
+        members.setdefault(family, []).append((no, value))
+    parts = []
+    for family, rows in members.items():
+        counted = (
+            stack_rows(cleaned, rows, ["column_no", family])
+            .groupBy("column_no", family)
+            .agg(F.count(F.lit(1)).alias("n"))
+        )
+        others = [f"cast(null as {t}) as {c}" for c, t in FAMILIES.items() if c != family]
+        parts.append(counted.selectExpr("column_no", family, *others, "n"))
+    return union_all(parts).select("column_no", *CELL, "n")
 
 
 def is_present() -> Column:
-    """True for a long-form row that holds a value."""
-    return reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in CELL])
+    """True for a counted value that is not missing."""
+    return F.expr(" or ".join(f"{c} is not null" for c in CELL))
 
 
 def cell_order() -> list[Column]:
@@ -109,12 +117,13 @@ def cell_order() -> list[Column]:
     return [F.col(c) for c in CELL]
 
 
-def cell_text(fields: list[tuple[int, T.StructField]]) -> Column:
-    """Display text of a long-form value."""
+def cell_text(fields: Fields) -> Column:
+    """Display text of a counted value."""
     dates = [no for no, f in fields if isinstance(f.dataType, T.DateType)]
     as_time = F.col("t").cast("string")
     if dates:
-        as_time = F.when(F.col("column_no").isin(*dates), F.col("t").cast("date").cast("string")).otherwise(as_time)
+        as_date = F.col("t").cast("date").cast("string")
+        as_time = F.when(F.col("column_no").isin(*dates), as_date).otherwise(as_time)
     return F.coalesce(F.col("s"), F.col("l").cast("string"), display_number(F.col("d")), as_time)
 
 
@@ -124,13 +133,6 @@ def column_names(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column_no int, column_name string")
 
 
-def named(no: Column, fields: list[tuple[int, T.StructField]]) -> Column:
-    """Column name for a column number, looked up in a constant array of the schema."""
-    width = max(n for n, _ in fields)
-    names = {n: f.name for n, f in fields}
-    return F.element_at(F.array(*[F.lit(names.get(i, "")) for i in range(1, width + 1)]), no)
-
-
 def with_order(df: DataFrame, order_by: list[str] | None) -> tuple[DataFrame, list[str]]:
     """Add sort keys _k0, _k1 ..; without columns to order by, rows go as they are read."""
     if order_by is None:
@@ -144,4 +146,5 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 
 
 def chunks(items: list, size: int) -> list[list]:
-    return [items[i : i + size] for i in range(0, len(items), max(size, 1))]
+    step = max(size, 1)
+    return [items[i : i + step] for i in range(0, len(items), step)]

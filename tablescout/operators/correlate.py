@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from tablescout.functions import sqltext
 from tablescout.operators.columns import (
+    Fields,
+    as_double,
     chunks,
-    col,
     missing_to_null,
     numeric_fields,
     stack_rows,
@@ -17,46 +18,106 @@ from tablescout.operators.columns import (
 )
 from tablescout.options import DEFAULTS, Options
 
+REPORT = "table_name string, column_1 string, column_2 string, correlation double"
 
-def _pearson(a: Column, b: Column) -> Column:
-    """Correlation over the rows that have both values; NULL where it is undefined."""
-    spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
-    return F.try_divide(F.covar_pop(a, b), F.nullif(spread, F.lit(0.0)))
 
-
-def table_correlations(df: DataFrame, options: Options = DEFAULTS) -> DataFrame | None:
-    """One row per pair of numeric columns, from one scan per group of pairs."""
-    pairs = list(combinations([f.name for _, f in numeric_fields(df)], 2))
-    if not pairs:
-        return None
-    cleaned = missing_to_null(df)
+def _facts(tables: dict[str, tuple[DataFrame, Fields]], options: Options) -> dict[tuple[str, int], tuple]:
+    """{(table, column): (mean, has gaps, has two different values)}, from one job."""
+    keys = list(tables)
     parts = []
-    for group in chunks(pairs, options.aggregates_per_job // 3):
-        measured = cleaned.agg(
-            *[
-                _pearson(col(a).cast("double"), col(b).cast("double")).alias(f"r_{i}")
-                for i, (a, b) in enumerate(group)
-            ]
-        )
-        # adding 0.0 turns a rounded -0.0 into 0.0
-        rows = [
-            (F.lit(a), F.lit(b), F.round(F.col(f"r_{i}"), 3) + F.lit(0.0))
-            for i, (a, b) in enumerate(group)
+    for key, t in enumerate(keys):
+        df, fields = tables[t]
+        for group in chunks(fields, options.aggregates_per_job // 4):
+            measured = df.selectExpr(
+                "count(1) as total",
+                *[f"count({as_double(f.name)}) as n_{no}" for no, f in group],
+                *[f"avg({as_double(f.name)}) as mean_{no}" for no, f in group],
+                *[
+                    f"min({as_double(f.name)}) <> max({as_double(f.name)}) as varies_{no}"
+                    for no, f in group
+                ],
+            )
+            rows = [(key, no, f"mean_{no}", f"n_{no} < total", f"varies_{no}") for no, f in group]
+            parts.append(stack_rows(measured, rows, ["key", "column_no", "mean", "gaps", "varies"]))
+    return {
+        (keys[row["key"]], row["column_no"]): (row["mean"] or 0.0, row["gaps"], bool(row["varies"]))
+        for row in union_all(parts).collect()
+    }
+
+
+def _gap_sums(i: int, a: str, b: str) -> list[str]:
+    """Sums over the rows that have both values."""
+    x, y = f"case when {b} is not null then {a} end", f"case when {a} is not null then {b} end"
+    return [
+        f"count({a} + {b}) as n_{i}",
+        f"sum({x}) as sx_{i}",
+        f"sum({y}) as sy_{i}",
+        f"sum({a} * {b}) as xy_{i}",
+        f"sum({x} * {x}) as xx_{i}",
+        f"sum({y} * {y}) as yy_{i}",
+        f"min({x}) <> max({x}) and min({y}) <> max({y}) as varies_{i}",
+    ]
+
+
+def _gap_correlation(i: int) -> str:
+    def spread(s: str, ss: str) -> str:
+        return f"sqrt(greatest({ss}_{i} - try_divide({s}_{i} * {s}_{i}, n_{i}), 0d))"
+
+    together = f"(xy_{i} - try_divide(sx_{i} * sy_{i}, n_{i}))"
+    spreads = f"({spread('sx', 'xx')} * {spread('sy', 'yy')})"
+    return f"case when varies_{i} then try_divide({together}, {spreads}) end"
+
+
+def _pair_rows(
+    table: str, df: DataFrame, fields: Fields, facts: dict[tuple[str, int], tuple], options: Options
+) -> list[DataFrame]:
+    """The report rows of one table, from one scan per group of pairs."""
+    shifted = df.selectExpr(
+        *[
+            f"{as_double(f.name)} - {sqltext.double(facts[table, no][0])} as x{no}"
+            for no, f in fields
         ]
-        parts.append(stack_rows(measured, rows, ["column_1", "column_2", "correlation"]))
-    return union_all(parts)
+    )
+    parts = []
+    for group in chunks(list(combinations(fields, 2)), options.aggregates_per_job // 7):
+        sums: list[str] = ["count(1) as total"]
+        squares = {}
+        rows = []
+        for i, ((no_a, a), (no_b, b)) in enumerate(group):
+            _, gaps_a, varies_a = facts[table, no_a]
+            _, gaps_b, varies_b = facts[table, no_b]
+            if not (varies_a and varies_b):
+                value = "cast(null as double)"
+            elif gaps_a or gaps_b:
+                sums += _gap_sums(i, f"x{no_a}", f"x{no_b}")
+                value = _gap_correlation(i)
+            else:
+                sums.append(f"sum(x{no_a} * x{no_b}) as xy_{i}")
+                squares |= {no: f"sum(x{no} * x{no}) as square_{no}" for no in (no_a, no_b)}
+                value = f"try_divide(xy_{i}, sqrt(square_{no_a}) * sqrt(square_{no_b}))"
+            # adding 0.0 turns a rounded -0.0 into 0.0
+            rounded = f"round({value}, 3) + 0d"
+            rows.append((sqltext.text(table), sqltext.text(a.name), sqltext.text(b.name), rounded))
+        names = [part.split()[0] for part in REPORT.split(", ")]
+        parts.append(stack_rows(shifted.selectExpr(*sums, *squares.values()), rows, names))
+    return parts
 
 
 def correlation_report(catalog: dict[str, DataFrame], options: Options = DEFAULTS) -> DataFrame:
-    parts = []
-    spark = None
+    """One row per pair of numeric columns; NULL where the correlation is undefined.
+
+    A first job finds the means. The second sums products of the shifted values, which
+    keeps the digits: one product per pair where both columns are complete, sums over
+    the common rows otherwise.
+    """
+    tables = {}
     for name, df in catalog.items():
-        spark = df.sparkSession
-        part = table_correlations(df, options)
-        if part is not None:
-            parts.append(part.select(F.lit(name).alias("table_name"), "*"))
-    if not parts:
-        return spark.createDataFrame(
-            [], "table_name string, column_1 string, column_2 string, correlation double"
-        )
-    return union_all(parts)
+        fields = numeric_fields(df)
+        if len(fields) > 1:
+            tables[name] = (missing_to_null(df), fields)
+    if not tables:
+        return next(iter(catalog.values())).sparkSession.createDataFrame([], REPORT)
+    facts = _facts(tables, options)
+    return union_all(
+        [part for name, (df, fields) in tables.items() for part in _pair_rows(name, df, fields, facts, options)]
+    )

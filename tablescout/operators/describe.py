@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tablescout.functions import sqltext
 from tablescout.functions.text import display_number
 from tablescout.operators.columns import (
     CELL,
+    as_double,
     cell_order,
     cell_text,
     chunks,
@@ -25,8 +27,8 @@ from tablescout.operators.columns import (
     value_counts,
     with_order,
 )
-from tablescout.operators.outliers import table_outlier_examples
-from tablescout.operators.quantiles import column_quantiles
+from tablescout.operators.outliers import Quartiles, catalog_quartiles, table_outlier_examples
+from tablescout.operators.quantiles import Measured, catalog_quantiles, row_counts
 from tablescout.options import DEFAULTS, Options
 
 SHOWN_MODES = 3
@@ -78,49 +80,53 @@ def column_mode(catalog: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def table_numeric_summary(
-    df: DataFrame, options: Options = DEFAULTS, method: str = "exact"
-) -> DataFrame | None:
-    """(column_no, column_name, mean, median, value_range) of the numeric columns."""
-    fields = numeric_fields(df)
-    if not fields:
-        return None
-    medians = column_quantiles(df, fields, [0.5], options, method)
-    names = ["column_no", "column_name", "mean", "median", "value_range"]
+SUMMARY = ["column_no", "column_name", "mean", "median", "value_range"]
+
+
+def _numeric_rows(
+    df: DataFrame, medians: dict[int, Measured], options: Options
+) -> list[DataFrame]:
+    """SUMMARY rows of one table, one part per group of columns."""
     parts = []
-    for group in chunks(fields, options.aggregates_per_job // 3):
-        doubles = [(no, f, col(f.name).cast("double")) for no, f in group]
-        measured = missing_to_null(df).agg(
-            *[F.avg(c).alias(f"mean_{no}") for no, _, c in doubles],
-            *[(F.max(c) - F.min(c)).alias(f"range_{no}") for no, _, c in doubles],
+    for group in chunks(numeric_fields(df), options.aggregates_per_job // 3):
+        doubles = [(no, as_double(f.name)) for no, f in group]
+        measured = missing_to_null(df).selectExpr(
+            *[f"avg({c}) as mean_{no}" for no, c in doubles],
+            *[f"max({c}) - min({c}) as range_{no}" for no, c in doubles],
         )
         rows = [
             (
-                F.lit(no),
-                F.lit(f.name),
-                F.round(F.col(f"mean_{no}"), 3),
-                F.round(F.lit(medians[no][1][0]).cast("double"), 3),
-                F.round(F.col(f"range_{no}"), 3),
+                no,
+                sqltext.text(f.name),
+                f"round(mean_{no}, 3)",
+                f"round({sqltext.double(medians[no][1][0])}, 3)",
+                f"round(range_{no}, 3)",
             )
-            for no, f, _ in doubles
+            for no, f in group
         ]
-        parts.append(stack_rows(measured, rows, names))
-    return union_all(parts)
+        parts.append(stack_rows(measured, rows, SUMMARY))
+    return parts
+
+
+def _medians(
+    catalog: dict[str, DataFrame], options: Options, method: str = "exact"
+) -> dict[str, dict[int, Measured]]:
+    tables = {t: (df, numeric_fields(df)) for t, df in catalog.items()}
+    return catalog_quantiles(tables, [0.5], options, method)
 
 
 def numeric_summary(
     catalog: dict[str, DataFrame], options: Options = DEFAULTS, method: str = "exact"
 ) -> DataFrame:
-    parts = []
-    for name, df in catalog.items():
-        part = table_numeric_summary(df, options, method)
-        if part is not None:
-            parts.append(
-                part.select(
-                    F.lit(name).alias("table_name"), "column_name", "mean", "median", "value_range"
-                )
-            )
-    return union_all(parts)
+    """(table_name, column_name, mean, median, value_range) of the numeric columns."""
+    medians = _medians(catalog, options, method)
+    return union_all(
+        [
+            part.select(F.lit(name).alias("table_name"), *SUMMARY[1:])
+            for name, df in catalog.items()
+            for part in _numeric_rows(df, medians[name], options)
+        ]
+    )
 
 
 def shown_cell(df: DataFrame, name: str) -> Column:
@@ -151,9 +157,10 @@ def table_first_rows(df: DataFrame, order_by: list[str] | None, options: Options
     )
     # at most first_rows rows reach this window
     numbered = first.withColumn("row_no", F.row_number().over(Window.orderBy(*keys)))
+    shown = [shown_cell(df, f.name).alias(f"c{no}") for no, f in flat_fields(df)]
     cells = stack_rows(
-        numbered,
-        [(F.lit(no), F.col("row_no"), shown_cell(df, f.name)) for no, f in flat_fields(df)],
+        numbered.select("row_no", *shown),
+        [(no, "row_no", f"c{no}") for no, _ in flat_fields(df)],
         ["column_no", "row_no", "text"],
     )
     turned = cells.groupBy("column_no").agg(
@@ -184,30 +191,33 @@ def first_rows(
     )
 
 
-def table_description(
-    df: DataFrame, order_by: list[str] | None, options: Options = DEFAULTS
+def _table_description(
+    df: DataFrame,
+    order_by: list[str] | None,
+    quartiles_of: Quartiles,
+    medians: dict[int, Measured],
+    options: Options,
 ) -> DataFrame:
     """One row per column: type, first rows, mean, median, mode, range and outliers."""
-    fields = flat_fields(df)
-    spark = df.sparkSession
-    types = spark.createDataFrame(
-        [(no, f.dataType.simpleString()) for no, f in fields], "column_no int, data_type string"
+    types = df.sparkSession.createDataFrame(
+        [(no, f.dataType.simpleString()) for no, f in flat_fields(df)],
+        "column_no int, data_type string",
     )
     parts = [types, table_first_rows(df, order_by, options), table_modes(df).drop("column_name")]
-    numbers = table_numeric_summary(df, options)
-    texts = ["mean", "median", "value_range"]
-    if numbers is not None:
+    texts = []
+    if numeric_fields(df):
+        numbers = union_all(_numeric_rows(df, medians, options))
+        texts = [*SUMMARY[2:], "outliers"]
         parts.append(
-            numbers.select("column_no", *[display_number(F.col(c)).alias(c) for c in texts])
+            numbers.select("column_no", *[display_number(F.col(c)).alias(c) for c in SUMMARY[2:]])
         )
-        parts.append(table_outlier_examples(df, order_by, options).drop("column_name"))
-        texts.append("outliers")
+        parts.append(table_outlier_examples(df, order_by, quartiles_of).drop("column_name"))
     # every part has one row per column of the table
     joined = reduce(lambda a, b: a.join(b, "column_no", "left"), parts)
     previews = [f"row_{i}" for i in range(1, options.first_rows + 1)]
     not_available = [
         (F.coalesce(F.col(c), F.lit("N/A")) if c in texts else F.lit("N/A")).alias(c)
-        for c in ("mean", "median", "value_range", "outliers")
+        for c in (*SUMMARY[2:], "outliers")
     ]
     return joined.select(
         "column_no", "column_name", "data_type", *previews, "mode", *not_available
@@ -215,16 +225,25 @@ def table_description(
 
 
 def describe_tables(
-    catalog: dict[str, DataFrame], order_by: dict[str, list[str] | None], options: Options = DEFAULTS
+    catalog: dict[str, DataFrame],
+    order_by: dict[str, list[str] | None],
+    options: Options = DEFAULTS,
 ) -> DataFrame:
     """Descriptions of all tables that have rows, with their shape."""
-    parts = []
-    for name, df in catalog.items():
-        if not flat_fields(df) or df.isEmpty():
-            continue
-        shape = df.agg(F.count(F.lit(1)).alias("table_rows")).select(
-            F.lit(name).alias("table_name"), "table_rows", F.lit(len(df.columns)).alias("table_columns")
-        )
-        described = table_description(df, order_by[name], options).withColumn("table_name", F.lit(name))
-        parts.append(shape.join(described, "table_name"))
-    return union_all(parts)
+    rows = row_counts(catalog)
+    filled = {t: df for t, df in catalog.items() if rows[t] and flat_fields(df)}
+    if not filled:
+        raise ValueError("no table has rows to describe")
+    quartiles_of = catalog_quartiles(filled, options)
+    medians = _medians(filled, options)
+    return union_all(
+        [
+            _table_description(df, order_by[t], quartiles_of[t], medians[t], options).select(
+                F.lit(t).alias("table_name"),
+                F.lit(rows[t]).cast("bigint").alias("table_rows"),
+                F.lit(len(df.columns)).alias("table_columns"),
+                "*",
+            )
+            for t, df in filled.items()
+        ]
+    )

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescout.functions.text import DATE_LAYOUTS, is_blank, is_date_text, is_number_text
+from tablescout.functions import sqltext
+from tablescout.functions.text import BLANK_TEXT, DATE_LAYOUTS, NUMBER_TEXT
 from tablescout.operators.columns import (
     FLOAT_TYPES,
     INTEGER_TYPES,
     NESTED_TYPES,
     TIME_TYPES,
     chunks,
-    col,
     missing_to_null,
     stack_rows,
     union_all,
@@ -24,6 +24,8 @@ NUMERIC_TEXT = "numeric (stored as text)"
 DATE_TEXT = "date (stored as text)"
 ALL_BLANK = "unknown (all blank)"
 
+COUNTS = ["data_type", "total_rows", "null_count", "error_count", "blank_count"]
+
 
 def _fixed_label(kind: T.DataType) -> str | None:
     """Label of a column whose type alone decides it."""
@@ -40,55 +42,51 @@ def _fixed_label(kind: T.DataType) -> str | None:
     return None
 
 
-def _counts(no: int, field: T.StructField) -> list[Column]:
-    c = col(field.name)
-    counts = [F.count(c).alias(f"present_{no}")]
+def _date_test(value: str, layout: str, shape: str) -> str:
+    """All layouts have a fixed length, which rules out most values without a regex."""
+    size = len(layout.replace("'", ""))
+    parsed = f"try_to_timestamp({value}, {sqltext.text(layout)}) is not null"
+    return (
+        f"case when octet_length({value}) = {size} and {value} rlike {sqltext.text(shape)} "
+        f"then {parsed} else false end"
+    )
+
+
+def _counts(no: int, field: T.StructField) -> list[str]:
+    q = sqltext.name(field.name)
+    counts = [f"count({q}) as present_{no}"]
     if _fixed_label(field.dataType) is None:
-        text = c.cast("string")
-        counts.append(F.count_if(is_blank(text)).alias(f"blank_{no}"))
-        counts.append(F.count_if(is_number_text(text)).alias(f"number_{no}"))
+        value = f"string({q})"
+        counts.append(f"count_if({value} rlike {sqltext.text(BLANK_TEXT)}) as blank_{no}")
+        counts.append(f"count_if({value} rlike {sqltext.text(NUMBER_TEXT)}) as number_{no}")
         counts += [
-            F.count_if(is_date_text(text, layout, shape)).alias(f"date{i}_{no}")
+            f"count_if({_date_test(value, layout, shape)}) as date{i}_{no}"
             for i, (layout, shape) in enumerate(DATE_LAYOUTS)
         ]
     return counts
 
 
-def _mostly(part: Column, whole: Column) -> Column:
-    """More than nine tenths, in whole numbers."""
-    return part * 10 > whole * 9
-
-
-def _row(no: int, field: T.StructField) -> tuple[Column, ...]:
-    present = F.col(f"present_{no}")
-    zero = F.lit(0).cast("bigint")
-    fixed = _fixed_label(field.dataType)
-    if fixed is not None:
-        label, errors, blanks = F.lit(fixed), zero, zero
-    else:
-        numbers = F.col(f"number_{no}")
-        dates = F.greatest(*[F.col(f"date{i}_{no}") for i in range(len(DATE_LAYOUTS))])
-        label = (
-            F.when(present == 0, ALL_BLANK)
-            .when(_mostly(numbers, present), NUMERIC_TEXT)
-            .when(_mostly(dates, present), DATE_TEXT)
-            .otherwise("text")
-        )
-        errors = (
-            F.when(label == NUMERIC_TEXT, present - numbers)
-            .when(label == DATE_TEXT, present - dates)
-            .otherwise(zero)
-        )
-        blanks = F.col(f"blank_{no}")
-    return (
-        F.lit(no),
-        F.lit(field.name),
-        label,
-        F.col("total_rows"),
-        F.col("total_rows") - present,
-        errors,
-        blanks,
-    )
+def _row(no: int, field: T.StructField) -> list[str]:
+    missing = f"total_rows - present_{no}"
+    label = _fixed_label(field.dataType)
+    head = [str(no), sqltext.text(field.name)]
+    if label is not None:
+        return [*head, sqltext.text(label), "total_rows", missing, "0L", "0L"]
+    dates = f"greatest({', '.join(f'date{i}_{no}' for i in range(len(DATE_LAYOUTS)))})"
+    # more than nine tenths, in whole numbers
+    numeric = f"number_{no} * 10 > present_{no} * 9"
+    dated = f"{dates} * 10 > present_{no} * 9"
+    return [
+        *head,
+        f"case when present_{no} = 0 then {sqltext.text(ALL_BLANK)} "
+        f"when {numeric} then {sqltext.text(NUMERIC_TEXT)} "
+        f"when {dated} then {sqltext.text(DATE_TEXT)} else 'text' end",
+        "total_rows",
+        missing,
+        f"case when present_{no} = 0 then 0L when {numeric} then present_{no} - number_{no} "
+        f"when {dated} then present_{no} - {dates} else 0L end",
+        f"blank_{no}",
+    ]
 
 
 def table_dictionary(df: DataFrame, options: Options = DEFAULTS) -> DataFrame:
@@ -99,22 +97,13 @@ def table_dictionary(df: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     count it needs.
     """
     fields = list(enumerate(df.schema.fields, start=1))
-    per_column = len(DATE_LAYOUTS) + 3
-    names = [
-        "column_no",
-        "column_name",
-        "data_type",
-        "total_rows",
-        "null_count",
-        "error_count",
-        "blank_count",
-    ]
     cleaned = missing_to_null(df)
     parts = []
-    for group in chunks(fields, options.aggregates_per_job // per_column):
+    for group in chunks(fields, options.aggregates_per_job // (len(DATE_LAYOUTS) + 3)):
         counts = [c for no, f in group for c in _counts(no, f)]
-        counted = cleaned.agg(F.count(F.lit(1)).alias("total_rows"), *counts)
-        parts.append(stack_rows(counted, [_row(no, f) for no, f in group], names))
+        counted = cleaned.selectExpr("count(1) as total_rows", *counts)
+        rows = [_row(no, f) for no, f in group]
+        parts.append(stack_rows(counted, rows, ["column_no", "column_name", *COUNTS]))
     return union_all(parts)
 
 
@@ -126,17 +115,13 @@ def data_dictionary(catalog: dict[str, DataFrame], options: Options = DEFAULTS)
         if not df.columns:
             continue
         parts.append(
-            table_dictionary(df, options).select(
-                (F.col("column_no") + before).alias("slno"),
-                F.lit(table_no).alias("table_no"),
-                F.lit(table_name).alias("table_name"),
+            table_dictionary(df, options).selectExpr(
+                f"column_no + {before} as slno",
+                f"{table_no} as table_no",
+                f"{sqltext.text(table_name)} as table_name",
                 "column_no",
                 "column_name",
-                "data_type",
-                "total_rows",
-                "null_count",
-                "error_count",
-                "blank_count",
+                *COUNTS,
             )
         )
         before += len(df.columns)
@@ -144,4 +129,4 @@ def data_dictionary(catalog: dict[str, DataFrame], options: Options = DEFAULTS)
 
 
 def dtype_labels(catalog: dict[str, DataFrame], options: Options = DEFAULTS) -> DataFrame:
-    return data_dictionary(catalog, options).select("table_name", "column_name", "data_type")
+    return data_dictionary(catalog, options).select("table_name", "column_name", F.col("data_type"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablescout.functions import sqltext
 from tablescout.operators.columns import (
     chunks,
     col,
@@ -50,20 +51,15 @@ def table_cardinality(
         raise ValueError(f"unknown method: {method}")
     parts = []
     for group in chunks(fields, options.aggregates_per_job // 2):
-        sketched = missing_to_null(df).agg(
-            F.count(F.lit(1)).alias("total_rows"),
-            *[F.count(col(f.name)).alias(f"present_{no}") for no, f in group],
-            *[F.approx_count_distinct(col(f.name), 0.02).alias(f"distinct_{no}") for no, f in group],
+        quoted = [(no, f, sqltext.name(f.name)) for no, f in group]
+        sketched = missing_to_null(df).selectExpr(
+            "count(1) as total_rows",
+            *[f"count({q}) as present_{no}" for no, _, q in quoted],
+            *[f"approx_count_distinct({q}, 0.02D) as distinct_{no}" for no, _, q in quoted],
         )
         rows = [
-            (
-                F.lit(no),
-                F.lit(f.name),
-                F.col("total_rows"),
-                F.col("total_rows") - F.col(f"present_{no}"),
-                F.col(f"distinct_{no}"),
-            )
-            for no, f in group
+            (no, sqltext.text(f.name), "total_rows", f"total_rows - present_{no}", f"distinct_{no}")
+            for no, f, _ in quoted
         ]
         parts.append(stack_rows(sketched, rows, names))
     return union_all(parts)

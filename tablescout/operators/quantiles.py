@@ -1,37 +1,44 @@
 """Exact quantiles with linear interpolation, for columns of any length.
 
 Small tables use the built-in exact aggregate. It holds the distinct values of a
-column in one buffer, so beyond a checked number of cells the wanted ranks are
-narrowed down instead: every round is one scan that counts the rows below and inside
-a bracket of values and proposes a bracket about a thousand times smaller. Only the
-rows of the last bracket are shuffled.
+column in one buffer, so beyond a checked number of rows the wanted ranks are narrowed
+down instead: every round proposes a bracket of values about a thousand times smaller
+and counts the rows below and inside it. Only the rows of the last bracket are shuffled.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Hashable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tablescout.operators.columns import chunks, col, missing_to_null, stack_rows
+from tablescout.functions import sqltext
+from tablescout.operators.columns import (
+    Fields,
+    as_double,
+    chunks,
+    col,
+    missing_to_null,
+    stack_rows,
+    union_all,
+)
 from tablescout.options import DEFAULTS, Options
 
 ACCURACY = 10_000
 MARGIN = 5.0 / ACCURACY
 MAX_ROUNDS = 8
 
-Quantiles = dict[int, tuple[int, list[float | None]]]
+Measured = tuple[int, list[float | None]]
 
 
 @dataclass
 class _Bracket:
     """Values between low and high, holding the ranks first..last of one column."""
 
-    column_no: int
     name: str
     first: int
     last: int
@@ -42,111 +49,89 @@ class _Bracket:
     margin: float = MARGIN
     settled: bool = False
 
-    def contains(self, c: Column) -> Column:
-        at_least = F.lit(True) if self.low is None else c >= F.lit(self.low)
-        at_most = F.lit(True) if self.high is None else c <= F.lit(self.high)
-        return c.isNotNull() & at_least & at_most
+    def test(self) -> str:
+        """SQL text that is true for the column's values inside the bracket."""
+        value = as_double(self.name)
+        tests = [f"{value} is not null"]
+        if self.low is not None:
+            tests.append(f"{value} >= {sqltext.double(self.low)}")
+        if self.high is not None:
+            tests.append(f"{value} <= {sqltext.double(self.high)}")
+        return "(" + " and ".join(tests) + ")"
 
+    def is_done(self, options: Options) -> bool:
+        single = self.low is not None and self.low == self.high
+        return single or self.settled or self.inside <= options.quantile_bracket_rows
 
-def _as_double(name: str) -> Column:
-    return col(name).cast("double")
 
-
-def _direct(df: DataFrame, fields: list, probs: list[float], options: Options) -> Quantiles:
-    found: Quantiles = {}
-    for group in chunks(fields, options.aggregates_per_job // 2):
-        row = df.agg(
-            *[F.count(col(f.name)).alias(f"n_{no}") for no, f in group],
-            *[F.percentile(_as_double(f.name), probs).alias(f"q_{no}") for no, f in group],
-        ).first()
-        for no, _ in group:
-            values = row[f"q_{no}"]
-            found[no] = (row[f"n_{no}"], list(values) if values else [None] * len(probs))
-    return found
-
-
-def _propose(df: DataFrame, brackets: list[_Bracket]) -> dict[int, tuple[float, float]]:
+def _propose(df: DataFrame, brackets: list[_Bracket]) -> list[_Bracket]:
     """A smaller bracket around the wanted ranks of each bracket."""
     aggregates = []
     for i, b in enumerate(brackets):
-        c = _as_double(b.name)
         low = max(0.0, (b.first - b.below) / b.inside - b.margin)
         high = min(1.0, (b.last + 1 - b.below) / b.inside + b.margin)
         aggregates.append(
-            F.percentile_approx(F.when(b.contains(c), c), [low, high], ACCURACY).alias(f"p_{i}")
+            f"percentile_approx({as_double(b.name)}, array({sqltext.double(low)}, "
+            f"{sqltext.double(high)}), {ACCURACY}) filter (where {b.test()}) as p_{i}"
         )
-    row = df.agg(*aggregates).first()
-    return {i: (row[f"p_{i}"][0], row[f"p_{i}"][1]) for i in range(len(brackets))}
+    row = df.selectExpr(*aggregates).first()
+    return [_Bracket(b.name, b.first, b.last, *row[f"p_{i}"]) for i, b in enumerate(brackets)]
 
 
-def _measure(df: DataFrame, brackets: list[_Bracket]) -> list[tuple[int, int]]:
-    """Exact numbers of rows below and inside each bracket."""
+def _measure(df: DataFrame, brackets: list[_Bracket]) -> None:
+    """Set the exact numbers of rows below and inside each bracket."""
     aggregates = []
     for i, b in enumerate(brackets):
-        c = _as_double(b.name)
-        aggregates.append(F.count_if(c < F.lit(b.low)).alias(f"b_{i}"))
-        aggregates.append(F.count_if(b.contains(c)).alias(f"i_{i}"))
-    row = df.agg(*aggregates).first()
-    return [(row[f"b_{i}"], row[f"i_{i}"]) for i in range(len(brackets))]
+        aggregates.append(f"count_if({as_double(b.name)} < {sqltext.double(b.low)}) as b_{i}")
+        aggregates.append(f"count_if({b.test()}) as i_{i}")
+    row = df.selectExpr(*aggregates).first()
+    for i, b in enumerate(brackets):
+        b.below, b.inside = row[f"b_{i}"], row[f"i_{i}"]
 
 
 def _narrow(df: DataFrame, brackets: list[_Bracket], options: Options) -> None:
     """Shrink the brackets until each one is small or holds a single value."""
     for _ in range(MAX_ROUNDS):
-        wide = [
-            b
-            for b in brackets
-            if b.inside > options.quantile_bracket_rows
-            and not b.settled
-            and (b.low is None or b.low != b.high)
-        ]
+        wide = [b for b in brackets if not b.is_done(options)]
         if not wide:
             return
         for group in chunks(wide, options.aggregates_per_job // 2):
-            proposals = _propose(df, group)
-            smaller = [
-                _Bracket(b.column_no, b.name, b.first, b.last, *proposals[i])
-                for i, b in enumerate(group)
-            ]
-            for b, s, (below, inside) in zip(group, smaller, _measure(df, smaller)):
-                if below <= b.first and b.last < below + inside:
+            smaller = _propose(df, group)
+            _measure(df, smaller)
+            for b, s in zip(group, smaller):
+                if s.below <= b.first and b.last < s.below + s.inside:
                     # two heavy values at the ends cannot be parted any further
                     b.settled = (b.low, b.high) == (s.low, s.high)
-                    b.low, b.high, b.below, b.inside = s.low, s.high, below, inside
+                    b.low, b.high, b.below, b.inside = s.low, s.high, s.below, s.inside
                 else:  # the sketch missed a rank: keep the bracket, look wider
                     b.margin *= 4
 
 
 def _finish(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple[int, int], float]:
     """The values at the wanted ranks, keyed by (bracket, rank)."""
-    found = {}
-    open_ones = []
+    found: dict[tuple[int, int], float] = {}
+    rows, ranks = [], []
     for i, b in enumerate(brackets):
         if b.low is not None and b.low == b.high:
             found[i, b.first] = found[i, b.last] = b.low
-        else:
-            open_ones.append(i)
-    if not open_ones:
-        return found
-    rows, ranks = [], []
-    for i in open_ones:
-        b = brackets[i]
-        c = _as_double(b.name)
-        rows.append((F.lit(i), F.when(b.contains(c), c)))
+            continue
+        rows.append((i, f"case when {b.test()} then {as_double(b.name)} end"))
         ranks += [(i, r, r - b.below) for r in {b.first, b.last}]
+    if not rows:
+        return found
     histogram = (
         stack_rows(df, rows, ["bracket", "value"])
-        .where(F.col("value").isNotNull())
+        .where("value is not null")
         .groupBy("bracket", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     upto = F.sum("n").over(Window.partitionBy("bracket").orderBy("value"))
-    # at most two ranks per bracket come back
+    # at most two ranks per bracket go in and come back
     wanted = df.sparkSession.createDataFrame(ranks, "bracket int, rank bigint, offset bigint")
     hits = (
         histogram.withColumn("upto", upto)
         .join(F.broadcast(wanted), "bracket")
-        .where((F.col("offset") < F.col("upto")) & (F.col("offset") >= F.col("upto") - F.col("n")))
+        .where("offset < upto and offset >= upto - n")
         .select("bracket", "rank", "value")
     )
     for hit in hits.collect():
@@ -154,58 +139,106 @@ def _finish(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple[int, int], fl
     return found
 
 
-def _bracketed(df: DataFrame, fields: list, probs: list[float], options: Options) -> Quantiles:
-    counts = df.agg(*[F.count(col(f.name)).alias(f"n_{no}") for no, f in fields]).first()
+def _bracketed(
+    df: DataFrame, fields: Fields, probs: list[float], options: Options
+) -> dict[int, Measured]:
+    counts = df.selectExpr(*[f"count({sqltext.name(f.name)}) as n_{no}" for no, f in fields]).first()
+    found: dict[int, Measured] = {}
     brackets, owners = [], []
     for no, f in fields:
         n = counts[f"n_{no}"]
+        found[no] = (n, [] if n else [None] * len(probs))
         for p in probs if n else []:
             position = p * (n - 1)
-            brackets.append(
-                _Bracket(no, f.name, math.floor(position), math.ceil(position), inside=n)
-            )
+            first, last = math.floor(position), math.ceil(position)
+            brackets.append(_Bracket(f.name, first, last, inside=n))
             owners.append((no, position))
     _narrow(df, brackets, options)
     values = _finish(df, brackets)
-    found: Quantiles = {
-        no: (counts[f"n_{no}"], [] if counts[f"n_{no}"] else [None] * len(probs)) for no, _ in fields
-    }
     for i, ((no, position), b) in enumerate(zip(owners, brackets)):
         low, high = values[i, b.first], values[i, b.last]
         found[no][1].append(low + (high - low) * (position - b.first))
     return found
 
 
-def column_quantiles(
-    df: DataFrame,
-    fields: list[tuple[int, T.StructField]],
+def _aggregated(df: DataFrame, key: int, fields: Fields, aggregate: str) -> DataFrame:
+    """(key, column_no, n, q) of one group of columns; aggregate is SQL text around {}."""
+    measured = df.selectExpr(
+        *[f"count({sqltext.name(f.name)}) as n_{no}" for no, f in fields],
+        *[f"{aggregate.format(as_double(f.name))} as q_{no}" for no, f in fields],
+    )
+    rows = [(key, no, f"n_{no}", f"q_{no}") for no, f in fields]
+    return stack_rows(measured, rows, ["key", "column_no", "n", "q"])
+
+
+def row_counts(tables: dict[Hashable, DataFrame]) -> dict[Hashable, int]:
+    """Rows per table, from one job."""
+    keys = list(tables)
+    # one row per table
+    counted = [
+        tables[k].agg(F.count(F.lit(1)).alias("n")).selectExpr(f"{i} as key", "n")
+        for i, k in enumerate(keys)
+    ]
+    return {keys[row["key"]]: row["n"] for row in union_all(counted).collect()}
+
+
+def catalog_quantiles(
+    tables: dict[str, tuple[DataFrame, Fields]],
     probs: list[float],
     options: Options = DEFAULTS,
     method: str = "exact",
-) -> Quantiles:
-    """{column number: (non-missing count, quantiles)}; a few numbers per column.
+) -> dict[str, dict[int, Measured]]:
+    """{table: {column number: (non-missing count, quantiles)}}; a few numbers per column.
 
-    ``approximate`` returns the built-in sketch's values, within 1/10000 of the rank.
+    Small tables are measured together in one job, in column groups whose values fit
+    the buffer. ``approximate`` returns the built-in sketch's values, within 1/10000 of
+    the rank.
     """
-    if not fields:
-        return {}
-    cleaned = missing_to_null(df.select(*[col(f.name) for _, f in fields]))
-    if method == "approximate":
-        found: Quantiles = {}
-        for group in chunks(fields, options.aggregates_per_job // 2):
-            row = cleaned.agg(
-                *[F.count(col(f.name)).alias(f"n_{no}") for no, f in group],
-                *[
-                    F.percentile_approx(_as_double(f.name), probs, ACCURACY).alias(f"q_{no}")
-                    for no, f in group
-                ],
-            ).first()
-            for no, _ in group:
-                values = row[f"q_{no}"]
-                found[no] = (row[f"n_{no}"], list(values) if values else [None] * len(probs))
-        return found
-    if method != "exact":
+    if method not in ("exact", "approximate"):
         raise ValueError(f"unknown method: {method}")
-    if cleaned.count() * len(fields) <= options.quantile_buffer_cells:
-        return _direct(cleaned, fields, probs, options)
-    return _bracketed(cleaned, fields, probs, options)
+    found: dict[str, dict[int, Measured]] = {t: {} for t in tables}
+    cleaned = {
+        t: (missing_to_null(df.select(*[col(f.name) for _, f in fields])), fields)
+        for t, (df, fields) in tables.items()
+        if fields
+    }
+    if not cleaned:
+        return found
+    points = f"array({', '.join(sqltext.double(p) for p in probs)})"
+    keys = list(cleaned)
+    parts = []
+    if method == "approximate":
+        aggregate = f"percentile_approx({{}}, {points}, {ACCURACY})"
+        for key, t in enumerate(keys):
+            df, fields = cleaned[t]
+            parts += [
+                _aggregated(df, key, group, aggregate)
+                for group in chunks(fields, options.aggregates_per_job // 2)
+            ]
+    else:
+        aggregate = f"percentile({{}}, {points})"
+        rows = row_counts({t: df for t, (df, _) in cleaned.items()})
+        for key, t in enumerate(keys):
+            df, fields = cleaned[t]
+            if rows[t] > options.quantile_buffer_rows:
+                found[t] = _bracketed(df, fields, probs, options)
+                continue
+            fitting = options.quantile_buffer_rows // max(rows[t], 1)
+            size = min(fitting, options.aggregates_per_job // 2)
+            parts += [_aggregated(df, key, group, aggregate) for group in chunks(fields, size)]
+    if parts:
+        for row in union_all(parts).collect():
+            values = row["q"] if row["q"] is not None else [None] * len(probs)
+            found[keys[row["key"]]][row["column_no"]] = (row["n"], list(values))
+    return found
+
+
+def column_quantiles(
+    df: DataFrame,
+    fields: Fields,
+    probs: list[float],
+    options: Options = DEFAULTS,
+    method: str = "exact",
+) -> dict[int, Measured]:
+    """Quantiles of some columns of one table."""
+    return catalog_quantiles({"table": (df, fields)}, probs, options, method)["table"]

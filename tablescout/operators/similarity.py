@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tablescout.functions import sqltext
 from tablescout.functions.text import match_text, name_similarity, value_shape
 from tablescout.operators.columns import (
     chunks,
@@ -22,6 +23,7 @@ from tablescout.operators.columns import (
     stack_rows,
     union_all,
 )
+from tablescout.operators.quantiles import row_counts
 from tablescout.options import DEFAULTS, Options
 from tablescout.session import cut_lineage
 
@@ -69,12 +71,10 @@ def _hash_limits(
     df: DataFrame, columns: list[_CatalogColumn], wanted: int, options: Options
 ) -> dict[int, str]:
     """Limits for the columns of a large table, from distinct-count sketches."""
-    if df.count() <= options.sample_prefilter_rows:
-        return {}
     limits = {}
     for group in chunks(columns, options.aggregates_per_job):
-        row = df.agg(
-            *[F.approx_count_distinct(col(c.column_name)).alias(f"d_{c.pos}") for c in group]
+        row = df.selectExpr(
+            *[f"approx_count_distinct({sqltext.name(c.column_name)}) as d_{c.pos}" for c in group]
         ).first()
         for c in group:
             limit = _hash_limit(row[f"d_{c.pos}"], wanted)
@@ -85,15 +85,16 @@ def _hash_limits(
 
 def _match_values(df: DataFrame, columns: list[_CatalogColumn], limits: dict[int, str]) -> DataFrame:
     """(pos, value), one row per non-missing cell that passes its hash limit."""
+    texts = missing_to_null(df).select(
+        *[match_text(col(c.column_name), c.type_name).alias(f"c{c.pos}") for c in columns]
+    )
     rows = []
     for c in columns:
-        value = match_text(col(c.column_name), c.type_name)
+        value = f"c{c.pos}"
         if c.pos in limits:
-            prefix = F.substring(F.md5(value), 1, HASH_DIGITS)
-            value = F.when(prefix < limits[c.pos], value)
-        rows.append((F.lit(c.pos), value))
-    cells = stack_rows(missing_to_null(df), rows, ["pos", "value"])
-    return cells.where(F.col("value").isNotNull())
+            value = f"case when left(md5(c{c.pos}), {HASH_DIGITS}) < '{limits[c.pos]}' then c{c.pos} end"
+        rows.append((c.pos, value))
+    return stack_rows(texts, rows, ["pos", "value"]).where("value is not null")
 
 
 def _smallest_by_hash(values: DataFrame, wanted: int) -> DataFrame:
@@ -124,8 +125,10 @@ def column_values(
         cells = [_match_values(catalog[t], cs, {}) for t, cs in by_table.items()]
         return cut_lineage(union_all(cells).distinct())
     limits: dict[int, str] = {}
+    rows_of = row_counts({t: catalog[t] for t in by_table})
     for table, columns in by_table.items():
-        limits |= _hash_limits(catalog[table], columns, wanted, options)
+        if rows_of[table] > options.sample_prefilter_rows:
+            limits |= _hash_limits(catalog[table], columns, wanted, options)
     cells = [_match_values(catalog[t], cs, limits) for t, cs in by_table.items()]
     sample = cut_lineage(_smallest_by_hash(union_all(cells), wanted))
     if not limits:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescout.functions import paths
+from tablescout.functions import paths, sqltext
 from tablescout.functions.text import INTEGER_TEXT, NUMBER_TEXT, null_if_missing, strip
 from tablescout.operators.columns import chunks, col, union_all
 from tablescout.operators.numbering import number_rows
@@ -251,23 +251,24 @@ def infer_types(df: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     One scan counts the forms. Columns without a value and dates stay text.
     """
     targets: dict[str, str] = {}
+    forms = {"int": "bigint", "num": "double", "bool": "boolean"}
     for group in chunks(list(enumerate(df.columns)), options.aggregates_per_job // 4):
         aggregates = []
         for i, name in group:
-            c = col(name)
+            q = sqltext.name(name)
+            whole = f"{q} rlike {sqltext.text(INTEGER_TEXT)} and length({q}) <= 18"
             aggregates += [
-                F.count(c).alias(f"n_{i}"),
-                F.count_if(c.rlike(INTEGER_TEXT) & (F.length(strip(c)) <= 18)).alias(f"int_{i}"),
-                F.count_if(c.rlike(NUMBER_TEXT)).alias(f"num_{i}"),
-                F.count_if(c.isin("True", "TRUE", "true", "False", "FALSE", "false")).alias(f"bool_{i}"),
+                f"count({q}) as n_{i}",
+                f"count_if({whole}) as int_{i}",
+                f"count_if({q} rlike {sqltext.text(NUMBER_TEXT)}) as num_{i}",
+                f"count_if({q} in ('True', 'TRUE', 'true', 'False', 'FALSE', 'false')) as bool_{i}",
             ]
-        row = df.agg(*aggregates).first()
+        row = df.selectExpr(*aggregates).first()
         for i, name in group:
             present = row[f"n_{i}"]
-            for form, kind in (("int", "bigint"), ("num", "double"), ("bool", "boolean")):
-                if present and row[f"{form}_{i}"] == present:
-                    targets[name] = kind
-                    break
+            fitting = [kind for form, kind in forms.items() if row[f"{form}_{i}"] == present]
+            if present and fitting:
+                targets[name] = fitting[0]
     return df.select(
         *[
             strip(col(c)).try_cast(targets[c]).alias(c) if c in targets else col(c)
