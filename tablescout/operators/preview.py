@@ -12,6 +12,8 @@ from tablescout.operators.columns import FLOAT_TYPES, col, union_all, with_order
 from tablescout.operators.describe import shown_cell
 from tablescout.options import DEFAULTS, Options
 
+PREVIEW = "total_rows bigint, row_no int, cells array<string>, not_shown string"
+
 
 def format_cell(df: DataFrame, name: str) -> Column:
     """Readable text of one cell: NULL spelled out, bytes decoded as UTF-8."""
@@ -34,42 +36,38 @@ def format_cells(df: DataFrame) -> DataFrame:
 def preview(df: DataFrame, order_by: list[str] | None, options: Options = DEFAULTS) -> DataFrame:
     """(total_rows, row_no, cells, not_shown): the first rows of the first columns.
 
-    An empty table gives one row without a row number.
+    The total is counted at once. An empty table gives one row without a row number.
     """
     shown = df.columns[: options.preview_columns]
     extra = df.columns[options.preview_columns :]
     note = f"(+{len(extra)} more column(s) not shown: {', '.join(extra)})" if extra else ""
+    total = df.count()
+    if total == 0:
+        return df.sparkSession.createDataFrame([(0, None, None, note)], PREVIEW)
     keyed, keys = with_order(df, order_by)
     first = keyed.orderBy(*keys).limit(options.preview_rows)
     # at most preview_rows rows reach this window
-    numbered = first.select(
+    return first.select(
+        F.lit(total).cast("bigint").alias("total_rows"),
         F.row_number().over(Window.orderBy(*keys)).alias("row_no"),
         F.array(*[shown_cell(df, c) for c in shown]).alias("cells"),
-        F.lit(1).alias("one"),
-    )
-    total = df.agg(F.count(F.lit(1)).alias("total_rows")).withColumn("one", F.lit(1))
-    return total.join(numbered, "one", "left").select(
-        "total_rows", "row_no", "cells", F.lit(note).alias("not_shown")
+        F.lit(note).alias("not_shown"),
     )
 
 
 def table_preview(
-    catalog: dict[str, DataFrame], order_by: dict[str, list[str] | None], options: Options = DEFAULTS
+    catalog: dict[str, DataFrame],
+    order_by: dict[str, list[str] | None],
+    options: Options = DEFAULTS,
 ) -> DataFrame:
     """Previews of all tables; a table that cannot be read keeps a row with its error."""
     parts = []
     for name, df in catalog.items():
+        error = ""
         try:
             part = preview(df, order_by[name], options)
-            part.schema  # resolves the plan
-            parts.append(part.select(F.lit(name).alias("table_name"), "*", F.lit("").alias("error")))
         except Exception as problem:  # noqa: BLE001 - reported, the other tables go on
-            message = f"Could not load sample data for this table: {problem}"
-            parts.append(
-                df.sparkSession.createDataFrame(
-                    [(name, None, None, None, "", message)],
-                    "table_name string, total_rows bigint, row_no int, cells array<string>, "
-                    "not_shown string, error string",
-                )
-            )
+            error = f"Could not load sample data for this table: {problem}"
+            part = df.sparkSession.createDataFrame([(None, None, None, "")], PREVIEW)
+        parts.append(part.select(F.lit(name).alias("table_name"), "*", F.lit(error).alias("error")))
     return union_all(parts)

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablescout.operators.quantiles import row_counts
 from tablescout.options import DEFAULTS, Options
 from tablescout.sources.files import (
     DATA_SUFFIXES,
@@ -13,6 +14,7 @@ from tablescout.sources.files import (
     file_manifest,
     file_traits,
     read_delimited,
+    separator_of,
     unique_names,
 )
 
@@ -42,7 +44,9 @@ def load_folder(
     traits = {}
     if filled:
         traits = {
-            row["path"]: FileTraits(row["encoding"], row["separator"], row["open_quotes"])
+            row["path"]: FileTraits(
+                row["encoding"], separator_of(spark, row["path"]), row["open_quotes"]
+            )
             for row in file_traits(spark, filled).collect()
         }
     loaded: list[tuple[str, str, DataFrame]] = []
@@ -57,23 +61,26 @@ def load_folder(
             skipped.append((path, f"skipped: {problem}"))
     names = unique_names(stem for stem, _, _ in loaded)
     catalog = {name: df for name, (_, _, df) in zip(names, loaded)}
+    counts = row_counts(catalog) if catalog else {}
     rows = [
-        (no, name, path, df.count(), LOADED)
-        for no, (name, (_, path, df)) in enumerate(zip(names, loaded), start=1)
+        (no, name, path, counts[name], LOADED)
+        for no, (name, (_, path, _)) in enumerate(zip(names, loaded), start=1)
     ]
     rows += [(None, None, path, None, status) for path, status in skipped]
     return catalog, spark.createDataFrame(rows, REPORT)
 
 
-def load_report(
-    spark: SparkSession, folder: str, tables: Iterable[str]
-) -> DataFrame:
+def load_report(spark: SparkSession, folder: str, tables: Iterable[str]) -> DataFrame:
     """(table_no, table_name, path, rows, status) of parquet tables."""
-    rows = []
-    for no, table in enumerate(tables, start=1):
-        path = f"{folder.rstrip('/')}/{table}.parquet"
+    found: dict[str, DataFrame] = {}
+    status = {}
+    listed = [(no, t, f"{folder.rstrip('/')}/{t}.parquet") for no, t in enumerate(tables, start=1)]
+    for _, table, path in listed:
         try:
-            rows.append((no, table, path, spark.read.parquet(path).count(), LOADED))
+            found[table] = spark.read.parquet(path)
+            status[table] = LOADED
         except Exception as problem:  # noqa: BLE001 - reported, the other tables go on
-            rows.append((no, table, path, None, f"skipped: {str(problem).splitlines()[0]}"))
+            status[table] = f"skipped: {str(problem).splitlines()[0]}"
+    counts = row_counts(found) if found else {}
+    rows = [(no, t, path, counts.get(t), status[t]) for no, t, path in listed]
     return spark.createDataFrame(rows, REPORT)

@@ -132,49 +132,47 @@ def sniff_separator(line: Column) -> Column:
 
 
 def file_traits(spark: SparkSession, files: str | list[str]) -> DataFrame:
-    """(path, encoding, separator, open_quotes), one row per non-empty file.
+    """(path, encoding, open_quotes), one row per non-empty file.
 
     Judged line by line, so that large files are split over tasks: the first encoding
-    of utf-8, cp1252 and latin-1 that every line allows, the separator of the first
-    line, and whether some line ends inside a quoted field.
+    of utf-8, cp1252 and latin-1 that every line allows, and whether some line ends
+    inside a quoted field.
     """
     line = F.col("value")
     whole = F.is_valid_utf8(line)
     undefined = F.hex(line.cast("binary")).rlike(f"^(?:..)*(?:{UNDEFINED_IN_CP1252})")
     quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
-    lines = spark.read.option("recursiveFileLookup", True).text(files)
     judged = (
-        lines.select(
-            _plain_path(F.col("_metadata.file_path")).alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("at"),
-            F.make_valid_utf8(line).alias("readable"),
-            whole.alias("utf8"),
-            (~whole & undefined).alias("undefined"),
-            (quotes % 2 == 1).alias("open_quote"),
-        )
-        .groupBy("path")
+        spark.read.option("recursiveFileLookup", True)
+        .text(files)
+        .groupBy(F.col("_metadata.file_path").alias("file"))
         .agg(
-            F.bool_and("utf8").alias("utf8"),
-            F.bool_or("undefined").alias("undefined"),
-            F.bool_or("open_quote").alias("open_quotes"),
-            F.min_by("readable", F.struct("block", "at")).alias("header"),
+            F.bool_and(whole).alias("utf8"),
+            F.bool_or(~whole & undefined).alias("undefined"),
+            F.bool_or(quotes % 2 == 1).alias("open_quotes"),
         )
     )
     return judged.select(
-        "path",
+        _plain_path(F.col("file")).alias("path"),
         F.when(F.col("utf8"), ENCODINGS[0])
         .when(~F.col("undefined"), ENCODINGS[1])
         .otherwise(ENCODINGS[2])
         .alias("encoding"),
-        F.when(F.lower("path").endswith(".csv"), ",")
-        .when(F.lower("path").endswith(".tsv"), "\t")
-        .otherwise(sniff_separator(F.col("header")))
-        .alias("separator"),
         "open_quotes",
     )
 
 
+def separator_of(spark: SparkSession, path: str) -> str:
+    """Comma for .csv, tab for .tsv, otherwise judged by the first line."""
+    lowered = path.lower()
+    if lowered.endswith((".csv", ".tsv")):
+        return "," if lowered.endswith(".csv") else "\t"
+    header = spark.read.text(path).select(
+        sniff_separator(F.make_valid_utf8(F.col("value"))).alias("separator")
+    )
+    return header.first()["separator"]
+
+
 @dataclass(frozen=True)
 class FileTraits:
     """How one file is to be read."""
@@ -302,12 +300,13 @@ def read_table_folder(
     spark: SparkSession, folder: str, bad_lines: str = "error", options: Options = DEFAULTS
 ) -> DataFrame:
     """One table written as many files; files of one kind are read together."""
-    kinds = file_traits(spark, folder).groupBy("encoding", "separator", "open_quotes").agg(
+    kinds = file_traits(spark, folder).groupBy("encoding", "open_quotes").agg(
         F.sort_array(F.collect_list("path")).alias("paths")
     )
     parts = []
     for row in kinds.collect():  # the listing: one path per file
-        traits = FileTraits(row["encoding"], row["separator"], row["open_quotes"])
+        separator = separator_of(spark, row["paths"][0])
+        traits = FileTraits(row["encoding"], separator, row["open_quotes"])
         parts.append(read_text_table(spark, row["paths"], traits))
     rows = union_all(parts)
     _check_bad_lines(rows, folder, bad_lines)
