@@ -39,15 +39,14 @@ def load_folder(
     A file that cannot be read is reported and skipped. Encodings and separators of
     all files are found in one job.
     """
-    manifest = file_manifest(spark, root, suffixes).select("path", "stem", "length").collect()
-    filled = [row["path"] for row in manifest if row["length"] > 0]
+    manifest = file_manifest(spark, root, suffixes).select("path", "stem").collect()
     traits = {}
-    if filled:
+    if manifest:
         traits = {
             row["path"]: FileTraits(
                 row["encoding"], separator_of(spark, row["path"]), row["open_quotes"]
             )
-            for row in file_traits(spark, filled).collect()
+            for row in file_traits(spark, [row["path"] for row in manifest]).collect()
         }
     loaded: list[tuple[str, str, DataFrame]] = []
     skipped: list[tuple[str, str]] = []
@@ -55,7 +54,7 @@ def load_folder(
         path = row["path"]
         try:
             if path not in traits:
-                raise ValueError("no columns to read from an empty file")
+                raise ValueError("no lines to read")
             loaded.append((row["stem"], path, read_delimited(spark, path, traits[path], bad_lines, options)))
         except Exception as problem:  # noqa: BLE001 - reported, the other files go on
             skipped.append((path, f"skipped: {problem}"))

@@ -55,8 +55,8 @@ def file_manifest(
 ) -> DataFrame:
     """(path, relative_path, folder, file_name, stem, suffix, length) in path order.
 
-    Only the listing is used, file contents are never read. Names that start with '_'
-    or '.' are hidden from Spark listings.
+    Only the listing is used, file contents are never read. Spark listings hide names
+    that start with '_' or '.' and files without a byte.
     """
     listed = (
         spark.read.format("binaryFile")
