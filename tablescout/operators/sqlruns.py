@@ -8,10 +8,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tablescout.functions import paths
 from tablescout.functions.text import strip
+from tablescout.operators.numbering import number_rows
 from tablescout.operators.preview import format_cells
 from tablescout.options import DEFAULTS
 
@@ -36,15 +36,21 @@ def sql_batches(scripts: DataFrame) -> DataFrame:
 def folder_breaks(files: DataFrame) -> DataFrame:
     """(path, folder, file_name, new_folder) of (path), marking where a folder begins.
 
-    The report order is case-insensitive by folder and file. Files whose folders differ
-    only in case lie next to each other, so the change is looked up among those.
+    The report order is case-insensitive by folder and file. Rows are numbered in that
+    order and meet the row before by number, so that a folder of any size is spread.
     """
     parts = files.select(
-        "path", paths.folder(F.col("path")).alias("folder"), paths.file_name(F.col("path")).alias("file_name")
+        "path",
+        paths.folder(F.col("path")).alias("folder"),
+        paths.file_name(F.col("path")).alias("file_name"),
+    )
+    keyed = parts.withColumns({"_folder": F.lower("folder"), "_file": F.lower("file_name")})
+    numbered = number_rows(keyed, ["_folder", "_file", "path"])
+    before = numbered.select((F.col("row_no") + 1).alias("row_no"), F.col("folder").alias("_before"))
+    changed = F.col("_before").isNull() | (F.col("_before") != F.col("folder"))
+    return numbered.join(before, "row_no", "left").select(
+        "path", "folder", "file_name", changed.alias("new_folder")
     )
-    order = Window.partitionBy(F.lower("folder")).orderBy(F.lower("file_name"), "path")
-    before = F.lag("folder").over(order)
-    return parts.withColumn("new_folder", before.isNull() | (before != F.col("folder")))
 
 
 def row_limit(wanted: object) -> int:

@@ -243,15 +243,22 @@ def missing_tokens_to_null(df: DataFrame) -> DataFrame:
     )
 
 
-def infer_types(df: DataFrame, options: Options = DEFAULTS) -> DataFrame:
+def infer_types(df: DataFrame, options: Options = DEFAULTS, must_be_empty: str | None = None) -> DataFrame:
     """Cast text columns whose every value is a whole number, a number or a boolean.
 
-    One scan counts the forms. Columns without a value and dates stay text.
+    One scan counts the forms. Columns without a value and dates stay text. The same
+    scan raises an error when the column named by must_be_empty, which is dropped, has
+    a value.
     """
+    if must_be_empty is not None:
+        checked = f"count({sqltext.name(must_be_empty)}) as surplus"
+    else:
+        checked = "0L as surplus"
+    names = [c for c in df.columns if c != must_be_empty]
     targets: dict[str, str] = {}
     forms = {"int": "bigint", "num": "double", "bool": "boolean"}
-    for group in chunks(list(enumerate(df.columns)), options.aggregates_per_job // 4):
-        aggregates = []
+    for group in chunks(list(enumerate(names)), options.aggregates_per_job // 4):
+        aggregates = [checked]
         for i, name in group:
             q = sqltext.name(name)
             whole = f"{q} rlike {sqltext.text(INTEGER_TEXT)} and length({q}) <= 18"
@@ -262,6 +269,8 @@ def infer_types(df: DataFrame, options: Options = DEFAULTS) -> DataFrame:
                 f"count_if({q} in ('True', 'TRUE', 'true', 'False', 'FALSE', 'false')) as bool_{i}",
             ]
         row = df.selectExpr(*aggregates).first()
+        if row["surplus"]:
+            raise ValueError(f"{row['surplus']} lines have more fields than the header")
         for i, name in group:
             present = row[f"n_{i}"]
             fitting = [kind for form, kind in forms.items() if row[f"{form}_{i}"] == present]
@@ -270,17 +279,19 @@ def infer_types(df: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     return df.select(
         *[
             strip(col(c)).try_cast(targets[c]).alias(c) if c in targets else col(c)
-            for c in df.columns
+            for c in names
         ]
     )
 
 
-def _check_bad_lines(rows: DataFrame, path: str, bad_lines: str) -> None:
-    if bad_lines == "error":
-        if not rows.where(F.col(SURPLUS).isNotNull()).isEmpty():
-            raise ValueError(f"a line of {path} has more fields than its header")
-    elif bad_lines != "skip":
+def _typed(rows: DataFrame, bad_lines: str, options: Options) -> DataFrame:
+    """Types and the rule for bad lines, from one scan."""
+    if bad_lines == "skip":
+        return infer_types(missing_tokens_to_null(skip_bad_lines(rows)), options)
+    if bad_lines != "error":
         raise ValueError(f"unknown rule for bad lines: {bad_lines}")
+    kept = [null_if_missing(col(c)).alias(c) for c in rows.columns if c != SURPLUS]
+    return infer_types(rows.select(*kept, SURPLUS), options, must_be_empty=SURPLUS)
 
 
 def read_delimited(
@@ -292,8 +303,7 @@ def read_delimited(
 ) -> DataFrame:
     """One delimited file as a typed table; bad_lines is ``error`` or ``skip``."""
     rows = read_text_table(spark, path, traits)
-    _check_bad_lines(rows, path, bad_lines)
-    return infer_types(missing_tokens_to_null(skip_bad_lines(rows)), options)
+    return _typed(rows, bad_lines, options)
 
 
 def read_table_folder(
@@ -308,9 +318,7 @@ def read_table_folder(
         separator = separator_of(spark, row["paths"][0])
         traits = FileTraits(row["encoding"], separator, row["open_quotes"])
         parts.append(read_text_table(spark, row["paths"], traits))
-    rows = union_all(parts)
-    _check_bad_lines(rows, folder, bad_lines)
-    return infer_types(missing_tokens_to_null(skip_bad_lines(rows)), options)
+    return _typed(union_all(parts), bad_lines, options)
 
 
 # ---- whole texts ---------------------------------------------------------------
