@@ -764,10 +764,11 @@ WORDS = """small as (select ['zero','one','two','three','four','five','six','sev
 
 
 def _words(n: str) -> str:
-    """Words of a whole number below a million million."""
+    """Words of a whole number below 10^15."""
     head = (
         f"array_to_string(list_filter(["
-        f"case when {n} // 1000000000 > 0 then wl[{n} // 1000000000 + 1] || ' billion' end, "
+        f"case when {n} // 1000000000000 > 0 then wl[{n} // 1000000000000 + 1] || ' trillion' end, "
+        f"case when {n} // 1000000000 % 1000 > 0 then wl[{n} // 1000000000 % 1000 + 1] || ' billion' end, "
         f"case when {n} // 1000000 % 1000 > 0 then wl[{n} // 1000000 % 1000 + 1] || ' million' end, "
         f"case when {n} // 1000 % 1000 > 0 then wl[{n} // 1000 % 1000 + 1] || ' thousand' end], "
         "lambda x: x is not null), ', ')"
