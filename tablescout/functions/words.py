@@ -136,11 +136,16 @@ def _plain_words(found: Column) -> Column:
 
 def _replace_each(text: Column, pattern: str, words: Callable[[Column], Column]) -> Column:
     """Replace every match by words(match); a match without words stays as it is."""
-    between = F.split(text, pattern, -1)
+
+    def rebuilt(found: Column) -> Column:
+        replaced = F.transform(found, lambda m: F.coalesce(words(m), m))
+        pieces = F.zip_with(
+            F.split(text, pattern, -1), replaced, lambda t, w: F.concat(t, F.coalesce(w, F.lit("")))
+        )
+        return F.when(F.size(found) == 0, text).otherwise(F.array_join(pieces, ""))
+
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    replaced = F.transform(found, lambda m: F.coalesce(words(m), m))
-    pieces = F.zip_with(between, replaced, lambda t, w: F.concat(t, F.coalesce(w, F.lit(""))))
-    return F.when(text.rlike(pattern), F.array_join(pieces, "")).otherwise(text)
+    return F.when(text.isNotNull(), bind(found, rebuilt))
 
 
 def speak_currency(text: Column) -> Column:
