@@ -85,3 +85,25 @@ select doc_id, source, case when text is null then null else array_to_string(sta
        cast(coalesce(len(lines) - len(stay), 0) as int) as n_dropped
 from whole
 """
+
+# base32 of the SHA-1: every five hex digits are four characters
+ARC_TO_WARC = """
+with paged as (
+    select page_id, coalesce(html, '') as html from pages
+), summed as (
+    select page_id, html, octet_length(encode(html)) as payload_bytes, sha1(html) as hex from paged
+), coded as (
+    select page_id, html, payload_bytes, array_to_string(list_transform(
+        list_transform(range(0, 32), lambda i: (cast('0x' || substr(hex, cast((i // 4) * 5 + 1 as int), 5) as bigint)
+            >> cast(15 - 5 * (i % 4) as int)) & 31),
+        lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(v + 1 as int), 1)), '') as payload_digest
+    from summed
+), first as (
+    select payload_digest, payload_bytes, min(page_id) as first_page
+    from coded group by payload_digest, payload_bytes
+)
+select page_id, payload_bytes, payload_digest,
+       case when page_id = first_page then 'response' else 'revisit' end as record_type,
+       case when page_id = first_page then null else first_page end as refers_to
+from coded join first using (payload_digest, payload_bytes)
+"""

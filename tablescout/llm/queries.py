@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tablescout.llm import oracles
+from tablescout.llm.archives import archived_pages
 from tablescout.llm.common import table
 from tablescout.llm.linededup import drop_boilerplate
 from tablescout.llm.mixing import mix_sources
@@ -26,10 +27,18 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through ARC archives, the converter and the WARC archives it writes."""
+    return archived_pages(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_mix_sources": op3_mix_sources,
         "op7_line_dedup": op7_line_dedup,
+        "op9_arc_to_warc": op9_arc_to_warc,
     }
 
 
@@ -37,4 +46,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_mix_sources": oracles.MIX_SOURCES,
         "op7_line_dedup": oracles.LINE_DEDUP,
+        "op9_arc_to_warc": oracles.ARC_TO_WARC,
     }
