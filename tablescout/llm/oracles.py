@@ -2,6 +2,36 @@
 
 from __future__ import annotations
 
+NGRAM_JOIN = r"""
+with recursive worded as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words
+    from documents
+), sets as (
+    select doc_id, case when len(words) = 0 then []
+        when len(words) < 3 then [array_to_string(words, ' ')]
+        else list_distinct([words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]
+                            for i in range(1, cast(len(words) - 1 as bigint))]) end as shingles
+    from worded
+), sized as (
+    select doc_id, cast(len(shingles) as bigint) as n from sets
+), tokens as (
+    select doc_id, unnest(shingles) as token from sets
+), common as (
+    select a.doc_id as a, b.doc_id as b, count(*) as shared
+    from tokens a join tokens b using (token) where a.doc_id <> b.doc_id group by 1, 2
+), links as (
+    select a, b from common join sized x on x.doc_id = a join sized y on y.doc_id = b
+    where 100 * shared >= 90 * (x.n + y.n - shared)
+), reach as (
+    select doc_id, doc_id as other from sized
+    union
+    select reach.doc_id, links.b from reach join links on links.a = reach.other
+)
+select sized.doc_id, any_value(n) as n_shingles, min(other) as component_id
+from sized join reach using (doc_id) group by sized.doc_id
+"""
+
 MIX_SOURCES = r"""
 with sized as (
     select doc_id, source,

@@ -11,6 +11,12 @@ from tablescout.llm.archives import archived_pages
 from tablescout.llm.common import table
 from tablescout.llm.linededup import drop_boilerplate
 from tablescout.llm.mixing import mix_sources
+from tablescout.llm.ngramjoin import ngram_jaccard_join
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents that share 90 % of their distinct 3-word shingles."""
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +42,7 @@ def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op3_mix_sources": op3_mix_sources,
         "op7_line_dedup": op7_line_dedup,
         "op9_arc_to_warc": op9_arc_to_warc,
@@ -44,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_ngram_join": oracles.NGRAM_JOIN,
         "op3_mix_sources": oracles.MIX_SOURCES,
         "op7_line_dedup": oracles.LINE_DEDUP,
         "op9_arc_to_warc": oracles.ARC_TO_WARC,
