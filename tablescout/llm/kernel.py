@@ -14,6 +14,9 @@ LONG_WORD = 64
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+# every ASCII byte that is neither a letter nor a digit
+MARK = np.ones(256, bool)
+MARK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -75,14 +78,16 @@ def row_slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[i
         low = high
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
-    """Split every text at the six white-space bytes; words never span two texts."""
+def words_of(
+    data: np.ndarray, offsets: np.ndarray, lower: bool = True, gaps: np.ndarray = SPACE
+) -> Words:
+    """Split every text at the gap bytes; words never span two texts."""
     if lower:
         data = LOWER[data]
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(data, none, none, np.zeros(len(offsets), np.int64), offsets)
-    inside = ~SPACE[data]
+    inside = ~gaps[data]
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < len(data)]
@@ -184,3 +189,11 @@ def texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
     data, offsets = flat(column)
     for low, high in row_slices(offsets):
         yield low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+
+
+def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of some ranges one after the other, and the range that each is from."""
+    many = ends - starts
+    owner = np.repeat(np.arange(len(starts)), many)
+    shift = np.concatenate([[0], np.cumsum(many)])[:-1]
+    return np.arange(many.sum()) - np.repeat(shift - starts, many), owner

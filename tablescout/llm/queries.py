@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tablescout.llm import oracles
 from tablescout.llm.archives import archived_pages
 from tablescout.llm.common import table
+from tablescout.llm.decontaminate import find_leaks
 from tablescout.llm.linededup import drop_boilerplate
 from tablescout.llm.mixing import mix_sources
 from tablescout.llm.ngramjoin import ngram_jaccard_join
+from tablescout.llm.tokencounts import count_tokens
+
+# vocabularies of public tokenizers
+TOKENIZERS = "/opt/tokenizers"
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +31,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, in all and line by line."""
+    return count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the boilerplate lines of its source."""
     return drop_boilerplate(table(spark, sf_dir, "documents")).select(
@@ -40,12 +50,19 @@ def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that contain a benchmark item, with the item."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
         "op3_mix_sources": op3_mix_sources,
+        "op4_token_counts": op4_token_counts,
         "op7_line_dedup": op7_line_dedup,
         "op9_arc_to_warc": op9_arc_to_warc,
+        "op10_benchmark_leaks": op10_benchmark_leaks,
     }
 
 
