@@ -39,7 +39,7 @@ ROWS_OUT = 2_000
 # White space longer than this is encoded in parts: the splitting pattern always ends a
 # piece before the last white-space character of a run, so the tokens stay the same.
 LONG_GAP = 10_000
-GAP = re.compile(r"\s{%d,}(?=\s\S)" % LONG_GAP)
+GAP = re.compile(r"[ \t-\r]{%d,}" % LONG_GAP)
 # fixed value: how the vocabulary's tokenizer splits a text before merging
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
@@ -75,7 +75,8 @@ def layout(fields: Sequence[str | None], by_line: bool) -> tuple[str, np.ndarray
 
 def token_spans(text: str, encoder, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last character of every token of a text."""
-    cuts = [0, *(m.end() for m in GAP.finditer(text)), len(text)]
+    gaps = (m.end() for m in GAP.finditer(text))
+    cuts = [0, *(e - 1 for e in gaps if e < len(text) and not text[e].isspace()), len(text)]
     parts = [encoder.encode_to_numpy(text[a:b], disallowed_special=()) for a, b in zip(cuts, cuts[1:], strict=False)]
     tokens = np.concatenate(parts).astype(np.int64)
     ends = np.cumsum(lengths[tokens])
