@@ -2,8 +2,8 @@
 
 1. Every document becomes the set of its distinct n-gram hashes (64 bits). Documents with
    equal sets (by a 128-bit digest) are one class, which its smallest id represents.
-2. Representatives are partitioned into groups of similar sets: by their min-hash, and
-   within a min-hash into parts of about `group_tokens` tokens, however many share it.
+2. Representatives are partitioned into groups of similar sets: by three min-hashes, and
+   where these agree into parts of about `group_tokens` tokens, however many agree.
 3. Two sets with similarity t or more share a token among the first n - ceil(t n) + 1 of
    each in any common order. Groups store the union of their members' first tokens; token
    by token, groups that share one and fit by size become candidates. The order puts rare
@@ -34,6 +34,8 @@ CHUNKS = 64  # the count table travels in so many parts
 GROUP_TOKENS = 32_768
 DOC_TOKENS = 128
 PAIRS_AT_ONCE = 1 << 20
+COLUMNS = 512
+FULL = 255  # a count that may be larger; such a row is always opened
 
 PROFILE = (
     "id long, n long, d1 long, d2 long, least long, chunk int, counts binary"
@@ -60,6 +62,21 @@ def _digests(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return one.view(np.int64), two.view(np.int64)
 
 
+def _min_hashes(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Three min-hashes of every set in one value: equal for sets that agree in all three."""
+    out = np.zeros(len(offsets) - 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for seed in (kernel.MIX2, kernel.STEP, kernel.MIX1):
+            out = kernel.mix(out * kernel.STEP + kernel.least(kernel.mix(tokens ^ seed), offsets))
+    return out.view(np.int64)
+
+
+def _columns(tokens: np.ndarray) -> bytes:
+    """How many tokens of a set fall into each column of the matrix."""
+    at = (kernel.mix(tokens) & np.uint64(COLUMNS - 1)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=COLUMNS), FULL).astype(np.uint8).tobytes()
+
+
 def _cells(tokens: np.ndarray, bits: int) -> np.ndarray:
     return (tokens >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -74,7 +91,7 @@ def _profiles(size: int, bits: int):
             ids = batch.column(0)
             for low, high, tokens, offsets in _sets(batch.column(1), size):
                 one, two = _digests(tokens, offsets)
-                least = kernel.least(kernel.mix(tokens ^ kernel.MIX2), offsets).view(np.int64)
+                least = _min_hashes(tokens, offsets)
                 np.add.at(counts, _cells(tokens, bits), 1)
                 rows = high - low
                 yield pa.RecordBatch.from_arrays(
@@ -136,7 +153,7 @@ def _classes(profiles: DataFrame, bits: int) -> np.ndarray:
 
 
 def _prefixes(size: int, bits: int, percent: int, shared):
-    """(id, d1, first tokens in the common order) of every document with a word."""
+    """(id, d1, first tokens in the common order, matrix row) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.frombuffer(shared.value, np.uint8)
@@ -145,7 +162,7 @@ def _prefixes(size: int, bits: int, percent: int, shared):
             for low, high, tokens, offsets in _sets(batch.column(1), size):
                 one, _ = _digests(tokens, offsets)
                 kind = classes[_cells(tokens, bits)]
-                parts, ends = [], [0]
+                parts, ends, rows = [], [0], []
                 for i in range(high - low):
                     mine = tokens[offsets[i] : offsets[i + 1]]
                     first = len(mine) - _needed(len(mine), percent) + 1 if len(mine) else 0
@@ -153,20 +170,25 @@ def _prefixes(size: int, bits: int, percent: int, shared):
                     order = np.argsort(kind[offsets[i] : offsets[i + 1]], kind="stable")[:first]
                     parts.append(mine[order])
                     ends.append(ends[-1] + len(order))
+                    rows.append(_columns(mine))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(low, high - low),
                         pa.array(one),
                         kernel.lists(np.concatenate(parts), np.array(ends)),
+                        pa.array(rows, pa.binary()),
                     ],
-                    ["id", "d1", "tokens"],
+                    ["id", "d1", "tokens", "row"],
                 )
 
     return run
 
 
 def _candidates(percent: int):
-    """Pairs of groups that share a first token and fit by size; rows are (token, gid, low, high)."""
+    """Pairs of groups, or a group with itself, that share a first token and fit by size.
+
+    Rows are (token, group, smallest size, largest size, documents).
+    """
 
     def flush(pairs: list[np.ndarray]) -> pa.RecordBatch:
         both = np.unique(np.concatenate(pairs), axis=0)
@@ -177,11 +199,12 @@ def _candidates(percent: int):
         if not sum(b.num_rows for b in held_batches):
             return
         table = pa.Table.from_batches(held_batches)
-        token, gid, low, high = (table.column(i).to_numpy() for i in range(4))
+        token, gid, low, high, docs = (table.column(i).to_numpy() for i in range(5))
         order = np.lexsort((low, token))
         token, gid, low, high = token[order], gid[order], low[order], high[order]
+        own = gid[docs[order] > 1]
+        pairs, held = [np.stack([own, own], axis=1)], len(own)
         edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-        pairs, held = [], 0
         for k in np.flatnonzero(np.diff(edges) > 1):
             a, b = edges[k], edges[k + 1]
             for i in range(a, b - 1):  # groups by their smallest size: one window per group
@@ -189,18 +212,56 @@ def _candidates(percent: int):
                 near = np.arange(i + 1, last)
                 near = near[high[near] * 100 >= low[i] * percent]
                 if len(near):
-                    g = np.stack([np.minimum(gid[i], gid[near]), np.maximum(gid[i], gid[near])], axis=1)
-                    pairs.append(g[g[:, 0] != g[:, 1]])
+                    pairs.append(np.stack([np.minimum(gid[i], gid[near]), np.maximum(gid[i], gid[near])], axis=1))
                     held += len(near)
                 if held >= PAIRS_AT_ONCE:
                     yield flush(pairs)
                     pairs, held = [], 0
-        if pairs:
+        if held:
             yield flush(pairs)
 
     return run
 
 
+def _may_link(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray], percent: int, same: bool) -> bool:
+    """Whether any two members of two groups may link, by sizes and matrix rows."""
+    sizes, rows = two
+    for i, (n, row) in enumerate(zip(*one, strict=True)):
+        fits = (np.minimum(sizes, n) * 100 >= np.maximum(sizes, n) * percent)
+        if same:
+            fits[: i + 1] = False
+        at = np.flatnonzero(fits)
+        if not len(at):
+            continue
+        most = np.minimum(rows[at], row).sum(axis=1, dtype=np.int64)
+        reach = 100 * most >= percent * (sizes[at] + n - most)
+        if (reach | (rows[at] == FULL).any(axis=1)).any():
+            return True
+    return False
+
+
+def _open(percent: int):
+    """Of candidate pairs (g1, g2, members, members), those whose bound is reached."""
+
+    def matrix(members: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        rows = members.values
+        data = b"".join(rows.field("row").to_pylist())
+        return rows.field("n").to_numpy(zero_copy_only=False), np.frombuffer(data, np.uint8).reshape(-1, COLUMNS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g1, g2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            keep = [
+                _may_link(matrix(batch.column(2)[i]), matrix(batch.column(3)[i]), percent, g1[i] == g2[i])
+                for i in range(batch.num_rows)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["g1", "g2"]).filter(
+                pa.array(keep, pa.bool_())
+            )
+
+    return run
+
+
 def _members(size: int):
     """(gid, id, set) of the documents that take part in a candidate group."""
 
@@ -281,17 +342,17 @@ def _arrays(members: pa.Scalar) -> tuple[np.ndarray, list[np.ndarray]]:
     return ids, [flat[ends[i] : ends[i + 1]] for i in range(len(ids))]
 
 
-def _verify(percent: int, inner: bool):
-    """Spanning links (u, v) of groups, or of pairs of groups."""
+def _verify(percent: int):
+    """Spanning links (u, v) of opened pairs (g1, g2, members, members)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = [], []
-            for i in range(batch.num_rows):
-                ids, one = _arrays(batch.column(0)[i])
+            for g1, g2, first, second in zip(*batch.columns, strict=True):
+                ids, one = _arrays(first)
                 two = None
-                if not inner:
-                    more, two = _arrays(batch.column(1)[i])
+                if g1 != g2:
+                    more, two = _arrays(second)
                     ids = np.concatenate([ids, more])
                 for a, b in links_between(one, two, percent):
                     u.append(ids[a])
@@ -301,6 +362,13 @@ def _verify(percent: int, inner: bool):
     return run
 
 
+def _with_members(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(g1, g2, members of g1, members of g2)."""
+    one = members.select(F.col("gid").alias("g1"), F.col("members").alias("one"))
+    two = members.select(F.col("gid").alias("g2"), F.col("members").alias("two"))
+    return pairs.join(one, "g1").join(two, "g2").select("g1", "g2", "one", "two")
+
+
 def ngram_jaccard_join(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -321,7 +389,7 @@ def ngram_jaccard_join(
     check_columns(docs, [id_col, text_col])
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    bits = min(26, max(20, math.ceil(math.log2(docs.count() + 1)) + 2))
+    bits = min(24, max(20, math.ceil(math.log2(docs.count() + 1)) + 4))
     profiles = kept(rows.mapInArrow(_profiles(size, bits), PROFILE), "ngram-profiles")
     shared = spark.sparkContext.broadcast(_classes(profiles, bits).tobytes())
 
@@ -341,38 +409,37 @@ def ngram_jaccard_join(
 
     # groups that share a first token
     first = rows.filter("id is not null").mapInArrow(
-        _prefixes(size, bits, percent, shared), "id long, d1 long, tokens array<long>"
+        _prefixes(size, bits, percent, shared), "id long, d1 long, tokens array<long>, row binary"
     )
     first = first.join(reps.select(F.col("rep").alias("id"), "d1", "gid", "n"), ["id", "d1"])
+    first = kept(first, "ngram-first")
     unions = (
         first.select("gid", "n", F.explode("tokens").alias("token"))
         .groupBy("token", "gid")
-        .agg(F.min("n").alias("low"), F.max("n").alias("high"))
+        .agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("docs"))
     )
     pairs = unions.repartition("token").mapInArrow(_candidates(percent), "g1 long, g2 long")
     pairs = kept(pairs.distinct(), "ngram-pairs")
 
-    # the sets of the groups that take part
-    alone = reps.groupBy("gid").agg(F.count(F.lit(1)).alias("docs"))
-    wanted = pairs.select(F.explode(F.array("g1", "g2")).alias("gid")).unionByName(
-        alone.filter("docs > 1").select("gid")
-    )
-    chosen = reps.join(wanted.distinct(), "gid").select(F.col("rep").alias("id"), "d1", "gid")
-    chosen = kept(chosen, "ngram-chosen")
+    # the bound, on matrix rows
+    repeated = members.groupBy("id", "d1").count().filter("count > 1 and id is not null").limit(1).count()
+    taking_part = pairs.select(F.explode(F.array("g1", "g2")).alias("gid")).distinct()
+    bounds = first.join(taking_part, "gid").select("gid", "id", "n", "row")
+    if repeated:  # rows repeat with id and text
+        bounds = bounds.dropDuplicates(["id", "gid"])
+    bounds = bounds.groupBy("gid").agg(F.collect_list(F.struct("n", "row")).alias("members"))
+    opened = _with_members(pairs, bounds).mapInArrow(_open(percent), "g1 long, g2 long")
+    opened = kept(opened, "ngram-opened")
+
+    # the sets of the groups that are opened
+    wanted = opened.select(F.explode(F.array("g1", "g2")).alias("gid")).distinct()
+    chosen = kept(reps.join(wanted, "gid").select(F.col("rep").alias("id"), "d1", "gid"), "ngram-chosen")
     texts = rows.join(broadcast_if_small(chosen, chosen.count()), "id").select("id", "text", "d1", "gid")
     sets = texts.mapInArrow(_members(size), "gid long, id long, tokens array<long>")
-    if members.groupBy("id", "d1").count().filter("count > 1 and id is not null").limit(1).count():
-        sets = sets.dropDuplicates(["id", "gid"])  # rows repeat with id and text
+    if repeated:
+        sets = sets.dropDuplicates(["id", "gid"])
     groups = sets.groupBy("gid").agg(F.collect_list(F.struct("id", "tokens")).alias("members"))
-    within = groups.filter("size(members) > 1").select("members")
-    across = (
-        pairs.join(groups.select(F.col("gid").alias("g1"), F.col("members").alias("one")), "g1")
-        .join(groups.select(F.col("gid").alias("g2"), F.col("members").alias("two")), "g2")
-        .select("one", "two")
-    )
-    edges = within.mapInArrow(_verify(percent, True), "u long, v long").unionByName(
-        across.mapInArrow(_verify(percent, False), "u long, v long")
-    )
+    edges = _with_members(opened, groups).mapInArrow(_verify(percent), "u long, v long")
     joined = components(edges)
 
     labels = reps.join(joined, F.col("rep") == F.col("node"), "left").select(
