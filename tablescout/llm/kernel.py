@@ -191,6 +191,59 @@ def texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         yield low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
 
 
+def pack_counts(counts: np.ndarray, chunks: int) -> pa.RecordBatch:
+    """A count table (unsigned, 32 bits) in compressed chunks: rows (chunk, counts)."""
+    parts = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in np.split(counts, chunks)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(range(chunks), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "counts"]
+    )
+
+
+def add_counts(width: int):
+    """Sums the chunks that a task meets; `width` counts are in one chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = pa.decompress(packed.as_buffer(), width * 4, "zstd")
+                add = np.frombuffer(raw, np.uint32).astype(np.uint64)
+                total[chunk] = total[chunk] + add if chunk in total else add
+        for chunk, table in total.items():
+            packed = pa.compress(np.minimum(table, 0xFFFFFFFF).astype(np.uint32).tobytes(), "zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk], pa.int32()), pa.array([packed], pa.binary())], ["chunk", "counts"]
+            )
+
+    return run
+
+
+def total_counts(parts, length: int, chunks: int) -> np.ndarray:
+    """The sum of count tables (a DataFrame of chunk, counts): first per task, then per chunk."""
+    width, schema = length // chunks, "chunk int, counts binary"
+    summed = parts.mapInArrow(add_counts(width), schema).repartition(chunks, "chunk")
+    out = np.zeros(length, np.uint32)
+    for row in summed.mapInArrow(add_counts(width), schema).collect():  # one row per chunk
+        raw = pa.decompress(bytes(row["counts"]), width * 4, "zstd")
+        out[row["chunk"] * width : (row["chunk"] + 1) * width] = np.frombuffer(raw, np.uint32)
+    return out
+
+
+def platt(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """a, b of 1 / (1 + exp(-(a x + b))) by Newton steps on the weighted log loss."""
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
+        g, h = weight * (p - label), weight * p * (1 - p) + 1e-12
+        grad = np.array([(g * margin).sum() + 1e-3 * (a - 1), g.sum() + 1e-3 * b])
+        mixed = (h * margin).sum()
+        step = np.linalg.solve([[(h * margin**2).sum() + 1e-3, mixed], [mixed, h.sum() + 1e-3]], grad)
+        a, b = a - np.clip(step[0], -5, 5), b - np.clip(step[1], -5, 5)
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(a), float(b)
+
+
 def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All positions of some ranges one after the other, and the range that each is from."""
     many = ends - starts

@@ -107,49 +107,18 @@ def _profiles(size: int, bits: int):
                     names,
                 )
         if counts.any():
-            parts = [pa.compress(x.tobytes(), "zstd", asbytes=True) for x in np.split(counts, CHUNKS)]
-            none = pa.nulls(CHUNKS, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [none, none, none, none, none, pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())],
-                names,
-            )
-
-    return run
-
-
-def _add_counts(width: int):
-    """Sums the count tables of a task, or of a chunk, part by part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = pa.decompress(packed.as_buffer(), width * 4, "zstd")
-                add = np.frombuffer(raw, np.uint32)
-                total[chunk] = total.get(chunk, 0) + add.astype(np.uint64)
-        for chunk, table in total.items():
-            least = np.minimum(table, 0xFFFFFFFF).astype(np.uint32)
-            packed = pa.compress(least.tobytes(), "zstd", asbytes=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk], pa.int32()), pa.array([packed], pa.binary())], ["chunk", "counts"]
-            )
+            packed, none = kernel.pack_counts(counts, CHUNKS), pa.nulls(CHUNKS, pa.int64())
+            yield pa.RecordBatch.from_arrays([none] * 5 + packed.columns, names)
 
     return run
 
 
 def _classes(profiles: DataFrame, bits: int) -> np.ndarray:
     """One byte per cell: the order of magnitude of its count over all documents."""
-    width = (1 << bits) // CHUNKS
-    schema = "chunk int, counts binary"
     parts = profiles.filter("chunk is not null").select("chunk", "counts")
-    parts = parts.mapInArrow(_add_counts(width), schema).repartition(CHUNKS, "chunk")
-    classes = np.zeros(1 << bits, np.uint8)
-    for row in parts.mapInArrow(_add_counts(width), schema).collect():  # CHUNKS rows
-        table = np.frombuffer(pa.decompress(bytes(row["counts"]), width * 4, "zstd"), np.uint32)
-        # half steps of the logarithm; 0 and 1 are alike
-        steps = np.round(2 * np.log2(np.maximum(table, 1))).astype(np.uint8)
-        classes[row["chunk"] * width : (row["chunk"] + 1) * width] = steps
-    return classes
+    counts = kernel.total_counts(parts, 1 << bits, CHUNKS)
+    # half steps of the logarithm; 0 and 1 are alike
+    return np.round(2 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
 
 
 def _prefixes(size: int, bits: int, percent: int, shared):

@@ -10,6 +10,7 @@ from tablescout.llm import oracles
 from tablescout.llm.archives import archived_pages
 from tablescout.llm.common import table
 from tablescout.llm.decontaminate import find_leaks
+from tablescout.llm.imatch import fingerprint_edits
 from tablescout.llm.linededup import drop_boilerplate
 from tablescout.llm.mixing import mix_sources
 from tablescout.llm.ngramjoin import ngram_jaccard_join
@@ -43,6 +44,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through ARC archives, the converter and the WARC archives it writes."""
     return archived_pages(table(spark, sf_dir, "pages")).select(
@@ -61,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mix_sources": op3_mix_sources,
         "op4_token_counts": op4_token_counts,
         "op7_line_dedup": op7_line_dedup,
+        "op8_imatch": op8_imatch,
         "op9_arc_to_warc": op9_arc_to_warc,
         "op10_benchmark_leaks": op10_benchmark_leaks,
     }
