@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.llm import kernel
-from tablescout.llm.common import check_columns, fold, kept, text_of
+from tablescout.llm.common import broadcast_if_small, check_columns, fold, kept, text_of
 
 BITS = 18
 SIZE = 1 << BITS
@@ -151,7 +151,6 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
     Without rows of both classes all texts get the score 0.5 (none) or near the class seen.
     """
-    spark = labelled.sparkSession
     sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     if len(sizes) < 2:
         side = {0: -3.0, 1: 3.0}.get(next(iter(sizes), -1), 0.0)
@@ -181,7 +180,6 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     margin = model.margins(np.concatenate(test) if test else np.zeros(0, np.int32), ends)
     if len(set(label[held])) == 2:
         model.a, model.b = kernel.platt(margin, label[held], weight[held] / weight[held].mean())
-    del spark
     return model
 
 
@@ -224,6 +222,7 @@ def quality_scores(
     learn = learn.filter(F.col("label").isin(0, 1) & (fold("id", folds) != held_fold))
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     # labels are narrow: they travel to the texts while they are few
+    learn = broadcast_if_small(learn, learn.count())
     labelled = kept(texts.join(learn, "id").select("id", "text", "label"), "quality-labelled")
     shared = docs.sparkSession.sparkContext.broadcast(fit(labelled, sample_rows))
     rows = docs.select(

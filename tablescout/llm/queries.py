@@ -14,6 +14,7 @@ from tablescout.llm.imatch import fingerprint_edits
 from tablescout.llm.linededup import drop_boilerplate
 from tablescout.llm.mixing import mix_sources
 from tablescout.llm.ngramjoin import ngram_jaccard_join
+from tablescout.llm.quality import quality_scores
 from tablescout.llm.tokencounts import count_tokens
 
 # vocabularies of public tokenizers
@@ -25,6 +26,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; every fourth of the labels is held out."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents: sources weigh 1, 2, 3 in turn and share all words."""
     return mix_sources(table(spark, sf_dir, "documents")).select(
@@ -64,6 +70,7 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op2_quality": op2_quality,
         "op3_mix_sources": op3_mix_sources,
         "op4_token_counts": op4_token_counts,
         "op7_line_dedup": op7_line_dedup,
