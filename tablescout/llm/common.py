@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterable
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +68,12 @@ def check_columns(df: DataFrame, wanted: Iterable[str]) -> None:
 def broadcast_if_small(df: DataFrame, rows: int, most: int = 1_000_000) -> DataFrame:
     """A broadcast hint where the counted rows stay under the bound, else df as it is."""
     return F.broadcast(df) if rows <= most else df
+
+
+def ship(spark: SparkSession, thing: object) -> Broadcast:
+    """Broadcast an object together with its classes, which the executors need not have."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+
+def arrived(shared: Broadcast) -> object:
+    return pickle.loads(shared.value)

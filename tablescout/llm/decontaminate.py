@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.llm import kernel
-from tablescout.llm.common import check_columns, kept, text_of
+from tablescout.llm.common import arrived, check_columns, kept, ship, text_of
 
 SEGMENT = 48
 STEP = 64
@@ -214,7 +214,7 @@ def share_found(grams: np.ndarray, there: np.ndarray) -> float:
 
 def _search_batches(shared, share: float, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
+        index: Index = arrived(shared)
         for batch in batches:
             rows = []
             for low, _, w, hashes in _hashed(batch.column(1)):
@@ -284,7 +284,7 @@ def find_leaks(
         terms = block.select(F.explode("segments.terms").alias("terms")).select(F.explode("terms").alias("term"))
         df = dict(counted.join(terms.distinct(), "term", "left_semi").select("term", "df").collect())
         index = build_index(block.collect(), df, segments, words / max(1, segments), share)
-        hits = rows.mapInArrow(_search_batches(spark.sparkContext.broadcast(index), share, overlap), FOUND)
+        hits = rows.mapInArrow(_search_batches(ship(spark, index), share, overlap), FOUND)
         out = hits if out is None else out.unionByName(hits)
     return out.select(
         F.col("doc").alias(id_col), F.col("item").alias(item_col), "score", "overlap", "answer_overlap"

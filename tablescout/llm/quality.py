@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.llm import kernel
-from tablescout.llm.common import broadcast_if_small, check_columns, fold, kept, text_of
+from tablescout.llm.common import arrived, broadcast_if_small, check_columns, fold, kept, ship, text_of
 
 BITS = 18
 SIZE = 1 << BITS
@@ -185,7 +185,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
+        model: Model = arrived(shared)
         for batch in batches:
             parts = [np.zeros(0)]
             for _, _, data, offsets in kernel.texts(batch.column(batch.num_columns - 1)):
@@ -224,7 +224,7 @@ def quality_scores(
     # labels are narrow: they travel to the texts while they are few
     learn = broadcast_if_small(learn, learn.count())
     labelled = kept(texts.join(learn, "id").select("id", "text", "label"), "quality-labelled")
-    shared = docs.sparkSession.sparkContext.broadcast(fit(labelled, sample_rows))
+    shared = ship(docs.sparkSession, fit(labelled, sample_rows))
     rows = docs.select(
         *[F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(keep)],
         F.col(id_col).alias("id"),

@@ -11,6 +11,7 @@ from tablescout.llm.archives import archived_pages
 from tablescout.llm.common import table
 from tablescout.llm.decontaminate import find_leaks
 from tablescout.llm.imatch import fingerprint_edits
+from tablescout.llm.langid import predict_language
 from tablescout.llm.linededup import drop_boilerplate
 from tablescout.llm.mixing import mix_sources
 from tablescout.llm.ngramjoin import ngram_jaccard_join
@@ -43,6 +44,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; every third of the labels is held out."""
+    return predict_language(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the boilerplate lines of its source."""
     return drop_boilerplate(table(spark, sf_dir, "documents")).select(
@@ -73,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": op2_quality,
         "op3_mix_sources": op3_mix_sources,
         "op4_token_counts": op4_token_counts,
+        "op5_language": op5_language,
         "op7_line_dedup": op7_line_dedup,
         "op8_imatch": op8_imatch,
         "op9_arc_to_warc": op9_arc_to_warc,
