@@ -1,30 +1,67 @@
-"""The corpus pipeline: documents through the stages in order, each over all that is left."""
+"""The corpus pipeline: documents through five stages, each over all its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablescout.llm.common import kept, table
+from tablescout.llm.common import broadcast_if_small, kept, table
+from tablescout.llm.decontaminate import find_leaks
 from tablescout.llm.linededup import drop_boilerplate
 from tablescout.llm.mixing import mix_sources
+from tablescout.llm.ngramjoin import ngram_jaccard_join
+from tablescout.llm.quality import quality_scores
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts as good; the others go."""
+    scored = quality_scores(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
+    return scored.filter("predicted = 1").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of a source go; n_chars follows the text."""
-    columns = docs.columns
     cleaned = drop_boilerplate(docs)
-    return cleaned.selectExpr(
-        *[c if c != "n_chars" else "cast(char_length(text) as bigint) as n_chars" for c in columns]
-    )
+    length = F.char_length("text").cast("long")
+    return cleaned.withColumn("n_chars", length).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that share 80 % of their five-word shingles the smallest id stays.
+
+    Rows without an id stay; of rows that repeat an id that stays, all do.
+    """
+    joined = ngram_jaccard_join(docs, size=5, percent=80)
+    gone = joined.filter("component_id <> doc_id").select("doc_id").distinct()
+    return _without(docs, gone, "near-gone")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, leaks.select("doc_id").distinct(), "leaks")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of every document so that the sources meet their target weights."""
+    """How many copies of every document the mix takes."""
     return mix_sources(docs)
 
 
-STAGES = [("line dedup", line_dedup), ("mixing sources to target weights", mixing)]
+def _without(docs: DataFrame, gone: DataFrame, label: str) -> DataFrame:
+    """docs without the ids in gone, which are narrow and broadcast while they are few."""
+    gone = kept(gone, label)
+    return docs.join(broadcast_if_small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("mixing sources to target weights", mixing),
+]
 
+# the classifier and the ranked retrieval are not SQL; tests/llm has the brute-force version
 ORACLE_SQL = None
 
 

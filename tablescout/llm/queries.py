@@ -17,6 +17,7 @@ from tablescout.llm.mixing import mix_sources
 from tablescout.llm.ngramjoin import ngram_jaccard_join
 from tablescout.llm.quality import quality_scores
 from tablescout.llm.tokencounts import count_tokens
+from tablescout.llm.toxicity import toxicity_scores
 
 # vocabularies of public tokenizers
 TOKENIZERS = "/opt/tokenizers"
@@ -49,6 +50,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents; every third of the labels is held out."""
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the boilerplate lines of its source."""
     return drop_boilerplate(table(spark, sf_dir, "documents")).select(
@@ -80,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mix_sources": op3_mix_sources,
         "op4_token_counts": op4_token_counts,
         "op5_language": op5_language,
+        "op6_toxicity": op6_toxicity,
         "op7_line_dedup": op7_line_dedup,
         "op8_imatch": op8_imatch,
         "op9_arc_to_warc": op9_arc_to_warc,
