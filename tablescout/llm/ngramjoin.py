@@ -368,12 +368,14 @@ def ngram_jaccard_join(
         .groupBy("d1", "d2")
         .agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("least").alias("least"))
     )
-    # a document weighs some tokens itself, which bounds the rows of a group's matrix
+    classes = kept(classes, "ngram-classes")
+    # a document weighs some tokens itself, which bounds the rows of a group's matrix;
+    # only min-hashes with more than one part are joined, at most total / group_tokens
     heavy = classes.groupBy("least").agg(F.sum(F.col("n") + DOC_TOKENS).alias("tokens"))
-    parts = F.ceil(F.col("tokens") / group_tokens)
-    reps = classes.join(heavy, "least").select(
-        "rep", "n", "d1", "d2", F.xxhash64("least", F.pmod(F.xxhash64("d1"), parts)).alias("gid")
-    )
+    heavy = heavy.filter(F.col("tokens") > group_tokens)
+    heavy = kept(heavy.withColumn("parts", F.ceil(F.col("tokens") / group_tokens)), "ngram-heavy")
+    part = F.pmod(F.xxhash64("d1"), F.coalesce("parts", F.lit(1)))
+    reps = classes.join(heavy, "least", "left").select("rep", "n", "d1", "d2", F.xxhash64("least", part).alias("gid"))
     reps = kept(reps, "ngram-reps")
 
     # groups that share a first token
