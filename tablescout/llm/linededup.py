@@ -37,7 +37,7 @@ def boilerplate_lines(
     docs: DataFrame, text_col: str, host_col: str, ratio: float, min_pages: int
 ) -> DataFrame:
     """One row per host with boilerplate: host, bad (its line keys)."""
-    pages = docs.select(F.col(host_col).cast("string").alias("host"), text_of(text_col).alias("text"))
+    pages = docs.select(F.col(f"`{host_col}`").cast("string").alias("host"), text_of(text_col).alias("text"))
     keys = F.array_distinct(F.transform(F.split("text", "\n"), line_key))
     lines = pages.select("host", F.explode(keys).alias("key")).filter("key is not null")
     counted = lines.groupBy("host", "key").agg(F.count(F.lit(1)).alias("pages"))
@@ -68,20 +68,24 @@ def drop_boilerplate(
     check_columns(docs, [text_col, host_col])
     docs = docs.drop("n_lines", "n_dropped")
     bad = kept(boilerplate_lines(docs, text_col, host_col, ratio, min_pages), "boilerplate")
-    bad = bad.select(F.col("host").alias("_host"), F.col("bad").alias("_bad"))
-    lines = F.split(F.col(f"`{text_col}`").cast("string"), "\n")
-    joined = docs.withColumn("_lines", lines).join(
-        bad, F.col(f"`{host_col}`").cast("string").eqNullSafe(F.col("_host")), "left"
+    # the input row travels as one column, so that its names meet no others
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.split(F.col(f"`{text_col}`").cast("string"), "\n").alias("lines"),
+        F.col(f"`{host_col}`").cast("string").alias("of"),
     )
+    joined = packed.join(bad, F.col("of").eqNullSafe(F.col("host")), "left")
     fine = F.filter(
-        "_lines", lambda x: ~F.coalesce(F.array_contains(F.col("_bad"), line_key(x)), F.lit(False))
+        "lines", lambda x: ~F.coalesce(F.array_contains(F.col("bad"), line_key(x)), F.lit(False))
     )
-    some = F.exists("_fine", lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    cleaned = joined.withColumn("_fine", F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(fine))
-    cleaned = cleaned.withColumn("_fine", F.when(some, F.col("_fine")).otherwise(F.col("_lines")))
-    return (
-        cleaned.withColumn(text_col, F.array_join("_fine", "\n"))
-        .withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)))
-        .withColumn("n_dropped", F.coalesce(F.size("_lines") - F.size("_fine"), F.lit(0)))
-        .select(*docs.columns, "n_lines", "n_dropped")
+    some = F.exists("fine", lambda x: F.btrim(x, F.lit(BLANKS)) != "")
+    cleaned = joined.withColumn("fine", F.when(F.col("bad").isNull(), F.col("lines")).otherwise(fine))
+    cleaned = cleaned.withColumn("fine", F.when(some, F.col("fine")).otherwise(F.col("lines")))
+    return cleaned.select(
+        *[
+            (F.array_join("fine", "\n") if c == text_col else F.col("row").getField(c)).alias(c)
+            for c in docs.columns
+        ],
+        F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"),
+        F.coalesce(F.size("lines") - F.size("fine"), F.lit(0)).alias("n_dropped"),
     )

@@ -138,12 +138,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(features, label) of every text."""
+    """(id, features, label) of every text."""
     for batch in batches:
-        for low, high, data, offsets in kernel.texts(batch.column(0)):
+        for low, high, data, offsets in kernel.texts(batch.column(1)):
             found, ends = features(data, offsets)
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found))
-            yield pa.RecordBatch.from_arrays([lists, batch.column(1).slice(low, high - low)], ["features", "label"])
+            ids, labels = batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low)
+            yield pa.RecordBatch.from_arrays([ids, lists, labels], ["id", "features", "label"])
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -163,8 +164,10 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     ratio[both[:SIZE].astype(np.int64) + both[SIZE:] < 3] = 0.0  # features of one or two rows say little
     spread = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
     share = F.when(F.col("label") == 1, sample_rows / sizes[1]).otherwise(sample_rows / sizes[0])
-    sample = labelled.filter(spread < share).select("text", "label")
-    got = sample.mapInArrow(_rows, "features array<int>, label int").collect()
+    sample = labelled.filter(spread < share).select(F.col("id").cast("string"), "text", "label")
+    got = sample.mapInArrow(_rows, "id string, features array<int>, label int").collect()
+    # the same model for any order of rows
+    got.sort(key=lambda r: (r["id"] or "", r["label"], r["features"]))
     rows = [np.array(r["features"], np.int32) for r in got]
     label = np.array([r["label"] for r in got])
     held = np.arange(len(rows)) % 5 == 0

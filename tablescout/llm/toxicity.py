@@ -222,6 +222,8 @@ def fit(labelled: DataFrame, sample_rows: int, terms: int) -> Model:
     got = sample.mapInArrow(
         _rows(ship(spark, vocabulary)), "id long, label int, terms array<int>, weights array<double>"
     ).collect()
+    # the same model for any order of rows
+    got.sort(key=lambda r: (-1 if r["id"] is None else r["id"], r["label"], r["terms"], r["weights"]))
     ids = np.array([-1 if r["id"] is None else r["id"] for r in got], np.int64)
     labels = np.array([r["label"] for r in got], np.int64)
     vectors = [(np.array(r["terms"], np.int64), np.array(r["weights"], float)) for r in got]
