@@ -520,7 +520,6 @@ def name_similarity() -> str:
 
 # ---- clusters ------------------------------------------------------------------
 
-ITERATIONS = 40
 CLUSTERED = "customer supplier part"
 
 
@@ -534,28 +533,30 @@ def _cluster_ctes() -> str:
     return f"""h as materialized ({values}),
     usable as (select t, c, list(v order by v) as vs from h group by all
                having sum(n) >= 10 and count(*) >= 3),
-    lloyd(t, c, k, i, cs) as (
+    lloyd(t, c, k, i, cs, old) as (
         select t, c, k, 0, list_transform(range(k), lambda j:
                    round(vs[1 + cast(floor((2 * j + 1) / (2 * k) * (len(vs) - 1)) as bigint)]
                          + ((2 * j + 1) / (2 * k) * (len(vs) - 1)
                             - floor((2 * j + 1) / (2 * k) * (len(vs) - 1)))
                            * (vs[least(len(vs), 2 + cast(floor((2 * j + 1) / (2 * k) * (len(vs) - 1)) as bigint))]
-                              - vs[1 + cast(floor((2 * j + 1) / (2 * k) * (len(vs) - 1)) as bigint)]), 9))
+                              - vs[1 + cast(floor((2 * j + 1) / (2 * k) * (len(vs) - 1)) as bigint)]), 9)), cast([] as double[])
         from usable, (select unnest(range(2, 7)) as k)
         union all
-        select t, c, k, i, list(centre order by j)
-        from (select l.t, l.c, l.k, l.i + 1 as i, j,
+        select t, c, k, i, list(centre order by j), any_value(before)
+        from (select l.t, l.c, l.k, l.i + 1 as i, j, any_value(l.cs) as before,
                      coalesce(round(fsum(h.v * h.n) / sum(h.n), 9), any_value(l.cs[j])) as centre
-              from (select *, unnest(range(1, k + 1)) as j from lloyd where i < {ITERATIONS}) l
+              from (select *, unnest(range(1, k + 1)) as j from lloyd where cs <> old) l
               left join h on h.t = l.t and h.c = l.c
                    and (l.j = 1 or h.v > (l.cs[l.j - 1] + l.cs[l.j]) / 2)
                    and (l.j = l.k or h.v <= (l.cs[l.j] + l.cs[l.j + 1]) / 2)
               group by all)
         group by all),
-    centre as materialized (select t, c, k, cs from lloyd where i = {ITERATIONS}),
-    labelled as materialized (
+    centre as materialized (select t, c, k, cs from lloyd where cs = old),
+    placed as materialized (
         select t, c, k, v, n, len(list_filter(range(1, k), lambda j: v > (cs[j] + cs[j + 1]) / 2)) as cl
         from centre join h using (t, c)),
+    filled as (select t, c, k from placed group by all having count(distinct cl) = k),
+    labelled as materialized (select placed.* from placed join filled using (t, c, k)),
     dist as (select a.t, a.c, a.k, a.v, a.n, a.cl, b.cl as other,
                     sum(b.n * abs(a.v - b.v)) as total, sum(b.n) as m
              from labelled a join labelled b on a.t = b.t and a.c = b.c and a.k = b.k group by all),
@@ -565,8 +566,8 @@ def _cluster_ctes() -> str:
                   min(case when other <> cl then total / m end) as b
            from dist group by all),
     score as materialized (
-        select t, c, k, sum(n * case when own_size = 1 or greatest(a, b) = 0 then 0.0
-                                     else (b - a) / greatest(a, b) end) / sum(n) as s
+        select t, c, k, round(sum(n * case when own_size = 1 or greatest(a, b) = 0 then 0.0
+                                     else (b - a) / greatest(a, b) end) / sum(n), 9) as s
         from ab group by all having count(b) > 0)"""
 
 

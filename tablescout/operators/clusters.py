@@ -1,16 +1,14 @@
-"""One-dimensional clusters of numeric columns.
+"""One-dimensional clusters of numeric columns, fitted on all rows.
 
-The number of clusters and their centres are fitted on a bounded sample per column;
-all rows are then counted into the clusters in one scan.
+Values are counted first; every step of the fit is one aggregate over the counts of all
+columns and numbers of clusters together. Sums of a step are rounded, scores too, so that
+neither the order of rows nor their partitions show in the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,13 +22,15 @@ from tablescout.operators.columns import (
     stack_rows,
     union_all,
 )
+from tablescout.operators.numbering import number_rows
 from tablescout.options import DEFAULTS, Options
 from tablescout.session import cut_lineage
 
 MIN_VALUES = 10
 CENTRE_DECIMALS = 9
-SEED = 42
-CENTRES = "pos int, k int, centres array<double>"
+SCORE_DECIMALS = 9
+
+Fit = tuple[int, int]  # a column's position and a number of clusters
 
 
 @dataclass(frozen=True)
@@ -89,100 +89,106 @@ def _targets(catalog: dict[str, DataFrame], options: Options) -> list[_Target]:
     return [_Target(pos, *columns[pos], sizes[pos]) for pos in sorted(usable)]
 
 
-def _sample_histogram(
-    catalog: dict[str, DataFrame], targets: list[_Target], options: Options
-) -> DataFrame:
-    """(pos, v, n): value counts of a row sample of about cluster_sample per column.
-
-    Rows are drawn independently, whatever their value, so a heavy value keeps its
-    weight. Columns up to the cap are taken whole.
-    """
+def _histogram(catalog: dict[str, DataFrame], targets: list[_Target]) -> DataFrame:
+    """(pos, v, n): value counts of every column."""
     parts = []
     for table, df in catalog.items():
-        own = [t for t in targets if t.table_name == table]
-        if not own:
-            continue
-        rows = []
-        for t in own:
-            value = as_double(t.name)
-            if t.n > options.cluster_sample:
-                share = sqltext.double(options.cluster_sample / t.n)
-                value = f"case when rand({SEED + t.pos}) < {share} then {value} end"
-            rows.append((t.pos, value))
-        parts.append(stack_rows(missing_to_null(df), rows, ["pos", "v"]))
-    return cut_lineage(
-        union_all(parts)
-        .where(F.col("v").isNotNull())
-        .groupBy("pos", "v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+        rows = [(t.pos, as_double(t.name)) for t in targets if t.table_name == table]
+        if rows:
+            parts.append(stack_rows(missing_to_null(df), rows, ["pos", "v"]))
+    counted = union_all(parts).where(F.col("v").isNotNull()).groupBy("pos", "v")
+    return cut_lineage(counted.agg(F.count(F.lit(1)).alias("n")))
+
+
+def _first_centres(histogram: DataFrame, options: Options) -> dict[Fit, list[float]]:
+    """Evenly spaced quantiles of a column's distinct values, for every k tried."""
+    sizes = histogram.groupBy("pos").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"))
+    places: dict[Fit, list[tuple[int, float]]] = {}
+    for r in sizes.collect():  # one row per column
+        for k in range(2, min(options.max_clusters, r["size"] - 1) + 1):
+            at = [(2 * j + 1) / (2 * k) * (r["m"] - 1) for j in range(k)]
+            places[r["pos"], k] = [(int(x), x - int(x)) for x in at]
+    spark = histogram.sparkSession
+    ends = {r["pos"]: r["m"] for r in sizes.collect()}
+    wanted = {
+        (pos, min(row + step, ends[pos]))
+        for (pos, _), rows in places.items()
+        for row, _ in rows
+        for step in (1, 2)
+    }
+    ranks = spark.createDataFrame(sorted(wanted), "pos int, row_no bigint")
+    numbered = number_rows(histogram.select("pos", "v"), ["v"], within=["pos"])
+    found = {
+        (r["pos"], r["row_no"]): r["v"]
+        for r in numbered.join(F.broadcast(ranks), ["pos", "row_no"]).collect()
+    }
+    centres = {}
+    for (pos, k), rows in places.items():
+        pairs = [(found[pos, row + 1], found[pos, min(row + 2, ends[pos])], part) for row, part in rows]
+        centres[pos, k] = [round(low + part * (high - low), CENTRE_DECIMALS) for low, high, part in pairs]
+    return centres
 
 
-def _fitter(iterations: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """Move the centres of one (column, k) to the means of their values.
+def _middles(centres: list[float]) -> list[float]:
+    return [(a + b) / 2 for a, b in zip(centres, centres[1:], strict=False)]
 
-    The centres start at evenly spaced quantiles of the distinct values and are kept
-    to nine decimals, so that the order of summation does not show.
-    """
 
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        pos, k = int(key[0]), int(key[1])
-        ordered = rows.sort_values("v")
-        values = ordered["v"].to_numpy()
-        counts = ordered["n"].to_numpy().astype(float)
-        centres = np.round(
-            np.quantile(values, (2 * np.arange(k) + 1) / (2 * k)), CENTRE_DECIMALS
-        )
-        for _ in range(iterations):
-            nearest = np.searchsorted((centres[:-1] + centres[1:]) / 2, values, side="left")
-            weight = np.bincount(nearest, counts, minlength=k)
-            total = np.bincount(nearest, counts * values, minlength=k)
-            moved = np.where(weight > 0, total / np.maximum(weight, 1), centres)
-            moved = np.round(moved, CENTRE_DECIMALS)
-            if np.array_equal(moved, centres):
-                break
-            centres = moved
-        return pd.DataFrame({"pos": [pos], "k": [k], "centres": [centres.tolist()]})
-
-    return fit
-
-
-def _fit(histogram: DataFrame, options: Options) -> DataFrame:
-    """(pos, k, centres) for every k tried; a group is one column's sample."""
-    sizes = histogram.groupBy("pos").agg(F.sum("n").alias("size"))
-    tried = sizes.where(F.col("size") > 2).select(
-        "pos",
-        F.explode(
-            F.sequence(F.lit(2), F.least(F.lit(options.max_clusters), F.col("size") - 1).cast("int"))
-        ).alias("k"),
-    )
-    # one row per column and k on the right
-    return (
-        histogram.join(F.broadcast(tried), "pos")
-        .groupBy("pos", "k")
-        .applyInPandas(_fitter(options.cluster_iterations), CENTRES)
+def _placed(histogram: DataFrame, centres: dict[Fit, list[float]]) -> DataFrame:
+    """(pos, k, v, n, cluster): a value on a border belongs to the lower cluster."""
+    rows = [(pos, k, _middles(c)) for (pos, k), c in centres.items()]
+    # a row per column and k
+    borders = histogram.sparkSession.createDataFrame(rows, "pos int, k int, borders array<double>")
+    return histogram.join(F.broadcast(borders), "pos").select(
+        "pos", "k", "v", "n", F.size(F.filter("borders", lambda b: b < F.col("v"))).alias("cluster")
     )
 
 
-def _borders(centres: Column) -> Column:
-    """Midpoints between neighbouring centres."""
-    return F.zip_with(
-        F.slice(centres, F.lit(1), F.size(centres) - 1),
-        F.slice(centres, F.lit(2), F.size(centres) - 1),
-        lambda a, b: (a + b) / 2,
-    )
-
+def _fit(histogram: DataFrame, options: Options) -> dict[Fit, list[float]]:
+    """Centres moved to the means of their values until they stay.
 
-def _assigned(histogram: DataFrame, centres: DataFrame) -> DataFrame:
-    """(pos, k, v, n, cluster): a value on a border belongs to the lower cluster."""
-    borders = centres.select("pos", "k", _borders(F.col("centres")).alias("borders"))
-    return histogram.join(F.broadcast(borders), "pos").select(
-        "pos",
-        "k",
-        "v",
-        "n",
-        F.size(F.filter("borders", lambda b: b < F.col("v"))).alias("cluster"),
+    A number of clusters that leaves one of them without values is dropped.
+    """
+    centres = _first_centres(histogram, options)
+    moving = dict(centres)
+    seen: dict[Fit, set[tuple[float, ...]]] = {key: set() for key in centres}
+    while moving:
+        sums = _placed(histogram, moving).groupBy("pos", "k", "cluster").agg(
+            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("s")
+        )
+        means: dict[Fit, dict[int, float]] = {}
+        for r in sums.collect():  # at most max_clusters rows per column and k
+            mean = round(r["s"] / r["n"], CENTRE_DECIMALS)
+            means.setdefault((r["pos"], r["k"]), {})[r["cluster"]] = mean
+        for key in list(moving):
+            new = [means[key].get(i, c) for i, c in enumerate(moving[key])]
+            if new == moving[key] or tuple(new) in seen[key]:
+                centres[key] = new
+                if len(means[key]) < key[1]:
+                    del centres[key]
+                del moving[key]
+            else:
+                seen[key].add(tuple(new))
+                moving[key] = new
+    return centres
+
+
+def _running(df: DataFrame, group: list[str], order: str, sums: dict[str, Column]) -> DataFrame:
+    """df with running sums within a group of any size.
+
+    Rows are range-partitioned; a window covers one partition's part of a group, and what
+    earlier partitions hold of the group is a row per partition and group.
+    """
+    placed = df.repartitionByRange(*group, order).withColumn("_part", F.spark_partition_id())
+    placed = cut_lineage(placed)
+    inside = Window.partitionBy("_part", *group).orderBy(order)
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_part", *group).agg(*[F.sum(x).alias(f"_{n}") for n, x in sums.items()])
+    earlier = totals.select(
+        "_part", *group, *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums]
     )
+    joined = placed.join(F.broadcast(earlier), ["_part", *group])
+    summed = joined.select("*", *[(F.sum(x).over(inside) + F.col(f"_{n}")).alias(n) for n, x in sums.items()])
+    return summed.drop("_part", *[f"_{n}" for n in sums])
 
 
 def silhouette_1d(values: DataFrame) -> DataFrame:
@@ -206,10 +212,8 @@ def silhouette_1d(values: DataFrame) -> DataFrame:
     shifted = values.join(F.broadcast(neighbours), ["pos", "k", "cluster"]).withColumn(
         "x", F.col("v") - F.col("mean")  # small numbers keep their digits in the sums
     )
-    upto = Window.partitionBy("pos", "k", "cluster").orderBy("x")
-    placed = shifted.withColumn("n_upto", F.sum("n").over(upto)).withColumn(
-        "s_upto", F.sum(F.col("n") * F.col("x")).over(upto)
-    )
+    sums = {"n_upto": F.col("n"), "s_upto": F.col("n") * F.col("x")}
+    placed = _running(shifted, ["pos", "k", "cluster"], "x", sums)
     x, size = F.col("x"), F.col("size")
     # the shifted values of a cluster sum to 0
     to_lower = F.col("n_upto") * x - F.col("s_upto")
@@ -239,8 +243,8 @@ def cluster_scores(catalog: dict[str, DataFrame], options: Options = DEFAULTS) -
     targets = _targets(catalog, options)
     if not targets:
         return _empty(catalog, "table_name string, column_name string, k int, silhouette double")
-    histogram = _sample_histogram(catalog, targets, options)
-    scores = silhouette_1d(_assigned(histogram, _fit(histogram, options)))
+    histogram = _histogram(catalog, targets)
+    scores = silhouette_1d(_placed(histogram, _fit(histogram, options)))
     return scores.join(F.broadcast(_names(catalog, targets)), "pos").select(
         "table_name", "column_name", "k", F.round("silhouette", 6).alias("silhouette")
     )
@@ -250,21 +254,14 @@ def _empty(catalog: dict[str, DataFrame], schema: str) -> DataFrame:
     return next(iter(catalog.values())).sparkSession.createDataFrame([], schema)
 
 
-def _best_centres(histogram: DataFrame, options: Options) -> Iterator[tuple[int, int, list[float]]]:
-    """(pos, k, centres) of the best k per column: at most six numbers each."""
-    # centres are used twice, once to score and once to report
-    centres = cut_lineage(_fit(histogram, options))
-    scores = silhouette_1d(_assigned(histogram, centres))
-    best = scores.groupBy("pos").agg(
-        F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("best_k")
-    )
-    chosen = (
-        centres.join(F.broadcast(best), "pos", "left")
-        .where(F.col("k") == F.coalesce(F.col("best_k"), F.lit(2)))
-        .select("pos", "k", "centres")
-    )
-    for row in chosen.collect():
-        yield row["pos"], row["k"], row["centres"]
+def _best_centres(histogram: DataFrame, options: Options) -> dict[int, tuple[int, list[float]]]:
+    """k and centres of the best k per column, the smaller of equals."""
+    centres = _fit(histogram, options)
+    best: dict[int, tuple[float, int]] = {}
+    for r in silhouette_1d(_placed(histogram, centres)).collect():  # a row per column and k
+        score = (round(r["silhouette"], SCORE_DECIMALS), -r["k"])
+        best[r["pos"]] = max(best.get(r["pos"], score), score)
+    return {pos: (-k, centres[pos, -k]) for pos, (_, k) in best.items()}
 
 
 def cluster_report(catalog: dict[str, DataFrame], options: Options = DEFAULTS) -> DataFrame:
@@ -285,8 +282,7 @@ def cluster_report(catalog: dict[str, DataFrame], options: Options = DEFAULTS) -
             "table_name string, column_name string, clusters_chosen int, cluster_id int, "
             "cluster_size bigint, range_low double, range_high double",
         )
-    histogram = _sample_histogram(catalog, targets, options)
-    fitted = {pos: (k, centres) for pos, k, centres in _best_centres(histogram, options)}
+    fitted = _best_centres(_histogram(catalog, targets), options)
     parts = []
     for table, df in catalog.items():
         own = [t for t in targets if t.table_name == table and t.pos in fitted]
@@ -295,8 +291,7 @@ def cluster_report(catalog: dict[str, DataFrame], options: Options = DEFAULTS) -
             for t in group:
                 k, centres = fitted[t.pos]
                 c = as_double(t.name)
-                borders = [(a + b) / 2 for a, b in zip(centres, centres[1:])]
-                for cluster, inside in enumerate(_intervals(c, borders)):
+                for cluster, inside in enumerate(_intervals(c, _middles(centres))):
                     tag = f"{t.pos}_{cluster}"
                     aggregates += [
                         f"count_if({inside}) as n_{tag}",

@@ -17,8 +17,6 @@ class Options:
 
     # fixed values: cluster report
     max_clusters: int = 6
-    cluster_sample: int = 20_000
-    cluster_iterations: int = 40
 
     # fixed values: previews
     first_rows: int = 4

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablescout.operators import clusters
-from tablescout.options import Options
 
 
 def silhouette(points):
@@ -67,14 +66,23 @@ def test_report_finds_the_groups(spark):
     assert sum(r["cluster_size"] for r in report if r["column_name"] == "gaps") == 90
 
 
-def test_all_rows_are_counted_when_the_fit_is_sampled(spark):
+def test_the_layout_does_not_show(spark):
     # a third of the rows share one value
     df = spark.range(6000).selectExpr(
-        "case when id % 3 = 0 then 10D when id % 3 = 1 then 1000D + id % 50 else -1000D - id % 50 end as v"
+        "case when id % 3 = 0 then 10D when id % 3 = 1 then 1000D + id % 50 else -1000D - id % 50 end as v",
+        "round(1000 * sin(id), 3) as w",
     )
-    report = clusters.cluster_report({"t": df}, Options(cluster_sample=300)).orderBy("cluster_id").collect()
-    assert [r["cluster_size"] for r in report] == [2000, 2000, 2000]
-    assert (report[1]["range_low"], report[1]["range_high"]) == (10.0, 10.0)
+    reports = [
+        sorted(map(tuple, clusters.cluster_report({"t": df.repartition(n, "w")}).collect())) for n in (1, 3, 8)
+    ]
+    assert reports[0] == reports[1] == reports[2]
+    assert [r[4] for r in reports[0] if r[1] == "v"] == [2000, 2000, 2000]
+
+
+def test_clusters_without_values_are_not_chosen(spark):
+    df = spark.createDataFrame([(float(v),) for v in [0, 0, 0, 1, 1, 1, 50, 50, 50, 51, 51]], "v double")
+    scores = clusters.cluster_scores({"t": df})
+    assert {r["k"] for r in scores.collect()} <= {2, 3, 4}
 
 
 def test_nothing_to_cluster(spark):
