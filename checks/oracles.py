@@ -425,7 +425,7 @@ def value_sample() -> str:
 
 def value_patterns() -> str:
     return (
-        f"with {WITH_VIEWS}, {_value_ctes('dirty_customer ' + RELATED, 500)}, {SHAPES} "
+        f"with {WITH_VIEWS}, {_value_ctes('dirty_customer ' + RELATED, None)}, {SHAPES} "
         "select t as table_name, c as column_name, v as shape from shapes join cols using (pos)"
     )
 
@@ -438,7 +438,7 @@ PAIRS = (
 
 def column_pairs() -> str:
     return (
-        f"with {_value_ctes(RELATED, 500)}, {PAIRS}, "
+        f"with {_value_ctes(RELATED, None)}, {PAIRS}, "
         "sizes as (select pos, count(*) as n from vals group by pos) "
         "select t1 as table_name_1, c1 as column_name_1, t2 as table_name_2, c2 as column_name_2, "
         "a.n as n_1, b.n as n_2 from pairs join sizes a on a.pos = p1 join sizes b on b.pos = p2"
@@ -492,7 +492,7 @@ def _tokens(text: str) -> str:
 
 
 def column_similarity() -> str:
-    return f"""with recursive {_value_ctes(RELATED, 500)}, {SHAPES}, {PAIRS},
+    return f"""with recursive {_value_ctes(RELATED, None)}, {SHAPES}, {PAIRS},
     {_jaccard_cte('v', 'vals')}, {_jaccard_cte('s', 'shapes')},
     names as (select c1 as a, c2 as b from pairs), {_lcs_ctes('names')},
     scored as (select pairs.*, 200.0 * cast(lcs.n as double) / (length(c1) + length(c2)) as name_pct,

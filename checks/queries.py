@@ -255,11 +255,11 @@ def column_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def value_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.value_overlap(_catalog(spark, sf_dir, *RELATED), exact=True)
+    return similarity.value_overlap(_catalog(spark, sf_dir, *RELATED))
 
 
 def jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.jaccard(_catalog(spark, sf_dir, *RELATED), exact=True)
+    return similarity.jaccard(_catalog(spark, sf_dir, *RELATED))
 
 
 def column_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,15 +82,18 @@ def display_number(c: Column) -> Column:
 def match_text(c: Column, type_name: str) -> Column:
     """Text under which values of different tables are compared.
 
-    Stripped and lower-cased; a double without fraction reads like the integer, so
-    that a key column stored as double still meets its integer partner.
+    Stripped and lower-cased; a double or decimal without fraction reads like the integer,
+    so that a key column stored that way still meets its integer partner. Doubles are exact
+    integers up to 2^53.
     """
     if type_name in ("float", "double"):
         d = c.cast("double")
-        whole = (d == F.floor(d)) & (F.abs(d) < 1e15)
+        whole = (d == F.floor(d)) & (F.abs(d) <= float(1 << 53))
         return F.lower(F.when(whole, d.cast("bigint").cast("string")).otherwise(display_number(d)))
     if type_name == "string":
         return F.lower(strip(c))
+    if type_name.startswith("decimal"):
+        return F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     return F.lower(c.cast("string"))
 
 

@@ -1,8 +1,7 @@
 """Relationship discovery: how alike are the columns of different tables.
 
-Every column is reduced to a coordinated sample: the distinct values with the smallest
-hash. The same value has the same hash everywhere, so two columns that share values
-also share them in their samples. All later steps work on the samples.
+Columns are compared by all their distinct values. `value_sample` alone samples: it shows
+the distinct values with the smallest hash of every column.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from tablescout.operators.quantiles import row_counts
 from tablescout.options import DEFAULTS, Options
 from tablescout.session import cut_lineage
 
-HASH_DIGITS = 8
+HASH_DIGITS = 16
 SPARE = 4  # the thinned sample aims at this many times the wanted size
 
 
@@ -108,22 +107,28 @@ def _smallest_by_hash(values: DataFrame, wanted: int) -> DataFrame:
     )
 
 
-def column_values(
-    catalog: dict[str, DataFrame], options: Options = DEFAULTS, exact: bool = False
-) -> DataFrame:
-    """(pos, value): the sample of every column, or all distinct values if exact.
+def _columns_by_table(catalog: dict[str, DataFrame]) -> dict[str, list[_CatalogColumn]]:
+    by_table: dict[str, list[_CatalogColumn]] = {}
+    for c in _catalog_columns(catalog):
+        by_table.setdefault(c.table_name, []).append(c)
+    return by_table
+
+
+def column_values(catalog: dict[str, DataFrame]) -> DataFrame:
+    """(pos, value): the distinct values of every column."""
+    cells = [_match_values(catalog[t], cs, {}) for t, cs in _columns_by_table(catalog).items()]
+    return cut_lineage(union_all(cells).distinct())
+
+
+def _sampled_values(catalog: dict[str, DataFrame], options: Options) -> DataFrame:
+    """(pos, value): of every column the distinct values with the smallest hash.
 
     On a large table only values below a hash limit are shuffled. The limit is an
     estimate, so the samples are counted and columns that came out short are drawn
     again without it; the result is the same either way.
     """
-    by_table: dict[str, list[_CatalogColumn]] = {}
-    for c in _catalog_columns(catalog):
-        by_table.setdefault(c.table_name, []).append(c)
+    by_table = _columns_by_table(catalog)
     wanted = options.similarity_sample
-    if exact:
-        cells = [_match_values(catalog[t], cs, {}) for t, cs in by_table.items()]
-        return cut_lineage(union_all(cells).distinct())
     limits: dict[int, str] = {}
     rows_of = row_counts({t: catalog[t] for t in by_table})
     for table, columns in by_table.items():
@@ -152,10 +157,8 @@ def _with_names(values: DataFrame, catalog: dict[str, DataFrame]) -> DataFrame:
     return values.join(F.broadcast(columns_frame(catalog)), "pos")
 
 
-def value_sample(
-    catalog: dict[str, DataFrame], options: Options = DEFAULTS, exact: bool = False
-) -> DataFrame:
-    return _with_names(column_values(catalog, options, exact), catalog).select(
+def value_sample(catalog: dict[str, DataFrame], options: Options = DEFAULTS) -> DataFrame:
+    return _with_names(_sampled_values(catalog, options), catalog).select(
         "table_name", "column_name", "value"
     )
 
@@ -164,11 +167,9 @@ def _shapes(values: DataFrame, mode: str = "two_pass") -> DataFrame:
     return values.select("pos", value_shape(F.col("value"), mode).alias("value")).distinct()
 
 
-def value_patterns(
-    catalog: dict[str, DataFrame], options: Options = DEFAULTS, mode: str = "two_pass"
-) -> DataFrame:
+def value_patterns(catalog: dict[str, DataFrame], mode: str = "two_pass") -> DataFrame:
     """(table_name, column_name, shape): the distinct value shapes of every column."""
-    return _with_names(_shapes(column_values(catalog, options), mode), catalog).select(
+    return _with_names(_shapes(column_values(catalog), mode), catalog).select(
         "table_name", "column_name", F.col("value").alias("shape")
     )
 
@@ -178,8 +179,7 @@ def _pairs(columns: DataFrame, how_many: int) -> DataFrame:
 
     The partner positions are listed per column and joined by position.
     """
-    spread = columns.repartition(min(how_many, 200), "pos") if how_many > 200 else columns
-    left = spread.where(F.col("pos") < how_many).select(
+    left = columns.where(F.col("pos") < how_many).select(
         *[F.col(c).alias(f"{c}_1") for c in columns.columns],
         F.explode(F.sequence(F.col("pos") + 1, F.lit(how_many))).alias("pos_2"),
     )
@@ -191,11 +191,9 @@ def _sizes(values: DataFrame, name: str) -> DataFrame:
     return values.groupBy("pos").agg(F.count(F.lit(1)).alias(name))
 
 
-def column_pairs(
-    catalog: dict[str, DataFrame], options: Options = DEFAULTS, exact: bool = False
-) -> DataFrame:
+def column_pairs(catalog: dict[str, DataFrame]) -> DataFrame:
     """Pairs of columns of different tables with the sizes of their value sets."""
-    values = column_values(catalog, options, exact)
+    values = column_values(catalog)
     sized = columns_frame(catalog).join(_sizes(values, "n"), "pos", "left").fillna(0, ["n"])
     return _pairs(sized, len(_catalog_columns(catalog))).select(
         "table_name_1", "column_name_1", "table_name_2", "column_name_2", "n_1", "n_2"
@@ -229,12 +227,10 @@ def _overlaps(values: DataFrame, columns: DataFrame, name: str) -> DataFrame:
     )
 
 
-def value_overlap(
-    catalog: dict[str, DataFrame], options: Options = DEFAULTS, exact: bool = False
-) -> DataFrame:
+def value_overlap(catalog: dict[str, DataFrame]) -> DataFrame:
     """Column pairs that share at least one value, with the number of shared values."""
     columns = columns_frame(catalog)
-    found = _overlaps(column_values(catalog, options, exact), columns, "common")
+    found = _overlaps(column_values(catalog), columns, "common")
     names = columns.select("pos", "table_name", "column_name")
     for side in ("1", "2"):
         renamed = names.toDF(f"pos_{side}", f"table_name_{side}", f"column_name_{side}")
@@ -251,12 +247,10 @@ def _jaccard(common: Column, n_1: Column, n_2: Column) -> Column:
     return F.when((n_1 == 0) | (n_2 == 0), F.lit(0.0)).otherwise(shared / both * 100.0)
 
 
-def _scored_pairs(
-    catalog: dict[str, DataFrame], options: Options, exact: bool, with_shapes: bool
-) -> DataFrame:
+def _scored_pairs(catalog: dict[str, DataFrame], with_shapes: bool) -> DataFrame:
     columns = columns_frame(catalog)
     how_many = len(_catalog_columns(catalog))
-    values = column_values(catalog, options, exact)
+    values = column_values(catalog)
     sized = columns.join(_sizes(values, "n_values"), "pos", "left")
     overlaps = [_overlaps(values, columns, "common_values")]
     if with_shapes:
@@ -277,11 +271,9 @@ def _scored_pairs(
     return scored
 
 
-def jaccard(
-    catalog: dict[str, DataFrame], options: Options = DEFAULTS, exact: bool = False
-) -> DataFrame:
+def jaccard(catalog: dict[str, DataFrame]) -> DataFrame:
     """Value similarity of every pair of columns of different tables."""
-    return _scored_pairs(catalog, options, exact, with_shapes=False).select(
+    return _scored_pairs(catalog, with_shapes=False).select(
         "table_name_1",
         "column_name_1",
         "table_name_2",
@@ -299,11 +291,9 @@ def _verdict(match: Column, value_percent: Column) -> Column:
     )
 
 
-def column_similarity(
-    catalog: dict[str, DataFrame], options: Options = DEFAULTS, exact: bool = False
-) -> DataFrame:
+def column_similarity(catalog: dict[str, DataFrame], options: Options = DEFAULTS) -> DataFrame:
     """Pairs that are alike by name, values or value shapes, best match first."""
-    scored = _scored_pairs(catalog, options, exact, with_shapes=True)
+    scored = _scored_pairs(catalog, with_shapes=True)
     named = scored.withColumn(
         "name_percent", name_similarity(F.col("column_name_1"), F.col("column_name_2"))
     )

@@ -47,9 +47,9 @@ def test_overlap_and_jaccard_against_sets(spark):
         for i, j in combinations(range(len(sets)), 2)
         if sets[i] & sets[j]
     }
-    overlap = similarity.value_overlap(catalog, exact=True).collect()
+    overlap = similarity.value_overlap(catalog).collect()
     assert {(r["table_name_1"], r["table_name_2"]): r["common"] for r in overlap} == want
-    rows = similarity.jaccard(catalog, exact=True).collect()
+    rows = similarity.jaccard(catalog).collect()
     assert len(rows) == 21
     for r in rows:
         a, b = sets[int(r["table_name_1"][1:])], sets[int(r["table_name_2"][1:])]
@@ -91,8 +91,21 @@ def test_verdicts_at_their_limits(spark):
 
 def test_a_value_in_every_column_is_counted_once_per_pair(spark):
     catalog = catalog_of(spark, [["hot"] * 300 + [f"{i}-{j}" for j in range(20)] for i in range(12)])
-    rows = similarity.value_overlap(catalog, exact=True).collect()
+    rows = similarity.value_overlap(catalog).collect()
     counts = defaultdict(int)
     for r in rows:
         counts[r["common"]] += 1
     assert counts == {1: 66}
+
+
+def test_decimals_and_large_doubles_meet_integers(spark):
+    whole = spark.range(20).selectExpr("id as a", "9007199254740000 + id as b")
+    other = spark.range(20).selectExpr(
+        "cast(id as decimal(12,2)) as a", "cast(9007199254740000 + id as double) as b", "cast(id + 0.50 as decimal(12,2)) as c"
+    )
+    rows = {
+        (r["column_1"], r["column_2"]): r["value_similarity"]
+        for r in similarity.column_similarity({"t": whole, "u": other}).collect()
+    }
+    assert rows["a", "a"] == 100.0 and rows["b", "b"] == 100.0
+    assert rows.get(("a", "c"), 0.0) == 0.0
