@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,7 +141,10 @@ def with_order(df: DataFrame, order_by: list[str] | None) -> tuple[DataFrame, li
     return df.select("*", *[col(c).alias(k) for c, k in zip(order_by, keys)]), keys
 
 
-def union_all(parts: list[DataFrame]) -> DataFrame:
+def union_all(parts: list[DataFrame], schema: str | None = None) -> DataFrame:
+    """All parts below each other; without parts an empty table of the given schema."""
+    if not parts and schema:
+        return SparkSession.active().createDataFrame([], schema)
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

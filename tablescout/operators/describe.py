@@ -76,7 +76,8 @@ def column_mode(catalog: dict[str, DataFrame]) -> DataFrame:
             table_modes(df).select(F.lit(name).alias("table_name"), "column_name", "mode")
             for name, df in catalog.items()
             if flat_fields(df)
-        ]
+        ],
+        "table_name string, column_name string, mode string",
     )
 
 
@@ -125,7 +126,8 @@ def numeric_summary(
             part.select(F.lit(name).alias("table_name"), *SUMMARY[1:])
             for name, df in catalog.items()
             for part in _numeric_rows(df, medians[name], options)
-        ]
+        ],
+        "table_name string, column_name string, mean double, median double, value_range double",
     )
 
 
@@ -187,7 +189,9 @@ def first_rows(
             .drop("column_no")
             for name, df in catalog.items()
             if flat_fields(df)
-        ]
+        ],
+        "table_name string, column_name string, "
+        + ", ".join(f"row_{i} string" for i in range(1, options.first_rows + 1)),
     )
 
 

@@ -20,7 +20,6 @@ from tablescout.operators.columns import (
 )
 from tablescout.options import DEFAULTS, Options
 
-UNGROUPABLE = (T.MapType, T.VariantType)
 
 
 def table_cardinality(
@@ -73,19 +72,30 @@ def cardinality(catalog: dict[str, DataFrame], method: str = "exact") -> DataFra
             )
             for name, df in catalog.items()
             if flat_fields(df)
-        ]
+        ],
+        "table_name string, column_name string, distinct_count bigint",
     )
 
 
 def table_duplicates(df: DataFrame) -> DataFrame:
     """One row: how many rows repeat an earlier row, NULLs counting as equal.
 
+    Maps are equal when their entries are, in any order; variants when their JSON is.
+
     Copies of a row collapse in the map-side aggregation before anything is shuffled.
     """
-    groupable = [f.name for f in df.schema.fields if not isinstance(f.dataType, UNGROUPABLE)]
+    keys = []
+    for n, f in enumerate(df.schema.fields):
+        key = col(f.name)
+        if isinstance(f.dataType, T.MapType):
+            key = F.array_sort(F.map_entries(key))
+        elif isinstance(f.dataType, T.VariantType):
+            key = F.to_json(key)
+        keys.append(key.alias(f"k{n}"))
     return (
         missing_to_null(df)
-        .groupBy(*[col(c) for c in groupable])
+        .select(*keys)
+        .groupBy(*[f"k{n}" for n in range(len(keys))])
         .agg(F.count(F.lit(1)).alias("copies"))
         .agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows"))
     )
@@ -97,7 +107,8 @@ def duplicate_rows(catalog: dict[str, DataFrame]) -> DataFrame:
             table_duplicates(df).select(F.lit(name).alias("table_name"), "duplicate_rows")
             for name, df in catalog.items()
             if flat_fields(df)
-        ]
+        ],
+        "table_name string, duplicate_rows bigint",
     )
 
 

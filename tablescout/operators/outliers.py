@@ -189,5 +189,6 @@ def outlier_examples(
             )
             for name, df in catalog.items()
             if numeric_fields(df)
-        ]
+        ],
+        "table_name string, column_name string, outliers string",
     )

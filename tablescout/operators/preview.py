@@ -67,7 +67,7 @@ def table_preview(
         try:
             part = preview(df, order_by[name], options)
         except Exception as problem:  # noqa: BLE001 - reported, the other tables go on
-            error = f"Could not load sample data for this table: {problem}"
+            error = f"No preview: {problem}"
             part = df.sparkSession.createDataFrame([(None, None, None, "")], PREVIEW)
         parts.append(part.select(F.lit(name).alias("table_name"), "*", F.lit(error).alias("error")))
     return union_all(parts)

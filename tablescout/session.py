@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +26,10 @@ def build_session(app: str = "tablescout", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster, or a fresh one where none is named."""
+    """The folder named by spark.checkpoint.dir; where none is named, one in the warehouse.
+
+    Both are reached by the driver and all executors.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
@@ -35,11 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current:
         return current
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    fresh = tempfile.mkdtemp(prefix="tablescout-")
-    context.setCheckpointDir(fresh)
-    return context.getCheckpointDir() or fresh
+    context.setCheckpointDir(os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch"))
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

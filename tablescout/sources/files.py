@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tablescout.functions import paths, sqltext
 from tablescout.functions.text import INTEGER_TEXT, NUMBER_TEXT, null_if_missing, strip
-from tablescout.operators.columns import chunks, col, union_all
+from tablescout.operators.columns import chunks, col
 from tablescout.operators.numbering import number_rows
 from tablescout.options import DEFAULTS, Options
 
@@ -132,33 +132,44 @@ def sniff_separator(line: Column) -> Column:
 
 
 def file_traits(spark: SparkSession, files: str | list[str]) -> DataFrame:
-    """(path, encoding, open_quotes), one row per non-empty file.
+    """(path, encoding, open_quotes, header, separator), one row per non-empty file.
 
     Judged line by line, so that large files are split over tasks: the first encoding
-    of utf-8, cp1252 and latin-1 that every line allows, and whether some line ends
-    inside a quoted field.
+    of utf-8, cp1252 and latin-1 that every line allows, whether some line ends inside a
+    quoted field, and the first line with its separator.
     """
     line = F.col("value")
     whole = F.is_valid_utf8(line)
     undefined = F.hex(line.cast("binary")).rlike(f"^(?:..)*(?:{UNDEFINED_IN_CP1252})")
     quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    # lines keep their order within a split, and the first split starts at byte 0
+    place = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
     judged = (
         spark.read.option("recursiveFileLookup", True)
         .text(files)
+        .select("value", "_metadata", place.alias("place"))
         .groupBy(F.col("_metadata.file_path").alias("file"))
         .agg(
             F.bool_and(whole).alias("utf8"),
             F.bool_or(~whole & undefined).alias("undefined"),
             F.bool_or(quotes % 2 == 1).alias("open_quotes"),
+            F.min_by("value", "place").alias("header"),
         )
     )
+    path, header = _plain_path(F.col("file")), F.make_valid_utf8(F.col("header"))
+    kind = F.lower(path)
     return judged.select(
-        _plain_path(F.col("file")).alias("path"),
+        path.alias("path"),
         F.when(F.col("utf8"), ENCODINGS[0])
         .when(~F.col("undefined"), ENCODINGS[1])
         .otherwise(ENCODINGS[2])
         .alias("encoding"),
         "open_quotes",
+        header.alias("header"),
+        F.when(kind.endswith(".csv"), F.lit(","))
+        .when(kind.endswith(".tsv"), F.lit("\t"))
+        .otherwise(sniff_separator(header))
+        .alias("separator"),
     )
 
 
@@ -246,8 +257,8 @@ def missing_tokens_to_null(df: DataFrame) -> DataFrame:
 def infer_types(df: DataFrame, options: Options = DEFAULTS, must_be_empty: str | None = None) -> DataFrame:
     """Cast text columns whose every value is a whole number, a number or a boolean.
 
-    One scan counts the forms. Columns without a value and dates stay text. The same
-    scan raises an error when the column named by must_be_empty, which is dropped, has
+    One scan counts the forms. Whole numbers are bigint while all fit, else of 38 digits,
+    else they stay text. Columns without a value and dates stay text. The same scan raises an error when the column named by must_be_empty, which is dropped, has
     a value.
     """
     if must_be_empty is not None:
@@ -256,15 +267,17 @@ def infer_types(df: DataFrame, options: Options = DEFAULTS, must_be_empty: str |
         checked = "0L as surplus"
     names = [c for c in df.columns if c != must_be_empty]
     targets: dict[str, str] = {}
-    forms = {"int": "bigint", "num": "double", "bool": "boolean"}
-    for group in chunks(list(enumerate(names)), options.aggregates_per_job // 4):
+    forms = {"int": "bigint", "dec": "decimal(38,0)", "all": None, "num": "double", "bool": "boolean"}
+    for group in chunks(list(enumerate(names)), options.aggregates_per_job // 6):
         aggregates = [checked]
         for i, name in group:
             q = sqltext.name(name)
-            whole = f"{q} rlike {sqltext.text(INTEGER_TEXT)} and length({q}) <= 18"
+            whole = f"{q} rlike {sqltext.text(INTEGER_TEXT)}"
             aggregates += [
                 f"count({q}) as n_{i}",
-                f"count_if({whole}) as int_{i}",
+                f"count_if({whole} and try_cast(trim({q}) as bigint) is not null) as int_{i}",
+                f"count_if({whole} and try_cast(trim({q}) as decimal(38,0)) is not null) as dec_{i}",
+                f"count_if({whole}) as all_{i}",
                 f"count_if({q} rlike {sqltext.text(NUMBER_TEXT)}) as num_{i}",
                 f"count_if({q} in ('True', 'TRUE', 'true', 'False', 'FALSE', 'false')) as bool_{i}",
             ]
@@ -274,7 +287,7 @@ def infer_types(df: DataFrame, options: Options = DEFAULTS, must_be_empty: str |
         for i, name in group:
             present = row[f"n_{i}"]
             fitting = [kind for form, kind in forms.items() if row[f"{form}_{i}"] == present]
-            if present and fitting:
+            if present and fitting and fitting[0]:
                 targets[name] = fitting[0]
     return df.select(
         *[
@@ -309,16 +322,22 @@ def read_delimited(
 def read_table_folder(
     spark: SparkSession, folder: str, bad_lines: str = "error", options: Options = DEFAULTS
 ) -> DataFrame:
-    """One table written as many files; files of one kind are read together."""
-    kinds = file_traits(spark, folder).groupBy("encoding", "open_quotes").agg(
+    """One table written as many files; files of one kind are read together.
+
+    Every file has its own header line: columns meet by name, and those that a file lacks
+    are NULL in its rows.
+    """
+    kinds = file_traits(spark, folder).groupBy("encoding", "open_quotes", "separator", "header").agg(
         F.sort_array(F.collect_list("path")).alias("paths")
     )
-    parts = []
+    table = None
     for row in kinds.collect():  # the listing: one path per file
-        separator = separator_of(spark, row["paths"][0])
-        traits = FileTraits(row["encoding"], separator, row["open_quotes"])
-        parts.append(read_text_table(spark, row["paths"], traits))
-    return _typed(union_all(parts), bad_lines, options)
+        traits = FileTraits(row["encoding"], row["separator"], row["open_quotes"])
+        part = read_text_table(spark, row["paths"], traits)
+        table = part if table is None else table.unionByName(part, allowMissingColumns=True)
+    if table is None:
+        raise ValueError(f"no file with a line in {folder}")
+    return _typed(table.select(*[c for c in table.columns if c != SURPLUS], SURPLUS), bad_lines, options)
 
 
 # ---- whole texts ---------------------------------------------------------------

@@ -169,3 +169,22 @@ def test_first_rows_count_is_an_option(spark):
     df = spark.range(9).selectExpr("id")
     row = describe.first_rows({"t": df}, {"t": ["id"]}, Options(first_rows=2)).first()
     assert (row["row_1"], row["row_2"]) == ("0", "1") and not hasattr(row, "row_3")
+
+
+def test_duplicates_see_maps(spark):
+    from tablescout.operators import keys
+
+    df = spark.sql("select 1 as a, map('x', 1, 'y', 2) as m union all select 1, map('y', 2, 'x', 1) union all select 1, map('x', 9)")
+    assert keys.table_duplicates(df).first()[0] == 1
+
+
+def test_catalogs_without_fitting_columns(spark):
+    from tablescout.operators import describe, keys
+
+    texts = {"t": spark.createDataFrame([("a",)], "s string")}
+    nested = {"t": spark.sql("select array(1) as a")}
+    assert describe.numeric_summary(texts).collect() == []
+    assert describe.column_mode(nested).collect() == []
+    assert keys.cardinality(nested).collect() == []
+    assert keys.duplicate_rows(nested).collect() == []
+    assert describe.first_rows(nested, {"t": None}).columns[:3] == ["table_name", "column_name", "row_1"]

@@ -175,3 +175,24 @@ def test_describe_folder_follows_the_lines(spark, tmp_path):
     assert [rows["v"][f"row_{i}"] for i in range(1, 5)] == ["9", "3", "7", "8"]
     assert [rows["w"][f"row_{i}"] for i in range(1, 5)] == ["a", "b", "b", ""]
     assert rows["v"]["table_rows"] == 5 and rows["v"]["mean"] == "5.6" and rows["w"]["mode"] == "b"
+
+
+def test_long_ids_keep_their_digits(spark, tmp_path):
+    ids = ["9007199254740993", "9223372036854775806", "9223372036854775807"]
+    huge = [str(10**30 + i) for i in range(3)]
+    over = [str(10**45 + i) for i in range(3)]
+    lines = ["a,b,c"] + [",".join(x) for x in zip(ids, huge, over, strict=True)]
+    path = tmp_path / "ids.csv"
+    path.write_text("\n".join(lines) + "\n")
+    df = files.read_delimited(spark, str(path), files.FileTraits())
+    assert [t for _, t in df.dtypes] == ["bigint", "decimal(38,0)", "string"]
+    assert [tuple(str(x) for x in r) for r in df.orderBy("a").collect()] == list(zip(ids, huge, over, strict=True))
+
+
+def test_folder_files_have_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("y,x\n20,10\n")
+    (tmp_path / "c.txt").write_text("x;y;z\n3;4;5\n")
+    (tmp_path / "d.txt").write_text("x|y\n6|7\n")
+    rows = files.read_table_folder(spark, str(tmp_path)).orderBy("x").collect()
+    assert [(r["x"], r["y"], r["z"]) for r in rows] == [(1, 2, None), (3, 4, 5), (6, 7, None), (10, 20, None)]
