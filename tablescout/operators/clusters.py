@@ -22,7 +22,7 @@ from tablescout.operators.columns import (
     stack_rows,
     union_all,
 )
-from tablescout.operators.numbering import number_rows
+from tablescout.operators.numbering import number_rows, running_sums
 from tablescout.options import DEFAULTS, Options
 from tablescout.session import cut_lineage
 
@@ -172,25 +172,6 @@ def _fit(histogram: DataFrame, options: Options) -> dict[Fit, list[float]]:
     return centres
 
 
-def _running(df: DataFrame, group: list[str], order: str, sums: dict[str, Column]) -> DataFrame:
-    """df with running sums within a group of any size.
-
-    Rows are range-partitioned; a window covers one partition's part of a group, and what
-    earlier partitions hold of the group is a row per partition and group.
-    """
-    placed = df.repartitionByRange(*group, order).withColumn("_part", F.spark_partition_id())
-    placed = cut_lineage(placed)
-    inside = Window.partitionBy("_part", *group).orderBy(order)
-    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy("_part", *group).agg(*[F.sum(x).alias(f"_{n}") for n, x in sums.items()])
-    earlier = totals.select(
-        "_part", *group, *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums]
-    )
-    joined = placed.join(F.broadcast(earlier), ["_part", *group])
-    summed = joined.select("*", *[(F.sum(x).over(inside) + F.col(f"_{n}")).alias(n) for n, x in sums.items()])
-    return summed.drop("_part", *[f"_{n}" for n in sums])
-
-
 def silhouette_1d(values: DataFrame) -> DataFrame:
     """(pos, k, silhouette) of (pos, k, v, n, cluster), by Euclidean distance.
 
@@ -213,7 +194,7 @@ def silhouette_1d(values: DataFrame) -> DataFrame:
         "x", F.col("v") - F.col("mean")  # small numbers keep their digits in the sums
     )
     sums = {"n_upto": F.col("n"), "s_upto": F.col("n") * F.col("x")}
-    placed = _running(shifted, ["pos", "k", "cluster"], "x", sums)
+    placed = running_sums(shifted, ["pos", "k", "cluster"], "x", sums)
     x, size = F.col("x"), F.col("size")
     # the shifted values of a cluster sum to 0
     to_lower = F.col("n_upto") * x - F.col("s_upto")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -57,3 +57,22 @@ def number_rows(
         .withColumn(name, F.col(name) - F.col("_start") + 1)
         .drop("_start", *[f"_g{i}" for i in range(len(within))])
     )
+
+
+def running_sums(df: DataFrame, group: list[str], order: str, sums: dict[str, Column]) -> DataFrame:
+    """df with running sums within a group of any size.
+
+    Rows are range-partitioned; a window covers one partition's part of a group, and what
+    earlier partitions hold of the group is a row per partition and group.
+    """
+    placed = df.repartitionByRange(*group, order).withColumn("_part", F.spark_partition_id())
+    placed = cut_lineage(placed)
+    inside = Window.partitionBy("_part", *group).orderBy(order)
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_part", *group).agg(*[F.sum(x).alias(f"_{n}") for n, x in sums.items()])
+    earlier = totals.select(
+        "_part", *group, *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums]
+    )
+    joined = placed.join(F.broadcast(earlier), ["_part", *group])
+    summed = joined.select("*", *[(F.sum(x).over(inside) + F.col(f"_{n}")).alias(n) for n, x in sums.items()])
+    return summed.drop("_part", *[f"_{n}" for n in sums])

@@ -1,20 +1,17 @@
 """Exact quantiles with linear interpolation, for columns of any length.
 
-Small tables use the built-in exact aggregate. It holds the distinct values of a
-column in one buffer, so beyond a checked number of rows the wanted ranks are narrowed
-down instead: every round proposes a bracket of values about a thousand times smaller
-and counts the rows below and inside it. Only the rows of the last bracket are shuffled.
+All columns of all tables are counted by value first, then ranked by running sums over
+range partitions; only the values at the wanted ranks come back. The result does not
+depend on how the rows are laid out.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Hashable
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tablescout.functions import sqltext
 from tablescout.operators.columns import (
@@ -26,141 +23,14 @@ from tablescout.operators.columns import (
     stack_rows,
     union_all,
 )
+from tablescout.operators.numbering import running_sums
 from tablescout.options import DEFAULTS, Options
 
 ACCURACY = 10_000
-MARGIN = 5.0 / ACCURACY
-MAX_ROUNDS = 8
 
 Measured = tuple[int, list[float | None]]
 
 
-@dataclass
-class _Bracket:
-    """Values between low and high, holding the ranks first..last of one column."""
-
-    name: str
-    first: int
-    last: int
-    low: float | None = None
-    high: float | None = None
-    below: int = 0
-    inside: int = 0
-    margin: float = MARGIN
-    settled: bool = False
-
-    def test(self) -> str:
-        """SQL text that is true for the column's values inside the bracket."""
-        value = as_double(self.name)
-        tests = [f"{value} is not null"]
-        if self.low is not None:
-            tests.append(f"{value} >= {sqltext.double(self.low)}")
-        if self.high is not None:
-            tests.append(f"{value} <= {sqltext.double(self.high)}")
-        return "(" + " and ".join(tests) + ")"
-
-    def is_done(self, options: Options) -> bool:
-        single = self.low is not None and self.low == self.high
-        return single or self.settled or self.inside <= options.quantile_bracket_rows
-
-
-def _propose(df: DataFrame, brackets: list[_Bracket]) -> list[_Bracket]:
-    """A smaller bracket around the wanted ranks of each bracket."""
-    aggregates = []
-    for i, b in enumerate(brackets):
-        low = max(0.0, (b.first - b.below) / b.inside - b.margin)
-        high = min(1.0, (b.last + 1 - b.below) / b.inside + b.margin)
-        aggregates.append(
-            f"percentile_approx({as_double(b.name)}, array({sqltext.double(low)}, "
-            f"{sqltext.double(high)}), {ACCURACY}) filter (where {b.test()}) as p_{i}"
-        )
-    row = df.selectExpr(*aggregates).first()
-    return [_Bracket(b.name, b.first, b.last, *row[f"p_{i}"]) for i, b in enumerate(brackets)]
-
-
-def _measure(df: DataFrame, brackets: list[_Bracket]) -> None:
-    """Set the exact numbers of rows below and inside each bracket."""
-    aggregates = []
-    for i, b in enumerate(brackets):
-        aggregates.append(f"count_if({as_double(b.name)} < {sqltext.double(b.low)}) as b_{i}")
-        aggregates.append(f"count_if({b.test()}) as i_{i}")
-    row = df.selectExpr(*aggregates).first()
-    for i, b in enumerate(brackets):
-        b.below, b.inside = row[f"b_{i}"], row[f"i_{i}"]
-
-
-def _narrow(df: DataFrame, brackets: list[_Bracket], options: Options) -> None:
-    """Shrink the brackets until each one is small or holds a single value."""
-    for _ in range(MAX_ROUNDS):
-        wide = [b for b in brackets if not b.is_done(options)]
-        if not wide:
-            return
-        for group in chunks(wide, options.aggregates_per_job // 2):
-            smaller = _propose(df, group)
-            _measure(df, smaller)
-            for b, s in zip(group, smaller):
-                if s.below <= b.first and b.last < s.below + s.inside:
-                    # two heavy values at the ends cannot be parted any further
-                    b.settled = (b.low, b.high) == (s.low, s.high)
-                    b.low, b.high, b.below, b.inside = s.low, s.high, s.below, s.inside
-                else:  # the sketch missed a rank: keep the bracket, look wider
-                    b.margin *= 4
-
-
-def _finish(df: DataFrame, brackets: list[_Bracket]) -> dict[tuple[int, int], float]:
-    """The values at the wanted ranks, keyed by (bracket, rank)."""
-    found: dict[tuple[int, int], float] = {}
-    rows, ranks = [], []
-    for i, b in enumerate(brackets):
-        if b.low is not None and b.low == b.high:
-            found[i, b.first] = found[i, b.last] = b.low
-            continue
-        rows.append((i, f"case when {b.test()} then {as_double(b.name)} end"))
-        ranks += [(i, r, r - b.below) for r in {b.first, b.last}]
-    if not rows:
-        return found
-    histogram = (
-        stack_rows(df, rows, ["bracket", "value"])
-        .where("value is not null")
-        .groupBy("bracket", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = F.sum("n").over(Window.partitionBy("bracket").orderBy("value"))
-    # at most two ranks per bracket go in and come back
-    wanted = df.sparkSession.createDataFrame(ranks, "bracket int, rank bigint, offset bigint")
-    hits = (
-        histogram.withColumn("upto", upto)
-        .join(F.broadcast(wanted), "bracket")
-        .where("offset < upto and offset >= upto - n")
-        .select("bracket", "rank", "value")
-    )
-    for hit in hits.collect():
-        found[hit["bracket"], hit["rank"]] = hit["value"]
-    return found
-
-
-def _bracketed(
-    df: DataFrame, fields: Fields, probs: list[float], options: Options
-) -> dict[int, Measured]:
-    counts = df.selectExpr(*[f"count({sqltext.name(f.name)}) as n_{no}" for no, f in fields]).first()
-    found: dict[int, Measured] = {}
-    brackets, owners = [], []
-    for no, f in fields:
-        n = counts[f"n_{no}"]
-        found[no] = (n, [] if n else [None] * len(probs))
-        for p in probs if n else []:
-            position = p * (n - 1)
-            first, last = math.floor(position), math.ceil(position)
-            brackets.append(_Bracket(f.name, first, last, inside=n))
-            owners.append((no, position))
-    _narrow(df, brackets, options)
-    values = _finish(df, brackets)
-    for i, ((no, position), b) in enumerate(zip(owners, brackets)):
-        low, high = values[i, b.first], values[i, b.last]
-        found[no][1].append(low + (high - low) * (position - b.first))
-    return found
-
-
 def _aggregated(df: DataFrame, key: int, fields: Fields, aggregate: str) -> DataFrame:
     """(key, column_no, n, q) of one group of columns; aggregate is SQL text around {}."""
     measured = df.selectExpr(
@@ -182,6 +52,49 @@ def row_counts(tables: dict[Hashable, DataFrame]) -> dict[Hashable, int]:
     return {keys[row["key"]]: row["n"] for row in union_all(counted).collect()}
 
 
+def _ranked(
+    tables: dict[str, tuple[DataFrame, Fields]], probs: list[float]
+) -> dict[str, dict[int, Measured]]:
+    """Exact quantiles of all columns from one run of ranks."""
+    columns = [(t, no, f) for t, (_, fields) in tables.items() for no, f in fields]
+    parts = []
+    for t, (df, _) in tables.items():
+        rows = [(pos, as_double(f.name)) for pos, (of, _, f) in enumerate(columns) if of == t]
+        parts.append(stack_rows(df, rows, ["pos", "value"]))
+    counted = union_all(parts).where("value is not null").groupBy("pos", "value")
+    ranked = running_sums(
+        counted.agg(F.count(F.lit(1)).alias("n")), ["pos"], "value", {"upto": F.col("n")}
+    )
+    # one row per column
+    sizes = {r["pos"]: r["n"] for r in ranked.groupBy("pos").agg(F.max("upto").alias("n")).collect()}
+    places = {
+        (pos, rank)
+        for pos, n in sizes.items()
+        for p in probs
+        for rank in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))
+    }
+    values: dict[tuple[int, int], float] = {}
+    if places:
+        # at most two ranks per column and probability go in and come back
+        wanted = ranked.sparkSession.createDataFrame(sorted(places), "pos int, place bigint")
+        hits = ranked.join(F.broadcast(wanted), "pos").where("place < upto and place >= upto - n")
+        values = {(r["pos"], r["place"]): r["value"] for r in hits.collect()}
+    found: dict[str, dict[int, Measured]] = {t: {} for t in tables}
+    for pos, (t, no, _) in enumerate(columns):
+        n, quantiles = sizes.get(pos, 0), []
+        for p in probs:
+            at = p * (n - 1)
+            low, high = math.floor(at), math.ceil(at)
+            if not n:
+                quantiles.append(None)
+            elif low == high or values[pos, low] == values[pos, high]:
+                quantiles.append(values[pos, low])
+            else:
+                quantiles.append((high - at) * values[pos, low] + (at - low) * values[pos, high])
+        found[t][no] = (n, quantiles)
+    return found
+
+
 def catalog_quantiles(
     tables: dict[str, tuple[DataFrame, Fields]],
     probs: list[float],
@@ -190,9 +103,7 @@ def catalog_quantiles(
 ) -> dict[str, dict[int, Measured]]:
     """{table: {column number: (non-missing count, quantiles)}}; a few numbers per column.
 
-    Small tables are measured together in one job, in column groups whose values fit
-    the buffer. ``approximate`` returns the built-in sketch's values, within 1/10000 of
-    the rank.
+    ``approximate`` returns the built-in sketch's values, within 1/10000 of the rank.
     """
     if method not in ("exact", "approximate"):
         raise ValueError(f"unknown method: {method}")
@@ -204,32 +115,19 @@ def catalog_quantiles(
     }
     if not cleaned:
         return found
+    if method == "exact":
+        return found | _ranked(cleaned, probs)
     points = f"array({', '.join(sqltext.double(p) for p in probs)})"
+    aggregate = f"percentile_approx({{}}, {points}, {ACCURACY})"
     keys = list(cleaned)
-    parts = []
-    if method == "approximate":
-        aggregate = f"percentile_approx({{}}, {points}, {ACCURACY})"
-        for key, t in enumerate(keys):
-            df, fields = cleaned[t]
-            parts += [
-                _aggregated(df, key, group, aggregate)
-                for group in chunks(fields, options.aggregates_per_job // 2)
-            ]
-    else:
-        aggregate = f"percentile({{}}, {points})"
-        rows = row_counts({t: df for t, (df, _) in cleaned.items()})
-        for key, t in enumerate(keys):
-            df, fields = cleaned[t]
-            if rows[t] > options.quantile_buffer_rows:
-                found[t] = _bracketed(df, fields, probs, options)
-                continue
-            fitting = options.quantile_buffer_rows // max(rows[t], 1)
-            size = min(fitting, options.aggregates_per_job // 2)
-            parts += [_aggregated(df, key, group, aggregate) for group in chunks(fields, size)]
-    if parts:
-        for row in union_all(parts).collect():
-            values = row["q"] if row["q"] is not None else [None] * len(probs)
-            found[keys[row["key"]]][row["column_no"]] = (row["n"], list(values))
+    parts = [
+        _aggregated(df, key, group, aggregate)
+        for key, (df, fields) in enumerate(cleaned.values())
+        for group in chunks(fields, options.aggregates_per_job // 2)
+    ]
+    for row in union_all(parts).collect():
+        values = row["q"] if row["q"] is not None else [None] * len(probs)
+        found[keys[row["key"]]][row["column_no"]] = (row["n"], list(values))
     return found
 
 

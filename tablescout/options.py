@@ -24,11 +24,6 @@ class Options:
     preview_columns: int = 12
     sql_rows: int = 10
 
-    # Up to this many values are held in one aggregation buffer for exact quantiles;
-    # longer columns are narrowed down by brackets.
-    quantile_buffer_rows: int = 1_000_000
-    # A bracket of at most this many rows is finished by sorting its histogram.
-    quantile_bracket_rows: int = 200_000
     # Above this many rows the value sample is thinned by hash before its shuffle.
     sample_prefilter_rows: int = 2_000_000
     # Aggregates per job, so that generated code stays compilable on wide tables.

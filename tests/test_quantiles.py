@@ -5,17 +5,14 @@ import pytest
 
 from tablescout.operators.columns import numeric_fields
 from tablescout.operators.quantiles import column_quantiles
-from tablescout.options import Options
 
 PROBS = [0.0, 0.25, 0.5, 0.75, 1.0]
-# every column is longer than the buffer, every bracket wider than the last one
-NARROW = Options(quantile_buffer_rows=10, quantile_bracket_rows=20)
 
 
-def check(spark, columns, options):
+def check(spark, columns, partitions):
     names = ", ".join(f"c{i} double" for i in range(len(columns)))
-    df = spark.createDataFrame(list(zip(*columns)), names).repartition(5)
-    found = column_quantiles(df, numeric_fields(df), PROBS, options)
+    df = spark.createDataFrame(list(zip(*columns)), names).repartition(partitions)
+    found = column_quantiles(df, numeric_fields(df), PROBS)
     for (n, values), column in zip((found[i + 1] for i in range(len(columns))), columns):
         present = [v for v in column if v is not None]
         assert n == len(present)
@@ -25,8 +22,8 @@ def check(spark, columns, options):
             assert values == pytest.approx(list(np.quantile(present, PROBS)), rel=1e-12)
 
 
-@pytest.mark.parametrize("options", [Options(), NARROW], ids=["buffer", "brackets"])
-def test_against_numpy(spark, options):
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_against_numpy(spark, partitions):
     rng = random.Random(3)
     size = 3001
     uniform = [rng.random() for _ in range(size)]
@@ -36,9 +33,9 @@ def test_against_numpy(spark, options):
     wide = [rng.choice((-1, 1)) * 10 ** rng.uniform(-5, 15) for _ in range(size)]
     none = [None] * size
     nans = [float("nan") if i % 3 == 0 else float(i) for i in range(size)]
-    check(spark, [uniform, heavy, two, gaps, wide, none], options)
+    check(spark, [uniform, heavy, two, gaps, wide, none], partitions)
     df = spark.createDataFrame([(v,) for v in nans], "c0 double")
-    n, values = column_quantiles(df, numeric_fields(df), [0.5], options)[1]
+    n, values = column_quantiles(df, numeric_fields(df), [0.5])[1]
     kept = [v for v in nans if v == v]
     assert (n, values) == (len(kept), [float(np.median(kept))])
 
@@ -48,7 +45,6 @@ def test_single_value_and_empty(spark):
     assert column_quantiles(df, numeric_fields(df), [0.25, 0.75]) == {1: (1, [1.5, 1.5])}
     empty = df.where("c0 > 2")
     assert column_quantiles(empty, numeric_fields(empty), [0.25]) == {1: (0, [None])}
-    assert column_quantiles(empty, numeric_fields(empty), [0.25], NARROW) == {1: (0, [None])}
 
 
 def test_approximate_is_close(spark):
