@@ -693,20 +693,22 @@ def sql_rows() -> str:
            from orders where o_totalprice > 100000"""
 
 
+_RAN = """ran as (
+    select case when n_regionkey = 0 then '(Root Folder)' else 'r' || n_regionkey end as folder,
+           'n' || n_nationkey || '.sql' as file_name,
+           case n_nationkey % 5 when 0 then 'EMPTY' when 1 then 'COMPLETED WITH ERRORS' else 'SUCCESS' end as status,
+           cast(n_nationkey % 5 = 1 as bigint) as failed_batches
+    from nation)"""
+
+
 def file_status() -> str:
-    return """select * from (values
-        ('reports/segments.sql', 'reports', 'segments.sql', 'COMPLETED WITH ERRORS', 1::bigint),
-        ('reports/Keys.sql', 'reports', 'Keys.sql', 'SUCCESS', 0::bigint),
-        ('lonely.sql', '(Root Folder)', 'lonely.sql', 'COMPLETED WITH ERRORS', 1::bigint),
-        ('blank.sql', '(Root Folder)', 'blank.sql', 'EMPTY', 0::bigint))
-        t(path, folder, file_name, status, failed_batches)"""
+    return f"""with {_RAN} select case when folder = '(Root Folder)' then file_name else folder || '/' || file_name end as path,
+        folder, file_name, status, failed_batches from ran"""
 
 
 def run_summary() -> str:
-    return (
-        "select 4::bigint as total_files, 1::bigint as successful, 2::bigint as failed_or_errors, "
-        "1::bigint as empty_files"
-    )
+    return f"""with {_RAN} select count(*) as total_files, count(*) filter (status = 'SUCCESS') as successful,
+        count(*) filter (status like '%ERRORS') as failed_or_errors, count(*) filter (status = 'EMPTY') as empty_files from ran"""
 
 
 def folder_breaks() -> str:

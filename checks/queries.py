@@ -286,12 +286,13 @@ def sql_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sqlruns.sql_batches(_view(spark, sf_dir, views.SCRIPTS, "customer"))
 
 
-def _run(spark: SparkSession, sf_dir: str) -> sqlruns.SqlRun:
+def _run(spark: SparkSession, sf_dir: str, scripts: DataFrame | None = None) -> sqlruns.SqlRun:
     def prepare(session: SparkSession) -> None:
         for name, df in catalogs.parquet_catalog(session, sf_dir, ["customer", "orders"]).items():
             df.createOrReplaceTempView(name)
 
-    scripts = spark.createDataFrame(list(views.SQL_FILES.items()), "path string, text string")
+    if scripts is None:
+        scripts = spark.createDataFrame(list(views.SQL_FILES.items()), "path string, text string")
     return sqlruns.run_sql_files(spark, scripts, max_rows=4, prepare=prepare)
 
 
@@ -308,7 +309,7 @@ def sql_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = _run(spark, sf_dir)
+    run = _run(spark, sf_dir, _view(spark, sf_dir, views.NATION_SCRIPTS, "nation"))
     failed = run.batches.groupBy("path").agg(F.count("error").alias("failed_batches"))
     return run.files.join(failed, "path", "left").select(
         "path",
@@ -320,7 +321,8 @@ def file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sqlruns.run_summary(_run(spark, sf_dir).files)
+    scripts = _view(spark, sf_dir, views.NATION_SCRIPTS, "nation")
+    return sqlruns.run_summary(_run(spark, sf_dir, scripts).files)
 
 
 def folder_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,3 +94,16 @@ SQL_FILES = {
     "lonely.sql": "select count(*) as n from big_orders\n",
     "blank.sql": "GO\n  \n",
 }
+
+# one script per nation: a fifth is blank, a fifth has a batch that fails
+NATION_SCRIPTS = """
+select case when n_regionkey = 0 then concat('n', n_nationkey, '.sql')
+            else concat('r', n_regionkey, '/n', n_nationkey, '.sql') end as path,
+       case n_nationkey % 5
+            when 0 then concat('GO', chr(10), '  ')
+            when 1 then concat('select count(*) as n from customer where c_nationkey = ', n_nationkey,
+                               '; -- one; two', chr(10), 'select c_name, "a;b" as x from customer', chr(10), 'GO', chr(10),
+                               'select no_such_column from customer', chr(10), 'go', chr(10), 'select 1 as last')
+            else concat('select count(*) as n from customer where c_nationkey = ', n_nationkey) end as text
+from {nation}
+"""

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tablescout.functions import paths
@@ -81,9 +83,21 @@ ROWS = (
 )
 
 
+# a semicolon outside of quotes and comments ends a statement
+MARKS = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|;""", re.S)
+COMMENT = re.compile(r"\s*(?:(?:--[^\n]*(?:\n|$)|/\*.*?\*/)\s*)*", re.S)
+
+
+def statements(code: str) -> list[str]:
+    """The statements of a batch; pieces of white space and comments only are left out."""
+    cuts = [-1, *(m.start() for m in MARKS.finditer(code) if m[0] == ";"), len(code)]
+    pieces = [code[a + 1 : b].strip() for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [p for p in pieces if not COMMENT.fullmatch(p)]
+
+
 def _first_rows(session: SparkSession, code: str, limit: int) -> tuple[list[str], list, bool] | None:
     """Columns, first rows and whether there are more; None without a result."""
-    result = session.sql(code.rstrip().rstrip(";"))
+    result = session.sql(code)
     if not result.columns:
         return None
     names = result.columns
@@ -96,18 +110,67 @@ def _summary(problem: Exception) -> str:
     return str(problem).split("\n\nJVM stacktrace")[0].strip()
 
 
+def _run_batch(session: SparkSession, key: tuple, code: str, limit: int) -> tuple[int, list, str | None]:
+    """Result sets, their first rows and the problem of the statement that failed, if any."""
+    result_sets, rows = 0, []
+    try:
+        for statement in statements(code):
+            captured = _first_rows(session, statement, limit)
+            if captured is not None:
+                result_sets += 1
+                names, fetched, truncated = captured
+                rows += [
+                    (*key, result_sets, i, names, list(row), truncated)
+                    for i, row in enumerate(fetched, start=1)
+                ]
+    except Exception as e:  # noqa: BLE001 - kept with the batch
+        return result_sets, rows, _summary(e)
+    return result_sets, rows, None
+
+
+def _run_file(
+    spark: SparkSession, script: Row, limit: int, prepare: Callable[[SparkSession], None] | None
+) -> tuple[tuple, list, list]:
+    """The file's row, its batches and their captured rows."""
+    path, started = script["path"], time.monotonic()
+    status, error, batches, rows = EMPTY, None, [], []
+    if script["batches"]:
+        try:
+            session = spark
+            if prepare is not None:
+                session = spark.newSession()
+                zone = "spark.sql.session.timeZone"
+                session.conf.set(zone, spark.conf.get(zone))
+                prepare(session)
+            problems = []
+            for no, code in script["batches"]:
+                result_sets, captured, problem = _run_batch(session, (path, no), code, limit)
+                rows += captured
+                batches.append((path, no, code, result_sets, problem))
+                if problem is not None:
+                    problems.append(f"Batch {no}: {problem}")
+            status = WITH_ERRORS if problems else SUCCESS
+            error = "\n".join(problems) or None
+        except Exception as e:  # noqa: BLE001 - outside any batch: the file failed
+            status, error = FAILED, _summary(e)
+    seconds = time.monotonic() - started
+    return (path, script["folder"], script["file_name"], status, error, seconds), batches, rows
+
+
 def run_sql_files(
     spark: SparkSession,
     scripts: DataFrame,
     max_rows: object = DEFAULTS.sql_rows,
     prepare: Callable[[SparkSession], None] | None = None,
+    at_once: int = DEFAULTS.sql_files,
 ) -> SqlRun:
     """Run every batch of every script (path, text), capturing the first rows.
 
-    A batch is one statement. An error is kept with its batch and the next one runs.
-    With prepare, each file gets a session of its own, set up by prepare, so temporary
-    views of one file do not reach another. Each batch is a Spark job; what comes back
-    to the driver is bounded by max_rows.
+    A batch is one or more statements; the first that fails ends its batch. The error is
+    kept and the next batch runs. With prepare, each file gets a session of its own, set up
+    by prepare, so temporary views of one file do not reach another, and several files run
+    at once. Each statement is a Spark job; what comes back to the driver is bounded by
+    max_rows per statement.
     """
     limit = row_limit(max_rows)
     split = (
@@ -123,45 +186,13 @@ def run_sql_files(
         )
         .orderBy(F.lower("folder"), F.lower("file_name"), "path")
     )
-    files, batches, rows = [], [], []
-    for script in split.toLocalIterator():
-        path, started = script["path"], time.monotonic()
-        status, error = EMPTY, None
-        if script["batches"]:
-            try:
-                session = spark
-                if prepare is not None:
-                    session = spark.newSession()
-                    session.conf.set(
-                        "spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone")
-                    )
-                    prepare(session)
-                problems = []
-                for no, code in script["batches"]:
-                    result_sets, problem = 0, None
-                    try:
-                        captured = _first_rows(session, code, limit)
-                        if captured is not None:
-                            result_sets = 1
-                            names, fetched, truncated = captured
-                            rows += [
-                                (path, no, 1, i, names, list(row), truncated)
-                                for i, row in enumerate(fetched, start=1)
-                            ]
-                    except Exception as e:  # noqa: BLE001 - kept with the batch
-                        problem = _summary(e)
-                        problems.append(f"Batch {no}: {problem}")
-                    batches.append((path, no, code, result_sets, problem))
-                status = WITH_ERRORS if problems else SUCCESS
-                error = "\n".join(problems) or None
-            except Exception as e:  # noqa: BLE001 - outside any batch: the file failed
-                status, error = FAILED, _summary(e)
-        seconds = time.monotonic() - started
-        files.append((path, script["folder"], script["file_name"], status, error, seconds))
+    with ThreadPoolExecutor(at_once if prepare is not None else 1) as pool:
+        work: Iterable[Row] = split.toLocalIterator()
+        ran = list(pool.map(lambda script: _run_file(spark, script, limit, prepare), work))
     return SqlRun(
-        spark.createDataFrame(files, FILES),
-        spark.createDataFrame(batches, BATCHES),
-        spark.createDataFrame(rows, ROWS),
+        spark.createDataFrame([f for f, _, _ in ran], FILES),
+        spark.createDataFrame([b for _, batches, _ in ran for b in batches], BATCHES),
+        spark.createDataFrame([r for _, _, rows in ran for r in rows], ROWS),
     )
 
 

@@ -23,6 +23,7 @@ class Options:
     preview_rows: int = 10
     preview_columns: int = 12
     sql_rows: int = 10
+    sql_files: int = 5
 
     # Above this many rows the value sample is thinned by hash before its shuffle.
     sample_prefilter_rows: int = 2_000_000

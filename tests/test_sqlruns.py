@@ -61,11 +61,13 @@ def test_rows_errors_and_status(spark):
         "b/two.sql": "COMPLETED WITH ERRORS",
         "one.sql": "SUCCESS",
         "B/four.sql": "EMPTY",
-        "many.sql": "COMPLETED WITH ERRORS",
+        "many.sql": "SUCCESS",
     }
+    many = result.rows.where("path = 'many.sql'").orderBy("result_set_no").collect()
+    assert [(r["result_set_no"], r["columns"], r["cells"]) for r in many] == [(1, ["a"], ["1"]), (2, ["b"], ["2"])]
     error = result.files.where("path = 'b/two.sql'").first()["error"]
     assert error.startswith("Batch 2: ") and "DIVIDE_BY_ZERO" in error
-    assert tuple(sqlruns.run_summary(result.files).first()) == (4, 1, 2, 1)
+    assert tuple(sqlruns.run_summary(result.files).first()) == (4, 2, 1, 1)
 
 
 def test_files_do_not_share_views(spark):
@@ -95,3 +97,23 @@ def test_folder_breaks(spark):
         ("b/c.sql", True),
         ("b/x.sql", False),
     ]
+
+
+@pytest.mark.parametrize(
+    ("code", "expected"),
+    [
+        ("select 1; select 2;", ["select 1", "select 2"]),
+        ("select ';' as a, \";\" as b, `;` from t", ["select ';' as a, \";\" as b, `;` from t"]),
+        ("select 'it''s; ok' -- no; end\n; /* a; b */ select 2", ["select 'it''s; ok' -- no; end", "/* a; b */ select 2"]),
+        (" ;; -- nothing\n", []),
+        ("select 'open; quote", ["select 'open", "quote"]),
+    ],
+)
+def test_statements(code, expected):
+    assert sqlruns.statements(code) == expected
+
+
+def test_a_failing_statement_ends_its_batch(spark):
+    result = run(spark, {"a.sql": "select 1 as a; select no_such; select 3 as c\nGO\nselect 4 as d"})
+    assert [r["columns"] for r in result.rows.orderBy("batch_no", "result_set_no").collect()] == [["a"], ["d"]]
+    assert [r["result_sets"] for r in result.batches.orderBy("batch_no").collect()] == [1, 1]
