@@ -44,19 +44,28 @@ NUMBER_TEXT = (
 # fixed values: the date layouts tried on text columns, each with the shape a value
 # must have before it is parsed, so that plain text never reaches the parser
 DATE_LAYOUTS = (
-    ("yyyy-MM-dd", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"),
-    ("yyyy-MM-dd HH:mm", r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}$"),
-    ("yyyy-MM-dd HH:mm:ss", r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"),
+    ("yyyy-M-d", r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"),
+    ("yyyy-M-d H:mm", r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{2}$"),
+    ("yyyy-M-d H:mm:ss", r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$"),
+    ("yyyy-M-d H:mm:ss.[SSSSSSSSS][SSSSSS][SSS]", r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2} [0-9]{1,2}:[0-9]{2}:[0-9]{2}\.(?:[0-9]{3}){1,3}$"),
     ("yyyy-MM-dd'T'HH:mm:ss", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}$"),
-    ("yyyy/MM/dd", r"^[0-9]{4}/[0-9]{2}/[0-9]{2}$"),
-    ("MM/dd/yyyy", r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$"),
-    ("dd/MM/yyyy", r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$"),
-    ("MM-dd-yyyy", r"^[0-9]{2}-[0-9]{2}-[0-9]{4}$"),
-    ("dd-MM-yyyy", r"^[0-9]{2}-[0-9]{2}-[0-9]{4}$"),
-    ("dd.MM.yyyy", r"^[0-9]{2}\.[0-9]{2}\.[0-9]{4}$"),
-    ("dd MMM yyyy", r"^[0-9]{2} [A-Z][a-z]{2} [0-9]{4}$"),
-    ("MMM dd, yyyy", r"^[A-Z][a-z]{2} [0-9]{2}, [0-9]{4}$"),
+    ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]XXX", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.(?:[0-9]{3}){1,3})?(?:Z|[+-][0-9]{2}:[0-9]{2})$"),
+    ("yyyy/M/d", r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$"),
+    ("M/d/yyyy", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"),
+    ("d/M/yyyy", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"),
+    ("M/d/yyyy H:mm", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}$"),
+    ("M/d/yyyy H:mm:ss", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$"),
+    ("M/d/yy", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$"),
+    ("d/M/yy", r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$"),
+    ("M-d-yyyy", r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$"),
+    ("d-M-yyyy", r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$"),
+    ("d.M.yyyy", r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$"),
+    ("d MMM yyyy", r"^[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4}$"),
+    ("d MMMM yyyy", r"^[0-9]{1,2} [A-Z][a-z]{2,8} [0-9]{4}$"),
+    ("MMM d, yyyy", r"^[A-Z][a-z]{2} [0-9]{1,2}, [0-9]{4}$"),
+    ("MMMM d, yyyy", r"^[A-Z][a-z]{2,8} [0-9]{1,2}, [0-9]{4}$"),
 )
+LONGEST_DATE = 35  # characters
 
 
 def strip(c: Column) -> Column:

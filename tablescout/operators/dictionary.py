@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescout.functions import sqltext
-from tablescout.functions.text import BLANK_TEXT, DATE_LAYOUTS, NUMBER_TEXT
+from tablescout.functions.text import BLANK_TEXT, DATE_LAYOUTS, LONGEST_DATE, NUMBER_TEXT
 from tablescout.operators.columns import (
     FLOAT_TYPES,
     INTEGER_TYPES,
@@ -43,12 +43,11 @@ def _fixed_label(kind: T.DataType) -> str | None:
 
 
 def _date_test(value: str, layout: str, shape: str) -> str:
-    """All layouts have a fixed length, which rules out most values without a regex."""
-    size = len(layout.replace("'", ""))
+    """The length rules out long texts without a regex, the shape most others without parsing."""
     parsed = f"try_to_timestamp({value}, {sqltext.text(layout)}) is not null"
     return (
-        f"case when octet_length({value}) = {size} and {value} rlike {sqltext.text(shape)} "
-        f"then {parsed} else false end"
+        f"case when octet_length({value}) between 6 and {LONGEST_DATE} "
+        f"and {value} rlike {sqltext.text(shape)} then {parsed} else false end"
     )
 
 

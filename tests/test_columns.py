@@ -188,3 +188,33 @@ def test_catalogs_without_fitting_columns(spark):
     assert keys.cardinality(nested).collect() == []
     assert keys.duplicate_rows(nested).collect() == []
     assert describe.first_rows(nested, {"t": None}).columns[:3] == ["table_name", "column_name", "row_1"]
+
+
+DATES = {
+    "iso": ["2024-01-05", "2024-1-5"],
+    "minute": ["2024-01-05 07:30", "2024-1-5 7:30"],
+    "second": ["2024-01-05 07:30:15", "2024-12-31 23:59:59"],
+    "fraction": ["2024-01-05 07:30:15.123", "2024-01-05 07:30:15.123456"],
+    "zone": ["2024-01-05T07:30:15Z", "2024-01-05T07:30:15.250+02:00"],
+    "us": ["1/5/2024", "12/31/2024"],
+    "eu": ["31/1/2024", "1/12/2024"],
+    "us_time": ["1/5/2024 7:30", "12/31/2024 23:59"],
+    "short_year": ["1/5/24", "12/31/99"],
+    "dots": ["5.1.2024", "31.12.2024"],
+    "month": ["5 Jan 2024", "31 Dec 2024"],
+    "full_month": ["5 January 2024", "31 December 2024"],
+    "named": ["January 5, 2024", "September 30, 2024"],
+}
+NO_DATES = {"day_32": ["32/13/2024", "1/5/2024"], "words": ["Maybe 5, 2024", "5 Foo 2024"], "version": ["1.2.3.4", "10.0.0.1"]}
+
+
+def test_date_layouts(spark):
+    from tablescout.operators.dictionary import data_dictionary
+
+    columns = DATES | NO_DATES
+    rows = [tuple(v[i] for v in columns.values()) for i in range(2)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
+    found = {r["column_name"]: (r["data_type"], r["error_count"]) for r in data_dictionary({"t": df}).collect()}
+    for name in DATES:
+        assert found[name] == ("date (stored as text)", 0), (name, found[name])
+    assert all(found[name][0] != "date (stored as text)" or found[name][1] for name in NO_DATES)
