@@ -590,6 +590,13 @@ def cluster_report() -> str:
 # ---- sources -------------------------------------------------------------------
 
 
+def file_manifest() -> str:
+    # a header line, and a line for every key
+    return """select 'c_mktsegment=' || c_mktsegment as folder, '.csv' as suffix, 1::bigint as files,
+        cast(length('c_custkey') + 1 + sum(length(cast(c_custkey as varchar)) + 1) as bigint) as bytes
+        from customer group by c_mktsegment"""
+
+
 def table_names() -> str:
     return f"""with f as ({_filled(views.FILES)}),
     n as (select *, row_number() over (partition by stem order by path) as i from f)
@@ -826,6 +833,7 @@ def speak_numbers() -> str:
 
 def oracle_sql() -> dict[str, str]:
     made = [
+        file_manifest,
         table_names,
         read_encoded,
         sniff_delimiter,

@@ -69,8 +69,15 @@ def _catalog(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFra
 
 
 def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = files.file_manifest(spark, sf_dir, [".parquet"])
-    return found.select("folder", "file_name", "stem", "suffix", "length")
+    """Files written from the customers, one per segment, as the listing shows them."""
+    path = scratch_path(spark, "manifest")
+    customer = _table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey")
+    writer = customer.repartition("c_mktsegment").write.partitionBy("c_mktsegment")
+    writer.option("header", True).csv(path)
+    found = files.file_manifest(spark, path, [".csv"])
+    return found.groupBy("folder", "suffix").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes")
+    )
 
 
 def table_names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,12 @@ def _relative(path: Column, root: str) -> Column:
     return F.when(path.startswith(base), F.substring(path, len(base) + 1, 1 << 20)).otherwise(path)
 
 
+def _glob(suffixes: Iterable[str]) -> str:
+    """A file name pattern for some suffixes in either case, for the listing itself."""
+    either = lambda s: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s)
+    return "*{" + ",".join(map(either, suffixes)) + "}"
+
+
 def file_manifest(
     spark: SparkSession,
     root: str,
@@ -58,9 +64,11 @@ def file_manifest(
     Only the listing is used, file contents are never read. Spark listings hide names
     that start with '_' or '.' and files without a byte.
     """
+    suffixes = list(suffixes)
     listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", _glob(suffixes))
         .load(root)
         .select(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/").alias("path"), "length")
     )
@@ -354,9 +362,11 @@ def text_catalog(
     Bytes that are not UTF-8 become U+FFFD, or vanish with ``errors="ignore"``. Line
     ends are read as a line feed.
     """
+    suffixes = list(suffixes)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", _glob(suffixes))
         .load(root)
         .select(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/").alias("path"), "content")
         .where(paths.suffix(F.col("path")).isin(*suffixes))
