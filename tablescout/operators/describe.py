@@ -27,7 +27,7 @@ from tablescout.operators.columns import (
     value_counts,
     with_order,
 )
-from tablescout.operators.outliers import Quartiles, catalog_quartiles, table_outlier_examples
+from tablescout.operators.outliers import Quartiles, table_outlier_examples
 from tablescout.operators.quantiles import Measured, catalog_quantiles, row_counts
 from tablescout.options import DEFAULTS, Options
 
@@ -236,10 +236,11 @@ def describe_tables(
     """Descriptions of all tables that have rows, with their shape."""
     rows = row_counts(catalog)
     filled = {t: df for t, df in catalog.items() if rows[t] and flat_fields(df)}
-    if not filled:
-        raise ValueError("no table has rows to describe")
-    quartiles_of = catalog_quartiles(filled, options)
-    medians = _medians(filled, options)
+    # quartiles and medians come from the same run
+    tables = {t: (df, numeric_fields(df)) for t, df in filled.items()}
+    measured = catalog_quantiles(tables, [0.25, 0.5, 0.75], options) if filled else {}
+    quartiles_of = {t: {no: (n, q[0], q[2]) for no, (n, q) in m.items()} for t, m in measured.items()}
+    medians = {t: {no: (n, [q[1]]) for no, (n, q) in m.items()} for t, m in measured.items()}
     return union_all(
         [
             _table_description(df, order_by[t], quartiles_of[t], medians[t], options).select(
@@ -249,5 +250,9 @@ def describe_tables(
                 "*",
             )
             for t, df in filled.items()
-        ]
+        ],
+        "table_name string, table_rows bigint, table_columns int, column_no int, column_name string, "
+        "data_type string, "
+        + "".join(f"row_{i} string, " for i in range(1, options.first_rows + 1))
+        + "mode string, mean string, median string, value_range string, outliers string",
     )

@@ -218,3 +218,12 @@ def test_date_layouts(spark):
     for name in DATES:
         assert found[name] == ("date (stored as text)", 0), (name, found[name])
     assert all(found[name][0] != "date (stored as text)" or found[name][1] for name in NO_DATES)
+
+
+def test_describe_without_rows(spark):
+    from tablescout.operators import describe
+
+    empty = spark.createDataFrame([], "a int, b string")
+    got = describe.describe_tables({"e": empty}, {"e": None})
+    full = describe.describe_tables({"e": spark.createDataFrame([(1, "x")], "a int, b string")}, {"e": None})
+    assert got.collect() == [] and got.columns == full.columns

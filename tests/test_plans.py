@@ -4,11 +4,11 @@ import re
 
 import pytest
 
-import __spark_entry__
+from checks.queries import queries
 from tablescout.operators import describe, keys, similarity
 from tablescout.operators.columns import value_counts
 
-QUERIES = __spark_entry__.queries()
+QUERIES = queries()
 
 
 def plan_of(df):

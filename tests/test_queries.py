@@ -4,9 +4,12 @@ import pytest
 
 import __spark_entry__
 from checks.compare import differences, duck
+from checks.oracles import oracle_sql
+from checks.queries import queries
 
-QUERIES = __spark_entry__.queries()
-ORACLES = __spark_entry__.oracle_sql()
+# those of the corpus package have tests of their own
+QUERIES = queries()
+ORACLES = oracle_sql()
 
 
 @pytest.fixture(scope="module")
