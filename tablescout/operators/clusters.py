@@ -24,7 +24,7 @@ from tablescout.operators.columns import (
 )
 from tablescout.operators.numbering import number_rows, running_sums
 from tablescout.options import DEFAULTS, Options
-from tablescout.session import cut_lineage
+from tablescout.session import written
 
 MIN_VALUES = 10
 CENTRE_DECIMALS = 9
@@ -97,7 +97,7 @@ def _histogram(catalog: dict[str, DataFrame], targets: list[_Target]) -> DataFra
         if rows:
             parts.append(stack_rows(missing_to_null(df), rows, ["pos", "v"]))
     counted = union_all(parts).where(F.col("v").isNotNull()).groupBy("pos", "v")
-    return cut_lineage(counted.agg(F.count(F.lit(1)).alias("n")))
+    return written(counted.agg(F.count(F.lit(1)).alias("n")), "counts")
 
 
 def _first_centres(histogram: DataFrame, options: Options) -> dict[Fit, list[float]]:

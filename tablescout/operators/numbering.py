@@ -6,10 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tablescout.operators.columns import col
-from tablescout.session import cut_lineage
+from tablescout.session import cut_lineage, written
 
 POSITION_BITS = 33  # monotonically_increasing_id keeps the partition above these
 
@@ -20,10 +21,12 @@ def number_rows(
     """Add 1, 2, 3 .. in the given order, starting again per group if within is given.
 
     Rows are range-partitioned by group and order, so a group of any size is spread
-    over many tasks. The sorted rows are written once: their positions must not change
+    over many tasks; rows with equal keys are spread by a hash of their values, which also
+    orders them. The sorted rows are written once: their positions must not change
     while the partition offsets are worked out.
     """
-    keys = [col(c) for c in (within or []) + order_by]
+    hashable = [col(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    keys = [*[col(c) for c in (within or []) + order_by], F.xxhash64(*hashable)]
     placed = cut_lineage(
         df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
@@ -66,7 +69,7 @@ def running_sums(df: DataFrame, group: list[str], order: str, sums: dict[str, Co
     earlier partitions hold of the group is a row per partition and group.
     """
     placed = df.repartitionByRange(*group, order).withColumn("_part", F.spark_partition_id())
-    placed = cut_lineage(placed)
+    placed = written(placed, "running")
     inside = Window.partitionBy("_part", *group).orderBy(order)
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy("_part", *group).agg(*[F.sum(x).alias(f"_{n}") for n, x in sums.items()])

@@ -24,7 +24,7 @@ from tablescout.operators.columns import (
 )
 from tablescout.operators.quantiles import row_counts
 from tablescout.options import DEFAULTS, Options
-from tablescout.session import cut_lineage
+from tablescout.session import written
 
 HASH_DIGITS = 16
 SPARE = 4  # the thinned sample aims at this many times the wanted size
@@ -117,7 +117,7 @@ def _columns_by_table(catalog: dict[str, DataFrame]) -> dict[str, list[_CatalogC
 def column_values(catalog: dict[str, DataFrame]) -> DataFrame:
     """(pos, value): the distinct values of every column."""
     cells = [_match_values(catalog[t], cs, {}) for t, cs in _columns_by_table(catalog).items()]
-    return cut_lineage(union_all(cells).distinct())
+    return written(union_all(cells).distinct(), "values")
 
 
 def _sampled_values(catalog: dict[str, DataFrame], options: Options) -> DataFrame:
@@ -135,7 +135,7 @@ def _sampled_values(catalog: dict[str, DataFrame], options: Options) -> DataFram
         if rows_of[table] > options.sample_prefilter_rows:
             limits |= _hash_limits(catalog[table], columns, wanted, options)
     cells = [_match_values(catalog[t], cs, limits) for t, cs in by_table.items()]
-    sample = cut_lineage(_smallest_by_hash(union_all(cells), wanted))
+    sample = written(_smallest_by_hash(union_all(cells), wanted), "sample")
     if not limits:
         return sample
     limited = sample.where(F.col("pos").isin(*limits))
@@ -148,7 +148,7 @@ def _sampled_values(catalog: dict[str, DataFrame], options: Options) -> DataFram
         for t, cs in by_table.items()
         if any(c.pos in short for c in cs)
     ]
-    redrawn = cut_lineage(_smallest_by_hash(union_all(again), wanted))
+    redrawn = written(_smallest_by_hash(union_all(again), wanted), "sample")
     return sample.where(~F.col("pos").isin(*short)).unionByName(redrawn)
 
 

@@ -46,6 +46,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table in the shared folder; readers of a part of it read that part."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and continue from the files."""
     spark = df.sparkSession
