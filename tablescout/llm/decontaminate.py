@@ -28,7 +28,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +52,7 @@ FOUND = "doc long, item long, score double, overlap double, answer_overlap doubl
 
 def _hashed(column: pa.Array) -> Iterator[tuple[int, int, kernel.Words, np.ndarray]]:
     """Words of lower-cased texts without ASCII punctuation, with their hashes, by slices."""
-    for low, high, data, offsets in kernel.texts(pc.utf8_lower(column)):
+    for low, high, data, offsets in kernel.texts(column, lower=True):
         w = kernel.words_of(data, offsets, gaps=kernel.MARK)
         yield low, high, w, kernel.hash_words(w)
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
 LONG_WORD = 64
@@ -184,11 +185,19 @@ def lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
     )
 
 
-def texts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, bytes, offsets) of slices of a text column."""
+def texts(
+    column: pa.Array, lower: bool = False, most: int = SLICE_BYTES
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, offsets) of slices of a text column.
+
+    With `lower` a slice is put into lower case, all letters of Unicode.
+    """
     data, offsets = flat(column)
-    for low, high in row_slices(offsets):
-        yield low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+    for low, high in row_slices(offsets, most):
+        if lower:
+            yield low, high, *flat(pc.utf8_lower(column.slice(low, high - low)))
+        else:
+            yield low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
 
 
 def pack_counts(counts: np.ndarray, chunks: int) -> pa.RecordBatch:

@@ -20,7 +20,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -224,10 +223,8 @@ def train(words: dict[str, dict[bytes, float]], pieces: Pieces) -> Model:
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, int, kernel.Words]]:
     """Words of lower-cased texts without ASCII punctuation, by slices."""
-    data, offsets = kernel.flat(pc.utf8_lower(column))
-    for low, high in kernel.row_slices(offsets, SLICE):
-        part = data[offsets[low] : offsets[high]]
-        yield low, high, kernel.words_of(part, offsets[low : high + 1] - offsets[low], gaps=kernel.MARK)
+    for low, high, data, offsets in kernel.texts(column, lower=True, most=SLICE):
+        yield low, high, kernel.words_of(data, offsets, gaps=kernel.MARK)
 
 
 def _count_words(most: int):

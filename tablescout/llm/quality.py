@@ -186,15 +186,18 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     return model
 
 
-def _score(shared):
+def _score(shared, with_text: bool):
+    """The columns of a batch and the score of its last one, a few MB of text at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = arrived(shared)
         for batch in batches:
-            parts = [np.zeros(0)]
-            for _, _, data, offsets in kernel.texts(batch.column(batch.num_columns - 1)):
-                parts.append(model.score(*features(data, offsets)))
-            columns = batch.columns[:-1] + [pa.array(np.concatenate(parts))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "score"])
+            kept_columns = batch.num_columns - (0 if with_text else 1)
+            names = [*batch.schema.names[:kept_columns], "score"]
+            for low, high, data, offsets in kernel.texts(batch.column(batch.num_columns - 1)):
+                columns = [c.slice(low, high - low) for c in batch.columns[:kept_columns]]
+                scores = pa.array(model.score(*features(data, offsets)))
+                yield pa.RecordBatch.from_arrays([*columns, scores], names)
 
     return run
 
@@ -228,15 +231,19 @@ def quality_scores(
     learn = broadcast_if_small(learn, learn.count())
     labelled = kept(texts.join(learn, "id").select("id", "text", "label"), "quality-labelled")
     shared = ship(docs.sparkSession, fit(labelled, sample_rows))
+    # the text travels once
+    others = [c for c in keep if c not in (id_col, text_col)]
+    with_text = text_col in keep
     rows = docs.select(
-        *[F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(keep)],
+        *[F.col(f"`{c}`").alias(f"k{n}") for n, c in enumerate(others)],
         F.col(id_col).alias("id"),
         (fold(id_col, folds) == held_fold).alias("held_out"),
-        text_of(text_col).alias("text"),
+        F.col(f"`{text_col}`").cast("string").alias("text"),
     )
-    schema = rows.drop("text").withColumn("score", F.lit(0.0)).schema
-    return rows.mapInArrow(_score(shared), schema).select(
-        *[F.col(f"k{n}").alias(c) for n, c in enumerate(keep) if c != id_col],
+    schema = (rows if with_text else rows.drop("text")).withColumn("score", F.lit(0.0)).schema
+    return rows.mapInArrow(_score(shared, with_text), schema).select(
+        *[F.col(f"k{n}").alias(c) for n, c in enumerate(others)],
+        *([F.col("text").alias(text_col)] if with_text else []),
         F.col("id").alias(id_col),
         "held_out",
         "score",

@@ -25,7 +25,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +49,7 @@ CACHE = 100_000
 
 def places(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, places of all terms, offsets) of slices; repeats stay."""
-    for low, high, data, offsets in kernel.texts(pc.utf8_lower(column)):
+    for low, high, data, offsets in kernel.texts(column, lower=True):
         w = kernel.words_of(data, offsets, gaps=kernel.MARK)
         doc = w.doc
         found, owner = [kernel.hash_words(w)], [doc]
