@@ -142,9 +142,9 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for low, high, data, offsets in kernel.texts(batch.column(1)):
             found, ends = features(data, offsets)
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found))
+            packed = [found[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             ids, labels = batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low)
-            yield pa.RecordBatch.from_arrays([ids, lists, labels], ["id", "features", "label"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(packed, pa.binary()), labels], ["id", "features", "label"])
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -165,10 +165,10 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     spread = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
     share = F.when(F.col("label") == 1, sample_rows / sizes[1]).otherwise(sample_rows / sizes[0])
     sample = labelled.filter(spread < share).select(F.col("id").cast("string"), "text", "label")
-    got = sample.mapInArrow(_rows, "id string, features array<int>, label int").collect()
+    got = sample.mapInArrow(_rows, "id string, features binary, label int").collect()
     # the same model for any order of rows
     got.sort(key=lambda r: (r["id"] or "", r["label"], r["features"]))
-    rows = [np.array(r["features"], np.int32) for r in got]
+    rows = [np.frombuffer(r["features"], np.int32) for r in got]
     label = np.array([r["label"] for r in got])
     held = np.arange(len(rows)) % 5 == 0
     # a row stands for as many as its class has per row of the sample
