@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -139,11 +139,13 @@ def sniff_separator(line: Column) -> Column:
     return F.when(most > 0, best).when(F.contains(line, F.lit(space)), F.lit(space)).otherwise(best)
 
 
-def file_traits(spark: SparkSession, files: str | list[str]) -> DataFrame:
+def file_traits(
+    spark: SparkSession, files: str | list[str], encodings: Sequence[str] = ENCODINGS
+) -> DataFrame:
     """(path, encoding, open_quotes, header, separator), one row per non-empty file.
 
-    Judged line by line, so that large files are split over tasks: the first encoding
-    of utf-8, cp1252 and latin-1 that every line allows, whether some line ends inside a
+    Judged line by line, so that large files are split over tasks: the first of the given
+    encodings (utf-8, cp1252, latin-1) that every line allows, whether some line ends inside a
     quoted field, and the first line with its separator.
     """
     line = F.col("value")
@@ -166,11 +168,13 @@ def file_traits(spark: SparkSession, files: str | list[str]) -> DataFrame:
     )
     path, header = _plain_path(F.col("file")), F.make_valid_utf8(F.col("header"))
     kind = F.lower(path)
+    allowed = dict(zip(ENCODINGS, (F.col("utf8"), ~F.col("undefined"), F.lit(True)), strict=True))
+    unknown = [e for e in encodings if e not in allowed]
+    if unknown or not encodings:
+        raise ValueError(f"encodings must be some of {', '.join(ENCODINGS)}")
     return judged.select(
         path.alias("path"),
-        F.when(F.col("utf8"), ENCODINGS[0])
-        .when(~F.col("undefined"), ENCODINGS[1])
-        .otherwise(ENCODINGS[2])
+        F.coalesce(*[F.when(allowed[e], F.lit(e)) for e in encodings])
         .alias("encoding"),
         "open_quotes",
         header.alias("header"),
@@ -328,18 +332,24 @@ def read_delimited(
 
 
 def read_table_folder(
-    spark: SparkSession, folder: str, bad_lines: str = "error", options: Options = DEFAULTS
+    spark: SparkSession,
+    folder: str,
+    bad_lines: str = "error",
+    options: Options = DEFAULTS,
+    encodings: Sequence[str] = ENCODINGS,
 ) -> DataFrame:
     """One table written as many files; files of one kind are read together.
 
     Every file has its own header line: columns meet by name, and those that a file lacks
     are NULL in its rows.
     """
-    kinds = file_traits(spark, folder).groupBy("encoding", "open_quotes", "separator", "header").agg(
+    kinds = file_traits(spark, folder, encodings).groupBy("encoding", "open_quotes", "separator", "header").agg(
         F.sort_array(F.collect_list("path")).alias("paths")
     )
     table = None
     for row in kinds.collect():  # the listing: one path per file
+        if row["encoding"] is None:
+            raise ValueError(f"no encoding of {', '.join(encodings)} fits {row['paths'][0]}")
         traits = FileTraits(row["encoding"], row["separator"], row["open_quotes"])
         part = read_text_table(spark, row["paths"], traits)
         table = part if table is None else table.unionByName(part, allowMissingColumns=True)

@@ -196,3 +196,16 @@ def test_folder_files_have_their_own_headers(spark, tmp_path):
     (tmp_path / "d.txt").write_text("x|y\n6|7\n")
     rows = files.read_table_folder(spark, str(tmp_path)).orderBy("x").collect()
     assert [(r["x"], r["y"], r["z"]) for r in rows] == [(1, 2, None), (3, 4, 5), (6, 7, None), (10, 20, None)]
+
+
+def test_encodings_are_tried_in_the_given_order(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_bytes("x\né\n".encode())
+    assert files.file_traits(spark, str(path)).first()["encoding"] == "utf-8"
+    assert files.file_traits(spark, str(path), ["latin-1", "utf-8"]).first()["encoding"] == "latin-1"
+    assert files.read_table_folder(spark, str(tmp_path), encodings=["latin-1"]).first()[0] == "Ã©"
+    path.write_bytes(b"x\n\x81\n")
+    with pytest.raises(ValueError):
+        files.read_table_folder(spark, str(tmp_path), encodings=["utf-8"])
+    with pytest.raises(ValueError):
+        files.file_traits(spark, str(path), ["ebcdic"])
