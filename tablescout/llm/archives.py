@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import check_columns, kept
+from tablescout.llm.common import check_columns, kept, small_batches
 from tablescout.session import scratch_path
 
 # fixed values: the record lines that the two versions announce
@@ -269,6 +269,7 @@ def write_arc(
     URLs is percent-encoded, a null id is left out of the response's head.
     """
     check_columns(pages, [id_col, url_col, html_col])
+    small_batches(pages.sparkSession)
     rows = pages.select(
         F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string")
     )

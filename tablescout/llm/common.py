@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 import zlib
 from collections.abc import Iterable
 
@@ -15,6 +16,7 @@ from tablescout.session import scratch_path
 # the white space between words: \x20 and \x09-\x0D
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+BATCH_BYTES = 4 << 20
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -29,6 +31,19 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit of an Arrow batch to BATCH_BYTES where it is larger.
+
+    Texts go to Python in batches; a task holds some copies of one, on both sides.
+    """
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    units = {"b": 0, "k": 10, "m": 20, "g": 30}
+    now = re.fullmatch(r"(-?\d+)([bkmg]?)b?", spark.conf.get(limit, "64m").lower())
+    size = int(now[1]) << units[now[2] or "b"] if now and int(now[1]) > 0 else None
+    if size is None or size > BATCH_BYTES:
+        spark.conf.set(limit, str(BATCH_BYTES))
+
+
 def text_of(name: str) -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.llm import kernel
-from tablescout.llm.common import arrived, check_columns, kept, ship, text_of
+from tablescout.llm.common import arrived, check_columns, kept, ship, small_batches, text_of
 
 SEGMENT = 48
 STEP = 64
@@ -261,6 +261,7 @@ def find_leaks(
     do no harm; an empty table on either side gives no rows.
     """
     check_columns(docs, [id_col, text_col])
+    small_batches(docs.sparkSession)
     check_columns(items, [item_col, item_text_col, *([answer_col] if answer_col else [])])
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long"), text_of(text_col).alias("text"))

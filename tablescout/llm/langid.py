@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablescout.llm import kernel
-from tablescout.llm.common import arrived, check_columns, fold, ship, text_of
+from tablescout.llm.common import arrived, check_columns, fold, ship, small_batches, text_of
 
 LONGEST = 16  # bytes of a piece
 TABLE_BITS = 20
@@ -314,6 +314,7 @@ def predict_language(
     table gives no rows.
     """
     check_columns(docs, [id_col, text_col, lang_col])
+    small_batches(docs.sparkSession)
     with open(vocabulary, "rb") as file:
         pieces = load_pieces(file.read())
     held = fold(id_col, folds) == held_fold

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.llm import kernel
-from tablescout.llm.common import broadcast_if_small, check_columns, kept, text_of
+from tablescout.llm.common import broadcast_if_small, check_columns, kept, small_batches, text_of
 from tablescout.llm.components import components
 
 CHUNKS = 64  # the count table travels in so many parts
@@ -357,6 +357,7 @@ def ngram_jaccard_join(
     """
     check_columns(docs, [id_col, text_col])
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     bits = min(24, max(20, math.ceil(math.log2(docs.count() + 1)) + 4))
     profiles = kept(rows.mapInArrow(_profiles(size, bits), PROFILE), "ngram-profiles")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.llm import kernel
-from tablescout.llm.common import arrived, broadcast_if_small, check_columns, fold, kept, ship, text_of
+from tablescout.llm.common import arrived, broadcast_if_small, check_columns, fold, kept, ship, small_batches, text_of
 
 BITS = 18
 SIZE = 1 << BITS
@@ -223,6 +223,7 @@ def quality_scores(
     An empty table of documents gives no rows.
     """
     check_columns(docs, [id_col, text_col, *keep])
+    small_batches(docs.sparkSession)
     check_columns(labels, [id_col, label_col])
     learn = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     learn = learn.filter(F.col("label").isin(0, 1) & (fold("id", folds) != held_fold))

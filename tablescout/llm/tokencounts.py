@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import check_columns
+from tablescout.llm.common import check_columns, small_batches
 
 RULES = ("start", "end", "most")
 BETWEEN = "\n\n"
@@ -143,6 +143,7 @@ def count_tokens(
     if rule not in RULES:
         raise ValueError(f"rule must be one of {', '.join(RULES)}")
     check_columns(docs, [id_col, *fields])
+    small_batches(docs.sparkSession)
     with open(vocabulary, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
     rows = docs.select(
