@@ -1,17 +1,21 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine on block-max indexes.
 
 Terms are words and word beginnings of 4, 5 and 6 bytes (lower case, without ASCII
-punctuation), hashed to 2^20 places. The vocabulary holds the up to `terms` places whose
-presence speaks for the label most (chi-square over all labelled rows, and LEAST_LIFT times
-as often as by chance). A document is its
-TF-IDF vector on that vocabulary, of unit length.
-
-The index holds examples, sorted so that like ones stand together, in blocks of BLOCK with
-every term's largest weight in the block. A query adds up the block bounds, opens blocks
-from the largest bound down and stops when no bound beats its k-th best cosine: exact. The k
-nearest vote with their cosines; a logistic curve fitted on the examples, each without
-itself, turns the vote into a probability. Equal cosines prefer the smaller id. The nearest
-examples are the evidence.
+punctuation), hashed to 2^20 places. A document is its TF-IDF vector over all its terms, of
+unit length; none is left out. The idf of a place comes from all labelled rows; it is
+raised by 1 + the logarithm of how many times as often the place is in toxic as in clean
+rows, where that is more than once (shares of each class, so that the mix of labels does not
+matter; SMOOTH rows of the mean share are added to both).
+
+The index holds examples, sorted so that like ones stand together, in blocks of BLOCK. What
+a query shares with an example in the most widespread terms (in WIDE of the examples, at most
+MOST_WIDE terms) comes from one matrix product for many queries. The other terms have their
+largest weight in each block that has them; a query adds up the block bounds, opens blocks
+from the largest bound down, and no block whose bound does not reach its k-th best. These sums are in
+single precision; whatever comes within SLACK of the k-th best is then worked out over all
+terms in double precision: exact. The k nearest vote with their cosines; a logistic curve
+fitted on the examples, each without itself, turns the vote into a probability. Equal
+cosines prefer the smaller id. The nearest examples are the evidence.
 
 Scale: counts leave a task as one compressed table. The index holds about `sample_rows`
 examples per class (rows whose hashed id is under a limit) and is broadcast; scoring is one
@@ -20,8 +24,11 @@ pass over the documents without a shuffle, and equal vectors of a task are searc
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +42,14 @@ BITS = 20
 SIZE = 1 << BITS
 CHUNKS = 64
 BEGINNINGS = (4, 5, 6)
-TERMS = 2_000
-LEAST_CHI = 30.0
-LEAST_LIFT = 3.0
-LEAST_ROWS = 3
+SMOOTH = 1.0
 SAMPLE_ROWS = 3_000
 BLOCK = 64
-OPENED = 4  # blocks at a time
+OPENED = 4  # blocks before the k-th best is known
+WIDE = 1 / 20
+MOST_WIDE = 1_024
+SLACK = 2e-4  # above the rounding of MOST_WIDE products in single precision
+TOGETHER = 128  # queries of a matrix product
 NEAREST = 15
 EVIDENCE = 3
 CACHE = 100_000
@@ -79,96 +87,173 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Vocabulary:
-    """column[place] is a term's number or -1; idf by number."""
+    """The weight of every place."""
 
-    column: np.ndarray
-    idf: np.ndarray
+    weight: np.ndarray
 
     def vectors(self, at: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Unit vectors (terms, weights) of texts; without a known term both are empty."""
-        number = self.column[at]
-        known = np.concatenate([[0], np.cumsum(number >= 0)])[offsets]
-        number = number[number >= 0]
+        """Unit vectors (places, weights) of texts; without a term both are empty."""
         out = []
-        for a, b in zip(known[:-1], known[1:], strict=True):
-            terms, times = np.unique(number[a:b], return_counts=True)
-            weight = (1 + np.log(times)) * self.idf[terms]
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            terms, times = np.unique(at[a:b], return_counts=True)
+            weight = (1 + np.log(times)) * self.weight[terms]
             out.append((terms, weight / np.sqrt((weight * weight).sum()) if len(terms) else weight))
         return out
 
 
-def choose_terms(counts: np.ndarray, rows: tuple[int, int], terms: int) -> Vocabulary:
-    """The places whose presence speaks for the label most."""
+def weigh_terms(counts: np.ndarray, rows: tuple[int, int]) -> Vocabulary:
+    """The idf of every place, raised where it speaks for the label."""
     clean, toxic = counts[:SIZE].astype(float), counts[SIZE:].astype(float)
     n = float(sum(rows))
-    seen = clean + toxic
-    even = seen * rows[1] / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = (toxic - even) ** 2 * n / (even * (1 - rows[1] / n) * (n - seen))
-    chi[(seen < LEAST_ROWS) | (toxic < LEAST_LIFT * even) | ~np.isfinite(chi)] = 0
-    best = np.argsort(-chi, kind="stable")[:terms]
-    best = np.sort(best[chi[best] >= LEAST_CHI])
-    column = np.full(SIZE, -1, np.int32)
-    column[best] = np.arange(len(best))
-    return Vocabulary(column, np.log((n + 1) / (seen[best] + 0.5)))
+    mean = SMOOTH / n
+    lift = (toxic / rows[1] + mean) / (clean / rows[0] + mean)
+    # a place of all rows keeps a weight
+    return Vocabulary(np.log((n + 1) / (clean + toxic + 0.5)) * (1 + np.log(np.maximum(lift, 1))))
 
 
 @dataclass
 class Index:
-    """Examples by position; postings of term t are part `post_at[t]` up, sorted by position."""
+    """Examples by position. Example p has the terms and weights `term_at[p]` up. Widespread
+    terms have a row of `wide`; any other term t has the entries `entry_at[t]` up, one for each
+    block that has it, and entry e the postings `post_at[e]` up, sorted by position."""
 
     ids: np.ndarray
     labels: np.ndarray
     blocks: int
+    term_at: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+    wide_terms: np.ndarray
+    wide: np.ndarray
+    entry_at: np.ndarray
+    block: np.ndarray
     top: np.ndarray
     post_at: np.ndarray
     position: np.ndarray
     weight: np.ndarray
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def __reduce__(self):
+        """Only the examples travel; the lists are made again on arrival."""
+        whole = self.ids, self.labels, np.diff(self.term_at), self.terms, self.weights
+        return _unpack, (*[(x.dtype.str, zlib.compress(x.tobytes(), 1)) for x in whole], len(self.entry_at) - 1)
+
+    @cached_property
+    def query(self) -> np.ndarray:
+        """Room for a query's weights by term; zero between searches."""
+        return np.zeros(len(self.entry_at) - 1)
+
+    def wide_sums(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What queries (rows) and examples (columns, filled up to whole blocks) share in widespread terms."""
+        dense = np.zeros((len(vectors), len(self.wide_terms)), np.float32)
+        for row, (terms, weights) in zip(dense, vectors, strict=True):
+            place = np.searchsorted(terms, self.wide_terms)
+            place[place == len(terms)] = 0
+            if len(terms):
+                hit = terms[place] == self.wide_terms
+                row[hit] = weights[place[hit]]
+        return dense @ self.wide
+
+    def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions and cosines of the k nearest examples of every vector."""
+        for low in range(0, len(vectors), TOGETHER):
+            some = vectors[low : low + TOGETHER]
+            for (terms, weights), sums in zip(some, self.wide_sums(some), strict=True):
+                yield self.nearest(terms, weights, k, sums=sums)
+
+    def nearest(
+        self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1, sums: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k nearest examples (cosine above 0), best first."""
         if not len(terms) or not len(self.ids):
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = weights @ self.top[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        at, owner = kernel.ranges(self.post_at[terms], self.post_at[terms + 1])
-        position, part = self.position[at], self.weight[at] * weights[owner]
-        block = position // BLOCK
-        rank = np.full(self.blocks, self.blocks)
-        rank[order] = np.arange(len(order))
-        best, cosine = np.zeros(0, np.int64), np.zeros(0)
-        low, step = 0, OPENED
-        while low < len(order):
-            if len(best) >= k and bound[order[low]] < cosine[k - 1] - 1e-9:
-                break
-            mine = (rank[block] >= low) & (rank[block] < low + step)
-            new, back = np.unique(position[mine], return_inverse=True)
-            best = np.concatenate([best, new])
-            cosine = np.concatenate([cosine, np.bincount(back, part[mine], len(new))])
-            keep = best != without
-            best, cosine = best[keep], cosine[keep]
-            first = np.lexsort((self.ids[best], -np.round(cosine, 12)))[: max(k, 1)]
-            best, cosine = best[first], cosine[first]
-            low, step = low + step, step * 2
-        return best, cosine
+        sums = (self.wide_sums([(terms, weights)])[0] if sums is None else sums).astype(float)
+        if without >= 0:
+            sums[without] = 0
+        entry, owner = kernel.ranges(self.entry_at[terms], self.entry_at[terms + 1])
+        block, heavy = self.block[entry], weights[owner]
+        bound = np.bincount(block, self.top[entry] * heavy, self.blocks) + sums.reshape(-1, BLOCK).max(axis=1)
+        # the blocks of the largest bounds first, then all whose bound reaches the k-th best
+        first = np.zeros(self.blocks, bool)
+        first[np.argsort(-bound, kind="stable")[:OPENED]] = True
+        found, least = np.zeros(len(sums)), 0.0
+        for opened in (first, ~first):
+            opened = opened & (bound > 0) & (bound >= least - SLACK)
+            mine = np.flatnonzero(opened[block])
+            at, part = kernel.ranges(self.post_at[entry[mine]], self.post_at[entry[mine] + 1])
+            found += np.bincount(self.position[at], self.weight[at] * heavy[mine][part], len(sums))
+            found += np.where(np.repeat(opened, BLOCK), sums, 0)
+            if without >= 0:
+                found[without] = 0
+            least = np.partition(found, -k)[-k] if k < len(found) else 0.0
+        best = np.flatnonzero((found > 0) & (found >= least - SLACK))
+        cosine = self.cosines(best, terms, weights)
+        first = np.lexsort((self.ids[best], -np.round(cosine, 12)))[:k]
+        return best[first], cosine[first]
+
+    def cosines(self, best: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The cosines of some examples over all terms."""
+        self.query[terms] = weights
+        out = [self.query[self.terms[a:b]] @ self.weights[a:b] for a, b in zip(self.term_at[best], self.term_at[best + 1], strict=True)]
+        self.query[terms] = 0
+        return np.array(out, float)
+
+
+def arrange(ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The order of examples: by label and heaviest term, so that like ones stand together."""
+    heavy = np.array([t[np.argmax(w)] if len(t) else -1 for t, w in vectors], np.int64)
+    return np.lexsort((ids, heavy, labels))
 
 
 def build_index(ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> Index:
     """Examples sorted by label and heaviest term."""
-    heavy = np.array([t[np.argmax(w)] if len(t) else -1 for t, w in vectors], np.int64)
-    order = np.lexsort((ids, heavy, labels))
+    order = arrange(ids, labels, vectors)
     ids, labels = ids[order], labels[order]
     size = np.array([len(vectors[i][0]) for i in order], np.int64)
     term = np.concatenate([vectors[i][0] for i in order]) if len(order) else np.zeros(0, np.int64)
     weight = np.concatenate([vectors[i][1] for i in order]) if len(order) else np.zeros(0)
-    position = np.repeat(np.arange(len(order)), size)
-    blocks = max(1, -(-len(order) // BLOCK))
-    top = np.zeros((terms, blocks))
-    np.maximum.at(top, (term, position // BLOCK), weight)
-    by_term = np.argsort(term, kind="stable")
-    post_at = np.searchsorted(term[by_term], np.arange(terms + 1))
-    return Index(ids, labels, blocks, top, post_at, position[by_term], weight[by_term])
+    return _lists(ids, labels, size, term.astype(np.int32), weight, terms)
+
+
+def _unpack(*packed) -> Index:
+    return _lists(*[np.frombuffer(zlib.decompress(data), kind) for kind, data in packed[:-1]], packed[-1])
+
+
+def _lists(
+    ids: np.ndarray, labels: np.ndarray, size: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int
+) -> Index:
+    """The index of examples in their order; `size` terms each."""
+    position = np.repeat(np.arange(len(ids), dtype=np.int32), size)
+    blocks = max(1, -(-len(ids) // BLOCK))
+    found, rows = np.unique(term, return_counts=True)
+    many = np.argsort(-rows, kind="stable")[:MOST_WIDE]
+    wide_terms = np.sort(found[many[rows[many] > WIDE * len(ids)]])
+    row = np.full(terms, -1, np.int32)
+    row[wide_terms] = np.arange(len(wide_terms))
+    spread = row[term] >= 0
+    wide = np.zeros((len(wide_terms), blocks * BLOCK), np.float32)
+    wide[row[term[spread]], position[spread]] = weight[spread]
+    rest = np.flatnonzero(~spread)
+    rest = rest[np.argsort(term[rest], kind="stable")]
+    listed, position, light = term[rest], position[rest], weight[rest].astype(np.float32)
+    block = position // BLOCK
+    change = (listed[1:] != listed[:-1]) | (block[1:] != block[:-1])
+    first = np.flatnonzero(np.concatenate([[True], change])) if len(rest) else np.zeros(0, np.int64)
+    return Index(
+        ids,
+        labels,
+        blocks,
+        np.concatenate([[0], np.cumsum(size)]),
+        term,
+        weight,
+        wide_terms,
+        wide,
+        np.searchsorted(listed[first], np.arange(terms + 1)).astype(np.int32),
+        block[first],
+        np.maximum.reduceat(light, first) if len(first) else light,
+        np.append(first, len(rest)).astype(np.int32),
+        position,
+        light,
+    )
 
 
 @dataclass
@@ -196,17 +281,17 @@ def _rows(vocabulary_shared):
             terms, weights = [], []
             for _, _, at, offsets in places(batch.column(2)):
                 for t, w in vocabulary.vectors(at, offsets):
-                    terms.append(t)
-                    weights.append(w)
+                    terms.append(t.astype(np.int32).tobytes())
+                    weights.append(w.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(terms, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))],
+                [batch.column(0), batch.column(1), pa.array(terms, pa.binary()), pa.array(weights, pa.binary())],
                 ["id", "label", "terms", "weights"],
             )
 
     return run
 
 
-def fit(labelled: DataFrame, sample_rows: int, terms: int) -> Model:
+def fit(labelled: DataFrame, sample_rows: int) -> Model:
     """A model of labelled rows (id, text, label 0 or 1)."""
     spark = labelled.sparkSession
     sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
@@ -214,32 +299,30 @@ def fit(labelled: DataFrame, sample_rows: int, terms: int) -> Model:
     counts = kernel.total_counts(
         labelled.select("text", "label").mapInArrow(_counts, "chunk int, counts binary"), 2 * SIZE, CHUNKS
     )
-    vocabulary = choose_terms(counts, (max(rows[0], 1), max(rows[1], 1)), terms)
+    vocabulary = weigh_terms(counts, (max(rows[0], 1), max(rows[1], 1)))
     spread = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
     share = F.when(F.col("label") == 1, sample_rows / max(rows[1], 1)).otherwise(sample_rows / max(rows[0], 1))
     sample = labelled.filter(spread < share).select(F.col("id").cast("long"), "label", "text")
     got = sample.mapInArrow(
-        _rows(ship(spark, vocabulary)), "id long, label int, terms array<int>, weights array<double>"
+        _rows(ship(spark, vocabulary)), "id long, label int, terms binary, weights binary"
     ).collect()
     # the same model for any order of rows
     got.sort(key=lambda r: (-1 if r["id"] is None else r["id"], r["label"], r["terms"], r["weights"]))
     ids = np.array([-1 if r["id"] is None else r["id"] for r in got], np.int64)
     labels = np.array([r["label"] for r in got], np.int64)
-    vectors = [(np.array(r["terms"], np.int64), np.array(r["weights"], float)) for r in got]
-    index = build_index(ids, labels, vectors, len(vocabulary.idf))
+    vectors = [(np.frombuffer(r["terms"], np.int32), np.frombuffer(r["weights"], float)) for r in got]
+    index = build_index(ids, labels, vectors, SIZE)
     # a row stands for as many as its class has per row of the sample
     weight = np.array([rows[y] / max(1, (labels == y).sum()) for y in labels])
     none = np.array([not len(t) for t, _ in vectors], bool)
     seen = weight[none].sum()
     prior = float((weight[none] * labels[none]).sum() + 0.5 * rows[1] / max(1, sum(rows))) / (seen + 0.5) if len(got) else 0.0
     model = Model(vocabulary, index, prior, 4.0, 0.0)
-    place = {}
-    for p, i in enumerate(np.lexsort((ids, np.array([t[np.argmax(w)] if len(t) else -1 for t, w in vectors], np.int64), labels)) if len(got) else []):
-        place[int(i)] = p
+    place = np.argsort(arrange(ids, labels, vectors))
     votes, known = [], []
     for i, (t, w) in enumerate(vectors):
         if len(t):
-            found, cosine = index.nearest(t, w, NEAREST, without=place[i])
+            found, cosine = index.nearest(t, w, NEAREST, without=int(place[i]))
             if len(found):
                 votes.append(model.vote(found, cosine))
                 known.append(i)
@@ -255,15 +338,15 @@ def _score(shared):
         for batch in batches:
             out = []
             for _, _, at, offsets in places(batch.column(2)):
-                for t, w in model.vocabulary.vectors(at, offsets):
-                    key = t.tobytes() + w.tobytes()
-                    if key not in cache:
-                        if len(cache) >= CACHE:
-                            cache.clear()
-                        found, cosine = model.index.nearest(t, w, NEAREST)
-                        few = found[:EVIDENCE]
-                        cache[key] = model.score(found, cosine), model.index.ids[few].tolist(), cosine[:EVIDENCE].tolist()
-                    out.append(cache[key])
+                vectors = model.vocabulary.vectors(at, offsets)
+                keys = [blake2b(t.tobytes() + w.tobytes(), digest_size=16).digest() for t, w in vectors]
+                if len(cache) >= CACHE:
+                    cache.clear()
+                new = {key: v for key, v in zip(keys, vectors, strict=True) if key not in cache}
+                for key, (found, cosine) in zip(new, model.index.search(list(new.values()), NEAREST), strict=True):
+                    few = found[:EVIDENCE]
+                    cache[key] = model.score(found, cosine), model.index.ids[few].tolist(), cosine[:EVIDENCE].tolist()
+                out += [cache[key] for key in keys]
             columns = [
                 pa.array([x[0] for x in out], pa.float64()),
                 pa.array([x[1] for x in out], pa.list_(pa.int64())),
@@ -286,13 +369,13 @@ def toxicity_scores(
     held_fold: int = 1,
     threshold: float = 0.7,
     sample_rows: int = SAMPLE_ROWS,
-    terms: int = TERMS,
 ) -> DataFrame:
     """One row per input row: id, held_out, score, predicted, evidence (ids), cosines.
 
     Labels of documents whose crc32(id) modulo `folds` is `held_fold` are never learned from;
-    only the text makes a score. Texts without a term of the vocabulary, such as null and
-    empty ones, get the share of toxic rows among the examples without one, and no evidence.
+    only the text makes a score. Texts without a term, such as null and empty ones, and
+    those that share none with an example get the share of toxic rows among the examples
+    without one, and no evidence.
     Labels other than 0 and 1, null labels and labels without a document are ignored; a
     document labelled twice is two examples. Ids may repeat or be null (as evidence: -1).
     Without labelled rows all scores are 0. An empty table of documents gives no rows.
@@ -305,7 +388,7 @@ def toxicity_scores(
     learn = broadcast_if_small(learn, learn.count())
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     labelled = kept(texts.join(learn, "id").select("id", "text", "label"), "toxic-labelled")
-    shared = ship(docs.sparkSession, fit(labelled, sample_rows, terms))
+    shared = ship(docs.sparkSession, fit(labelled, sample_rows))
     rows = docs.select(
         F.col(id_col).alias("id"),
         (fold(id_col, folds) == held_fold).alias("held_out"),

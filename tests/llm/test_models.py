@@ -148,3 +148,25 @@ def test_nearest_is_exact():
         found, cosine = index.nearest(t, w, toxicity.NEAREST)
         assert [i for _, i in want] == index.ids[found].tolist()
         assert np.allclose([-c for c, _ in want], cosine)
+
+
+def test_toxicity_searches_all_terms(spark):
+    """Clean texts have vectors and neighbours too, whatever the mix of labels."""
+    r = random.Random(6)
+    topics = [[f"{t}{''.join(r.choices('aeiou', k=5))}" for _ in range(30)] for t in "bcdfg"]
+    for every in (4, 2):
+        rows = [(i, " ".join(r.choices(topics[i % 5], k=25)) + (" vileness" if i % every == 0 else "")) for i in range(240)]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        labels = spark.createDataFrame([(i, int(i % every == 0)) for i, _ in rows], "doc_id bigint, toxic int")
+        for x in toxicity_scores(docs, labels).collect():
+            assert len(x["evidence"]) == toxicity.EVIDENCE
+            if x["doc_id"] % every:
+                assert {e % 5 for e in x["evidence"]} == {x["doc_id"] % 5}
+
+
+def test_weights_leave_no_term_out():
+    counts = np.zeros(2 * toxicity.SIZE)
+    counts[:4], counts[toxicity.SIZE : toxicity.SIZE + 4] = (30, 0, 5, 30), (60, 60, 0, 0)
+    weight = toxicity.weigh_terms(counts, (30, 60)).weight
+    assert (weight > 0).all()
+    assert weight[1] > weight[0] and weight[2] > weight[3]
