@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import broadcast_if_small, kept, table
+from tablescout.llm.common import broadcast_if_small, kept, table, text_of
 from tablescout.llm.decontaminate import find_leaks
 from tablescout.llm.linededup import drop_boilerplate
 from tablescout.llm.mixing import mix_sources
@@ -27,19 +27,30 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share 80 % of their five-word shingles the smallest id stays.
+    """Of rows that share 80 % of their five-word shingles the one with the smallest id stays.
 
-    Rows without an id stay; of rows that repeat an id that stays, all do.
+    Repeated rows are such rows. Rows without an id come last; equal ids go by the MD5 of the
+    text. A text without words is like no other and stays.
     """
-    joined = ngram_jaccard_join(docs, size=5, percent=80)
-    gone = joined.filter("component_id <> doc_id").select("doc_id").distinct()
-    return _without(docs, gone, "near-gone")
+    docs, key = _numbered(docs, "near-rows")
+    joined = ngram_jaccard_join(docs, id_col=key, size=5, percent=80)
+    linked = joined.select(F.col(key), F.col("component_id").alias("of"))
+    # only rows of groups with more than one compete
+    groups = kept(linked.filter(F.col(key) != F.col("of")).select("of").distinct(), "near-groups")
+    many = groups.count()
+    linked = linked.join(broadcast_if_small(groups, many), "of", "left_semi")
+    rank = docs.select(key, F.struct(F.col("doc_id").isNull(), "doc_id", F.md5(text_of("text")), key).alias("rank"))
+    linked = kept(linked.join(rank, key), "near-linked")
+    first = linked.groupBy("of").agg(F.min("rank").getField(key).alias("stays"))
+    gone = linked.join(broadcast_if_small(first, many), "of").filter(F.col(key) != F.col("stays")).select(key)
+    return _without(docs, gone, key, "near-gone")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, leaks.select("doc_id").distinct(), "leaks")
+    """Rows that contain a benchmark item go."""
+    docs, key = _numbered(docs, "leak-rows")
+    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark"), id_col=key)
+    return _without(docs, leaks.select(key).distinct(), key, "leaks")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +58,18 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_sources(docs)
 
 
-def _without(docs: DataFrame, gone: DataFrame, label: str) -> DataFrame:
-    """docs without the ids in gone, which are narrow and broadcast while they are few."""
+def _numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """docs, written, with a number for every row; and the number's column name."""
+    key = "row_number"
+    while key in docs.columns:
+        key += "_"
+    return kept(docs.withColumn(key, F.monotonically_increasing_id()), label), key
+
+
+def _without(docs: DataFrame, gone: DataFrame, key: str, label: str) -> DataFrame:
+    """docs without key and the rows in gone, which are narrow and broadcast while they are few."""
     gone = kept(gone, label)
-    return docs.join(broadcast_if_small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(broadcast_if_small(gone, gone.count()), key, "left_anti").drop(key)
 
 
 STAGES = [

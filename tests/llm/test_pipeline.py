@@ -62,3 +62,23 @@ def test_entry_without_the_package(tmp_path):
     )
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path).returncode == 0
     importlib.invalidate_caches()
+
+
+def test_rows_are_judged_one_by_one(spark, tmp_path):
+    """Repeated rows, rows without an id and rows that share an id with others."""
+    copy = " ".join(f"c{i}" for i in range(60))
+    item = " ".join(f"leak{i}" for i in range(60))
+    own = [" ".join(f"{w}{i}" for i in range(60)) for w in "abdefg"]
+    rows = [(1, copy)] * 3 + [(2, copy), (2, own[0]), (None, copy), (None, own[1]), (None, own[1]), (3, own[2]), (3, own[2] + " x")]
+    rows += [(4, item), (4, own[3]), (None, item + " tail"), (5, None), (None, own[4])]
+    docs = spark.createDataFrame([(i, t, "en", n) for n, (i, t) in enumerate(rows)], "doc_id bigint, text string, lang string, row_number int")
+    spark.createDataFrame([(None, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for parts in (1, 4):
+        near = corpus_pipeline.kept(corpus_pipeline.near_duplicates(spark, docs.repartition(parts), str(tmp_path)), "test-near")
+        assert near.columns == docs.columns
+        left = [(r["doc_id"], (r["text"] or "")[:3]) for r in near.collect()]
+        want = [(1, "c0 "), (2, "a0 "), (None, "b0 "), (3, "d0 "), (4, "lea"), (4, "e0 "), (5, ""), (None, "f0 ")]
+        assert sorted(left, key=repr) == sorted(want, key=repr)
+    clean = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns
+    assert sorted(r["row_number"] for r in clean.collect()) == [*range(10), 11, 13, 14]
