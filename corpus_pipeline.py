@@ -20,8 +20,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go; n_chars follows the text."""
-    cleaned = drop_boilerplate(docs)
+    """Boilerplate lines of a source go; n_chars follows the text.
+
+    Copies of a page count once: their content is no boilerplate.
+    """
+    cleaned = drop_boilerplate(docs, distinct_pages=True)
     length = F.char_length("text").cast("long")
     return cleaned.withColumn("n_chars", length).select(*docs.columns)
 

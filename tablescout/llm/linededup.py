@@ -2,8 +2,9 @@
 
 For every host the share of its pages that contain a line is worked out over all pages.
 Lines above `ratio`, on at least `min_pages` pages, are boilerplate of that host and go
-from all its pages. A page made of such lines only is a copy of other pages rather than a
-frame around content; it keeps its text for the near-duplicate operators.
+from all its pages. By default every row is a page of its own, and a page made of such lines
+only is taken for a copy of other pages and keeps its text; `distinct_pages` counts pages
+with the same text once, without `whole_pages` the lines go there too.
 
 Scale: a page sends each of its lines once, as a 128-bit hash, and counts are added up
 before the shuffle, so a line or host of any weight costs little. By its definition a host
@@ -34,12 +35,15 @@ def url_host(url: Column) -> Column:
 
 
 def boilerplate_lines(
-    docs: DataFrame, text_col: str, host_col: str, ratio: float, min_pages: int
+    docs: DataFrame, text_col: str, host_col: str, ratio: float, min_pages: int, distinct_pages: bool = False
 ) -> DataFrame:
     """One row per host with boilerplate: host, bad (its line keys)."""
     pages = docs.select(F.col(f"`{host_col}`").cast("string").alias("host"), text_of(text_col).alias("text"))
     keys = F.array_distinct(F.transform(F.split("text", "\n"), line_key))
-    lines = pages.select("host", F.explode(keys).alias("key")).filter("key is not null")
+    pages = pages.select("host", keys.alias("keys"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit("page"), "text").alias("b"))
+    if distinct_pages:
+        pages = pages.dropDuplicates(["host", "a", "b"])
+    lines = pages.select("host", F.explode("keys").alias("key")).filter("key is not null")
     counted = lines.groupBy("host", "key").agg(F.count(F.lit(1)).alias("pages"))
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
     totals = totals.select(F.col("host").alias("h"), "total")
@@ -57,17 +61,21 @@ def drop_boilerplate(
     host_col: str = "source",
     ratio: float = 0.02,
     min_pages: int = 3,
+    distinct_pages: bool = False,
+    whole_pages: bool = True,
 ) -> DataFrame:
     """docs with the text cleaned, plus n_lines and n_dropped of every row.
 
     Lines end at \\n and are compared without the white space around them; blank lines
     always stay. A null text stays null with 0 lines; an empty text has one blank line.
-    Rows without a host form one host. Repeated rows count as pages of their own. Columns
-    that already bear the name n_lines or n_dropped are replaced; an empty table gives no rows.
+    Rows without a host form one host. Repeated rows count as pages of their own, with
+    `distinct_pages` once for each text of a host. A page of boilerplate lines only stays as it
+    is, without `whole_pages` it keeps its blank lines or becomes an empty text. Columns that
+    already bear the name n_lines or n_dropped are replaced; an empty table gives no rows.
     """
     check_columns(docs, [text_col, host_col])
     docs = docs.drop("n_lines", "n_dropped")
-    bad = kept(boilerplate_lines(docs, text_col, host_col, ratio, min_pages), "boilerplate")
+    bad = kept(boilerplate_lines(docs, text_col, host_col, ratio, min_pages, distinct_pages), "boilerplate")
     # the input row travels as one column, so that its names meet no others
     packed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
@@ -78,9 +86,10 @@ def drop_boilerplate(
     fine = F.filter(
         "lines", lambda x: ~F.coalesce(F.array_contains(F.col("bad"), line_key(x)), F.lit(False))
     )
-    some = F.exists("fine", lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     cleaned = joined.withColumn("fine", F.when(F.col("bad").isNull(), F.col("lines")).otherwise(fine))
-    cleaned = cleaned.withColumn("fine", F.when(some, F.col("fine")).otherwise(F.col("lines")))
+    if whole_pages:
+        some = F.exists("fine", lambda x: F.btrim(x, F.lit(BLANKS)) != "")
+        cleaned = cleaned.withColumn("fine", F.when(some, F.col("fine")).otherwise(F.col("lines")))
     return cleaned.select(
         *[
             (F.array_join("fine", "\n") if c == text_col else F.col("row").getField(c)).alias(c)

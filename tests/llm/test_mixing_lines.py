@@ -74,3 +74,15 @@ def test_hosts(spark):
     urls = ["https://User@Blog.Example.org:80/x", "http://a.b", "nothing", None, ""]
     got = spark.createDataFrame([(u,) for u in urls], "u string").select(url_host("u")).collect()
     assert [r[0] for r in got] == ["blog.example.org", "a.b", None, None, None]
+
+
+def test_lines_of_copies_and_stubs(spark):
+    rows = [(i, f"head\nbody {i}\nfoot", "s") for i in range(20)]
+    rows += [(100 + i, "head\ncopied text\nmore of it\nfoot", "s") for i in range(10)]
+    rows += [(200, "head\nfoot", "s"), (201, "head\n\nfoot", "s"), (202, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = drop_boilerplate(docs, ratio=0.2, distinct_pages=True, whole_pages=False).collect()
+    found = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in got}
+    assert all(found[i] == (f"body {i}", 3, 2) for i in range(20))
+    assert all(found[100 + i] == ("copied text\nmore of it", 4, 2) for i in range(10))
+    assert (found[200], found[201], found[202]) == (("", 2, 2), ("", 3, 2), (None, 0, 0))

@@ -82,3 +82,11 @@ def test_rows_are_judged_one_by_one(spark, tmp_path):
     clean = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
     assert clean.columns == docs.columns
     assert sorted(r["row_number"] for r in clean.collect()) == [*range(10), 11, 13, 14]
+
+
+def test_content_of_copies_is_no_boilerplate(spark, tmp_path):
+    rows = [(i, f"head\nbody {i}", "en", "s", 0) for i in range(20)] + [(50 + i, "head\ncopied\ntext", "en", "s", 0) for i in range(10)]
+    rows += [(90, "copied\nonly here", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()}
+    assert left[0] == "body 0" and left[50] == "copied\ntext" and left[90] == "copied\nonly here"
