@@ -31,7 +31,7 @@ TABLE_BITS = 20
 SLICE = 8 << 20
 CACHE = 1_000_000
 TOGETHER = 20_000  # words of a length at once
-CUT = 256  # longer words are scored in stretches of so many bytes
+CUT = 256  # longer words are learned and scored in stretches of so many bytes
 SAMPLE_ROWS = 2_000
 TRAIN_WORDS = 10_000
 ROUNDS = 6
@@ -133,16 +133,33 @@ def expected(rows: np.ndarray, times: np.ndarray, pieces: Pieces, table: np.ndar
     shape = (length + 1, n, table.shape[1])
     alpha, beta = np.zeros(shape), np.zeros(shape)
     alpha[0] = beta[length] = 1
-    for i, j in sorted(found):
-        live, piece = found[i, j]
-        alpha[j, live] += alpha[i, live] * table[piece]
-    for i, j in sorted(found, reverse=True):
-        live, piece = found[i, j]
-        beta[i, live] += table[piece] * beta[j, live]
-    share = times / alpha[length]
+    # sums are scaled every 8 bytes, as in forward; the logarithms of their scales
+    none = np.zeros(shape[1:])
+    up, down = [none] * (length + 1), [none] * (length + 1)
+    for i in range(length):
+        if i % 8 == 7:
+            scale = alpha[i].copy()
+            alpha[i : i + LONGEST] /= scale
+            up[i:] = [up[i] + np.log(scale)] * (length + 1 - i)
+        for j in range(i + 1, min(i + LONGEST, length) + 1):
+            if (i, j) in found:
+                live, piece = found[i, j]
+                alpha[j, live] += alpha[i, live] * table[piece]
+    for i in range(length - 1, -1, -1):
+        for j in range(i + 1, min(i + LONGEST, length) + 1):
+            if (i, j) in found:
+                live, piece = found[i, j]
+                beta[i, live] += table[piece] * beta[j, live]
+        if (length - i) % 8 == 7:
+            scale = beta[i].copy()
+            beta[i : i + LONGEST] /= scale
+            now = down[i] + np.log(scale)
+            down[: i + LONGEST] = [now] * min(i + LONGEST, length + 1)
+    whole = up[length] + np.log(alpha[length])
     out = np.zeros_like(table)
     for (i, j), (live, piece) in found.items():
-        mass = alpha[i, live] * table[piece] * beta[j, live] * share[live]
+        share = times[live] * np.exp(up[i][live] + down[j][live] - whole[live])
+        mass = alpha[i, live] * table[piece] * beta[j, live] * share
         for lang in range(table.shape[1]):
             out[:, lang] += np.bincount(piece, mass[:, lang], len(table))
     return out
@@ -161,6 +178,17 @@ def by_length(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> Iterat
             yield mine, rows
 
 
+def stretches(w: kernel.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, word) of all words, very long ones in stretches of CUT bytes."""
+    start, length, whole = w.start, w.length, np.arange(len(w.start))
+    if len(length) and length.max() > CUT:
+        many = -(-length // CUT)
+        whole = np.repeat(whole, many)
+        shift = (np.arange(len(whole)) - np.repeat(np.cumsum(many) - many, many)) * CUT
+        start, length = start[whole] + shift, np.minimum(CUT, length[whole] - shift)
+    return start, length, whole
+
+
 @dataclass
 class Model:
     """Languages and their piece probabilities."""
@@ -173,12 +201,7 @@ class Model:
 
     def word_logs(self, w: kernel.Words) -> np.ndarray:
         """Log probabilities (words x languages); words seen before come from the cache."""
-        start, length, whole = w.start, w.length, np.arange(len(w.start))
-        if len(length) and length.max() > CUT:  # very long words in stretches
-            many = -(-length // CUT)
-            whole = np.repeat(whole, many)
-            shift = (np.arange(len(whole)) - np.repeat(np.cumsum(many) - many, many)) * CUT
-            start, length = start[whole] + shift, np.minimum(CUT, length[whole] - shift)
+        start, length, whole = stretches(w)
         hashes = kernel.hash_words(kernel.Words(w.data, start, length, w.first, w.offsets))
         distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
         if self.values is None or len(self.known) > CACHE:
@@ -227,25 +250,22 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, int, kernel.Words]]:
         yield low, high, kernel.words_of(data, offsets, gaps=kernel.MARK)
 
 
-def _count_words(most: int):
-    """(lang, word, count) of the texts of a task; `most` bytes a word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = np.array(batch.column(1).to_pylist(), object)
-            for low, _, w in _texts(batch.column(0)):
-                hashes, doc = kernel.hash_words(w), w.doc
-                for lang in sorted(set(langs[doc + low])) if len(doc) else []:
-                    mine = np.flatnonzero(langs[doc + low] == lang)
-                    mine = mine[w.length[mine] <= most]
-                    _, at, count = np.unique(hashes[mine], return_index=True, return_counts=True)
-                    spelled = [w.word(i) for i in mine[at]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(at), pa.string()), pa.array(spelled, pa.binary()), pa.array(count, pa.int64())],
-                        ["lang", "word", "n"],
-                    )
-
-    return run
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, count) of the texts of a task; very long words in stretches."""
+    for batch in batches:
+        langs = np.array(batch.column(1).to_pylist(), object)
+        for low, _, w in _texts(batch.column(0)):
+            start, length, whole = stretches(w)
+            parts, doc = kernel.Words(w.data, start, length, w.first, w.offsets), w.doc[whole]
+            hashes = kernel.hash_words(parts)
+            for lang in sorted(set(langs[doc + low])) if len(doc) else []:
+                mine = np.flatnonzero(langs[doc + low] == lang)
+                _, at, count = np.unique(hashes[mine], return_index=True, return_counts=True)
+                spelled = [parts.word(i) for i in mine[at]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(at), pa.string()), pa.array(spelled, pa.binary()), pa.array(count, pa.int64())],
+                    ["lang", "word", "n"],
+                )
 
 
 def fit(labelled: DataFrame, pieces: Pieces, sample_rows: int, train_words: int) -> Model:
@@ -256,7 +276,7 @@ def fit(labelled: DataFrame, pieces: Pieces, sample_rows: int, train_words: int)
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, sample_rows / n)])
     spread = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
     sample = labelled.filter(spread < F.element_at(share, F.col("lang"))).select("text", "lang")
-    counted = sample.mapInArrow(_count_words(24), "lang string, word binary, n long")
+    counted = sample.mapInArrow(_count_words, "lang string, word binary, n long")
     counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     # at most sample_rows texts per language are behind this window
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))

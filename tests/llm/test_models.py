@@ -170,3 +170,36 @@ def test_weights_leave_no_term_out():
     weight = toxicity.weigh_terms(counts, (30, 60)).weight
     assert (weight > 0).all()
     assert weight[1] > weight[0] and weight[2] > weight[3]
+
+
+def test_expected_counts_of_long_words():
+    """The same counts as over all segmentations, and finite ones over a stretch of any length."""
+    with open(VOCABULARY, "rb") as file:
+        pieces = load_pieces(file.read())
+    table = np.random.default_rng(2).random((len(pieces.hashes), 2))
+    table /= table.sum(axis=0)
+
+    def counts(word, t):
+        return langid.expected(np.frombuffer(word, np.uint8)[None], np.array([[3.0, 1.0]]), pieces, t)
+
+    # d log Z / d log p is the expected count
+    word = np.frombuffer(b" hello schoenes wetter", np.uint8)[None]
+    got = counts(b" hello schoenes wetter", table)
+    for piece in np.argsort(-got[:, 0])[:5]:
+        more = table.copy()
+        more[piece] *= 1 + 1e-6
+        slope = (forward(word, pieces, more) - forward(word, pieces, table))[0] / 1e-6
+        assert np.allclose(got[piece], slope * [3, 1], rtol=1e-3, atol=1e-4)
+    long = counts(b" " + b"q" + b"xz" * 127, np.full_like(table, 1e-7))
+    assert np.isfinite(long).all() and (long.sum(axis=0) > 0).all()
+
+
+def test_languages_without_blanks(spark, documents):
+    """Words of more than 24 bytes are learned from."""
+    r = random.Random(9)
+    signs = {"ja": "あいうえおかきくけこさしすせそ", "zh": "天地玄黄宇宙洪荒日月盈昃辰宿列"}
+    rows = [(i, "".join(r.choices(signs[k], k=r.randint(20, 150))), k, "a") for i in range(120) for k in [("ja", "zh")[i % 2]]]
+    got = predict_language(documents(rows), VOCABULARY).collect()
+    truth = {i: lang for i, _, lang, _ in rows}
+    held = [x for x in got if x["held_out"]]
+    assert held and all(x["lang_pred"] == truth[x["doc_id"]] for x in held)
