@@ -137,3 +137,38 @@ select page_id, payload_bytes, payload_digest,
        case when page_id = first_page then null else first_page end as refers_to
 from coded join first using (payload_digest, payload_bytes)
 """
+
+# two hex digits a byte, so that places in the text are places in bytes
+REPEATED_WINDOWS = """
+with hexed as (
+    select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as hex from documents
+), sized as (
+    select *, cast(len(hex) // 2 as bigint) as n_bytes from hexed
+), windows as (
+    select r, i, md5(substr(hex, cast(2 * i + 1 as bigint), 400)) as key
+    from sized, lateral (select unnest(range(0, n_bytes - 199)) as i)
+), often as (
+    select key from windows group by key having count(*) > 1
+), gone as (
+    select r, i from windows semi join often using (key)
+), opened as (
+    select r, i, case when lag(i) over (partition by r order by i) >= i - 200 then 0 else 1 end as opens
+    from gone
+), numbered as (
+    select r, i, sum(opens) over (partition by r order by i) as span from opened
+), spans as (
+    select r, min(i) as first, max(i) + 200 as last from numbered group by r, span
+), listed as (
+    select r, list(first order by first) as firsts, list(last order by first) as lasts,
+           sum(last - first) as n_removed, count(*) as n_spans
+    from spans group by r
+)
+select doc_id, n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+       cast(coalesce(n_spans, 0) as bigint) as n_spans,
+       sha256(unhex(case when n_spans is null then hex else array_to_string(list_transform(
+           range(0, cast(n_spans + 1 as bigint)), lambda k: substr(hex,
+               1 + 2 * (case when k = 0 then 0 else lasts[cast(k as int)] end),
+               2 * ((case when k = n_spans then n_bytes else firsts[cast(k + 1 as int)] end)
+                    - (case when k = 0 then 0 else lasts[cast(k as int)] end)))), '') end)) as kept_sha256
+from sized left join listed using (r)
+"""

@@ -18,6 +18,7 @@ from tablescout.llm.ngramjoin import ngram_jaccard_join
 from tablescout.llm.quality import quality_scores
 from tablescout.llm.tokencounts import count_tokens
 from tablescout.llm.toxicity import toxicity_scores
+from tablescout.llm.windows import repeat_report
 
 # vocabularies of public tokenizers
 TOKENIZERS = "/opt/tokenizers"
@@ -79,6 +80,11 @@ def op10_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 200-byte strings that start anywhere else."""
+    return repeat_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -91,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_imatch": op8_imatch,
         "op9_arc_to_warc": op9_arc_to_warc,
         "op10_benchmark_leaks": op10_benchmark_leaks,
+        "op11_repeated_windows": op11_repeated_windows,
     }
 
 
@@ -100,4 +107,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_mix_sources": oracles.MIX_SOURCES,
         "op7_line_dedup": oracles.LINE_DEDUP,
         "op9_arc_to_warc": oracles.ARC_TO_WARC,
+        "op11_repeated_windows": oracles.REPEATED_WINDOWS,
     }
