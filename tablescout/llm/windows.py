@@ -10,14 +10,15 @@ depth are exactly the repeated windows. The passes:
    anchor end here.
 2. The next digits are the rest of all windows of the run, taken at once. A bucket of two or
    more holds repeated windows only and needs no further pass.
-3. In buckets of pass 1 that pass 2 has split, the windows that are left are compared byte
-   by byte (by 128-bit hashes) with those of the other parts of the bucket, one text for each.
+3. In buckets of pass 1 that pass 2 has split, the windows that are left are compared (by
+   128-bit hashes) with those of the other parts of the bucket, one text for each part.
 
 Scale: an anchor travels as some 40 bytes, for about 70 bytes of text; buckets are counted with
 partial sums, so a passage of any weight is no hot key. Bytes travel in pass 3 only, for the
-edges of repeats. Buckets with more than `bucket` different contexts are compared through a
-counted shuffle of windows instead of in one task. Texts are known by 96 bits of their MD5:
-copies of a text share their rows.
+edges of repeats. Buckets with more than `bucket` different contexts get one more pass first, by
+blocks of 16 windows: the bytes that a block's windows share are the digit, the rest as in
+pass 2. What is still in such a bucket is compared through a counted shuffle of windows instead
+of in one task. Texts are known by 96 bits of their MD5: copies of a text share their rows.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ from tablescout.llm.kernel import flat, mix, ranges, row_slices
 LENGTH = 200
 DIGIT = 32
 BUCKET = 1_024
-PIECE = 1 << 20
+PIECE = 1 << 19
+BLOCK = 16
 SENT_BYTES = 64 << 20
 
 ANCHORS = "key binary, place bigint, digit bigint, rest bigint"
@@ -73,7 +75,7 @@ def hasher(which: int, most: int = 0) -> Hasher:
     """One of two fixed hashers, for at least so many bytes; made once per process."""
     have = HASHERS.get(which)
     if have is None or len(have.power) <= most:
-        have = HASHERS[which] = Hasher(1_000_003 + which, max(most, PIECE + 4096))
+        have = HASHERS[which] = Hasher(1_000_003 + which, max(most, 2 * PIECE))
     return have
 
 
@@ -166,7 +168,7 @@ def _read_contexts(length: int):
             _, first, last = unpacked(place.to_numpy())
             begin = offsets[:-1][owner] + first
             size = last - first + length
-            for low, high in row_slices(np.concatenate([[0], np.cumsum(size)]), 4 * PIECE):
+            for low, high in row_slices(np.concatenate([[0], np.cumsum(size)]), PIECE):
                 at, _ = ranges(begin[low:high], begin[low:high] + size[low:high])
                 ends = np.concatenate([[0], np.cumsum(size[low:high])]).astype(np.int32)
                 context = pa.BinaryArray.from_buffers(
@@ -283,6 +285,50 @@ def _read_windows(length: int):
     return run
 
 
+def _read_blocks(length: int):
+    """Contexts cut into blocks of neighbouring windows, as rows like those of anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 1024):
+                batch = whole.slice(low, 1024)
+                digit, place = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+                at, first, last = unpacked(place)
+                data, offsets = flat_bytes(batch.column(4))
+                block, row = ranges((at - last) // BLOCK, (at - first) // BLOCK + 1)
+                # distances of the block's windows from the anchor
+                far = np.minimum((at - first)[row], block * BLOCK + BLOCK - 1)
+                close = np.maximum((at - last)[row], block * BLOCK)
+                zero = offsets[:-1][row] + (at - first)[row]
+                one, two = hasher(0, len(data)), hasher(1, len(data))
+                shared = one.windows(one.sums(data), zero - block * BLOCK, zero - block * BLOCK - BLOCK + 1 + length)
+                rest = two.windows(two.sums(data), zero - far, zero - close + length)
+                with np.errstate(over="ignore"):
+                    shared = mix(shared ^ mix(digit.view(np.uint64)[row] + block.astype(np.uint64)))
+                    rest = mix(rest ^ (far * 1024 + close).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(2).take(pa.array(row)),
+                        pa.array((at[row] << 16) | (far << 8) | close),
+                        pa.array(shared.view(np.int64)),
+                        pa.array(rest.view(np.int64)),
+                        batch.column(1).take(pa.array(row)),
+                    ],
+                    ["key", "place", "digit", "rest", "lone"],
+                )
+
+    return run
+
+
+def _buckets(rows: DataFrame, weight) -> tuple[DataFrame, DataFrame]:
+    """The parts of all buckets, and those of buckets that are split and not settled."""
+    parts = rows.groupBy("digit", "rest").agg(F.sum(weight).alias("n"), F.min(F.struct("key", "place")).alias("at"))
+    parts = kept(parts.select("digit", (F.col("n") == 1).alias("lone"), "at.key", "at.place"), "buckets")
+    split = parts.groupBy("digit").agg(F.count(F.lit(1)).alias("size"), F.bool_or("lone").alias("open"))
+    split = kept(split.filter("open and size > 1").select("digit", "size"), "split")
+    return parts, kept(parts.join(split, "digit"), "left")
+
+
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Overlapping and touching stretches as one."""
     order = np.argsort(starts, kind="stable")
@@ -293,7 +339,7 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _merge(length: int):
-    """Every text's stretches: runs (b = -1) without unsettled ones (b = -2), and spans."""
+    """Every text's stretches: runs (b = -1) and blocks (-3) without unsettled ones (-2, -4), and spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,8 +349,8 @@ def _merge(length: int):
             packed = []
             for i in range(len(lists)):
                 x, y = a[ends[i] : ends[i + 1]], b[ends[i] : ends[i + 1]]
-                settled = np.setdiff1d(x[y == -1], x[y == -2])
-                _, first, last = unpacked(settled)
+                runs = [np.setdiff1d(x[y == all_of], x[y == all_of - 1]) for all_of in (-1, -3)]
+                _, first, last = unpacked(np.concatenate(runs))
                 span = y >= 0
                 s, e = merged(np.concatenate([first, x[span]]), np.concatenate([last + length, y[span]]))
                 packed.append(np.stack([s, e], 1).tobytes())
@@ -373,30 +419,32 @@ def repeated_spans(
     read = texts.mapInArrow(_read_anchors(length, digit), ANCHORS)
     # pass 1: buckets of two and more
     often = read.groupBy("digit").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digit")
-    alive = kept(read.join(often, "digit", "left_semi"), "anchors")
+    alive = kept(read.join(kept(often, "often"), "digit", "left_semi"), "anchors")
     # pass 2: runs whose whole context is there again
-    parts = alive.groupBy("digit", "rest").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("at")
-    )
-    parts = kept(parts.select("digit", (F.col("n") == 1).alias("lone"), "at.key", "at.place"), "buckets")
-    split = parts.groupBy("digit").agg(F.count(F.lit(1)).alias("size"), F.bool_or("lone").alias("open"))
-    # pass 3: split buckets, one context for each part
-    split = split.filter("open and size > 1").select("digit", "size")
-    left = kept(parts.join(split, "digit"), "split")
-    near = _contexts(texts, left.filter(F.col("size") <= bucket), length)
-    near = near.repartition("digit").sortWithinPartitions("digit")
-    spans = [near.mapInArrow(_compare(length), SPANS)]
+    parts, left = _buckets(alive, F.lit(1))
+    # rows, and what b says of them, see _merge
+    states = [(alive, -1), (parts.filter("lone"), -2)]
+    # pass 3: split buckets, one context for each part; large ones block by block first
+    contexts = [_contexts(texts, left.filter(F.col("size") <= bucket), length)]
     large = left.filter(F.col("size") > bucket)
+    spans = []
     if not large.isEmpty():
+        blocks = kept(_contexts(texts, large, length).mapInArrow(_read_blocks(length), f"{ANCHORS}, lone boolean"), "blocks")
+        parts, left = _buckets(blocks, F.when(F.col("lone"), 1).otherwise(2))
+        states += [(blocks.filter("lone"), -3), (parts.filter("lone"), -4)]
+        contexts.append(_contexts(texts, left.filter(F.col("size") <= bucket), length))
+        large = left.filter(F.col("size") > bucket)
         windows = kept(_contexts(texts, large, length).mapInArrow(
             _read_windows(length), "one bigint, two bigint, lone boolean, key binary, start bigint"
         ), "windows")
         weight = F.sum(F.when(F.col("lone"), 1).otherwise(2))
-        twice = windows.groupBy("one", "two").agg(weight.alias("n")).filter("n > 1").select("one", "two")
+        twice = kept(windows.groupBy("one", "two").agg(weight.alias("n")).filter("n > 1").select("one", "two"), "twice")
         found = windows.filter("lone").join(twice, ["one", "two"], "left_semi")
         spans.append(found.select("key", F.col("start").alias("a"), (F.col("start") + length).alias("b")))
-    spans.append(alive.select("key", F.col("place").alias("a"), F.lit(-1).cast("long").alias("b")))
-    spans.append(parts.filter("lone").select("key", F.col("place").alias("a"), F.lit(-2).cast("long").alias("b")))
+    for near in contexts:
+        spans.append(near.repartition("digit").sortWithinPartitions("digit").mapInArrow(_compare(length), SPANS))
+    for rows, state in states:
+        spans.append(rows.select("key", F.col("place").alias("a"), F.lit(state).cast("long").alias("b")))
     every = spans[0]
     for more in spans[1:]:
         every = every.unionByName(more)

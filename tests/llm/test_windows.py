@@ -38,6 +38,11 @@ def cases():
     rows += [prose(5) + "\n" + line + "\n" + prose(50) for _ in range(20)]
     rows += [long, " ".join(near), long[:2500], long[1000:1200], long[1000:1199], long[3:203]]
     rows += ["a" * 199, "a" * 200, "b" * 201, "b" * 900, "ab" * 300, "日" * 150, "x日" * 150]
+    for _ in range(60):
+        copy = long.split(" ")[:400]
+        for i in rng.sample(range(400), 5):
+            copy[i] = rng.choice(words)
+        rows.append(" ".join(copy))
     rows += [passage, passage, None, "", "short", "short", prose(100) * 3]
     return rows
 
