@@ -172,3 +172,61 @@ select doc_id, n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
                     - (case when k = 0 then 0 else lasts[cast(k as int)] end)))), '') end)) as kept_sha256
 from sized left join listed using (r)
 """
+
+# crc32 of an ASCII string {0}, as bits of a polynomial
+_CRC32 = """xor(4294967295, list_reduce(
+        list_concat([4294967295], list_transform(range(1, cast(len({0}) + 1 as bigint)),
+            lambda i: cast(ascii(substr({0}, cast(i as int), 1)) as bigint))),
+        lambda c, b: list_reduce(list_concat([xor(c, b)], range(0, 8)),
+            lambda d, k: xor(d >> 1, case when d & 1 = 1 then 3988292384 else 0 end))))"""
+
+# equal words q apart: 16 of them in a row at least, so runs are islands of pairs of 16-grams
+PERIODIC_RUNS = rf"""
+with worded as (
+    select row_number() over () as r, doc_id, coalesce(cast(doc_id as varchar), '') as id,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as plain
+    from documents
+), hashed as (
+    select r, doc_id, plain, cast(len(plain) as bigint) as n, {_CRC32.format('id')} as h from worded
+), planned as (
+    select *, case when n > 0 then (h // 10) % n else 0 end as a from hashed
+), periods as (
+    select *, 1 + (n - a) // (3 + (h // 10) % 8) as p from planned
+), final as (
+    select r, doc_id, n, case when h % 10 = 0 and n > 0
+        then list_transform(range(0, n), lambda i:
+            plain[cast(1 + case when i < a then i else a + (i - a) % p end as int)]) else plain end as words
+    from periods
+), grams as (
+    select r, i, md5(array_to_string(words[cast(i + 1 as int):cast(i + 16 as int)], ' ')) as gram
+    from final, lateral (select unnest(range(0, n - 15)) as i)
+), pairs as (
+    select x.r, x.i, y.i - x.i as q from grams x join grams y on x.r = y.r and x.gram = y.gram and x.i < y.i
+), islands as (
+    select r, q, i, i - row_number() over (partition by r, q order by i) as island from pairs
+), stretches as (
+    select r, q, min(i) as start, max(i) + 16 + q - min(i) as length from islands group by r, q, island
+), runs as (
+    select r, start, length, min(q) as period from stretches
+    where length >= greatest(24, 3 * q) group by r, start, length
+), ranked as (
+    select *, row_number() over (partition by r
+        order by cast(length as hugeint) * 1000000000000000 // period desc, start, period) as place
+    from runs
+), listed as (
+    select r, count(*) as n_runs,
+           string_agg(concat(start, ',', length, ',', period, chr(10)), '' order by start, period) as lines
+    from runs group by r
+), dropped as (
+    select distinct r, unnest(range(start + period, start + length)) as i from runs
+), left_over as (
+    select r, string_agg(words[cast(i + 1 as int)], ' ' order by i) as text
+    from (select r, words, unnest(range(0, n)) as i from final) anti join dropped using (r, i) group by r
+)
+select doc_id, coalesce(n_runs, 0) as n_runs, start, length, period,
+       length * 1000 // period as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256,
+       sha256(coalesce(o.text, '')) as collapsed_sha256
+from final left join listed using (r)
+left join (select * from ranked where place = 1) using (r)
+left join left_over o using (r)
+"""

@@ -16,6 +16,7 @@ from tablescout.llm.linededup import drop_boilerplate
 from tablescout.llm.mixing import mix_sources
 from tablescout.llm.ngramjoin import ngram_jaccard_join
 from tablescout.llm.quality import quality_scores
+from tablescout.llm.runs import run_report
 from tablescout.llm.tokencounts import count_tokens
 from tablescout.llm.toxicity import toxicity_scores
 from tablescout.llm.windows import repeat_report
@@ -85,6 +86,11 @@ def op11_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of all documents."""
+    return run_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -98,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_arc_to_warc": op9_arc_to_warc,
         "op10_benchmark_leaks": op10_benchmark_leaks,
         "op11_repeated_windows": op11_repeated_windows,
+        "op12_periodic_runs": op12_periodic_runs,
     }
 
 
@@ -108,4 +115,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": oracles.LINE_DEDUP,
         "op9_arc_to_warc": oracles.ARC_TO_WARC,
         "op11_repeated_windows": oracles.REPEATED_WINDOWS,
+        "op12_periodic_runs": oracles.PERIODIC_RUNS,
     }
