@@ -230,3 +230,48 @@ from final left join listed using (r)
 left join (select * from ranked where place = 1) using (r)
 left join left_over o using (r)
 """
+
+CONVERSATION_TRIE = f"""
+with plain as (
+    select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, turn
+    from conversations where conv_id is not null
+), numbered as (
+    select conv_id, md5(concat(len(role), ':', role, text)) as said, octet_length(encode(text)) as n_bytes,
+           row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as j
+    from plain
+), ids as (
+    select conv_id, cast(conv_id as varchar) as id, count(*) as n from numbered group by conv_id
+), planned as (
+    select conv_id, conv_id - conv_id % 5 as base, {_CRC32.format('id')} % 9 as h from ids
+), taken as (
+    select p.*, least(h, coalesce(n, 0)) as taken from planned p left join ids b on b.conv_id = p.base
+), turns as (
+    select t.conv_id, j as place, said, n_bytes from taken t join numbered x on x.conv_id = t.base and j < h
+    union all
+    select t.conv_id, j - h + taken, said, n_bytes from taken t join numbered x on x.conv_id = t.conv_id and j >= h
+), whole as (
+    select ids.conv_id, coalesce(list(said order by place) filter (said is not null), []) as said,
+           coalesce(list(n_bytes order by place) filter (said is not null), []) as sizes
+    from ids left join turns on turns.conv_id = ids.conv_id group by ids.conv_id
+), members as (
+    select conv_id, d, md5(array_to_string(said[:cast(d as int)], ',')) as key, len(said) as depth_of,
+           case when d = 0 then 0 else sizes[cast(d as int)] end as n_bytes,
+           case when d = 0 then null else md5(array_to_string(said[:cast(d - 1 as int)], ',')) end as above
+    from whole, lateral (select unnest(range(0, cast(len(said) + 1 as bigint))) as d)
+), nodes as (
+    select d, key, any_value(above) as above, min(conv_id) as conv_id, count(*) as n_convs, any_value(n_bytes) as n_bytes,
+           coalesce(string_agg(conv_id, ',' order by conv_id) filter (depth_of = d), '') as ends
+    from members group by d, key
+), linked as (
+    select n.*, (select count(*) from nodes c where c.d = n.d + 1 and c.above = n.key) as n_children,
+           (select p.conv_id from nodes p where p.d = n.d - 1 and p.key = n.above) as parent_conv_id
+    from nodes n
+), sums as (
+    select m.d, m.key, sum((u.n_convs - 1) * u.n_bytes) as saved_tokens,
+           count(*) filter (u.n_children = 0) as n_leaves
+    from linked u join members m on m.conv_id = u.conv_id and m.d <= u.d group by m.d, m.key
+)
+select conv_id, d as depth, parent_conv_id, n_convs, n_children, n_leaves,
+       cast(saved_tokens as bigint) as saved_tokens, sha256(ends) as ends_sha256
+from linked join sums using (d, key)
+"""

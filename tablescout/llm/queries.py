@@ -19,6 +19,7 @@ from tablescout.llm.quality import quality_scores
 from tablescout.llm.runs import run_report
 from tablescout.llm.tokencounts import count_tokens
 from tablescout.llm.toxicity import toxicity_scores
+from tablescout.llm.trie import spliced_trie
 from tablescout.llm.windows import repeat_report
 
 # vocabularies of public tokenizers
@@ -91,6 +92,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_report(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, with shared beginnings spliced in."""
+    return spliced_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -105,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_benchmark_leaks": op10_benchmark_leaks,
         "op11_repeated_windows": op11_repeated_windows,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_conversation_trie": op13_conversation_trie,
     }
 
 
@@ -116,4 +123,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_arc_to_warc": oracles.ARC_TO_WARC,
         "op11_repeated_windows": oracles.REPEATED_WINDOWS,
         "op12_periodic_runs": oracles.PERIODIC_RUNS,
+        "op13_conversation_trie": oracles.CONVERSATION_TRIE,
     }
