@@ -332,13 +332,11 @@ def planted_periods(id_col: str, text_col: str) -> Column:
     g = F.floor(h / 10)
     words = word_list(text_of(text_col))
     n = F.size(words)
-    a = g % n
-    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
-    turned = F.transform(
-        F.sequence(F.lit(0).cast("long"), n.cast("long") - 1),
-        lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")),
-    )
-    return F.when((fold(id_col, 10) == 0) & (n > 0), F.array_join(turned, " ")).otherwise(text_of(text_col))
+    a = (g % F.greatest(n, F.lit(1))).cast("int")
+    p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+    turned = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    turned = F.slice(F.concat(F.slice(words, F.lit(1), a), turned), F.lit(1), n)
+    return F.when(fold(id_col, 10) == 0, F.array_join(turned, " ")).otherwise(text_of(text_col))
 
 
 def run_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
