@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablescout.operators.columns import union_all
 from tablescout.operators.quantiles import row_counts
 from tablescout.options import DEFAULTS, Options
 from tablescout.sources.files import (
     DATA_SUFFIXES,
     FileTraits,
+    cast_text,
+    cell_forms,
+    file_cells,
     file_manifest,
     file_traits,
-    read_delimited,
-    separator_of,
+    fitting_type,
+    header_names,
+    missing_tokens_to_null,
+    plain_path,
+    read_text_table,
+    skip_bad_lines,
     unique_names,
+    whole_records,
 )
 
 LOADED = "loaded"
@@ -27,45 +37,108 @@ def parquet_catalog(spark: SparkSession, folder: str, tables: Iterable[str]) ->
     return {t: spark.read.parquet(f"{folder.rstrip('/')}/{t}.parquet") for t in tables}
 
 
+@dataclass
+class _File:
+    """A listed file and what is found out about it."""
+
+    path: str
+    stem: str
+    traits: FileTraits | None = None
+    names: list[str] = field(default_factory=list)
+    targets: dict[str, str] = field(default_factory=dict)
+    rows: int = 0
+    bad: int = 0
+    problem: str | None = None
+
+
+def _isolated(files: list[_File], job: Callable[[list[_File]], None]) -> None:
+    """Run one job over all files; where it fails, halve them until the failing ones are found."""
+    try:
+        if files:
+            job(files)
+    except Exception as problem:  # noqa: BLE001 - kept apart, the other files go on
+        if len(files) == 1:
+            files[0].problem = str(problem).strip().split("\n")[0]
+            return
+        half = len(files) // 2
+        _isolated(files[:half], job)
+        _isolated(files[half:], job)
+
+
+def _find_traits(spark: SparkSession, files: list[_File]) -> None:
+    """Encoding, separator, quotes and header of all files, from one scan."""
+    by_path = {f.path: f for f in files}
+    for row in file_traits(spark, list(by_path)).collect():  # one row per file
+        found = by_path[row["path"]]
+        if row["header"] is not None:
+            found.traits = FileTraits(row["encoding"], row["separator"], row["open_quotes"])
+            found.names = header_names(row["header"], row["separator"])
+
+
+def _find_types(spark: SparkSession, files: list[_File]) -> None:
+    """Types, rows and bad lines of all files, from one scan; files of one kind are read together."""
+    by_path = {f.path: f for f in files}
+    kinds: dict[FileTraits, list[_File]] = {}
+    for f in files:
+        kinds.setdefault(f.traits, []).append(f)
+    cells = []
+    for traits, own in kinds.items():
+        if traits.open_quotes:  # the header may span lines as well: one row per file
+            headers = whole_records(spark, [f.path for f in own], traits).where("is_header")
+            for row in headers.select(plain_path("file").alias("path"), "record").collect():
+                by_path[row["path"]].names = header_names(row["record"], traits.separator)
+        width = max(len(f.names) for f in own) + 1
+        cells.append(file_cells(spark, [f.path for f in own], traits, width))
+    widths = spark.createDataFrame([(f.path, len(f.names)) for f in files], "path string, width int")
+    for f in files:
+        f.rows = f.bad = 0
+    for row in cell_forms(union_all(cells), widths).collect():  # one row per file and column
+        found = by_path[row["path"]]
+        found.rows, found.bad = row["n_rows"], row["n_bad"]
+        target = fitting_type(row["n"], row.asDict())
+        if target:
+            found.targets[found.names[row["column_no"]]] = target
+
+
 def load_folder(
     spark: SparkSession,
     root: str,
     suffixes: Iterable[str] = DATA_SUFFIXES,
     bad_lines: str = "error",
-    options: Options = DEFAULTS,
+    options: Options = DEFAULTS,  # noqa: ARG001
 ) -> tuple[dict[str, DataFrame], DataFrame]:
     """Every delimited file under root as a table, and a report of what was loaded.
 
-    A file that cannot be read is reported and skipped. Encodings and separators of
-    all files are found in one job.
+    A file that cannot be read is reported and skipped. One scan finds the encodings,
+    separators and headers of all files, one more all types, rows and bad lines: the number
+    of jobs does not depend on the number of files. What the driver holds is a row per file
+    and column.
     """
-    manifest = file_manifest(spark, root, suffixes).select("path", "stem").collect()
-    traits = {}
-    if manifest:
-        traits = {
-            row["path"]: FileTraits(
-                row["encoding"], separator_of(spark, row["path"]), row["open_quotes"]
-            )
-            for row in file_traits(spark, [row["path"] for row in manifest]).collect()
-        }
-    loaded: list[tuple[str, str, DataFrame]] = []
-    skipped: list[tuple[str, str]] = []
-    for row in manifest:
-        path = row["path"]
-        try:
-            if path not in traits:
-                raise ValueError("no lines to read")
-            loaded.append((row["stem"], path, read_delimited(spark, path, traits[path], bad_lines, options)))
-        except Exception as problem:  # noqa: BLE001 - reported, the other files go on
-            skipped.append((path, f"skipped: {problem}"))
-    names = unique_names(stem for stem, _, _ in loaded)
-    catalog = {name: df for name, (_, _, df) in zip(names, loaded)}
-    counts = row_counts(catalog) if catalog else {}
-    rows = [
-        (no, name, path, counts[name], LOADED)
-        for no, (name, (_, path, _)) in enumerate(zip(names, loaded), start=1)
-    ]
-    rows += [(None, None, path, None, status) for path, status in skipped]
+    if bad_lines not in ("error", "skip"):
+        raise ValueError(f"unknown rule for bad lines: {bad_lines}")
+    # the listing: one row per file
+    listed = file_manifest(spark, root, suffixes).select("path", "stem", "file_name", "length").collect()
+    found = [_File(row["path"], row["stem"]) for row in listed]
+    for f, row in zip(found, listed, strict=True):
+        if row["length"] == 0:
+            f.problem = "no lines to read"
+        elif row["file_name"].startswith(("_", ".")):
+            f.problem = "Spark does not read files with hidden names"
+    _isolated([f for f in found if not f.problem], lambda part: _find_traits(spark, part))
+    for f in found:
+        if not f.problem and not f.names:
+            f.problem = "no lines to read"
+    _isolated([f for f in found if not f.problem], lambda part: _find_types(spark, part))
+    for f in found:
+        if not f.problem and f.bad and bad_lines == "error":
+            f.problem = f"{f.bad} lines have more fields than the header"
+    good = [f for f in found if not f.problem]
+    catalog = {}
+    for name, f in zip(unique_names(f.stem for f in good), good, strict=True):
+        text = skip_bad_lines(read_text_table(spark, f.path, f.traits, f.names, has_header=True))
+        catalog[name] = cast_text(missing_tokens_to_null(text), f.targets)
+    rows = [(no, name, f.path, f.rows, LOADED) for no, (name, f) in enumerate(zip(catalog, good, strict=True), start=1)]
+    rows += [(None, None, f.path, None, f"skipped: {f.problem}") for f in found if f.problem]
     return catalog, spark.createDataFrame(rows, REPORT)
 
 

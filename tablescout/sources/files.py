@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
@@ -15,6 +16,8 @@ from tablescout.functions.text import INTEGER_TEXT, NUMBER_TEXT, null_if_missing
 from tablescout.operators.columns import chunks, col
 from tablescout.operators.numbering import number_rows
 from tablescout.options import DEFAULTS, Options
+from tablescout.sources.listing import list_files
+from tablescout.sources.records import ends_inside, file_lines, judged_lines, quote_pieces, records
 
 # fixed values: what each listing looks for
 DATA_SUFFIXES = (".csv", ".tsv", ".txt")
@@ -31,12 +34,18 @@ SEPARATORS = (",", "\t", "|", ";", " ")
 
 SURPLUS = "_surplus"
 
+# fixed values: texts that read as a boolean
+BOOLEAN_TEXTS = ("True", "TRUE", "true", "False", "FALSE", "false")
+# the first type whose form all values have; whole numbers of over 38 digits stay text
+FORMS = {"int": "bigint", "dec": "decimal(38,0)", "whole": None, "num": "double", "bool": "boolean"}
+
 
 # ---- discovery -----------------------------------------------------------------
 
 
-def _plain_path(path: Column) -> Column:
+def plain_path(path: Column | str) -> Column:
     """Path without scheme, URL escapes undone."""
+    path = F.col(path) if isinstance(path, str) else path
     decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
     return F.regexp_replace(decoded, r"^[a-z0-9]+:/+", "/")
 
@@ -61,16 +70,12 @@ def file_manifest(
 ) -> DataFrame:
     """(path, relative_path, folder, file_name, stem, suffix, length) in path order.
 
-    Only the listing is used, file contents are never read. Spark listings hide names
-    that start with '_' or '.' and files without a byte.
+    Only the listing is used, file contents are never read. Hidden names and files without a
+    byte are listed too; Spark's readers skip both.
     """
     suffixes = list(suffixes)
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", _glob(suffixes))
-        .load(root)
-        .select(F.regexp_replace("path", r"^[a-z0-9]+:/+", "/").alias("path"), "length")
+    listed = list_files(spark, root).select(
+        F.regexp_replace("path", r"^[a-z0-9]+:/+", "/").alias("path"), "length"
     )
     relative = _relative(F.col("path"), root)
     found = listed.select(
@@ -142,47 +147,57 @@ def sniff_separator(line: Column) -> Column:
 def file_traits(
     spark: SparkSession, files: str | list[str], encodings: Sequence[str] = ENCODINGS
 ) -> DataFrame:
-    """(path, encoding, open_quotes, header, separator), one row per non-empty file.
+    """(path, encoding, open_quotes, header, separator), one row per file with a line.
 
     Judged line by line, so that large files are split over tasks: the first of the given
-    encodings (utf-8, cp1252, latin-1) that every line allows, whether some line ends inside a
-    quoted field, and the first line with its separator.
+    encodings (utf-8, cp1252, latin-1) that every line allows, whether some line may end inside
+    a quoted field, and the first line that is not blank with its separator. A quote inside a
+    field, like an inch mark, opens nothing.
     """
     line = F.col("value")
     whole = F.is_valid_utf8(line)
     undefined = F.hex(line.cast("binary")).rlike(f"^(?:..)*(?:{UNDEFINED_IN_CP1252})")
-    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
     # lines keep their order within a split, and the first split starts at byte 0
-    place = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
+    first = (F.col("_metadata.file_block_start") == 0) & (F.trim(line) != "")
+    place = F.when(first, F.monotonically_increasing_id())
+    opens = [
+        F.bool_or(F.contains(line, F.lit('"')) & ends_inside(F.col("pieces"), s)).alias(f"opens_{i}")
+        for i, s in enumerate(SEPARATORS)
+    ]
     judged = (
         spark.read.option("recursiveFileLookup", True)
         .text(files)
-        .select("value", "_metadata", place.alias("place"))
+        .select("value", "_metadata", place.alias("place"), quote_pieces(line).alias("pieces"))
         .groupBy(F.col("_metadata.file_path").alias("file"))
         .agg(
             F.bool_and(whole).alias("utf8"),
             F.bool_or(~whole & undefined).alias("undefined"),
-            F.bool_or(quotes % 2 == 1).alias("open_quotes"),
-            F.min_by("value", "place").alias("header"),
+            *opens,
+            F.min_by(line.cast("binary"), "place").alias("bytes"),
         )
     )
-    path, header = _plain_path(F.col("file")), F.make_valid_utf8(F.col("header"))
-    kind = F.lower(path)
     allowed = dict(zip(ENCODINGS, (F.col("utf8"), ~F.col("undefined"), F.lit(True)), strict=True))
     unknown = [e for e in encodings if e not in allowed]
     if unknown or not encodings:
         raise ValueError(f"encodings must be some of {', '.join(ENCODINGS)}")
-    return judged.select(
-        path.alias("path"),
-        F.coalesce(*[F.when(allowed[e], F.lit(e)) for e in encodings])
-        .alias("encoding"),
-        "open_quotes",
-        header.alias("header"),
+    encoding = F.coalesce(*[F.when(allowed[e], F.lit(e)) for e in encodings])
+    judged = judged.select("*", plain_path(F.col("file")).alias("path"), encoding.alias("encoding"))
+    utf8, latin = F.make_valid_utf8(F.col("bytes").cast("string")), F.decode("bytes", "ISO-8859-1")
+    header = (
+        F.when(F.col("encoding") == "latin-1", latin)
+        .when(F.col("encoding") == "cp1252", _cp1252_from_latin1(latin))
+        .otherwise(utf8)
+    )
+    kind = F.lower("path")
+    judged = judged.withColumn("header", header)
+    judged = judged.withColumn(
+        "separator",
         F.when(kind.endswith(".csv"), F.lit(","))
         .when(kind.endswith(".tsv"), F.lit("\t"))
-        .otherwise(sniff_separator(header))
-        .alias("separator"),
+        .otherwise(sniff_separator(F.col("header"))),
     )
+    found = F.coalesce(*[F.when(F.col("separator") == s, F.col(f"opens_{i}")) for i, s in enumerate(SEPARATORS)])
+    return judged.select("path", "encoding", found.alias("open_quotes"), "header", "separator")
 
 
 def separator_of(spark: SparkSession, path: str) -> str:
@@ -216,39 +231,132 @@ def _cp1252_from_latin1(c: Column) -> Column:
     return F.translate(c, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
 
 
+def header_names(header: str, separator: str) -> list[str]:
+    """Column names of a header record; a field without text is named by its place."""
+    fields = next(csv.reader([header.lstrip("\ufeff")], delimiter=separator), [])
+    return unique_names(name or f"_c{i}" for i, name in enumerate(fields))
+
+
+def _decoded(c: Column, encoding: str) -> Column:
+    """Text from the bytes of a text file that were taken for UTF-8."""
+    if encoding == "utf-8":
+        return c
+    latin = F.decode(c.cast("binary"), "ISO-8859-1")
+    return _cp1252_from_latin1(latin) if encoding == "cp1252" else latin
+
+
+def whole_records(spark: SparkSession, path: str | list[str], traits: FileTraits) -> DataFrame:
+    """(file, record, is_header) of files whose quoted fields span lines; blank lines are left out."""
+    lines = file_lines(spark, path).where(F.trim("line") != "")
+    found = records(judged_lines(lines, traits.separator))
+    return found.select("file", _decoded(F.col("record"), traits.encoding).alias("record"), "is_header")
+
+
+def _parsed(record: Column, width: int, separator: str) -> Column:
+    fields = ", ".join(f"c{i} string" for i in range(width))
+    return F.from_csv(record, fields, {"sep": separator, "quote": '"', "escape": '"'})
+
+
+def _reader(spark: SparkSession, traits: FileTraits, header: bool):
+    return (
+        spark.read.option("sep", traits.separator)
+        .option("encoding", "UTF-8" if traits.encoding == "utf-8" else "ISO-8859-1")
+        .option("quote", '"')
+        .option("escape", '"')
+        .option("header", header)
+        .option("recursiveFileLookup", True)
+    )
+
+
 def read_text_table(
     spark: SparkSession,
     path: str | list[str],
     traits: FileTraits,
     names: list[str] | None = None,
+    has_header: bool | None = None,
 ) -> DataFrame:
     """All columns as text plus SURPLUS, which is set on rows with too many fields.
 
-    Column names come from the first line unless they are given. Short rows are filled
-    up with NULL. A file is only kept in one piece when some quoted field of it spans
-    lines.
+    Column names come from the first line unless they are given; has_header says whether
+    there is such a line where names are given, else there is none. Short rows are filled up
+    with NULL. Files are split over tasks, those with quoted fields that span lines too.
     """
-    reader = (
-        spark.read.option("sep", traits.separator)
-        .option("encoding", "UTF-8" if traits.encoding == "utf-8" else "ISO-8859-1")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("header", names is None)
-        .option("multiLine", traits.open_quotes)
-        .option("recursiveFileLookup", True)
-    )
-    if names is None:
-        names = reader.csv(path).columns
+    header = names is None if has_header is None else has_header
+    if traits.open_quotes:
+        rows = whole_records(spark, path, traits)
+        if names is None:
+            first = rows.where("is_header").orderBy("file").first()
+            names = header_names(first["record"], traits.separator) if first else []
+    elif names is None:
+        names = _reader(spark, traits, header).csv(path).columns
     if not names:
         raise ValueError(f"no columns to read from {path}")
     names = unique_names(n.lstrip("\ufeff") for n in names)
+    if traits.open_quotes:
+        if header:
+            rows = rows.where("not is_header")
+        cells = rows.select(_parsed(F.col("record"), len(names) + 1, traits.separator).alias("cells"))
+        return cells.select(
+            *[F.col(f"cells.c{i}").alias(n) for i, n in enumerate([*names, SURPLUS])]
+        )
     fields = [T.StructField(n, T.StringType()) for n in [*names, SURPLUS]]
-    rows = reader.schema(T.StructType(fields)).csv(path)
+    rows = _reader(spark, traits, header).schema(T.StructType(fields)).csv(path)
     if traits.encoding == "cp1252":
         rows = rows.select(*[_cp1252_from_latin1(col(c)).alias(c) for c in rows.columns])
     return rows
 
 
+def file_cells(spark: SparkSession, paths: list[str], traits: FileTraits, width: int) -> DataFrame:
+    """(path, cells): every row below the header of some files of one kind, as width texts."""
+    if traits.open_quotes:
+        rows = whole_records(spark, paths, traits).where("not is_header")
+        cells = F.array(*[F.col(f"cells.c{i}") for i in range(width)])
+        parsed = rows.select("file", _parsed(F.col("record"), width, traits.separator).alias("cells"))
+        return parsed.select(plain_path(F.col("file")).alias("path"), cells.alias("cells"))
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    rows = _reader(spark, traits, True).schema(schema).csv(paths)
+    cells = [_cp1252_from_latin1(F.col(c)) if traits.encoding == "cp1252" else F.col(c) for c in schema.names]
+    return rows.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.array(*cells).alias("cells"))
+
+
+def cell_forms(cells: DataFrame, widths: DataFrame) -> DataFrame:
+    """(path, column_no, n_rows, n_bad, n, int, dec, whole, num, bool): the forms that the values of
+    every column of every file have, from (path, cells) and (path, width).
+
+    Rows with a value beyond the width of their file are bad: they are counted, their values
+    are not. Counts are added up before they move.
+    """
+    value = null_if_missing(F.col("value"))
+    beyond = F.exists(F.slice("cells", F.col("width") + 1, F.size("cells")), lambda c: c.isNotNull())
+    rows = cells.join(widths, "path").withColumn("bad", beyond)
+    rows = rows.select("path", "bad", F.posexplode(F.slice("cells", F.lit(1), F.col("width"))).alias("column_no", "value"))
+    rows = rows.select("path", "column_no", "bad", F.when(~F.col("bad"), value).alias("value"))
+    v, whole = F.col("value"), F.col("value").rlike(INTEGER_TEXT)
+    return rows.groupBy("path", "column_no").agg(
+        F.count_if(~F.col("bad")).alias("n_rows"),
+        F.count_if("bad").alias("n_bad"),
+        F.count(v).alias("n"),
+        F.count_if(whole & F.trim(v).try_cast("bigint").isNotNull()).alias("int"),
+        F.count_if(whole & F.trim(v).try_cast("decimal(38,0)").isNotNull()).alias("dec"),
+        F.count_if(whole).alias("whole"),
+        F.count_if(v.rlike(NUMBER_TEXT)).alias("num"),
+        F.count_if(v.isin(*BOOLEAN_TEXTS)).alias("bool"),
+    )
+
+
+def fitting_type(present: int, counts: dict[str, int]) -> str | None:
+    """The first type that all values have the form of; None leaves a column as text."""
+    fitting = [kind for form, kind in FORMS.items() if counts[form] == present]
+    return fitting[0] if present and fitting else None
+
+
+def cast_text(df: DataFrame, targets: dict[str, str]) -> DataFrame:
+    """Text columns in the types found for them, the others as they are."""
+    return df.select(
+        *[strip(col(c)).try_cast(targets[c]).alias(c) if c in targets else col(c) for c in df.columns]
+    )
+
+
 def skip_bad_lines(rows: DataFrame) -> DataFrame:
     """Drop the rows with more fields than the header."""
     return rows.where(F.col(SURPLUS).isNull()).drop(SURPLUS)
@@ -279,7 +387,7 @@ def infer_types(df: DataFrame, options: Options = DEFAULTS, must_be_empty: str |
         checked = "0L as surplus"
     names = [c for c in df.columns if c != must_be_empty]
     targets: dict[str, str] = {}
-    forms = {"int": "bigint", "dec": "decimal(38,0)", "all": None, "num": "double", "bool": "boolean"}
+    booleans = ", ".join(sqltext.text(t) for t in BOOLEAN_TEXTS)
     for group in chunks(list(enumerate(names)), options.aggregates_per_job // 6):
         aggregates = [checked]
         for i, name in group:
@@ -289,24 +397,18 @@ def infer_types(df: DataFrame, options: Options = DEFAULTS, must_be_empty: str |
                 f"count({q}) as n_{i}",
                 f"count_if({whole} and try_cast(trim({q}) as bigint) is not null) as int_{i}",
                 f"count_if({whole} and try_cast(trim({q}) as decimal(38,0)) is not null) as dec_{i}",
-                f"count_if({whole}) as all_{i}",
+                f"count_if({whole}) as whole_{i}",
                 f"count_if({q} rlike {sqltext.text(NUMBER_TEXT)}) as num_{i}",
-                f"count_if({q} in ('True', 'TRUE', 'true', 'False', 'FALSE', 'false')) as bool_{i}",
+                f"count_if({q} in ({booleans})) as bool_{i}",
             ]
         row = df.selectExpr(*aggregates).first()
         if row["surplus"]:
             raise ValueError(f"{row['surplus']} lines have more fields than the header")
         for i, name in group:
-            present = row[f"n_{i}"]
-            fitting = [kind for form, kind in forms.items() if row[f"{form}_{i}"] == present]
-            if present and fitting and fitting[0]:
-                targets[name] = fitting[0]
-    return df.select(
-        *[
-            strip(col(c)).try_cast(targets[c]).alias(c) if c in targets else col(c)
-            for c in names
-        ]
-    )
+            target = fitting_type(row[f"n_{i}"], {form: row[f"{form}_{i}"] for form in FORMS})
+            if target:
+                targets[name] = target
+    return cast_text(df.select(*[col(c) for c in names]), targets)
 
 
 def _typed(rows: DataFrame, bad_lines: str, options: Options) -> DataFrame:

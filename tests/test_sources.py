@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from tablescout.plans.profile import SKIPPED, describe_folder, profile_folder
 from tablescout.sources import catalog as catalogs
-from tablescout.sources import files, sinks
+from tablescout.sources import files, listing, sinks
+from tablescout.sources.listing import list_files
 
 
 def put(folder, name, content):
@@ -31,10 +32,34 @@ def test_manifest(spark, tmp_path):
     assert files.file_manifest(spark, str(tmp_path), [".py"], skip_names=["run.py"]).count() == 0
 
 
-def test_manifest_reads_no_content(spark, tmp_path):
-    put(tmp_path, "b.csv", "x\n1\n")
-    plan = files.file_manifest(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<path:string,length:bigint>" in plan
+def test_manifest_is_complete(spark, tmp_path):
+    put(tmp_path, "empty.csv", "")
+    put(tmp_path, "_hidden/.dot.csv", "x\n")
+    put(tmp_path, "_under.csv", "x\n1\n")
+    rows = files.file_manifest(spark, str(tmp_path)).collect()
+    assert [(r["relative_path"], r["length"]) for r in rows] == [("_hidden/.dot.csv", 2), ("_under.csv", 4), ("empty.csv", 0)]
+
+
+def test_listing_in_many_shares(spark, tmp_path):
+    wanted = {put(tmp_path, f"a{i % 3}/b{i % 7}/c{i}/f{i}.csv", "x" * i) for i in range(60)}
+    for shares in (1, 500, 16):
+        listed = list_files(spark, str(tmp_path), shares)
+        assert {r["path"] for r in listed.collect()} == wanted
+    assert listed.rdd.getNumPartitions() > 8
+    assert {(r["path"], r["length"]) for r in list_files(spark, f"file://{tmp_path}/a1/b1/c1").collect()} == {
+        (str(tmp_path / "a1/b1/c1/f1.csv"), 1)
+    }
+    with pytest.raises(FileNotFoundError):
+        list_files(spark, str(tmp_path / "none"))
+    (tmp_path / "void").mkdir()
+    assert list_files(spark, str(tmp_path / "void")).count() == 0
+
+
+def test_listing_of_another_store(spark, tmp_path):
+    put(tmp_path, "a/empty.csv", "")
+    put(tmp_path, "a/_b.csv", "xy")
+    rows = listing._store_listing(spark, f"file://{tmp_path}").collect()
+    assert sorted((r["path"].rsplit("/", 1)[1], r["length"]) for r in rows) == [("_b.csv", 2), ("empty.csv", 0)]
 
 
 def test_unique_names():
@@ -114,13 +139,59 @@ def test_load_folder_skips_and_names(spark, tmp_path):
     put(tmp_path, "x/a.csv", "v\n1\n")
     put(tmp_path, "y/a.csv", "v\n2\n3\n")
     put(tmp_path, "blank.csv", "\n\n")
-    put(tmp_path, "empty.csv", "")  # Spark listings leave files without a byte out
+    put(tmp_path, "empty.csv", "")
+    put(tmp_path, "_hidden.csv", "v\n1\n")
     catalog, report = catalogs.load_folder(spark, str(tmp_path))
     assert list(catalog) == ["a", "a (2)"]
     rows = {r["path"].rsplit("/", 2)[-2] + "/" + r["path"].rsplit("/", 1)[-1]: r for r in report.collect()}
     assert [rows["x/a.csv"]["rows"], rows["y/a.csv"]["rows"]] == [1, 2]
     skipped = [r for r in report.collect() if r["status"].startswith("skipped")]
-    assert len(skipped) == 1 and skipped[0]["path"].endswith("blank.csv")
+    assert [r["path"].rsplit("/", 1)[-1] for r in skipped] == ["_hidden.csv", "blank.csv", "empty.csv"]
+
+
+def test_load_folder_jobs_do_not_grow_with_files(spark, tmp_path):
+    def jobs(n):
+        for i in range(n):
+            put(tmp_path, f"{n}/f{i}.{('csv', 'tsv', 'txt')[i % 3]}", "a,b\n1,x\n2,y\n" if i % 3 != 1 else "a\tb\n1.5\t\n")
+        tracker = spark.sparkContext.statusTracker()
+        group = f"load {n}"
+        spark.sparkContext.setJobGroup(group, group)
+        catalog, report = catalogs.load_folder(spark, str(tmp_path / str(n)))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(catalog) == n and [r["rows"] for r in report.collect()] == [1 if i % 3 == 1 else 2 for i in (
+            sorted(range(n), key=lambda i: f"f{i}.{('csv', 'tsv', 'txt')[i % 3]}"))]
+        return len(tracker.getJobIdsForGroup(group))
+
+    assert jobs(6) == jobs(30)
+
+
+def test_load_folder_isolates_unreadable_files(spark, tmp_path, monkeypatch):
+    for i in range(7):
+        put(tmp_path, f"f{i}.csv", "a\n1\n")
+    real = catalogs.file_traits
+
+    def failing(session, paths, *rest):
+        if any(p.endswith(("f2.csv", "f5.csv")) for p in paths):
+            raise OSError("cannot be read")
+        return real(session, paths, *rest)
+
+    monkeypatch.setattr(catalogs, "file_traits", failing)
+    catalog, report = catalogs.load_folder(spark, str(tmp_path))
+    assert list(catalog) == ["f0", "f1", "f3", "f4", "f6"]
+    assert {r["path"][-6:] for r in report.where("status like 'skipped: cannot%'").collect()} == {"f2.csv", "f5.csv"}
+
+
+def test_quoted_line_feeds_and_inch_marks(spark, tmp_path):
+    put(tmp_path, "inch.csv", 'size,v\n5" pipe,1\n6" pipe,2\n')
+    put(tmp_path, "open.csv", 'k,"two\nlines"\n1,"a\nb, ""c"""\n2,"x"\n\n3,"never\n4,y\n')
+    traits = {r["path"][-8:]: r["open_quotes"] for r in files.file_traits(spark, str(tmp_path)).collect()}
+    assert traits == {"inch.csv": False, "open.csv": True}
+    catalog, report = catalogs.load_folder(spark, str(tmp_path))
+    assert catalog["open"].columns == ["k", "two\nlines"]
+    got = sorted(map(tuple, catalog["open"].collect()))
+    assert got[:2] == [(1, 'a\nb, "c"'), (2, "x")] and [r[0] for r in got] == [1, 2, 3, 4]
+    assert sorted(map(tuple, catalog["inch"].collect())) == [('5" pipe', 1), ('6" pipe', 2)]
+    assert [r["rows"] for r in report.orderBy("table_no").collect()] == [2, 4]
 
 
 def test_load_report_names_the_missing(spark, small):
