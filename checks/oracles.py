@@ -597,6 +597,83 @@ def file_manifest() -> str:
         from customer group by c_mktsegment"""
 
 
+def script_listing() -> str:
+    listed = f"""select path, octet_length(encode(text)) as length,
+        regexp_extract(path, '([^/]*)$', 1) as name, lower(regexp_extract(path, '[.][a-zA-Z]+$')) as suffix
+        from ({_filled(views.SCRIPT_FILES)})"""
+    rows = """select '{kind}' as kind, path as relative_path,
+        case when contains(path, '/') then regexp_extract(path, '^(.*)/', 1) else '(Root Folder)' end as folder,
+        regexp_replace(name, '[.][a-zA-Z]+$', '') as stem, length,
+        row_number() over (order by path) as place
+        from listed where suffix = '.{kind}' and name <> 'n3.py'"""
+    return f"""with listed as ({listed}) {rows.format(kind='sql')} and name not like '~$%'
+        union all {rows.format(kind='py')}"""
+
+
+# one row per file: what a loader that skips bad lines or files must find
+_LOADED_FILES = """
+    customers as (
+        select c_custkey, c_mktsegment, c_nationkey as kind, cast(floor(c_custkey / 5000) as int) as b from customer where c_nationkey < 7
+    ), cells as (
+        select *, concat('n', kind % 3, '/',
+                   ['plain', 'plain', 'tabs', 'bars', 'lines', 'bad', 'inch'][kind + 1], '-', b,
+                   case kind when 2 then '.tsv' when 3 then '.txt' else '.csv' end) as path,
+               case kind when 2 then cast(c_custkey % 97 as varchar) || '.5'
+                    when 3 then case when c_custkey % 9 = 0 then null else cast(c_custkey % 89 as varchar) end
+                    when 4 then c_mktsegment || chr(10) || 'said "' || (c_custkey % 83) || '"'
+                    when 5 then 'a' when 6 then (c_custkey % 7) || '" wide' else c_mktsegment end as value,
+               kind = 5 and c_custkey % 11 = 0 as bad
+        from customers
+    ), loaded as (
+        select path, kind, regexp_extract(path, '/(.*)[.]', 1) as stem, count(*) as n, count(*) filter (bad) as n_bad,
+               cast(sum(c_custkey) as bigint) as keys, max(value) as top, count(*) filter (value is null) as gaps,
+               count(*) filter (not bad) as n_good
+        from cells group by path, kind
+    )"""
+
+
+def folder_load() -> str:
+    return f"""with {_LOADED_FILES}, numbered as (
+        select *, row_number() over (order by path) as table_no, row_number() over (partition by stem order by path) as use
+        from loaded where n_bad = 0
+    )
+    select table_no, stem || case when use > 1 then ' (' || use || ')' else '' end as table_name, path, n as rows, 'loaded' as status,
+           case kind when 2 then 'c_custkey bigint,balance double' when 3 then 'c_custkey bigint,balance bigint'
+                else 'c_custkey bigint,label string' end as columns, keys, top
+    from numbered
+    union all
+    select null, null, path, null, 'skipped: ' || n_bad || ' lines have more fields than the header', null, null, null
+    from loaded where n_bad > 0
+    union all select null, null, 'void.csv', null, 'skipped: no lines to read', null, null, null"""
+
+
+def folder_profile() -> str:
+    return f"""with {_LOADED_FILES}, numbered as (
+        select *, row_number() over (order by path) as table_no, row_number() over (partition by stem order by path) as use from loaded
+    ), columns as (select unnest([1, 2]) as column_no)
+    select row_number() over (order by table_no, column_no) as slno, table_no,
+           stem || case when use > 1 then ' (' || use || ')' else '' end as table_name, column_no,
+           case when column_no = 1 then 'c_custkey' when kind in (2, 3) then 'balance' else 'label' end as column_name,
+           case when column_no = 1 or kind = 3 then 'integer' when kind = 2 then 'decimal' else 'text' end as data_type,
+           n_good as total_rows, case when column_no = 1 then 0 else gaps end as null_count, 0 as error_count, 0 as blank_count
+    from numbered, columns"""
+
+
+def quoted_records() -> str:
+    return f"select p_partkey, label from ({_filled(views.QUOTED_PARTS)})"
+
+
+def sniffed_files() -> str:
+    return """select kind, [',', chr(9), '|', ';', ' '][kind + 1] as separator, false as open_quotes
+        from (select distinct cast(c_custkey % 5 as int) as kind from customer)"""
+
+
+def read_two_encodings() -> str:
+    return " union all ".join(
+        f"select '{k}' as kind, c_custkey, chr({m}) || c_name as label from customer" for k, m in (("utf8", 233), ("other", 128))
+    )
+
+
 def table_names() -> str:
     return f"""with f as ({_filled(views.FILES)}),
     n as (select *, row_number() over (partition by stem order by path) as i from f)
@@ -834,6 +911,12 @@ def speak_numbers() -> str:
 def oracle_sql() -> dict[str, str]:
     made = [
         file_manifest,
+        script_listing,
+        folder_load,
+        folder_profile,
+        quoted_records,
+        sniffed_files,
+        read_two_encodings,
         table_names,
         read_encoded,
         sniff_delimiter,

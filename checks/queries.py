@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from checks import views
 from tablescout.functions.text import name_similarity
+from tablescout.operators.columns import union_all
+from tablescout.operators.numbering import number_rows
 from tablescout.operators import (
     clusters,
     correlate,
@@ -80,6 +82,83 @@ def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def script_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts of other kinds and names, hidden and empty ones too, written from the nations and
+    listed by suffix in path order."""
+    root = scratch_path(spark, "scripts")
+    sinks.write_files(_view(spark, sf_dir, views.SCRIPT_FILES, "nation"), root)
+    parts = []
+    for kind, suffixes, locks in (("sql", files.SQL_SUFFIXES, True), ("py", files.SCRIPT_SUFFIXES, False)):
+        found = files.file_manifest(spark, root, suffixes, skip_locks=locks, skip_names=["n3.py"])
+        numbered = number_rows(found.select("relative_path", "folder", "stem", "length"), ["relative_path"], name="place")
+        parts.append(numbered.select(F.lit(kind).alias("kind"), "*"))
+    return parts[0].unionByName(parts[1])
+
+
+def folder_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of every kind written from the customers of a nation, loaded as a folder: an empty
+    one, one with bad lines, one of equal stem in each folder, line feeds in quotes."""
+    root = scratch_path(spark, "folder")
+    sinks.write_files(_view(spark, sf_dir, views.CUSTOMER_FILES, "customer"), root)
+    catalog, report = catalogs.load_folder(spark, root)
+    columns = [(name, ",".join(f"{c} {t}" for c, t in df.dtypes)) for name, df in catalog.items()]
+    typed = spark.createDataFrame(columns, "table_name string, columns string")
+    sums = [
+        df.agg(F.sum("c_custkey").cast("bigint").alias("keys"), F.max(F.col(df.columns[1]).cast("string")).alias("top"))
+        .select(F.lit(name).alias("table_name"), "*")
+        for name, df in catalog.items()
+    ]
+    table = F.regexp_replace("path", "^.*/folder-[0-9a-f]+/", "")
+    found = report.select("table_no", "table_name", table.alias("path"), "rows", "status")
+    return found.join(typed, "table_name", "left").join(union_all(sums), "table_name", "left")
+
+
+def folder_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data dictionary of the same folder."""
+    root = scratch_path(spark, "folder")
+    sinks.write_files(_view(spark, sf_dir, views.CUSTOMER_FILES, "customer"), root)
+    catalog, _ = catalogs.load_folder(spark, root, bad_lines="skip")
+    return dictionary.data_dictionary(catalog)
+
+
+def quoted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with quotes, separators and line feeds in their names, written and read back in
+    splits; a file with inch marks only is read line by line."""
+    path = scratch_path(spark, "quoted")
+    part = _view(spark, sf_dir, views.QUOTED_PARTS, "part")
+    writer = part.select("p_partkey", "label").write.option("header", True)
+    writer.option("escape", '"').csv(path)
+    read = files.read_table_folder(spark, path)
+    return read.select("p_partkey", "label")
+
+
+def sniffed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The separator found in text files of customers, one folder for each separator."""
+    path = scratch_path(spark, "sniffed")
+    separators = F.array(*[F.lit(s) for s in files.SEPARATORS])
+    kind = (F.col("c_custkey") % len(files.SEPARATORS)).cast("int")
+    wanted = F.element_at(separators, kind + 1)
+    line = F.concat(F.col("c_custkey").cast("string"), wanted, "c_mktsegment", wanted, F.col("c_nationkey").cast("string"))
+    _table(spark, sf_dir, "customer").select(kind.alias("kind"), line.alias("value")).write.partitionBy("kind").text(path)
+    found = files.file_traits(spark, path)
+    number = F.regexp_extract("path", "/kind=([0-9]+)/", 1).cast("int")
+    return found.groupBy(number.alias("kind"), "separator").agg(F.bool_or("open_quotes").alias("open_quotes"))
+
+
+def read_two_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fallback of two encodings: bytes that are not UTF-8 are latin-1."""
+    customer = _table(spark, sf_dir, "customer")
+    parts = []
+    for kind, mark in {"utf8": "é", "other": "\x80"}.items():
+        path = scratch_path(spark, kind)
+        customer.select("c_custkey", F.concat(F.lit(mark), "c_name").alias("label")).write.option(
+            "header", True
+        ).option("encoding", "UTF-8" if kind == "utf8" else "ISO-8859-1").csv(path)
+        read = files.read_table_folder(spark, path, encodings=["utf-8", "latin-1"])
+        parts.append(read.select(F.lit(kind).alias("kind"), "c_custkey", "label"))
+    return parts[0].unionByName(parts[1])
+
+
 def table_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = _view(spark, sf_dir, views.FILES, "part")
     return files.table_names(listed).select("path", "table_name")
@@ -390,6 +469,12 @@ def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     listed: list[Query] = [
         file_manifest,
+        script_listing,
+        folder_load,
+        folder_profile,
+        quoted_records,
+        sniffed_files,
+        read_two_encodings,
         table_names,
         read_encoded,
         sniff_delimiter,

@@ -107,3 +107,42 @@ select case when n_regionkey = 0 then concat('n', n_nationkey, '.sql')
             else concat('select count(*) as n from customer where c_nationkey = ', n_nationkey) end as text
 from {nation}
 """
+
+# a script per nation: empty ones, hidden names, lock files, two kinds
+SCRIPT_FILES = """
+select concat(case when n_regionkey = 0 then '' else concat('r', n_regionkey, '/') end,
+              case n_nationkey % 6 when 1 then '_' when 2 then '~$' when 4 then '.' else '' end,
+              'n', n_nationkey, case n_nationkey % 4 when 3 then '.py' when 2 then '.SQL' else '.sql' end) as path,
+       case when n_nationkey % 5 = 0 then '' else concat('select ', n_nationkey, chr(10)) end as text
+from {nation}
+"""
+
+# the customers of a few nations as files, 5,000 keys each at most: separators, headers, quotes, bad lines, nothing
+CUSTOMER_FILES = """
+select concat('n', c_nationkey % 3, '/', case c_nationkey when 0 then 'plain' when 1 then 'plain'
+              when 2 then 'tabs' when 3 then 'bars' when 4 then 'lines' when 5 then 'bad' else 'inch' end, '-',
+              cast(floor(c_custkey / 5000) as int),
+              case c_nationkey when 2 then '.tsv' when 3 then '.txt' else '.csv' end) as path,
+       concat(case c_nationkey when 2 then concat('c_custkey', chr(9), 'balance') when 3 then 'c_custkey|balance'
+              else 'c_custkey,label' end, chr(10),
+              array_join(array_sort(array_agg(
+                case c_nationkey
+                  when 2 then concat(lpad(cast(c_custkey as string), 12, ' '), chr(9), cast(c_custkey % 97 as string), '.5')
+                  when 3 then concat(lpad(cast(c_custkey as string), 12, ' '), '|', case when c_custkey % 9 = 0 then 'NA' else cast(c_custkey % 89 as string) end)
+                  when 4 then concat(lpad(cast(c_custkey as string), 12, ' '), ',"', c_mktsegment, chr(10), 'said ""', cast(c_custkey % 83 as string), '""', '"')
+                  when 5 then concat(lpad(cast(c_custkey as string), 12, ' '), ',a', case when c_custkey % 11 = 0 then ',b' else '' end)
+                  when 6 then concat(lpad(cast(c_custkey as string), 12, ' '), ',', cast(c_custkey % 7 as string), '" wide')
+                  else concat(lpad(cast(c_custkey as string), 12, ' '), ',', c_mktsegment) end)), chr(10)), chr(10)) as text
+from {customer} where c_nationkey < 7 group by c_nationkey, cast(floor(c_custkey / 5000) as int)
+union all select 'void.csv', ''
+"""
+
+QUOTED_PARTS = """
+select p_partkey, case p_partkey % 5
+         when 0 then concat(p_name, ' 5" wide')
+         when 1 then concat('"', p_name, '"')
+         when 2 then concat(p_name, chr(10), '"', p_type, '", ', p_brand)
+         when 3 then concat(p_name, ',', chr(10), chr(10), 'x')
+         else p_name end as label
+from {part}
+"""

@@ -246,9 +246,8 @@ def _decoded(c: Column, encoding: str) -> Column:
 
 
 def whole_records(spark: SparkSession, path: str | list[str], traits: FileTraits) -> DataFrame:
-    """(file, record, is_header) of files whose quoted fields span lines; blank lines are left out."""
-    lines = file_lines(spark, path).where(F.trim("line") != "")
-    found = records(judged_lines(lines, traits.separator))
+    """(file, record, is_header) of files whose quoted fields span lines; blank ones are left out."""
+    found = records(judged_lines(file_lines(spark, path), traits.separator)).where(F.trim("record") != "")
     return found.select("file", _decoded(F.col("record"), traits.encoding).alias("record"), "is_header")
 
 

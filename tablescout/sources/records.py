@@ -82,7 +82,7 @@ def records(judged: DataFrame) -> DataFrame:
     """(file, block, at, record, is_header): the records in full, at the place of their first line.
 
     A quote that is never closed opens nothing: the lines from there on stay lines. The first
-    record of a file is its header.
+    record of a file that is not blank is its header.
     """
     turn = (F.col("from_outside") & ~F.col("from_inside")).cast("long")
     is_fixed = F.col("from_outside") == F.col("from_inside")
@@ -96,7 +96,8 @@ def records(judged: DataFrame) -> DataFrame:
     # one row per split: what it does to the state, and the state that it starts with
     last = F.struct("at", F.col("from_outside").alias("ends"), "turns")
     splits = lines.groupBy("file", "block").agg(
-        F.max(F.when(is_fixed, last)).alias("fixed"), F.sum(turn).alias("turns"), F.min("at").alias("first")
+        F.max(F.when(is_fixed, last)).alias("fixed"), F.sum(turn).alias("turns"),
+        F.min(F.when(F.trim("line") != "", F.col("at"))).alias("first"),
     )
     across = Window.partitionBy("file").orderBy("block")
     so_far, ahead = across.rowsBetween(Window.unboundedPreceding, 0), across.rowsBetween(Window.unboundedPreceding, -1)
@@ -129,15 +130,14 @@ def records(judged: DataFrame) -> DataFrame:
         F.last(F.struct(F.last("own", ignorenulls=True).over(so_far).alias("head"), "open")).over(
             Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         ).alias("end"),
-        F.min("block").over(Window.partitionBy("file")).alias("first_block"),
     )
     lines = lines.join(carried, ["file", "block"]).withColumn("head", F.coalesce("head", "carried"))
     never_closed = F.col("end.open") & (F.col("head") == F.col("end.head"))
     lines = lines.withColumn("head", F.when(never_closed, F.struct("block", "at")).otherwise(F.col("head")))
     single = never_closed | (~F.col("inside") & ~F.col("after"))
-    starts = splits.select("file", F.col("block").alias("first_block"), F.col("first"))
-    lines = lines.withColumn("single", single).join(starts, ["file", "first_block"])
-    header = (F.col("head.block") == F.col("first_block")) & (F.col("head.at") == F.col("first"))
+    starts = splits.filter("first is not null").groupBy("file").agg(F.min(F.struct("block", F.col("first").alias("at"))).alias("start"))
+    lines = lines.withColumn("single", single).join(starts, "file", "left")
+    header = F.coalesce(F.col("head") == F.col("start"), F.lit(False))
     alone = lines.filter("single").select("file", "block", "at", F.col("line").alias("record"), header.alias("is_header"))
     parts = F.transform(F.sort_array(F.collect_list(F.struct("block", "at", "line"))), lambda x: x["line"])
     joined = lines.filter("not single").groupBy("file", "head", header.alias("is_header")).agg(

@@ -183,13 +183,13 @@ def test_load_folder_isolates_unreadable_files(spark, tmp_path, monkeypatch):
 
 def test_quoted_line_feeds_and_inch_marks(spark, tmp_path):
     put(tmp_path, "inch.csv", 'size,v\n5" pipe,1\n6" pipe,2\n')
-    put(tmp_path, "open.csv", 'k,"two\nlines"\n1,"a\nb, ""c"""\n2,"x"\n\n3,"never\n4,y\n')
+    put(tmp_path, "open.csv", '\n \nk,"two\nlines"\n1,"a\n\nb, ""c"""\n2,"x"\n\n3,"never\n4,y\n')
     traits = {r["path"][-8:]: r["open_quotes"] for r in files.file_traits(spark, str(tmp_path)).collect()}
     assert traits == {"inch.csv": False, "open.csv": True}
     catalog, report = catalogs.load_folder(spark, str(tmp_path))
     assert catalog["open"].columns == ["k", "two\nlines"]
     got = sorted(map(tuple, catalog["open"].collect()))
-    assert got[:2] == [(1, 'a\nb, "c"'), (2, "x")] and [r[0] for r in got] == [1, 2, 3, 4]
+    assert got[:2] == [(1, 'a\n\nb, "c"'), (2, "x")] and [r[0] for r in got] == [1, 2, 3, 4]
     assert sorted(map(tuple, catalog["inch"].collect())) == [('5" pipe', 1), ('6" pipe', 2)]
     assert [r["rows"] for r in report.orderBy("table_no").collect()] == [2, 4]
 
