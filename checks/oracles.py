@@ -236,6 +236,13 @@ def column_mode() -> str:
     )
 
 
+def decimal_modes() -> str:
+    rows = " union all ".join(
+        f"select 'priced' as table_name, '{c}' as column_name, {_mode('priced', c)} as mode" for c in ("ids", "halves", "price", "size")
+    )
+    return f"with priced as ({_filled(views.PRICED)}) {rows}"
+
+
 def numeric_summary() -> str:
     return _union(
         [
@@ -933,6 +940,7 @@ def oracle_sql() -> dict[str, str]:
         key_candidates,
         numeric_summary,
         column_mode,
+        decimal_modes,
         quartiles,
         outlier_report,
         outlier_rows,

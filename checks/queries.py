@@ -278,6 +278,11 @@ def column_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def decimal_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modes of decimals, which sort as numbers, below and above zero."""
+    return describe.column_mode({"priced": _view(spark, sf_dir, views.PRICED, "part")})
+
+
 def quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.quartiles(_catalog(spark, sf_dir, "dirty_customer", "orders", "lineitem", "events"))
 
@@ -491,6 +496,7 @@ def queries() -> dict[str, Query]:
         key_candidates,
         numeric_summary,
         column_mode,
+        decimal_modes,
         quartiles,
         outlier_report,
         outlier_rows,

@@ -146,3 +146,10 @@ select p_partkey, case p_partkey % 5
          else p_name end as label
 from {part}
 """
+
+# decimals of several scales, with ties across lengths and signs
+PRICED = """
+select cast(p_partkey - 9 as decimal(12, 2)) as ids, cast((p_partkey % 24 - 12) * 0.5 as decimal(10, 1)) as halves,
+       cast(p_retailprice as decimal(38, 6)) as price, cast(p_size as decimal(5, 0)) as size
+from {part}
+"""

@@ -53,3 +53,26 @@ def test_approximate_is_close(spark):
     assert n == 10_000 and abs(q - 5000) <= 2
     with pytest.raises(ValueError):
         column_quantiles(df, numeric_fields(df), [0.5], method="guess")
+
+
+def test_many_scans(spark, monkeypatch):
+    """Spans of two parts and no short cut: every bit costs a scan, the values stay the same."""
+    from tablescout.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "STEPS", 2)
+    monkeypatch.setattr(quantiles, "FEW", 0)
+    rng = random.Random(5)
+    check(spark, [[rng.gauss(0, 3) for _ in range(60)], [0.0, -0.0, 1e300, -1e300, 5e-324, -5e-324] * 10], 3)
+
+
+def test_plan_moves_counts_only(spark, monkeypatch):
+    from tablescout.operators import quantiles
+
+    seen = []
+    real = quantiles._counted
+    monkeypatch.setattr(quantiles, "_counted", lambda *a: seen.append(a) or real(*a))
+    df = spark.range(100_000).selectExpr("double(id % 90001) * 0.37 as c0", "double(id) as c1")
+    found = column_quantiles(df, numeric_fields(df), [0.25, 0.5])
+    assert len(seen) <= 3
+    values = sorted((i % 90001) * 0.37 for i in range(100_000))
+    assert found[1][1] == pytest.approx(list(np.quantile(values, [0.25, 0.5])), rel=1e-12)
