@@ -531,7 +531,8 @@ CLUSTERED = "customer supplier part"
 
 
 def _cluster_ctes() -> str:
-    """centre(t, c, k, cs) and score(t, c, k, s): fits and their brute-force silhouettes."""
+    """centre(t, c, k, cs) and score(t, c, k, s): fits and their silhouettes. Clusters are intervals:
+    distances in the own one follow from running sums, those to another are to its mean."""
     values = " union all ".join(
         f"select '{t}' as t, '{c}' as c, cast({c} as double) as v, count(*) as n from {t} "
         f"where {c} is not null group by all"
@@ -564,14 +565,14 @@ def _cluster_ctes() -> str:
         from centre join h using (t, c)),
     filled as (select t, c, k from placed group by all having count(distinct cl) = k),
     labelled as materialized (select placed.* from placed join filled using (t, c, k)),
-    dist as (select a.t, a.c, a.k, a.v, a.n, a.cl, b.cl as other,
-                    sum(b.n * abs(a.v - b.v)) as total, sum(b.n) as m
-             from labelled a join labelled b on a.t = b.t and a.c = b.c and a.k = b.k group by all),
-    ab as (select t, c, k, v, n,
-                  max(case when other = cl then m end) as own_size,
-                  max(case when other = cl then total / greatest(m - 1, 1) end) as a,
-                  min(case when other <> cl then total / m end) as b
-           from dist group by all),
+    means as (select t, c, k, cl, fsum(n * v) / sum(n) as mean, sum(n) as own_size from labelled group by all),
+    ahead as (select t, c, k, cl, v, n, v - mean as x, mean, own_size,
+                     sum(n) over w as n_upto, sum(n * (v - mean)) over w as s_upto
+              from labelled join means using (t, c, k, cl) window w as (partition by t, c, k, cl order by v)),
+    ab as (select a.t, a.c, a.k, a.v, a.n, a.own_size,
+                  any_value((2 * n_upto * x - 2 * s_upto - a.own_size * x) / greatest(a.own_size - 1, 1)) as a,
+                  min(abs(a.v - m.mean)) as b
+           from ahead a left join means m on a.t = m.t and a.c = m.c and a.k = m.k and a.cl <> m.cl group by all),
     score as materialized (
         select t, c, k, round(sum(n * case when own_size = 1 or greatest(a, b) = 0 then 0.0
                                      else (b - a) / greatest(a, b) end) / sum(n), 9) as s
@@ -587,11 +588,11 @@ def silhouette_1d() -> str:
 
 def cluster_report() -> str:
     return f"""with recursive {_cluster_ctes()},
-    best as (select t, c, k from score qualify row_number() over (partition by t, c order by s desc, k) = 1)
+    sized as (select t, c, k, cl, sum(n) as n, min(v) as low, max(v) as high from labelled group by all)
     select t as table_name, c as column_name, cast(k as integer) as clusters_chosen,
-           cast(cl as integer) as cluster_id, cast(sum(n) as bigint) as cluster_size,
-           round(min(v), 2) as range_low, round(max(v), 2) as range_high
-    from labelled join best using (t, c, k) group by all"""
+           cast(cl as integer) as cluster_id, cast(n as bigint) as cluster_size,
+           round(low, 2) as range_low, round(high, 2) as range_high
+    from sized join score using (t, c, k) qualify rank() over (partition by t, c order by s desc, k) = 1"""
 
 
 # ---- sources -------------------------------------------------------------------

@@ -89,3 +89,29 @@ def test_nothing_to_cluster(spark):
     df = spark.createDataFrame([("a",)], "s string")
     assert clusters.cluster_report({"t": df}).count() == 0
     assert clusters.cluster_scores({"t": df}).count() == 0
+
+
+def test_blocks_of_several_values(spark, monkeypatch):
+    """The same fits and scores whether the driver knows every value or a few edges."""
+    rng = random.Random(11)
+    df = spark.createDataFrame([(rng.gauss(i % 4, 0.3), float(i % 50)) for i in range(900)], "v double, w double")
+    catalog = {"t": df.repartition(5)}
+    whole = sorted(map(tuple, clusters.cluster_report(catalog).collect()))
+    scores = {r[:3]: r[3] for r in map(tuple, clusters.cluster_scores(catalog).collect())}
+    monkeypatch.setattr(clusters, "BLOCKS", 7)
+    assert sorted(map(tuple, clusters.cluster_report(catalog).collect())) == whole
+    again = {r[:3]: r[3] for r in map(tuple, clusters.cluster_scores(catalog).collect())}
+    assert again == pytest.approx(scores, abs=1e-6) and len(again) > 6
+
+
+def test_scores_of_fits_by_brute_force(spark):
+    rng = random.Random(12)
+    values = [round(rng.gauss(10 * (i % 3), 1), 2) for i in range(120)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    targets = clusters._targets({"t": df}, clusters.DEFAULTS)
+    index = clusters._index(clusters._histogram({"t": df}, targets))
+    fits = clusters._fit(index, clusters.DEFAULTS)
+    got = {(r["pos"], r["k"]): r["silhouette"] for r in clusters._silhouettes(index, fits).collect()}
+    for (pos, k), centres in fits.items():
+        borders = clusters._middles(centres)
+        assert got[pos, k] == pytest.approx(silhouette([(v, sum(b < v for b in borders)) for v in values]), abs=1e-9)
