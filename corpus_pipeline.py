@@ -14,19 +14,23 @@ from tablescout.llm.quality import quality_scores
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts as good; the others go."""
-    scored = quality_scores(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
-    return scored.filter("predicted = 1").select(*docs.columns)
+    """Documents that the quality classifier predicts as good; the others go.
+
+    Columns of any name pass through, also those that the classifier adds itself.
+    """
+    packed = _packed(docs, "doc_id", "text")
+    scored = quality_scores(packed, table(spark, sf_dir, "labels"), keep=("row", "text"))
+    return _unpacked(scored.filter("predicted = 1"), docs, "doc_id", "text")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of a source go; n_chars follows the text.
 
-    Copies of a page count once: their content is no boilerplate.
+    Copies of a page count once: their content is no boilerplate. Columns of any name pass through.
     """
-    cleaned = drop_boilerplate(docs, distinct_pages=True)
+    cleaned = drop_boilerplate(_packed(docs, "source", "text"), distinct_pages=True)
     length = F.char_length("text").cast("long")
-    return cleaned.withColumn("n_chars", length).select(*docs.columns)
+    return _unpacked(cleaned, docs, "source", "text").withColumn("n_chars", length).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,6 +65,17 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_sources(docs)
 
 
+def _packed(docs: DataFrame, *apart: str) -> DataFrame:
+    """Some columns by themselves, the others in one struct, where their names meet no others."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in apart]
+    return docs.select(*apart, F.struct(*(others or [F.lit(True).alias("none")])).alias("row"))
+
+
+def _unpacked(packed: DataFrame, docs: DataFrame, *apart: str) -> DataFrame:
+    """The columns of docs again."""
+    return packed.select(*[F.col(c) if c in apart else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def _numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
     """docs, written, with a number for every row; and the number's column name."""
     key = "row_number"

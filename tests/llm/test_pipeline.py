@@ -90,3 +90,16 @@ def test_content_of_copies_is_no_boilerplate(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()}
     assert left[0] == "body 0" and left[50] == "copied\ntext" and left[90] == "copied\nonly here"
+
+
+def test_columns_of_any_name_pass_through(spark, small):
+    """Stages keep columns that bear the names of their own results."""
+    own = ["score", "predicted", "held_out", "n_lines", "n_dropped", "row", "_", "k0", "id", "label"]
+    docs = table(spark, small, "documents").selectExpr("*", *[f"concat('{c}', doc_id) as `{c}`" for c in own])
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        plain = stage(spark, docs.drop(*own), small)
+        docs = corpus_pipeline.kept(stage(spark, docs, small), "test-names")
+        assert docs.columns == [*plain.columns, *own], name
+        rows = docs.collect()
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in own)
+        assert sorted(map(tuple, plain.collect())) == sorted(tuple(r)[: -len(own)] for r in rows)
