@@ -41,7 +41,7 @@ K1, B = 1.2, 0.75
 GRAM = 5
 FREE = 0.3  # what the non-essential terms may add up to, of a threshold of 1
 SAFE = 1 - 1e-9
-CELLS = 1 << 24  # window and block sums at once
+CELLS = 1 << 22  # window and block sums at once
 
 ITEM = (
     "item long, words long, segments array<struct<terms array<long>, counts array<long>>>, "
