@@ -42,7 +42,7 @@ def test_run_is_the_stages(spark, small):
 
 def test_every_query_is_there():
     names = __spark_entry__.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
     assert "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
