@@ -15,10 +15,21 @@ UNITS = (
     "fourteen fifteen sixteen seventeen eighteen nineteen"
 ).split()
 TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
-SCALES = (
-    "thousand million billion trillion quadrillion quintillion sextillion septillion "
-    "octillion nonillion decillion undecillion"
+# fixed values: the parts that names of powers of a thousand are made of
+LOW = "m b tr quadr quint sext sept oct non".split()
+LATIN_UNITS = ["", *"un duo tre quattuor quin sex sept octo novem".split()]
+LATIN_TENS = (
+    "dec vigint trigint quadragint quinquagint sexagint septuagint octogint nonagint"
 ).split()
+
+
+def _scales() -> list[str]:
+    """thousand, million, .. nonillion, decillion, undecillion, .. centillion."""
+    stems = [*LOW, *[unit + ten for ten in LATIN_TENS for unit in LATIN_UNITS], "cent"]
+    return ["thousand", *[f"{stem}illion" for stem in stems]]
+
+
+SCALES = _scales()
 LONGEST_DIGITS = 3 * (len(SCALES) + 1)
 
 # fixed values: what counts as an amount, a percentage and a plain number
@@ -44,7 +55,7 @@ def _lookup(words: list[str], index: Column) -> Column:
 
 
 def digits_to_words(digits: Column) -> Column:
-    """Words of a run of decimal digits; NULL for runs longer than the scales reach.
+    """Words of a run of decimal digits; NULL for runs of more than 306, the last centillion.
 
     The run is padded to whole groups of three. Groups are separated by ", ", only a
     last group below one hundred is attached with " and ".

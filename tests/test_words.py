@@ -73,6 +73,19 @@ def test_percent(spark, text, expected):
     assert spoken(spark, words.speak_percent, [text]) == [expected]
 
 
+def test_digits_beyond_forty(spark):
+    """80 nines: the names of all groups in their order."""
+    names = (
+        "quinvigintillion quattuorvigintillion trevigintillion duovigintillion unvigintillion vigintillion "
+        "novemdecillion octodecillion septdecillion sexdecillion quindecillion quattuordecillion tredecillion "
+        "duodecillion undecillion decillion nonillion octillion septillion sextillion quintillion quadrillion "
+        "trillion billion million thousand"
+    ).split()
+    full = "nine hundred and ninety-nine"
+    expected = ", ".join([f"ninety-nine {names[0]}", *[f"{full} {n}" for n in names[1:]], full])
+    assert spoken(spark, words.speak_numbers, ["9" * 80]) == [expected]
+
+
 @pytest.mark.parametrize(
     ("text", "expected"),
     [
@@ -85,7 +98,10 @@ def test_percent(spark, text, expected):
         ("007", "seven"),
         ("(1,000)", "(one thousand)"),
         ("5. 6", "five. six"),
-        ("9" * 80, "9" * 80),
+        ("1" + "0" * 39, "one duodecillion"),
+        ("2" + "0" * 62 + "7", "two vigintillion and seven"),
+        ("1" + "0" * 305, "one hundred centillion"),
+        ("9" * 307, "9" * 307),
     ],
 )
 def test_plain_numbers(spark, text, expected):
