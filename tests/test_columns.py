@@ -147,6 +147,50 @@ def test_correlation_against_numpy(spark):
     assert got["a", "c"] == -1.0
 
 
+@pytest.mark.parametrize("width", [14, 200])
+def test_correlation_of_wide_tables(spark, width):
+    """Against the narrow path's rules, pair by pair, with gaps, constants and empty columns."""
+    rng = np.random.default_rng(width)
+    base = rng.normal(size=(300, 1))
+    data = 1e6 + base * rng.normal(size=width) + rng.normal(size=(300, width))
+    data[:, 3] = 5.0
+    data[:, 4] = np.nan
+    data[rng.random((300, width)) < 0.1] = np.nan
+    data[:150, 5], data[150:, 6] = np.nan, np.nan
+    data[:, 7] = 1e6 + np.arange(300)
+    names = [f"c{i}" for i in range(width)]
+    rows = [[None if np.isnan(v) else float(v) for v in row] for row in data]
+    df = frame(spark, ", ".join(f"`{n}` double" for n in names), rows).repartition(3)
+    got = {(r["column_1"], r["column_2"]): r["correlation"] for r in correlate.correlation_report({"t": df}).collect()}
+    assert len(got) == width * (width - 1) // 2
+    for i in range(width):
+        for j in range(i + 1, width):
+            both = ~np.isnan(data[:, i]) & ~np.isnan(data[:, j])
+            x, y = data[both, i], data[both, j]
+            r = got[names[i], names[j]]
+            if len(x) < 2 or x.min() == x.max() or y.min() == y.max():
+                assert r is None, (i, j)
+            else:
+                assert r == pytest.approx(np.corrcoef(x, y)[0, 1], abs=6e-4), (i, j)
+
+
+def test_wide_tables_are_read_once(spark, tmp_path, monkeypatch):
+    spark.range(50).selectExpr(*[f"double(id * {i} % 17) as c{i}" for i in range(60)]).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+
+    def plan_of(report):
+        return report._jdf.queryExecution().optimizedPlan().toString()
+
+    assert plan_of(correlate.correlation_report({"t": df})).count("Relation [") == 1
+    whole = {tuple(r) for r in correlate.correlation_report({"t": df}).collect()}
+    # blocks of columns beyond the matrix that a task holds
+    monkeypatch.setattr(correlate, "BLOCK", 25)
+    split = correlate.correlation_report({"t": df})
+    assert plan_of(split).count("Relation [") == 3
+    rows = [tuple(r) for r in split.collect()]
+    assert len(rows) == 60 * 59 // 2 and set(rows) == whole
+
+
 def test_previews(spark):
     wide = spark.range(20).selectExpr(*[f"id + {i} as c{i:02d}" for i in range(14)])
     empty = frame(spark, "v int", [])
