@@ -117,3 +117,28 @@ def test_a_failing_statement_ends_its_batch(spark):
     result = run(spark, {"a.sql": "select 1 as a; select no_such; select 3 as c\nGO\nselect 4 as d"})
     assert [r["columns"] for r in result.rows.orderBy("batch_no", "result_set_no").collect()] == [["a"], ["d"]]
     assert [r["result_sets"] for r in result.batches.orderBy("batch_no").collect()] == [1, 1]
+
+
+def test_a_slow_batch_is_stopped_and_the_next_runs(spark):
+    slow = "select 1 as a; select sum(id % 7) as b from range(100000000000000); select 2 as c"
+    result = run(spark, {"a.sql": f"{slow}\nGO\nselect 4 as d", "b.sql": "select 5 as e"}, batch_seconds=4)
+    batches = result.batches.orderBy("path", "batch_no").collect()
+    assert [(r["path"], r["result_sets"], r["error"]) for r in batches] == [
+        ("a.sql", 1, "stopped after 4 s"),
+        ("a.sql", 1, None),
+        ("b.sql", 1, None),
+    ]
+    rows = result.rows.orderBy("path", "batch_no").collect()
+    assert [(r["columns"], r["cells"]) for r in rows] == [(["a"], ["1"]), (["d"], ["4"]), (["e"], ["5"])]
+    status = {r["path"]: (r["status"], r["error"]) for r in result.files.collect()}
+    assert status == {"a.sql": ("COMPLETED WITH ERRORS", "Batch 1: stopped after 4 s"), "b.sql": ("SUCCESS", None)}
+
+
+def test_rows_keep_the_order_of_the_result(spark):
+    code = "select id from range(0, 1000, 1, 8) order by id desc\nGO\nselect id from range(5) where id > 9"
+    result = run(spark, {"a.sql": code}, max_rows=3)
+    rows = result.rows.orderBy("row_no").collect()
+    assert [(r["row_no"], r["cells"], r["truncated"]) for r in rows] == [
+        (1, ["999"], True), (2, ["998"], True), (3, ["997"], True)
+    ]
+    assert [r["result_sets"] for r in result.batches.orderBy("batch_no").collect()] == [1, 1]
