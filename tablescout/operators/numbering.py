@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tablescout.operators.columns import col
-from tablescout.session import cut_lineage, written
+from tablescout.session import written
 
 POSITION_BITS = 33  # monotonically_increasing_id keeps the partition above these
 
@@ -22,16 +22,22 @@ def number_rows(
 
     Rows are range-partitioned by group and order, so a group of any size is spread
     over many tasks; rows with equal keys are spread by a hash of their values, which also
-    orders them. The sorted rows are written once: their positions must not change
-    while the partition offsets are worked out.
+    orders them. The sorted rows are written once, as Parquet: their positions must not
+    change while the partition offsets are worked out, and later steps read only the columns
+    and row groups they need. Columns that Parquet cannot hold (of type void) come back as
+    NULL in their place.
     """
     hashable = [col(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     keys = [*[col(c) for c in (within or []) + order_by], F.xxhash64(*hashable)]
-    placed = cut_lineage(
+    placed = (
         df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_at", F.monotonically_increasing_id())
     )
+    void = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)]
+    placed = written(placed.drop(*void), "numbered")
+    if void:
+        placed = placed.select(*[F.lit(None).alias(c) if c in void else col(c) for c in df.columns], "_at")
     part = F.shiftright("_at", POSITION_BITS)
     position = F.col("_at").bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
     # one row per partition, also on the broadcast side of the join
