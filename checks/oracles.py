@@ -340,18 +340,49 @@ def first_rows() -> str:
     )
 
 
+def _described_numbers(table: str, column: str) -> str:
+    return (
+        f"(select cast(round(avg({column}), 3) as varchar) from {table}) as mean, "
+        f"(select cast(round(cast(median({column}) as double), 3) as varchar) from {table}) as median, "
+        f"(select cast(round(cast(max({column}) - min({column}) as double), 3) as varchar) from {table}) "
+        f"as value_range, {_examples(table, column)} as outliers"
+    )
+
+
+def describe_failing() -> str:
+    """The readable columns as in describe_table, fixed rows for the two that fail."""
+    none = "'N/A' as mean, 'N/A' as median, 'N/A' as value_range"
+    kinds = {c: k for _, _, c, k in _each("orders", FLAT)}
+    blank = ", ".join(f"'' as row_{i}" for i in range(1, 5))
+    parts = []
+    for no, name, kind in (
+        (1, "o_orderkey", "bigint"),
+        (2, "band", "int"),
+        (3, "o_totalprice", "double"),
+        (4, "open_status", "string"),
+        (5, "o_orderstatus", "string"),
+    ):
+        if name in kinds:
+            source, mode = f"({_first_rows('orders', name, kinds[name])}) r", _mode("orders", name)
+            numbers = f"{none}, 'N/A' as outliers" if kind == "string" else _described_numbers("orders", name)
+        else:
+            source, mode = f"(select {blank}) r", "'N/A'"
+            numbers = f"{none}, 'N/A (USER_RAISED_EXCEPTION)' as outliers"
+        parts.append(
+            "select 'failing' as table_name, (select count(*) from orders) as table_rows, 5 as table_columns, "
+            f"{no} as column_no, '{name}' as column_name, '{kind}' as data_type, r.*, {mode} as mode, {numbers} "
+            f"from {source}"
+        )
+    return _union(parts)
+
+
 def describe_table() -> str:
     types = {"double": "double", "text": "string", "time": "timestamp_ntz"}
     parts = []
     for t, no, c, k in _each("dirty_customer events", FLAT):
         kind = types.get(k) or ("int" if c in INT32 else "bigint")
         if k in NUMERIC:
-            numbers = (
-                f"(select cast(round(avg({c}), 3) as varchar) from {t}) as mean, "
-                f"(select cast(round(cast(median({c}) as double), 3) as varchar) from {t}) as median, "
-                f"(select cast(round(cast(max({c}) - min({c}) as double), 3) as varchar) from {t}) "
-                f"as value_range, {_examples(t, c)} as outliers"
-            )
+            numbers = _described_numbers(t, c)
         else:
             numbers = "'N/A' as mean, 'N/A' as median, 'N/A' as value_range, 'N/A' as outliers"
         parts.append(
@@ -948,6 +979,7 @@ def oracle_sql() -> dict[str, str]:
         outlier_examples,
         first_rows,
         describe_table,
+        describe_failing,
         correlation_report,
         value_sample,
         value_patterns,

@@ -314,6 +314,13 @@ def describe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe.describe_tables(_catalog(spark, sf_dir, "dirty_customer", "events"), ORDER)
 
 
+def describe_failing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that fail are named, the others and an empty table leave the report whole."""
+    orders = _table(spark, sf_dir, "orders")
+    catalog = {"failing": _view(spark, sf_dir, views.FAILING, "orders"), "empty": orders.where("o_orderkey < 0")}
+    return describe.describe_tables(catalog, {"failing": ["o_orderkey"], "empty": ["o_orderkey"]})
+
+
 def correlation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlate.correlation_report(
         _catalog(spark, sf_dir, "dirty_customer", "part", "orders", "lineitem")
@@ -503,6 +510,7 @@ def queries() -> dict[str, Query]:
         outlier_examples,
         first_rows,
         describe_table,
+        describe_failing,
         correlation_report,
         value_sample,
         value_patterns,

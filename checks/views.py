@@ -153,3 +153,10 @@ select cast(p_partkey - 9 as decimal(12, 2)) as ids, cast((p_partkey % 24 - 12)
        cast(p_retailprice as decimal(38, 6)) as price, cast(p_size as decimal(5, 0)) as size
 from {part}
 """
+
+# a view with two columns that fail on some rows
+FAILING = """
+select o_orderkey, if(o_totalprice > 1000, int(raise_error('price')), 0) as band, o_totalprice,
+       if(o_orderstatus = 'F', raise_error('status'), o_orderstatus) as open_status, o_orderstatus
+from {orders}
+"""

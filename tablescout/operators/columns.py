@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -147,6 +148,36 @@ def _decimal_text(sortable: Column) -> Column:
     return F.when(below, F.concat(F.lit("-"), bare)).otherwise(bare)
 
 
+def failing_columns(df: DataFrame) -> dict[int, str]:
+    """{column number: problem} of the flat columns that cannot be evaluated on every row.
+
+    One scan that only hashes the values; where it fails, the columns are halved until the
+    failing ones are found, so a table without any costs one scan.
+    """
+
+    def problem_of(fields: Fields) -> str | None:
+        hashed = F.bit_xor(F.xxhash64(*[col(f.name) for _, f in fields]))
+        try:
+            df.agg(hashed.alias("h")).collect()
+        except PySparkException as e:
+            return e.getCondition() or str(e).strip().split("\n")[0]
+        return None
+
+    found = {}
+    open_groups = [flat_fields(df)]
+    while open_groups:
+        group = open_groups.pop()
+        problem = problem_of(group) if group else None
+        if problem is None:
+            continue
+        if len(group) == 1:
+            found[group[0][0]] = problem
+        else:
+            half = len(group) // 2
+            open_groups += [group[:half], group[half:]]
+    return found
+
+
 def column_names(df: DataFrame) -> DataFrame:
     """(column_no, column_name) of the flat columns, from the schema."""
     rows = [(no, f.name) for no, f in flat_fields(df)]

@@ -18,6 +18,7 @@ from tablescout.operators.columns import (
     chunks,
     col,
     column_names,
+    failing_columns,
     flat_fields,
     is_present,
     missing_to_null,
@@ -228,14 +229,41 @@ def _table_description(
     )
 
 
+def _without_values(df: DataFrame, failing: dict[int, str]) -> DataFrame:
+    """df with NULL in place of the columns that cannot be evaluated."""
+    if not failing:
+        return df
+    return df.select(
+        *[
+            F.lit(None).cast(f.dataType).alias(f.name) if no in failing else col(f.name)
+            for no, f in enumerate(df.schema.fields, start=1)
+        ]
+    )
+
+
+def _with_problems(description: DataFrame, failing: dict[int, str]) -> DataFrame:
+    """The description with the problem of each failing column where its outliers are."""
+    if not failing:
+        return description
+    cases = " ".join(f"when {no} then {sqltext.text(f'N/A ({why})')}" for no, why in failing.items())
+    return description.withColumn("outliers", F.expr(f"case column_no {cases} else outliers end"))
+
+
 def describe_tables(
     catalog: dict[str, DataFrame],
     order_by: dict[str, list[str] | None],
     options: Options = DEFAULTS,
 ) -> DataFrame:
-    """Descriptions of all tables that have rows, with their shape."""
+    """Descriptions of all tables that have rows, with their shape.
+
+    A column whose values cannot be evaluated (a failing cast or function in a view) does
+    not end the report: it has its type, empty first rows, N/A and the error's condition.
+    Where rows are ordered by such a column, their order is that of the other keys.
+    """
     rows = row_counts(catalog)
     filled = {t: df for t, df in catalog.items() if rows[t] and flat_fields(df)}
+    failing = {t: failing_columns(df) for t, df in filled.items()}
+    filled = {t: _without_values(df, failing[t]) for t, df in filled.items()}
     # quartiles and medians come from the same run
     tables = {t: (df, numeric_fields(df)) for t, df in filled.items()}
     measured = catalog_quantiles(tables, [0.25, 0.5, 0.75], options) if filled else {}
@@ -243,7 +271,9 @@ def describe_tables(
     medians = {t: {no: (n, [q[1]]) for no, (n, q) in m.items()} for t, m in measured.items()}
     return union_all(
         [
-            _table_description(df, order_by[t], quartiles_of[t], medians[t], options).select(
+            _with_problems(
+                _table_description(df, order_by[t], quartiles_of[t], medians[t], options), failing[t]
+            ).select(
                 F.lit(t).alias("table_name"),
                 F.lit(rows[t]).cast("bigint").alias("table_rows"),
                 F.lit(len(df.columns)).alias("table_columns"),

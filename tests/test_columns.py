@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tablescout.operators import correlate, describe, dictionary, keys, outliers, preview
+from tablescout.operators import columns, correlate, describe, dictionary, keys, outliers, preview
 from tablescout.options import Options
 
 
@@ -115,6 +115,30 @@ def test_no_numeric_columns(spark):
     assert (row["mode"], row["mean"], row["outliers"], row["row_1"], row["row_2"]) == ("a", "N/A", "N/A", "a", "")
 
 
+def test_failing_columns_are_kept_apart(spark):
+    rows = [(i, str(i) if i % 7 else "x", float(i)) for i in range(40)]
+    df = frame(spark, "id int, code string, v double", rows)
+    view = df.selectExpr(
+        "id",
+        "if(code = 'x', int(raise_error('no code')), int(code)) as number",
+        "v",
+        "if(v > 3, raise_error('too much'), 'low') as label",
+        "code",
+    )
+    assert columns.failing_columns(df) == {}
+    assert columns.failing_columns(df.limit(0)) == {}
+    assert columns.failing_columns(view) == {2: "USER_RAISED_EXCEPTION", 4: "USER_RAISED_EXCEPTION"}
+    got = {r["column_name"]: r for r in describe.describe_tables({"t": view, "s": df}, {"t": ["id"], "s": ["id"]})
+           .where("table_name = 't'").collect()}
+    assert list(got) and len(got) == 5
+    for name, kind in (("number", "int"), ("label", "string")):
+        r = got[name]
+        assert (r["data_type"], r["row_1"], r["mean"], r["median"], r["mode"], r["value_range"], r["outliers"]) == (
+            kind, "", "N/A", "N/A", "N/A", "N/A", "N/A (USER_RAISED_EXCEPTION)"
+        )
+    assert (got["v"]["mean"], got["v"]["row_2"], got["code"]["row_1"]) == ("19.5", "1.0", "x")
+
+
 def test_describe_leaves_out_empty_tables(spark):
     full, empty = frame(spark, "v int", [(1,)]), frame(spark, "v int", [])
     rows = describe.describe_tables({"e": empty, "f": full}, {"e": None, "f": None}).collect()
