@@ -7,13 +7,15 @@
 3. Two sets with similarity t or more share a token among the first n - ceil(t n) + 1 of
    each in any common order. Groups store the union of their members' first tokens; token
    by token, groups that share one and fit by size become candidates. The order puts rare
-   tokens first, by a table of counts over all documents (2^20 to 2^26 cells, one byte
+   tokens first, by a table of counts over all documents (2^20 to 2^24 cells, one byte
    each, so the broadcast is bounded); a cell shared by two tokens changes the order, never
    the result.
 4. For a candidate pair of groups each member of one is bounded by its overlap with the
    other's token union; only members whose bound reaches t open the group, as one row
-   against a token matrix. Found links leave as a spanning forest of the pair.
-5. Links are joined to components by star contraction.
+   against a token matrix. Found links leave as a spanning forest of the pair and as the
+   number of linked documents of each member: every link is counted, none is written out.
+5. Links are joined to components by star contraction. Its nodes are classes, not ids, so
+   two texts under one id stay two documents.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ PAIRS_AT_ONCE = 1 << 20
 COLUMNS = 512
 FULL = 255  # a count that may be larger; such a row is always opened
 
+LINKS = ["u", "v", "links"]
+
 PROFILE = (
     "id long, n long, d1 long, d2 long, least long, chunk int, counts binary"
 )
@@ -232,7 +236,10 @@ def _open(percent: int):
 
 
 def _members(size: int):
-    """(gid, id, set) of the documents that take part in a candidate group."""
+    """(gid, node, documents, set) of the classes that take part in a candidate group.
+
+    Rows are (id, text, d1, gid, node, documents).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,11 +248,10 @@ def _members(size: int):
                 same = one == batch.column(2).to_numpy()[low:high]
                 out = pa.RecordBatch.from_arrays(
                     [
-                        batch.column(3).slice(low, high - low),
-                        batch.column(0).slice(low, high - low),
+                        *[batch.column(at).slice(low, high - low) for at in (3, 4, 5)],
                         kernel.lists(tokens, offsets),
                     ],
-                    ["gid", "id", "tokens"],
+                    ["gid", "node", "docs", "tokens"],
                 )
                 yield out.filter(pa.array(same))
 
@@ -272,10 +278,10 @@ class Forest:
 
 def links_between(
     one: list[np.ndarray], two: list[np.ndarray] | None, percent: int
-) -> Iterator[tuple[int, int]]:
-    """Links between two groups' sets (or within one, where two is None) as a spanning forest.
+) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, all j that i links to) between two groups' sets, or within one, where two is None.
 
-    Positions of the second group follow those of the first.
+    Positions of the second group follow those of the first; within one group j > i.
     """
     inner = two is None
     target = one if inner else two
@@ -283,7 +289,6 @@ def links_between(
     union, at = np.unique(np.concatenate(target), return_inverse=True)
     matrix = None
     shift = 0 if inner else len(one)
-    forest = Forest(len(one) + (0 if inner else len(two)))
     for i, query in enumerate(one):
         place = np.searchsorted(union, query)
         place[place == len(union)] = 0
@@ -296,37 +301,53 @@ def links_between(
             matrix[np.repeat(np.arange(len(target)), sizes), at] = 1
         common = matrix[:, place].sum(axis=1, dtype=np.int64)
         linked = 100 * common >= percent * (sizes + len(query) - common)
-        for j in np.flatnonzero(linked):
-            if (not inner or j > i) and forest.join(i, shift + int(j)):
-                yield i, shift + int(j)
+        if inner:
+            linked[: i + 1] = False
+        if linked.any():
+            yield i, shift + np.flatnonzero(linked)
 
 
-def _arrays(members: pa.Scalar) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Ids and sets of a group's list of (id, tokens)."""
+def _arrays(members: pa.Scalar) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Nodes, numbers of documents and sets of a group's list of (node, docs, tokens)."""
     rows = members.values
     tokens = rows.field("tokens")
     flat = tokens.values.to_numpy(zero_copy_only=False).view(np.uint64)
     ends = tokens.offsets.to_numpy()
-    ids = rows.field("id").to_numpy(zero_copy_only=False)
-    return ids, [flat[ends[i] : ends[i + 1]] for i in range(len(ids))]
+    nodes, docs = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("node", "docs"))
+    return nodes, docs, [flat[ends[i] : ends[i + 1]] for i in range(len(nodes))]
 
 
 def _verify(percent: int):
-    """Spanning links (u, v) of opened pairs (g1, g2, members, members)."""
+    """Of opened pairs (g1, g2, members, members): spanning links (u, v, null) and, for every
+    member u with links, (u, null, documents that it links to)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            u, v = [], []
+            u, v, degrees = [], [], []
             for g1, g2, first, second in zip(*batch.columns, strict=True):
-                ids, one = _arrays(first)
+                nodes, docs, one = _arrays(first)
                 two = None
                 if g1 != g2:
-                    more, two = _arrays(second)
-                    ids = np.concatenate([ids, more])
-                for a, b in links_between(one, two, percent):
-                    u.append(ids[a])
-                    v.append(ids[b])
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                    more, counts, two = _arrays(second)
+                    nodes, docs = np.concatenate([nodes, more]), np.concatenate([docs, counts])
+                forest, linked = Forest(len(nodes)), np.zeros(len(nodes), np.int64)
+                for i, found in links_between(one, two, percent):
+                    linked[i] += docs[found].sum()
+                    linked[found] += docs[i]
+                    for j in found.tolist():
+                        if forest.join(i, j):
+                            u.append(nodes[i])
+                            v.append(nodes[j])
+                has = np.flatnonzero(linked)
+                degrees.append((nodes[has], linked[has]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.nulls(len(u), pa.int64())], LINKS
+            )
+            if degrees:
+                ends, counts = (np.concatenate(x) for x in zip(*degrees, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ends, pa.int64()), pa.nulls(len(ends), pa.int64()), pa.array(counts, pa.int64())], LINKS
+                )
 
     return run
 
@@ -346,14 +367,16 @@ def ngram_jaccard_join(
     percent: int = 80,
     group_tokens: int = GROUP_TOKENS,
 ) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id.
+    """One row per input row: id, n_shingles, component_id, n_links.
 
     Two documents link when 100 * shared n-grams >= percent * all their n-grams; the
-    component is the smallest id reachable by links. Texts are read whole, A-Z counts as
+    component is the smallest id reachable by links, n_links the number of other documents
+    that a document links to, copies with equal sets among them. Texts are read whole, A-Z counts as
     a-z, words end at ASCII white space; fewer than `size` words form one n-gram. A text
-    that is null or without words has an empty set and is its own component. Rows that
-    repeat an id are documents of their own under that id. A null id keeps its n_shingles
-    and has a null component. Other columns are not read; an empty table gives no rows.
+    that is null or without words has an empty set, is its own component and has no links.
+    Rows that repeat an id are documents of their own: they are joined by their texts, never
+    by the id. A null id keeps its n_shingles, links with nothing and has null in the last
+    two columns. Other columns are not read; an empty table gives no rows.
     """
     check_columns(docs, [id_col, text_col])
     spark = docs.sparkSession
@@ -367,16 +390,23 @@ def ngram_jaccard_join(
     classes = (
         members.filter("n > 0 and id is not null")
         .groupBy("d1", "d2")
-        .agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("least").alias("least"))
+        .agg(
+            F.min("id").alias("rep"),
+            F.min("n").alias("n"),
+            F.min("least").alias("least"),
+            F.count(F.lit(1)).alias("docs"),
+        )
     )
-    classes = kept(classes, "ngram-classes")
+    # the number of a class is written with it, so it stays the same
+    classes = kept(classes.withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
     # a document weighs some tokens itself, which bounds the rows of a group's matrix;
     # only min-hashes with more than one part are joined, at most total / group_tokens
     heavy = classes.groupBy("least").agg(F.sum(F.col("n") + DOC_TOKENS).alias("tokens"))
     heavy = heavy.filter(F.col("tokens") > group_tokens)
     heavy = kept(heavy.withColumn("parts", F.ceil(F.col("tokens") / group_tokens)), "ngram-heavy")
     part = F.pmod(F.xxhash64("d1"), F.coalesce("parts", F.lit(1)))
-    reps = classes.join(heavy, "least", "left").select("rep", "n", "d1", "d2", F.xxhash64("least", part).alias("gid"))
+    gid = F.xxhash64("least", part).alias("gid")
+    reps = classes.join(heavy, "least", "left").select("rep", "n", "d1", "d2", "docs", "node", gid)
     reps = kept(reps, "ngram-reps")
 
     # groups that share a first token
@@ -396,30 +426,43 @@ def ngram_jaccard_join(
     # the bound, on matrix rows
     repeated = members.groupBy("id", "d1").count().filter("count > 1 and id is not null").limit(1).count()
     taking_part = pairs.select(F.explode(F.array("g1", "g2")).alias("gid")).distinct()
-    bounds = first.join(taking_part, "gid").select("gid", "id", "n", "row")
+    bounds = first.join(taking_part, "gid").select("gid", "id", "d1", "n", "row")
     if repeated:  # rows repeat with id and text
-        bounds = bounds.dropDuplicates(["id", "gid"])
+        bounds = bounds.dropDuplicates(["id", "d1"])
     bounds = bounds.groupBy("gid").agg(F.collect_list(F.struct("n", "row")).alias("members"))
     opened = _with_members(pairs, bounds).mapInArrow(_open(percent), "g1 long, g2 long")
     opened = kept(opened, "ngram-opened")
 
     # the sets of the groups that are opened
     wanted = opened.select(F.explode(F.array("g1", "g2")).alias("gid")).distinct()
-    chosen = kept(reps.join(wanted, "gid").select(F.col("rep").alias("id"), "d1", "gid"), "ngram-chosen")
-    texts = rows.join(broadcast_if_small(chosen, chosen.count()), "id").select("id", "text", "d1", "gid")
-    sets = texts.mapInArrow(_members(size), "gid long, id long, tokens array<long>")
+    chosen = kept(reps.join(wanted, "gid").select(F.col("rep").alias("id"), "d1", "gid", "node", "docs"), "ngram-chosen")
+    texts = rows.join(broadcast_if_small(chosen, chosen.count()), "id")
+    texts = texts.select("id", "text", "d1", "gid", "node", "docs")
+    sets = texts.mapInArrow(_members(size), "gid long, node long, docs long, tokens array<long>")
     if repeated:
-        sets = sets.dropDuplicates(["id", "gid"])
-    groups = sets.groupBy("gid").agg(F.collect_list(F.struct("id", "tokens")).alias("members"))
-    edges = _with_members(opened, groups).mapInArrow(_verify(percent), "u long, v long")
-    joined = components(edges)
-
-    labels = reps.join(joined, F.col("rep") == F.col("node"), "left").select(
-        F.col("d1").alias("r1"), F.col("d2").alias("r2"), F.coalesce("component", "rep").alias("component")
+        sets = sets.dropDuplicates(["node"])
+    groups = sets.groupBy("gid").agg(F.collect_list(F.struct("node", "docs", "tokens")).alias("members"))
+    found = _with_members(opened, groups).mapInArrow(_verify(percent), "u long, v long, links long")
+    found = kept(found, "ngram-links")
+    joined = components(found.filter("v is not null").select("u", "v"))
+    degrees = found.filter("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
+
+    # only linked classes are joined: a component's smallest id, and the links of a class
+    smallest = (
+        joined.join(reps.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("smallest"))
+    )
+    linked = joined.join(smallest, "component").join(degrees, "node").select("node", "smallest", "links")
+    labels = reps.join(linked, "node", "left").select(
+        F.col("d1").alias("r1"),
+        F.col("d2").alias("r2"),
+        F.coalesce("smallest", "rep").alias("component"),
+        (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("links"),
     )
     same = (F.col("d1") == F.col("r1")) & (F.col("d2") == F.col("r2")) & (F.col("n") > 0)
+    known = F.col("id").isNotNull()
     return members.join(labels, same, "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
+        F.when(known, F.coalesce("component", "id")).alias("component_id"),
+        F.when(known, F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
     )

@@ -28,8 +28,11 @@ with recursive worded as (
     union
     select reach.doc_id, links.b from reach join links on links.a = reach.other
 )
-select sized.doc_id, any_value(n) as n_shingles, min(other) as component_id
-from sized join reach using (doc_id) group by sized.doc_id
+select sized.doc_id, any_value(n) as n_shingles, min(other) as component_id,
+       cast(coalesce(any_value(degree), 0) as bigint) as n_links
+from sized join reach using (doc_id)
+left join (select a, count(*) as degree from links group by a) on a = sized.doc_id
+group by sized.doc_id
 """
 
 MIX_SOURCES = r"""

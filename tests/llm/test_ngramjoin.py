@@ -10,7 +10,7 @@ from tablescout.llm.ngramjoin import links_between, ngram_jaccard_join
 
 
 def brute(rows, size, percent):
-    """(n_shingles, component) by row position, comparing all pairs."""
+    """(id, n_shingles, component, links) by row position, comparing all pairs."""
     sets = []
     for _, text in rows:
         w = (text or "").encode().lower().split()
@@ -21,16 +21,22 @@ def brute(rows, size, percent):
     def root(x):
         return x if up[x] == x else root(up[x])
 
+    links = [0] * len(rows)
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
             if a and b and 100 * len(a & b) >= percent * len(a | b) and rows[i][0] is not None and rows[j][0] is not None:
                 up[root(i)] = root(j)
+                links[i] += 1
+                links[j] += 1
     least = defaultdict(list)
     for i, (doc, _) in enumerate(rows):
         if doc is not None:
             least[root(i)].append(doc)
-    return Counter((d, len(s), min(least[root(i)]) if d is not None else None) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
+    return Counter(
+        (d, len(s), *((min(least[root(i)]), links[i]) if d is not None else (None, None)))
+        for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))
+    )
 
 
 def near_copies(seed):
@@ -61,12 +67,25 @@ def test_brute_force(spark, documents, size, percent, group):
 
 def test_odd_texts(spark, documents, odd_texts):
     got = ngram_jaccard_join(documents(odd_texts), size=3, percent=90)
-    assert got.columns == ["doc_id", "n_shingles", "component_id"]
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
     assert Counter(map(tuple, got.collect())) == brute([(i, t) for i, t, _, _ in odd_texts], 3, 90)
     assert ngram_jaccard_join(documents([]), size=3).count() == 0
 
 
-def test_links_keep_every_connection():
+def test_texts_under_one_id_are_documents_of_their_own(spark, documents):
+    r = random.Random(4)
+    a, b = ([f"{x}{r.randrange(10**6)}" for _ in range(60)] for x in "ab")
+    rows = [(5, a), (5, b), (3, [*a, "new"]), (9, [*b, "more"]), (None, a), (5, a), (7, a)]
+    # near copies of one group under one id
+    rows += [(20 + i // 4, [*a, *(f"z{i}_{k}" for k in range(i % 3))]) for i in range(12)]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    got = ngram_jaccard_join(documents([(i, t, "en", "a") for i, t in rows]), size=3, percent=90)
+    found = Counter(map(tuple, got.collect()))
+    assert found == brute(rows, 3, 90)
+    assert {(i, c) for i, _, c, _ in found if i in (3, 9)} == {(3, 3), (9, 5)}
+
+
+def test_links_are_complete():
     r = np.random.default_rng(3)
     one = [np.unique(r.integers(0, 40, 30).astype(np.uint64)) for _ in range(12)]
     two = [np.unique(r.integers(0, 40, 30).astype(np.uint64)) for _ in range(9)]
@@ -78,21 +97,8 @@ def test_links_keep_every_connection():
             for j in range(len(first) if second else i + 1, len(everything))
             if 100 * len(np.intersect1d(everything[i], everything[j])) >= 40 * len(np.union1d(everything[i], everything[j]))
         }
-        forest = set(links_between(first, second, 40))
-        assert forest <= linked
-
-        def groups(edges):
-            up = list(range(len(everything)))
-
-            def root(x):
-                return x if up[x] == x else root(up[x])
-
-            for a, b in edges:
-                up[root(a)] = root(b)
-            nodes = range(len(up))
-            return {frozenset(k for k in nodes if root(k) == root(x)) for x in nodes}
-
-        assert groups(forest) == groups(linked)
+        found = [(i, int(j)) for i, js in links_between(first, second, 40) for j in js]
+        assert linked and len(found) == len(set(found)) and set(found) == linked
 
 
 def test_components(spark):

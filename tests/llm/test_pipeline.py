@@ -27,7 +27,7 @@ def test_stages_take_effect(spark, small):
             assert ids == set(before)
             assert out.filter("n_chars <> char_length(text)").count() == 0
         if name == "n-gram Jaccard join":
-            want = {d for (d, _, c) in near(list(before.items()), 5, 80) if d == c}
+            want = {d for (d, _, c, _) in near(list(before.items()), 5, 80) if d == c}
             assert ids == want
         if name == "benchmark decontamination":
             assert set(before) - ids == {d for d, _ in leaks(list(before.items()), items, 0.4, 0.5)}
