@@ -407,6 +407,19 @@ def correlation_report() -> str:
     return _union(parts)
 
 
+def correlation_wide() -> str:
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", *[f"w{i}" for i in range(1, 11)]]
+    rows = " union all ".join(
+        [
+            f"select 'wide' as table_name, '{a}' as column_1, '{b}' as column_2, "
+            f"case when isnan(r) then null else round(r, 3) + 0.0 end as correlation "
+            f"from (select corr({a}, {b}) as r from wide)"
+            for a, b in combinations(names, 2)
+        ]
+    )
+    return f"with wide as ({_filled(views.WIDE)}) {rows}"
+
+
 # ---- similarity ----------------------------------------------------------------
 
 RELATED = "nation customer orders supplier"
@@ -981,6 +994,7 @@ def oracle_sql() -> dict[str, str]:
         describe_table,
         describe_failing,
         correlation_report,
+        correlation_wide,
         value_sample,
         value_patterns,
         column_pairs,

@@ -327,6 +327,10 @@ def correlation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def correlation_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correlate.correlation_report({"wide": _view(spark, sf_dir, views.WIDE, "lineitem")})
+
+
 # ---- similarity ----------------------------------------------------------------
 
 RELATED = ("nation", "customer", "orders", "supplier")
@@ -512,6 +516,7 @@ def queries() -> dict[str, Query]:
         describe_table,
         describe_failing,
         correlation_report,
+        correlation_wide,
         value_sample,
         value_patterns,
         column_pairs,

@@ -160,3 +160,14 @@ select o_orderkey, if(o_totalprice > 1000, int(raise_error('price')), 0) as band
        if(o_orderstatus = 'F', raise_error('status'), o_orderstatus) as open_status, o_orderstatus
 from {orders}
 """
+
+# more numeric columns than one generated aggregate takes pairs of, with gaps in different rows
+WIDE = (
+    "select l_quantity, l_extendedprice, l_discount, l_tax, "
+    + ", ".join(
+        f"case when (l_orderkey + l_linenumber) % {i + 2} = 0 then null "
+        f"else l_extendedprice * {i} - l_quantity * 900.0 * (l_partkey % {i + 3}) end as w{i}"
+        for i in range(1, 11)
+    )
+    + " from {lineitem}"
+)
