@@ -7,18 +7,20 @@ raised by 1 + the logarithm of how many times as often the place is in toxic as
 rows, where that is more than once (shares of each class, so that the mix of labels does not
 matter; SMOOTH rows of the mean share are added to both).
 
-The index holds examples, sorted so that like ones stand together, in blocks of BLOCK. What
+The index holds examples, halved again and again so that like ones stand together, in blocks of BLOCK. What
 a query shares with an example in the most widespread terms (in WIDE of the examples, at most
-MOST_WIDE terms) comes from one matrix product for many queries. The other terms have their
-largest weight in each block that has them; a query adds up the block bounds, opens blocks
-from the largest bound down, and no block whose bound does not reach its k-th best. These sums are in
+MOST_WIDE terms) comes from matrix products of many queries and a block; the postings of rare terms (in
+under RARE examples) are few and added as they are. The other terms have their
+largest weight in each block, as have the most widespread; a query adds up the block bounds, opens the blocks of the
+largest bounds, then the others but for those whose bound does not reach its k-th best. These sums are in
 single precision; whatever comes within SLACK of the k-th best is then worked out over all
 terms in double precision: exact. The k nearest vote with their cosines; a logistic curve
 fitted on the examples, each without itself, turns the vote into a probability. Equal
 cosines prefer the smaller id. The nearest examples are the evidence.
 
 Scale: counts leave a task as one compressed table. The index holds about `sample_rows`
-examples per class (rows whose hashed id is under a limit) and is broadcast; scoring is one
+examples per class (rows whose hashed id is under a limit); their vectors are broadcast, compressed,
+and a worker makes the lists once. The votes of the examples come from tasks too. Scoring is one
 pass over the documents without a shuffle, and equal vectors of a task are searched once.
 """
 
@@ -32,6 +34,8 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +50,14 @@ SMOOTH = 1.0
 SAMPLE_ROWS = 3_000
 BLOCK = 64
 OPENED = 4  # blocks before the k-th best is known
-WIDE = 1 / 20
-MOST_WIDE = 1_024
+WIDE = 1 / 25
+MOST_WIDE = 3_072
+RARE = 16  # examples; terms of fewer have no largest weights by block
 SLACK = 2e-4  # above the rounding of MOST_WIDE products in single precision
-TOGETHER = 128  # queries of a matrix product
+CALIBRATED = 500
+TOGETHER = 64  # queries searched side by side
+LEADING = 1_024  # terms by which examples are put in order
+POWERS = 6
 NEAREST = 15
 EVIDENCE = 3
 CACHE = 100_000
@@ -113,165 +121,242 @@ def weigh_terms(counts: np.ndarray, rows: tuple[int, int]) -> Vocabulary:
 
 @dataclass
 class Index:
-    """Examples by position. Example p has the terms and weights `term_at[p]` up. Widespread
-    terms have a row of `wide`; any other term t has the entries `entry_at[t]` up, one for each
-    block that has it, and entry e the postings `post_at[e]` up, sorted by position."""
+    """Examples by position, in blocks of BLOCK. Example p has the terms `term_at[p]` up.
+
+    Terms are numbered anew, `number[place]` (-1: no example has it): first the widespread ones,
+    with a matrix of weights for each block, `wide`, and a row of largest weights by block,
+    `wide_top`; then those with such a row in `top` and a row of `post_at`, where its postings
+    of each block begin (those of term t in blocks b to c are post_at[t, b] to post_at[t, c + 1],
+    sorted by position); then the rare ones, whose postings are `rare_at[t]` up.
+    """
 
     ids: np.ndarray
     labels: np.ndarray
     blocks: int
+    number: np.ndarray
     term_at: np.ndarray
     terms: np.ndarray
     weights: np.ndarray
-    wide_terms: np.ndarray
     wide: np.ndarray
-    entry_at: np.ndarray
-    block: np.ndarray
+    wide_top: np.ndarray
     top: np.ndarray
     post_at: np.ndarray
+    rare_at: np.ndarray
     position: np.ndarray
     weight: np.ndarray
 
-    def __reduce__(self):
-        """Only the examples travel; the lists are made again on arrival."""
-        whole = self.ids, self.labels, np.diff(self.term_at), self.terms, self.weights
-        return _unpack, (*[(x.dtype.str, zlib.compress(x.tobytes(), 1)) for x in whole], len(self.entry_at) - 1)
+    def __post_init__(self):
+        self.query = np.zeros(len(self.wide_top) + len(self.top) + len(self.rare_at) - 1)
+
+    def known(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A query's terms that examples have, by their numbers, ascending."""
+        number = self.number[terms]
+        order = np.argsort(number, kind="stable")
+        order = order[np.searchsorted(number[order], 0) :]
+        return number[order], weights[order]
+
+    def search(
+        self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None
+    ) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Positions and cosines of the k nearest examples (cosine above 0) of every vector, best
+        first; `without` names an example for each vector that does not count."""
+        out = [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
+        if not len(self.ids):
+            return out
+        queries = [self.known(*v) for v in vectors]
+        dense = np.zeros((len(vectors), len(self.wide_top)), np.float32)
+        for row, (terms, weights) in zip(dense, queries, strict=True):
+            n = np.searchsorted(terms, dense.shape[1])
+            row[terms[:n]] = weights[:n]
+        bound = dense @ self.wide_top
+        # queries that share their likeliest block open much the same blocks
+        order = np.argsort(bound.argmax(axis=1), kind="stable")
+        for low in range(0, len(order), TOGETHER):
+            some = order[low : low + TOGETHER]
+            skip = [without[i] if without else -1 for i in some]
+            for i, found in zip(some, self._nearest([queries[i] for i in some], dense[some], bound[some], k, skip), strict=True):
+                out[i] = found
+        return out
 
-    @cached_property
-    def query(self) -> np.ndarray:
-        """Room for a query's weights by term; zero between searches."""
-        return np.zeros(len(self.entry_at) - 1)
-
-    def wide_sums(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """What queries (rows) and examples (columns, filled up to whole blocks) share in widespread terms."""
-        dense = np.zeros((len(vectors), len(self.wide_terms)), np.float32)
-        for row, (terms, weights) in zip(dense, vectors, strict=True):
-            place = np.searchsorted(terms, self.wide_terms)
-            place[place == len(terms)] = 0
-            if len(terms):
-                hit = terms[place] == self.wide_terms
-                row[hit] = weights[place[hit]]
-        return dense @ self.wide
-
-    def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Positions and cosines of the k nearest examples of every vector."""
-        for low in range(0, len(vectors), TOGETHER):
-            some = vectors[low : low + TOGETHER]
-            for (terms, weights), sums in zip(some, self.wide_sums(some), strict=True):
-                yield self.nearest(terms, weights, k, sums=sums)
-
-    def nearest(
-        self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1, sums: np.ndarray | None = None
-    ) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest examples (cosine above 0), best first."""
-        if not len(terms) or not len(self.ids):
-            return np.zeros(0, np.int64), np.zeros(0)
-        sums = (self.wide_sums([(terms, weights)])[0] if sums is None else sums).astype(float)
-        if without >= 0:
-            sums[without] = 0
-        entry, owner = kernel.ranges(self.entry_at[terms], self.entry_at[terms + 1])
-        block, heavy = self.block[entry], weights[owner]
-        bound = np.bincount(block, self.top[entry] * heavy, self.blocks) + sums.reshape(-1, BLOCK).max(axis=1)
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one vector."""
+        return self.search([(terms, weights)], k)[0]
+
+    def _add(self, to: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> None:
+        """Add the postings of some ranges times the weights of their terms."""
+        many = ends - starts
+        some = np.flatnonzero(many)
+        many, starts = many[some], starts[some]
+        at = np.arange(many.sum()) + np.repeat(starts - np.cumsum(many) + many, many)
+        to += np.bincount(self.position.take(at), self.weight.take(at) * np.repeat(weights[some], many), len(to))
+
+    def _nearest(
+        self, queries: list[tuple[np.ndarray, np.ndarray]], dense: np.ndarray, bound: np.ndarray, k: int, without: list[int]
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Searches some queries together; `bound` has the block bounds of their widespread terms."""
+        found = np.zeros((len(queries), self.blocks * BLOCK))
+        middle, first = [], np.zeros(bound.shape, bool)
+        for i, (terms, weights) in enumerate(queries):
+            a, b = np.searchsorted(terms, [dense.shape[1], dense.shape[1] + len(self.top)])
+            rare = terms[b:] - dense.shape[1] - len(self.top)
+            self._add(found[i], self.rare_at[rare], self.rare_at[rare + 1], weights[b:])
+            row = terms[a:b] - dense.shape[1]
+            bound[i] += weights[a:b].astype(np.float32) @ self.top[row] + found[i].reshape(-1, BLOCK).max(axis=1)
+            first[i, np.argsort(-bound[i], kind="stable")[:OPENED]] = True
+            middle.append((self.post_at[row], weights[a:b]))
         # the blocks of the largest bounds first, then all whose bound reaches the k-th best
-        first = np.zeros(self.blocks, bool)
-        first[np.argsort(-bound, kind="stable")[:OPENED]] = True
-        found, least = np.zeros(len(sums)), 0.0
-        for opened in (first, ~first):
-            opened = opened & (bound > 0) & (bound >= least - SLACK)
-            mine = np.flatnonzero(opened[block])
-            at, part = kernel.ranges(self.post_at[entry[mine]], self.post_at[entry[mine] + 1])
-            found += np.bincount(self.position[at], self.weight[at] * heavy[mine][part], len(sums))
-            found += np.where(np.repeat(opened, BLOCK), sums, 0)
-            if without >= 0:
-                found[without] = 0
-            least = np.partition(found, -k)[-k] if k < len(found) else 0.0
-        best = np.flatnonzero((found > 0) & (found >= least - SLACK))
-        cosine = self.cosines(best, terms, weights)
-        first = np.lexsort((self.ids[best], -np.round(cosine, 12)))[:k]
-        return best[first], cosine[first]
+        least = np.zeros(len(queries))
+        for chosen in (first, ~first):
+            opened = chosen & (bound > 0) & (bound >= least[:, None] - SLACK)
+            for block in np.flatnonzero(opened.any(axis=0)):
+                mine = np.flatnonzero(opened[:, block])
+                found[mine, block * BLOCK : (block + 1) * BLOCK] += dense[mine] @ self.wide[block]
+            for i, (starts, weights) in enumerate(middle):
+                # neighbouring blocks are one range of a term's postings
+                edge = np.flatnonzero(np.diff(opened[i], prepend=False, append=False))
+                low, high = starts[:, edge[::2]], starts[:, edge[1::2]]
+                self._add(found[i], low.ravel(), high.ravel(), np.repeat(weights, low.shape[1]))
+                if without[i] >= 0:
+                    found[i, without[i]] = 0
+                least[i] = np.partition(found[i], -k)[-k] if k < found.shape[1] else 0.0
+        for (terms, weights), sums, border in zip(queries, found, least, strict=True):
+            best = np.flatnonzero((sums > 0) & (sums >= border - SLACK))
+            cosine = self.cosines(best, terms, weights)
+            order = np.lexsort((self.ids[best], -np.round(cosine, 12)))[:k]
+            yield best[order], cosine[order]
 
     def cosines(self, best: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """The cosines of some examples over all terms."""
         self.query[terms] = weights
-        out = [self.query[self.terms[a:b]] @ self.weights[a:b] for a, b in zip(self.term_at[best], self.term_at[best + 1], strict=True)]
+        ends = zip(self.term_at[best].tolist(), self.term_at[best + 1].tolist(), strict=True)
+        out = [self.query.take(self.terms[a:b]) @ self.weights[a:b] for a, b in ends]
         self.query[terms] = 0
         return np.array(out, float)
 
 
-def arrange(ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The order of examples: by label and heaviest term, so that like ones stand together."""
-    heavy = np.array([t[np.argmax(w)] if len(t) else -1 for t, w in vectors], np.int64)
-    return np.lexsort((ids, heavy, labels))
-
-
-def build_index(ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> Index:
-    """Examples sorted by label and heaviest term."""
-    order = arrange(ids, labels, vectors)
-    ids, labels = ids[order], labels[order]
-    size = np.array([len(vectors[i][0]) for i in order], np.int64)
-    term = np.concatenate([vectors[i][0] for i in order]) if len(order) else np.zeros(0, np.int64)
-    weight = np.concatenate([vectors[i][1] for i in order]) if len(order) else np.zeros(0)
-    return _lists(ids, labels, size, term.astype(np.int32), weight, terms)
-
-
-def _unpack(*packed) -> Index:
-    return _lists(*[np.frombuffer(zlib.decompress(data), kind) for kind, data in packed[:-1]], packed[-1])
-
-
-def _lists(
-    ids: np.ndarray, labels: np.ndarray, size: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int
-) -> Index:
-    """The index of examples in their order; `size` terms each."""
-    position = np.repeat(np.arange(len(ids), dtype=np.int32), size)
-    blocks = max(1, -(-len(ids) // BLOCK))
-    found, rows = np.unique(term, return_counts=True)
-    many = np.argsort(-rows, kind="stable")[:MOST_WIDE]
-    wide_terms = np.sort(found[many[rows[many] > WIDE * len(ids)]])
-    row = np.full(terms, -1, np.int32)
-    row[wide_terms] = np.arange(len(wide_terms))
-    spread = row[term] >= 0
-    wide = np.zeros((len(wide_terms), blocks * BLOCK), np.float32)
-    wide[row[term[spread]], position[spread]] = weight[spread]
+@dataclass
+class Examples:
+    """Labelled vectors in the order of the index, as they travel: compressed, without its lists."""
+
+    ids: np.ndarray
+    labels: np.ndarray
+    packed: tuple[bytes, bytes, bytes]
+
+    def unpacked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many terms each example has, and all places and weights, one example after the other."""
+        kinds = np.int64, np.int32, float
+        return tuple(np.frombuffer(zlib.decompress(x), kind) for x, kind in zip(self.packed, kinds, strict=True))
+
+
+def arrange(ids: np.ndarray, labels: np.ndarray, size: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> Examples:
+    """Examples in an order in which like ones stand together.
+
+    They are halved along the direction in which their weights of the most widespread terms
+    differ most, and the halves again, down to a block.
+    """
+    rows = np.bincount(terms, minlength=1)
+    leading = np.argsort(-rows, kind="stable")[:LEADING]
+    number = np.full(len(rows), -1)
+    number[leading] = np.arange(len(leading))
+    matrix = np.zeros((len(ids), len(leading)), np.float32)
+    known = np.flatnonzero(number[terms] >= 0)
+    matrix[np.repeat(np.arange(len(ids)), size)[known], number[terms[known]]] = weights[known]
+    order = _halved(matrix, np.lexsort((ids, labels)))
+    at = np.concatenate([[0], np.cumsum(size)])
+    place, _ = kernel.ranges(at[order], at[order + 1])
+    parts = size[order], terms[place].astype(np.int32), weights[place].astype(float)
+    return Examples(ids[order], labels[order], tuple(zlib.compress(x.tobytes(), 1) for x in parts))
+
+
+def _halved(matrix: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    if len(rows) <= BLOCK:
+        return rows
+    part = matrix[rows] - matrix[rows].mean(axis=0)
+    way = part[np.argmax((part * part).sum(axis=1))]
+    for _ in range(POWERS):
+        way = part.T @ (part @ way)
+        way /= np.linalg.norm(way) + 1e-9
+    rows = rows[np.argsort(part @ way, kind="stable")]
+    del part
+    half = -(-len(rows) // (2 * BLOCK)) * BLOCK  # whole blocks
+    return np.concatenate([_halved(matrix, rows[:half]), _halved(matrix, rows[half:])])
+
+
+def build_index(ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], bound: int) -> Index:
+    """The index of some vectors, whose places are below `bound`."""
+    size = np.array([len(t) for t, _ in vectors], np.int64)
+    terms = np.concatenate([np.zeros(0, np.int32), *[t for t, _ in vectors]])
+    weights = np.concatenate([np.zeros(0), *[w for _, w in vectors]])
+    return lists_of(arrange(ids, labels, size, terms, weights), bound)
+
+
+def lists_of(examples: Examples, bound: int) -> Index:
+    """The lists of an index over examples whose places are below `bound`."""
+    size, place, weight = examples.unpacked()
+    count = len(examples.ids)
+    blocks = max(1, -(-count // BLOCK))
+    rows = np.bincount(place, minlength=bound)
+    # the most frequent terms first; equal ones by their places
+    by_rows = np.argsort(-rows, kind="stable")[: np.count_nonzero(rows)].astype(np.int32)
+    number = np.full(bound, -1, np.int32)
+    number[by_rows] = np.arange(len(by_rows), dtype=np.int32)
+    rows = rows[by_rows]
+    n_wide = min(MOST_WIDE, np.count_nonzero(rows > WIDE * count))
+    n_top = max(0, np.count_nonzero(rows >= RARE) - n_wide)
+    term, light = number[place], weight.astype(np.float32)
+    del place
+    position = np.repeat(np.arange(count, dtype=np.int32), size)
+    spread = term < n_wide
+    wide = np.zeros((blocks, n_wide, BLOCK), np.float32)
+    wide[position[spread] // BLOCK, term[spread], position[spread] % BLOCK] = light[spread]
     rest = np.flatnonzero(~spread)
     rest = rest[np.argsort(term[rest], kind="stable")]
-    listed, position, light = term[rest], position[rest], weight[rest].astype(np.float32)
-    block = position // BLOCK
-    change = (listed[1:] != listed[:-1]) | (block[1:] != block[:-1])
-    first = np.flatnonzero(np.concatenate([[True], change])) if len(rest) else np.zeros(0, np.int64)
+    listed, position, light = term[rest] - n_wide, position[rest], light[rest]
+    del rest, spread
+    split = np.searchsorted(listed, n_top)
+    cell = listed[:split] * np.int64(blocks) + position[:split] // BLOCK
+    post_at = np.zeros((n_top, blocks + 1), np.int32)
+    post_at[:, 1:] = np.cumsum(np.bincount(cell, minlength=n_top * blocks)).reshape(n_top, blocks)
+    post_at[1:, 0] = post_at[:-1, -1]
+    top = np.zeros(n_top * blocks, np.float32)
+    heads = np.flatnonzero(np.diff(cell, prepend=-1))
+    if split:
+        top[cell[heads]] = np.maximum.reduceat(light[:split], heads)
+    rare_at = np.searchsorted(listed[split:], np.arange(n_top, len(rows) - n_wide + 1)) + split
+    at = np.concatenate([[0], np.cumsum(size)])
     return Index(
-        ids,
-        labels,
-        blocks,
-        np.concatenate([[0], np.cumsum(size)]),
-        term,
-        weight,
-        wide_terms,
-        wide,
-        np.searchsorted(listed[first], np.arange(terms + 1)).astype(np.int32),
-        block[first],
-        np.maximum.reduceat(light, first) if len(first) else light,
-        np.append(first, len(rest)).astype(np.int32),
-        position,
-        light,
-    )
+        examples.ids, examples.labels, blocks, number, at, term, weight,
+        wide, wide.max(axis=2).T.copy(), top.reshape(n_top, blocks), post_at, rare_at, position.astype(np.intp), light,
+    )
 
 
 @dataclass
 class Model:
+    """What travels to the tasks; `index` is made there, once a worker."""
+
     vocabulary: Vocabulary
-    index: Index
+    examples: Examples
     prior: float
-    a: float
-    b: float
+
+    @cached_property
+    def index(self) -> Index:
+        return lists_of(self.examples, SIZE)
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         """The neighbours' labels weighted by their cosines, pulled a little to the middle."""
-        return float(((2 * self.index.labels[found] - 1) * cosine).sum() / (cosine.sum() + 0.5))
+        return float(((2 * self.examples.labels[found] - 1) * cosine).sum() / (cosine.sum() + 0.5))
 
-    def score(self, found: np.ndarray, cosine: np.ndarray) -> float:
+    def score(self, found: np.ndarray, cosine: np.ndarray, curve: tuple[float, float]) -> float:
         if not len(found):
             return self.prior
-        return float(1 / (1 + np.exp(-np.clip(self.a * self.vote(found, cosine) + self.b, -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(curve[0] * self.vote(found, cosine) + curve[1], -30, 30))))
+
+
+def _model(shared) -> Model:
+    """The broadcast model, unpacked once by a worker that serves many tasks."""
+    if not hasattr(shared, "model"):
+        shared.model = arrived(shared)
+    return shared.model
 
 
 def _rows(vocabulary_shared):
@@ -291,8 +376,29 @@ def _rows(vocabulary_shared):
     return run
 
 
-def fit(labelled: DataFrame, sample_rows: int) -> Model:
-    """A model of labelled rows (id, text, label 0 or 1)."""
+def _votes(shared):
+    """(position, vote) of examples, each by its nearest others; positions come as rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(shared)
+        size, terms, weights = model.examples.unpacked()
+        at = np.concatenate([[0], np.cumsum(size)])
+        for batch in batches:
+            mine = [p for p in batch.column(0).to_pylist() if size[p]]
+            vectors = [(terms[at[p] : at[p + 1]], weights[at[p] : at[p + 1]]) for p in mine]
+            found = model.index.search(vectors, NEAREST, without=mine)
+            votes = [(p, model.vote(f, c)) for p, (f, c) in zip(mine, found, strict=True) if len(f)]
+            columns = [pa.array([v[0] for v in votes], pa.int64()), pa.array([v[1] for v in votes], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["position", "vote"])
+
+    return run
+
+
+def fit(labelled: DataFrame, sample_rows: int) -> tuple[Broadcast, tuple[float, float]]:
+    """A model of labelled rows (id, text, label 0 or 1), broadcast, and its logistic curve.
+
+    The driver holds the compressed vectors of the sample; lists and votes are made in tasks.
+    """
     spark = labelled.sparkSession
     sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     rows = (sizes.get(0, 0), sizes.get(1, 0))
@@ -303,37 +409,35 @@ def fit(labelled: DataFrame, sample_rows: int) -> Model:
     spread = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
     share = F.when(F.col("label") == 1, sample_rows / max(rows[1], 1)).otherwise(sample_rows / max(rows[0], 1))
     sample = labelled.filter(spread < share).select(F.col("id").cast("long"), "label", "text")
-    got = sample.mapInArrow(
-        _rows(ship(spark, vocabulary)), "id long, label int, terms binary, weights binary"
-    ).collect()
+    got = sample.mapInArrow(_rows(ship(spark, vocabulary)), "id long, label int, terms binary, weights binary")
     # the same model for any order of rows
-    got.sort(key=lambda r: (-1 if r["id"] is None else r["id"], r["label"], r["terms"], r["weights"]))
-    ids = np.array([-1 if r["id"] is None else r["id"] for r in got], np.int64)
-    labels = np.array([r["label"] for r in got], np.int64)
-    vectors = [(np.frombuffer(r["terms"], np.int32), np.frombuffer(r["weights"], float)) for r in got]
-    index = build_index(ids, labels, vectors, SIZE)
+    got = got.toArrow().sort_by([(c, "ascending") for c in ("id", "label", "terms", "weights")]).combine_chunks()
+    ids = got["id"].fill_null(-1).to_numpy()
+    labels = got["label"].to_numpy().astype(np.int64)
+    size = pc.binary_length(got["terms"]).to_numpy().astype(np.int64) // 4
+    terms, weights = (np.frombuffer(b"".join(got[c].to_pylist()), kind) for c, kind in (("terms", np.int32), ("weights", float)))
+    del got
+    examples = arrange(ids, labels, size, terms, weights)
     # a row stands for as many as its class has per row of the sample
-    weight = np.array([rows[y] / max(1, (labels == y).sum()) for y in labels])
-    none = np.array([not len(t) for t, _ in vectors], bool)
-    seen = weight[none].sum()
-    prior = float((weight[none] * labels[none]).sum() + 0.5 * rows[1] / max(1, sum(rows))) / (seen + 0.5) if len(got) else 0.0
-    model = Model(vocabulary, index, prior, 4.0, 0.0)
-    place = np.argsort(arrange(ids, labels, vectors))
-    votes, known = [], []
-    for i, (t, w) in enumerate(vectors):
-        if len(t):
-            found, cosine = index.nearest(t, w, NEAREST, without=int(place[i]))
-            if len(found):
-                votes.append(model.vote(found, cosine))
-                known.append(i)
+    labels, size = examples.labels, examples.unpacked()[0]
+    weight = np.array([rows[y] / max(1, (labels == y).sum()) for y in (0, 1)])[labels]
+    seen = weight[size == 0].sum()
+    prior = float((weight * labels)[size == 0].sum() + 0.5 * rows[1] / max(1, sum(rows))) / (seen + 0.5) if len(ids) else 0.0
+    shared = ship(spark, Model(vocabulary, examples, prior))
+    # tasks of at least CALIBRATED examples
+    tasks = max(1, min(spark.sparkContext.defaultParallelism, len(ids) // CALIBRATED))
+    votes = spark.range(0, len(ids), 1, tasks).mapInArrow(_votes(shared), "position long, vote double")
+    votes = votes.toArrow().sort_by("position")
+    known = votes["position"].to_numpy()
+    curve = (4.0, 0.0)
     if len(set(labels[known])) == 2:
-        model.a, model.b = kernel.platt(np.array(votes), labels[known], weight[known] / weight[known].mean())
-    return model
+        curve = kernel.platt(votes["vote"].to_numpy(), labels[known], weight[known] / weight[known].mean())
+    return shared, curve
 
 
-def _score(shared):
+def _score(shared, curve: tuple[float, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = arrived(shared)
+        model = _model(shared)
         cache: dict[bytes, tuple[float, list[int], list[float]]] = {}
         for batch in batches:
             out = []
@@ -344,8 +448,8 @@ def _score(shared):
                     cache.clear()
                 new = {key: v for key, v in zip(keys, vectors, strict=True) if key not in cache}
                 for key, (found, cosine) in zip(new, model.index.search(list(new.values()), NEAREST), strict=True):
-                    few = found[:EVIDENCE]
-                    cache[key] = model.score(found, cosine), model.index.ids[few].tolist(), cosine[:EVIDENCE].tolist()
+                    few = model.examples.ids[found[:EVIDENCE]].tolist()
+                    cache[key] = model.score(found, cosine, curve), few, cosine[:EVIDENCE].tolist()
                 out += [cache[key] for key in keys]
             columns = [
                 pa.array([x[0] for x in out], pa.float64()),
@@ -388,14 +492,14 @@ def toxicity_scores(
     learn = broadcast_if_small(learn, learn.count())
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     labelled = kept(texts.join(learn, "id").select("id", "text", "label"), "toxic-labelled")
-    shared = ship(docs.sparkSession, fit(labelled, sample_rows))
+    shared, curve = fit(labelled, sample_rows)
     rows = docs.select(
         F.col(id_col).alias("id"),
         (fold(id_col, folds) == held_fold).alias("held_out"),
         text_of(text_col).alias("text"),
     )
     kind = rows.drop("text").selectExpr("*", "0d as score", "array(0L) as evidence", "array(0d) as cosines").schema
-    return rows.mapInArrow(_score(shared), kind).select(
+    return rows.mapInArrow(_score(shared, curve), kind).select(
         F.col("id").alias(id_col),
         "held_out",
         "score",
