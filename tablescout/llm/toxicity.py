@@ -12,8 +12,8 @@ a query shares with an example in the most widespread terms (in WIDE of the exam
 MOST_WIDE terms) comes from matrix products of many queries and a block; the postings of rare terms (in
 under RARE examples) are few and added as they are. The other terms have their
 largest weight in each block, as have the most widespread; a query adds up the block bounds, opens the blocks of the
-largest bounds, then the others but for those whose bound does not reach its k-th best. These sums are in
-single precision; whatever comes within SLACK of the k-th best is then worked out over all
+largest bounds, then the others but for those whose bound does not reach its k-th best among
+these. Bounds are in single precision, with SLACK for rounding; the cosines are sums over all
 terms in double precision: exact. The k nearest vote with their cosines; a logistic curve
 fitted on the examples, each without itself, turns the vote into a probability. Equal
 cosines prefer the smaller id. The nearest examples are the evidence.
@@ -26,6 +26,7 @@ pass over the documents without a shuffle, and equal vectors of a task are searc
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,7 +36,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +51,10 @@ SMOOTH = 1.0
 SAMPLE_ROWS = 3_000
 BLOCK = 64
 OPENED = 4  # blocks before the k-th best is known
-WIDE = 1 / 25
-MOST_WIDE = 3_072
+WIDE = 1 / 20
+MOST_WIDE = 1_024
 RARE = 16  # examples; terms of fewer have no largest weights by block
-SLACK = 2e-4  # above the rounding of MOST_WIDE products in single precision
+SLACK = 2e-4  # above the rounding of bounds, which are in single precision
 CALIBRATED = 500
 TOGETHER = 64  # queries searched side by side
 LEADING = 1_024  # terms by which examples are put in order
@@ -121,7 +122,7 @@ def weigh_terms(counts: np.ndarray, rows: tuple[int, int]) -> Vocabulary:
 
 @dataclass
 class Index:
-    """Examples by position, in blocks of BLOCK. Example p has the terms `term_at[p]` up.
+    """Examples by position, in blocks of BLOCK.
 
     Terms are numbered anew, `number[place]` (-1: no example has it): first the widespread ones,
     with a matrix of weights for each block, `wide`, and a row of largest weights by block,
@@ -134,9 +135,6 @@ class Index:
     labels: np.ndarray
     blocks: int
     number: np.ndarray
-    term_at: np.ndarray
-    terms: np.ndarray
-    weights: np.ndarray
     wide: np.ndarray
     wide_top: np.ndarray
     top: np.ndarray
@@ -145,9 +143,6 @@ class Index:
     position: np.ndarray
     weight: np.ndarray
 
-    def __post_init__(self):
-        self.query = np.zeros(len(self.wide_top) + len(self.top) + len(self.rare_at) - 1)
-
     def known(self, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A query's terms that examples have, by their numbers, ascending."""
         number = self.number[terms]
@@ -164,11 +159,11 @@ class Index:
         if not len(self.ids):
             return out
         queries = [self.known(*v) for v in vectors]
-        dense = np.zeros((len(vectors), len(self.wide_top)), np.float32)
+        dense = np.zeros((len(vectors), len(self.wide_top)))
         for row, (terms, weights) in zip(dense, queries, strict=True):
             n = np.searchsorted(terms, dense.shape[1])
             row[terms[:n]] = weights[:n]
-        bound = dense @ self.wide_top
+        bound = dense.astype(np.float32) @ self.wide_top
         # queries that share their likeliest block open much the same blocks
         order = np.argsort(bound.argmax(axis=1), kind="stable")
         for low in range(0, len(order), TOGETHER):
@@ -204,7 +199,7 @@ class Index:
             bound[i] += weights[a:b].astype(np.float32) @ self.top[row] + found[i].reshape(-1, BLOCK).max(axis=1)
             first[i, np.argsort(-bound[i], kind="stable")[:OPENED]] = True
             middle.append((self.post_at[row], weights[a:b]))
-        # the blocks of the largest bounds first, then all whose bound reaches the k-th best
+        # the blocks of the largest bounds first, then all whose bound reaches the k-th best of those
         least = np.zeros(len(queries))
         for chosen in (first, ~first):
             opened = chosen & (bound > 0) & (bound >= least[:, None] - SLACK)
@@ -218,21 +213,15 @@ class Index:
                 self._add(found[i], low.ravel(), high.ravel(), np.repeat(weights, low.shape[1]))
                 if without[i] >= 0:
                     found[i, without[i]] = 0
-                least[i] = np.partition(found[i], -k)[-k] if k < found.shape[1] else 0.0
-        for (terms, weights), sums, border in zip(queries, found, least, strict=True):
+                if chosen is first:
+                    sums = found[i].reshape(-1, BLOCK)[opened[i]].ravel()
+                    least[i] = np.partition(sums, -k)[-k] if k <= len(sums) else 0.0
+        for sums, border in zip(found, least, strict=True):
             best = np.flatnonzero((sums > 0) & (sums >= border - SLACK))
-            cosine = self.cosines(best, terms, weights)
+            cosine = sums[best]
             order = np.lexsort((self.ids[best], -np.round(cosine, 12)))[:k]
             yield best[order], cosine[order]
 
-    def cosines(self, best: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The cosines of some examples over all terms."""
-        self.query[terms] = weights
-        ends = zip(self.term_at[best].tolist(), self.term_at[best + 1].tolist(), strict=True)
-        out = [self.query.take(self.terms[a:b]) @ self.weights[a:b] for a, b in ends]
-        self.query[terms] = 0
-        return np.array(out, float)
-
 
 @dataclass
 class Examples:
@@ -303,16 +292,16 @@ def lists_of(examples: Examples, bound: int) -> Index:
     rows = rows[by_rows]
     n_wide = min(MOST_WIDE, np.count_nonzero(rows > WIDE * count))
     n_top = max(0, np.count_nonzero(rows >= RARE) - n_wide)
-    term, light = number[place], weight.astype(np.float32)
+    term = number[place]
     del place
     position = np.repeat(np.arange(count, dtype=np.int32), size)
     spread = term < n_wide
-    wide = np.zeros((blocks, n_wide, BLOCK), np.float32)
-    wide[position[spread] // BLOCK, term[spread], position[spread] % BLOCK] = light[spread]
+    wide = np.zeros((blocks, n_wide, BLOCK))
+    wide[position[spread] // BLOCK, term[spread], position[spread] % BLOCK] = weight[spread]
     rest = np.flatnonzero(~spread)
     rest = rest[np.argsort(term[rest], kind="stable")]
-    listed, position, light = term[rest] - n_wide, position[rest], light[rest]
-    del rest, spread
+    listed, position, weight = term[rest] - n_wide, position[rest], weight[rest]
+    del rest, spread, term
     split = np.searchsorted(listed, n_top)
     cell = listed[:split] * np.int64(blocks) + position[:split] // BLOCK
     post_at = np.zeros((n_top, blocks + 1), np.int32)
@@ -321,12 +310,11 @@ def lists_of(examples: Examples, bound: int) -> Index:
     top = np.zeros(n_top * blocks, np.float32)
     heads = np.flatnonzero(np.diff(cell, prepend=-1))
     if split:
-        top[cell[heads]] = np.maximum.reduceat(light[:split], heads)
+        top[cell[heads]] = np.maximum.reduceat(weight[:split], heads)
     rare_at = np.searchsorted(listed[split:], np.arange(n_top, len(rows) - n_wide + 1)) + split
-    at = np.concatenate([[0], np.cumsum(size)])
     return Index(
-        examples.ids, examples.labels, blocks, number, at, term, weight,
-        wide, wide.max(axis=2).T.copy(), top.reshape(n_top, blocks), post_at, rare_at, position.astype(np.intp), light,
+        examples.ids, examples.labels, blocks, number, wide, wide.max(axis=2).T.astype(np.float32),
+        top.reshape(n_top, blocks), post_at, rare_at, position, weight,
     )
 
 
@@ -354,9 +342,10 @@ class Model:
 
 def _model(shared) -> Model:
     """The broadcast model, unpacked once by a worker that serves many tasks."""
-    if not hasattr(shared, "model"):
-        shared.model = arrived(shared)
-    return shared.model
+    holder = shared.value
+    if isinstance(holder[0], bytes):
+        holder[0] = pickle.loads(holder[0])
+    return holder[0]
 
 
 def _rows(vocabulary_shared):
@@ -423,7 +412,7 @@ def fit(labelled: DataFrame, sample_rows: int) -> tuple[Broadcast, tuple[float,
     weight = np.array([rows[y] / max(1, (labels == y).sum()) for y in (0, 1)])[labels]
     seen = weight[size == 0].sum()
     prior = float((weight * labels)[size == 0].sum() + 0.5 * rows[1] / max(1, sum(rows))) / (seen + 0.5) if len(ids) else 0.0
-    shared = ship(spark, Model(vocabulary, examples, prior))
+    shared = spark.sparkContext.broadcast([cloudpickle.dumps(Model(vocabulary, examples, prior))])
     # tasks of at least CALIBRATED examples
     tasks = max(1, min(spark.sparkContext.defaultParallelism, len(ids) // CALIBRATED))
     votes = spark.range(0, len(ids), 1, tasks).mapInArrow(_votes(shared), "position long, vote double")
