@@ -29,7 +29,7 @@ from __future__ import annotations
 import pickle
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 from hashlib import blake2b
 
@@ -56,7 +56,7 @@ MOST_WIDE = 1_024
 RARE = 16  # examples; terms of fewer have no largest weights by block
 SLACK = 2e-4  # above the rounding of bounds, which are in single precision
 CALIBRATED = 500
-TOGETHER = 64  # queries searched side by side
+TOGETHER = 256  # queries searched side by side
 LEADING = 1_024  # terms by which examples are put in order
 POWERS = 6
 NEAREST = 15
@@ -206,9 +206,10 @@ class Index:
             for block in np.flatnonzero(opened.any(axis=0)):
                 mine = np.flatnonzero(opened[:, block])
                 found[mine, block * BLOCK : (block + 1) * BLOCK] += dense[mine] @ self.wide[block]
+            edges = np.diff(opened, axis=1, prepend=False, append=False)
             for i, (starts, weights) in enumerate(middle):
                 # neighbouring blocks are one range of a term's postings
-                edge = np.flatnonzero(np.diff(opened[i], prepend=False, append=False))
+                edge = np.flatnonzero(edges[i])
                 low, high = starts[:, edge[::2]], starts[:, edge[1::2]]
                 self._add(found[i], low.ravel(), high.ravel(), np.repeat(weights, low.shape[1]))
                 if without[i] >= 0:
@@ -229,7 +230,7 @@ class Examples:
 
     ids: np.ndarray
     labels: np.ndarray
-    packed: tuple[bytes, bytes, bytes]
+    packed: tuple[bytes, ...]
 
     def unpacked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """How many terms each example has, and all places and weights, one example after the other."""
@@ -314,7 +315,7 @@ def lists_of(examples: Examples, bound: int) -> Index:
     rare_at = np.searchsorted(listed[split:], np.arange(n_top, len(rows) - n_wide + 1)) + split
     return Index(
         examples.ids, examples.labels, blocks, number, wide, wide.max(axis=2).T.astype(np.float32),
-        top.reshape(n_top, blocks), post_at, rare_at, position, weight,
+        top.reshape(n_top, blocks), post_at, rare_at, position.astype(np.intp), weight,
     )
 
 
@@ -330,6 +331,12 @@ class Model:
     def index(self) -> Index:
         return lists_of(self.examples, SIZE)
 
+    def ready(self) -> Model:
+        """The model with its lists and without the vectors, which scoring does not need."""
+        if self.examples.packed:
+            _, self.examples = self.index, replace(self.examples, packed=())
+        return self
+
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         """The neighbours' labels weighted by their cosines, pulled a little to the middle."""
         return float(((2 * self.examples.labels[found] - 1) * cosine).sum() / (cosine.sum() + 0.5))
@@ -426,7 +433,7 @@ def fit(labelled: DataFrame, sample_rows: int) -> tuple[Broadcast, tuple[float,
 
 def _score(shared, curve: tuple[float, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(shared)
+        model = _model(shared).ready()
         cache: dict[bytes, tuple[float, list[int], list[float]]] = {}
         for batch in batches:
             out = []
