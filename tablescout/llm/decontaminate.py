@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,7 @@ K1, B = 1.2, 0.75
 GRAM = 5
 FREE = 0.3  # what the non-essential terms may add up to, of a threshold of 1
 SAFE = 1 - 1e-9
+FRONT = 20  # bits of a hash that are looked up before the hash
 CELLS = 1 << 22  # window and block sums at once
 
 ITEM = (
@@ -109,11 +111,27 @@ class Index:
     def blocks(self) -> int:
         return -(-len(self.item_of) // BLOCK)
 
-    def places(self, hashes: np.ndarray) -> np.ndarray:
-        """The position of every hash among the terms, -1 where it is none."""
-        at = np.searchsorted(self.terms, hashes)
+    @cached_property
+    def seen(self) -> np.ndarray:
+        """Whether some term begins with these FRONT bits."""
+        out = np.zeros(1 << FRONT, bool)
+        out[self.terms >> np.uint64(64 - FRONT)] = True
+        return out
+
+    def known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The positions of hashes that are terms, and which terms they are."""
+        likely = np.flatnonzero(self.seen[hashes >> np.uint64(64 - FRONT)])
+        mine = hashes[likely]
+        at = np.searchsorted(self.terms, mine)
         at[at == len(self.terms)] = 0
-        return np.where(self.terms[at] == hashes, at, -1)
+        found = self.terms[at] == mine
+        return likely[found], at[found]
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values of whole numbers."""
+    values = np.sort(values)
+    return values[np.flatnonzero(np.diff(values, prepend=-1))]
 
 
 def build_index(items: list, df: dict[int, int], segments: int, words: float, share: float) -> Index:
@@ -161,11 +179,10 @@ def search(index: Index, w: kernel.Words, hashes: np.ndarray) -> dict[tuple[int,
         return found
     steps = np.maximum(1, -(-w.counts // STEP))
     step_at = np.concatenate([[0], np.cumsum(steps)])
-    place = index.places(hashes)
-    known = np.flatnonzero(place >= 0)
-    doc = w.doc[known]
+    known, place = index.known(hashes)
+    doc = np.searchsorted(w.first, known, side="right") - 1
     step = step_at[doc] + (known - w.first[doc]) // STEP
-    pairs = np.unique(step * len(index.terms) + place[known])
+    pairs = _distinct(step * len(index.terms) + place)
     step, term = pairs // len(index.terms), pairs % len(index.terms)
     total = np.bincount(step, index.top[term], step_at[-1])
     pair_at = np.searchsorted(step, np.arange(step_at[-1] + 1))
@@ -179,7 +196,7 @@ def search(index: Index, w: kernel.Words, hashes: np.ndarray) -> dict[tuple[int,
         some = windows[low : low + at_once]
         last = np.where(follows[some], some + 2, some + 1)
         at, row = kernel.ranges(pair_at[some], pair_at[last])
-        both = np.unique(row * len(index.terms) + term[at])
+        both = _distinct(row * len(index.terms) + term[at])
         row, mine = both // len(index.terms), both % len(index.terms)
         # blocks: essential terms by their largest score in the block, the others by their top
         free = ~index.essential[mine]
@@ -194,12 +211,17 @@ def search(index: Index, w: kernel.Words, hashes: np.ndarray) -> dict[tuple[int,
         if not len(row):
             continue
         at, owner_p = kernel.ranges(index.post_at[mine], index.post_at[mine + 1])
-        hit = live[row[owner_p], index.segment[at] // BLOCK]
-        key = row[owner_p[hit]] * len(index.item_of) + index.segment[at[hit]]
-        cell, number = np.unique(key, return_inverse=True)
-        score = np.bincount(number, index.score[at[hit]], len(cell))
-        for c, value in zip(cell[score >= SAFE], score[score >= SAFE], strict=True):
-            pair = (int(owner[some[c // len(index.item_of)]]), int(index.item_of[c % len(index.item_of)]))
+        # the cells of live blocks stand one after the other
+        spot = np.cumsum(live.ravel()) - 1
+        block = row[owner_p] * index.blocks + index.segment[at] // BLOCK
+        hit = np.flatnonzero(live.ravel()[block])
+        at, block = at[hit], spot[block[hit]]
+        score = np.bincount(block * BLOCK + index.segment[at] % BLOCK, index.score[at], (spot[-1] + 1) * BLOCK)
+        best = np.flatnonzero(score >= SAFE)
+        where = np.flatnonzero(live)[best // BLOCK]
+        windows_of, segment = where // index.blocks, where % index.blocks * BLOCK + best % BLOCK
+        for window, part, value in zip(windows_of, segment, score[best], strict=True):
+            pair = (int(owner[some[window]]), int(index.item_of[part]))
             found[pair] = max(found.get(pair, 0.0), float(value))
     return found
 
