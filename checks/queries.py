@@ -101,16 +101,16 @@ def folder_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "folder")
     sinks.write_files(_view(spark, sf_dir, views.CUSTOMER_FILES, "customer"), root)
     catalog, report = catalogs.load_folder(spark, root)
-    columns = [(name, ",".join(f"{c} {t}" for c, t in df.dtypes)) for name, df in catalog.items()]
-    typed = spark.createDataFrame(columns, "table_name string, columns string")
-    sums = [
-        df.agg(F.sum("c_custkey").cast("bigint").alias("keys"), F.max(F.col(df.columns[1]).cast("string")).alias("top"))
-        .select(F.lit(name).alias("table_name"), "*")
-        for name, df in catalog.items()
-    ]
+    sums = []
+    for family in catalog.families():
+        types = dict(family.rows.dtypes)
+        top = F.max(F.col(family.columns[1]).cast("string")).alias("top")
+        found = family.aggregate(family.rows, [F.sum("c_custkey").cast("bigint").alias("keys"), top])
+        columns = F.lit(",".join(f"{c} {types[c]}" for c in family.columns)).alias("columns")
+        sums.append(found.select("table_name", columns, "keys", "top"))
     table = F.regexp_replace("path", "^.*/folder-[0-9a-f]+/", "")
     found = report.select("table_no", "table_name", table.alias("path"), "rows", "status")
-    return found.join(typed, "table_name", "left").join(union_all(sums), "table_name", "left")
+    return found.join(union_all(sums), "table_name", "left")
 
 
 def folder_profile(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from tablescout.operators.columns import union_all
 from tablescout.operators.quantiles import row_counts
@@ -51,6 +51,80 @@ class _File:
     problem: str | None = None
 
 
+@dataclass(frozen=True)
+class Family:
+    """Tables of a folder with the same columns and types, whose files are read together.
+
+    `rows` has the rows of all of them, with the path of their file in the column `path`;
+    `tables` is (path, table_no, table_name, columns_before), a row per table.
+    """
+
+    rows: DataFrame
+    path: str
+    tables: DataFrame
+
+    @property
+    def columns(self) -> list[str]:
+        return [c for c in self.rows.columns if c != self.path]
+
+    def aggregate(self, rows: DataFrame, aggregates: list[Column]) -> DataFrame:
+        """(table_no, table_name, columns_before, aggregates) of every table, from one pass over
+        rows; a table without rows has NULL."""
+        by_file = rows.groupBy(self.path).agg(*aggregates)
+        return self.tables.join(by_file, self.path, "left").drop(self.path)
+
+
+class FolderCatalog(Mapping[str, DataFrame]):
+    """Table name to lazy DataFrame, made when it is asked for, and the families of all tables.
+
+    A report that goes by families has as many plans as there are kinds of files, one that goes
+    by tables has one for each file.
+    """
+
+    def __init__(self, spark: SparkSession, files: list[_File]) -> None:
+        self._spark = spark
+        self._files = dict(zip(unique_names(f.stem for f in files), files, strict=True))
+        self._tables: dict[str, DataFrame] = {}
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._files)
+
+    def __len__(self) -> int:
+        return len(self._files)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._tables:
+            f = self._files[name]
+            self._tables[name] = _typed_text(self._spark, f.path, f)
+        return self._tables[name]
+
+    def families(self) -> list[Family]:
+        """The tables by their columns and types, in the order of the first of each."""
+        alike: dict[tuple, list[tuple[_File, tuple]]] = {}
+        before = 0
+        for no, (name, f) in enumerate(self._files.items(), start=1):
+            kind = (f.traits, tuple(f.names), tuple(sorted(f.targets.items())))
+            alike.setdefault(kind, []).append((f, (f.path, no, name, before)))
+            before += len(f.names)
+        found = []
+        for members in alike.values():
+            first = members[0][0]
+            path = "_path"
+            while path in [n.lower() for n in first.names]:
+                path += "_"
+            rows = _typed_text(self._spark, [f.path for f, _ in members], first, path)
+            kinds = f"`{path}` string, table_no int, table_name string, columns_before int"
+            tables = self._spark.createDataFrame([row for _, row in members], kinds)
+            found.append(Family(rows, path, tables))
+        return found
+
+
+def _typed_text(spark: SparkSession, path: str | list[str], like: _File, path_as: str | None = None) -> DataFrame:
+    """The rows of files that are all like one, in its types."""
+    text = read_text_table(spark, path, like.traits, like.names, has_header=True, path_as=path_as)
+    return cast_text(missing_tokens_to_null(skip_bad_lines(text)), like.targets)
+
+
 def _isolated(files: list[_File], job: Callable[[list[_File]], None]) -> None:
     """Run one job over all files; where it fails, halve them until the failing ones are found."""
     try:
@@ -106,13 +180,13 @@ def load_folder(
     suffixes: Iterable[str] = DATA_SUFFIXES,
     bad_lines: str = "error",
     options: Options = DEFAULTS,  # noqa: ARG001
-) -> tuple[dict[str, DataFrame], DataFrame]:
+) -> tuple[FolderCatalog, DataFrame]:
     """Every delimited file under root as a table, and a report of what was loaded.
 
     A file that cannot be read is reported and skipped. One scan finds the encodings,
     separators and headers of all files, one more all types, rows and bad lines: the number
     of jobs does not depend on the number of files. What the driver holds is a row per file
-    and column.
+    and column; a table's DataFrame is made when it is asked for.
     """
     if bad_lines not in ("error", "skip"):
         raise ValueError(f"unknown rule for bad lines: {bad_lines}")
@@ -133,10 +207,7 @@ def load_folder(
         if not f.problem and f.bad and bad_lines == "error":
             f.problem = f"{f.bad} lines have more fields than the header"
     good = [f for f in found if not f.problem]
-    catalog = {}
-    for name, f in zip(unique_names(f.stem for f in good), good, strict=True):
-        text = skip_bad_lines(read_text_table(spark, f.path, f.traits, f.names, has_header=True))
-        catalog[name] = cast_text(missing_tokens_to_null(text), f.targets)
+    catalog = FolderCatalog(spark, good)
     rows = [(no, name, f.path, f.rows, LOADED) for no, (name, f) in enumerate(zip(catalog, good, strict=True), start=1)]
     rows += [(None, None, f.path, None, f"skipped: {f.problem}") for f in found if f.problem]
     return catalog, spark.createDataFrame(rows, REPORT)

@@ -100,12 +100,15 @@ def file_manifest(
 def unique_names(stems: Iterable[str]) -> list[str]:
     """``a, a, a`` becomes ``a, a (2), a (3)``; a name that is taken is passed over."""
     taken: set[str] = set()
+    last: dict[str, int] = {}  # the last number that a stem was given
     names = []
     for stem in stems:
-        name, n = stem, 1
+        n = last.get(stem, 1)
+        name = stem if n == 1 else f"{stem} ({n})"
         while name in taken:
             n += 1
             name = f"{stem} ({n})"
+        last[stem] = n
         taken.add(name)
         names.append(name)
     return names
@@ -273,8 +276,10 @@ def read_text_table(
     traits: FileTraits,
     names: list[str] | None = None,
     has_header: bool | None = None,
+    path_as: str | None = None,
 ) -> DataFrame:
-    """All columns as text plus SURPLUS, which is set on rows with too many fields.
+    """All columns as text plus SURPLUS, which is set on rows with too many fields; path_as names
+    one more with the path of the row's file.
 
     Column names come from the first line unless they are given; has_header says whether
     there is such a line where names are given, else there is none. Short rows are filled up
@@ -294,15 +299,17 @@ def read_text_table(
     if traits.open_quotes:
         if header:
             rows = rows.where("not is_header")
-        cells = rows.select(_parsed(F.col("record"), len(names) + 1, traits.separator).alias("cells"))
+        cells = rows.select("file", _parsed(F.col("record"), len(names) + 1, traits.separator).alias("cells"))
+        path_column = [plain_path("file").alias(path_as)] if path_as else []
         return cells.select(
-            *[F.col(f"cells.c{i}").alias(n) for i, n in enumerate([*names, SURPLUS])]
+            *[F.col(f"cells.c{i}").alias(n) for i, n in enumerate([*names, SURPLUS])], *path_column
         )
     fields = [T.StructField(n, T.StringType()) for n in [*names, SURPLUS]]
     rows = _reader(spark, traits, header).schema(T.StructType(fields)).csv(path)
+    path_column = [plain_path("_metadata.file_path").alias(path_as)] if path_as else []
     if traits.encoding == "cp1252":
-        rows = rows.select(*[_cp1252_from_latin1(col(c)).alias(c) for c in rows.columns])
-    return rows
+        return rows.select(*[_cp1252_from_latin1(col(c)).alias(c) for c in rows.columns], *path_column)
+    return rows.select("*", *path_column) if path_as else rows
 
 
 def file_cells(spark: SparkSession, paths: list[str], traits: FileTraits, width: int) -> DataFrame:

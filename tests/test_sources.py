@@ -165,6 +165,25 @@ def test_load_folder_jobs_do_not_grow_with_files(spark, tmp_path):
     assert jobs(6) == jobs(30)
 
 
+def test_folder_families_do_not_grow_with_files(spark, tmp_path):
+    def found(n):
+        for i in range(n):
+            put(tmp_path, f"{n}/f{i}.csv", "a,b\n" if i == 1 else f'a,b\n{i},"x\ny{i}"\n' if i % 2 else f"a,b\n{i},x\n7,y{i}\n")
+        catalog, _ = catalogs.load_folder(spark, str(tmp_path / str(n)))
+        families = catalog.families()
+        rows = []
+        for family in families:
+            rows += family.aggregate(family.rows, [F.count("b").alias("n"), F.max("b").alias("b")]).collect()
+        whole = sum(family.rows.count() for family in families)
+        assert sorted(r["table_name"] for r in rows) == sorted(catalog) and whole == sum(r["n"] or 0 for r in rows)
+        for r in sorted(rows, key=lambda r: r["table_no"])[:3]:
+            own = [x["b"] for x in catalog[r["table_name"]].collect()]
+            assert (r["n"] or 0, r["b"]) == (len(own), max(own, default=None))
+        return len(families)
+
+    assert found(6) == found(18) == 3
+
+
 def test_load_folder_isolates_unreadable_files(spark, tmp_path, monkeypatch):
     for i in range(7):
         put(tmp_path, f"f{i}.csv", "a\n1\n")
