@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,7 @@ from tablescout.operators.columns import (
     union_all,
 )
 from tablescout.options import DEFAULTS, Options
+from tablescout.sources.catalog import FolderCatalog
 
 NUMERIC_TEXT = "numeric (stored as text)"
 DATE_TEXT = "date (stored as text)"
@@ -88,6 +91,14 @@ def _row(no: int, field: T.StructField) -> list[str]:
     ]
 
 
+def _groups(df: DataFrame, names: list[str], options: Options) -> Iterator[tuple[list[str], list[list[str]]]]:
+    """(aggregates, output rows of what they count) of the named columns, by groups of columns."""
+    fields = [(no, df.schema[name]) for no, name in enumerate(names, start=1)]
+    for group in chunks(fields, options.aggregates_per_job // (len(DATE_LAYOUTS) + 3)):
+        counts = [c for no, f in group for c in _counts(no, f)]
+        yield ["count(1) as total_rows", *counts], [_row(no, f) for no, f in group]
+
+
 def table_dictionary(df: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """One row per column of one table, from one aggregate per group of columns.
 
@@ -95,19 +106,34 @@ def table_dictionary(df: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     against the number form and against every date layout, the label then picks the
     count it needs.
     """
-    fields = list(enumerate(df.schema.fields, start=1))
     cleaned = missing_to_null(df)
-    parts = []
-    for group in chunks(fields, options.aggregates_per_job // (len(DATE_LAYOUTS) + 3)):
-        counts = [c for no, f in group for c in _counts(no, f)]
-        counted = cleaned.selectExpr("count(1) as total_rows", *counts)
-        rows = [_row(no, f) for no, f in group]
-        parts.append(stack_rows(counted, rows, ["column_no", "column_name", *COUNTS]))
-    return union_all(parts)
+    return union_all(
+        [
+            stack_rows(cleaned.selectExpr(*counts), rows, ["column_no", "column_name", *COUNTS])
+            for counts, rows in _groups(df, df.columns, options)
+        ]
+    )
 
 
-def data_dictionary(catalog: dict[str, DataFrame], options: Options = DEFAULTS) -> DataFrame:
+def folder_dictionary(catalog: FolderCatalog, options: Options = DEFAULTS) -> DataFrame:
+    """Dictionary of all tables of a folder: tables with the same columns and types are counted
+    together, so the number of plans does not depend on the number of files."""
+    parts = []
+    place = ["columns_before", "table_no", "table_name"]
+    for family in catalog.families():
+        cleaned = missing_to_null(family.rows)
+        for counts, rows in _groups(family.rows, family.columns, options):
+            counted = family.aggregate(cleaned, [F.expr(c) for c in counts]).na.fill(0)
+            cells = [[*place, *row] for row in rows]
+            parts.append(stack_rows(counted, cells, [*place, "column_no", "column_name", *COUNTS]))
+    shown = union_all(parts).withColumn("slno", F.col("column_no") + F.col("columns_before"))
+    return shown.select("slno", "table_no", "table_name", "column_no", "column_name", *COUNTS).orderBy("slno")
+
+
+def data_dictionary(catalog: Mapping[str, DataFrame], options: Options = DEFAULTS) -> DataFrame:
     """Dictionary of all tables, numbered in catalog order."""
+    if isinstance(catalog, FolderCatalog) and len(catalog):
+        return folder_dictionary(catalog, options)
     parts = []
     before = 0
     for table_no, (table_name, df) in enumerate(catalog.items(), start=1):

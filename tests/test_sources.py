@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tablescout.operators.dictionary import data_dictionary
 from tablescout.plans.profile import SKIPPED, describe_folder, profile_folder
 from tablescout.sources import catalog as catalogs
 from tablescout.sources import files, listing, sinks
@@ -184,6 +185,22 @@ def test_folder_families_do_not_grow_with_files(spark, tmp_path):
     assert found(6) == found(18) == 3
 
 
+def test_folder_dictionary_goes_by_families(spark, tmp_path):
+    for i in range(3):
+        put(tmp_path, f"p{i}.csv", "k,v,d\n" + "".join(f"{j},{'' if j % 3 else 'x'},{j}.5\n" for j in range(i)))
+        put(tmp_path, f"q{i}.tsv", f'k\tv\n1\t"a\nb"\n2\t \n{i}\t2020-01-0{i + 1}\n')
+        put(tmp_path, f"r{i}.csv", f"k,d\n1,\x80\n{i},2020-01-01\n".encode("latin-1"))
+    catalog, _ = catalogs.load_folder(spark, str(tmp_path))
+    together = data_dictionary(catalog)
+    alone = data_dictionary({name: catalog[name] for name in catalog})
+    assert together.columns == alone.columns
+    assert together.collect() == alone.orderBy("slno").collect()
+    # p0 has no row, so no types
+    assert len(catalog.families()) == 4
+    scans = [df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") for df in (together, alone)]
+    assert 2 * scans[0] < scans[1]
+
+
 def test_load_folder_isolates_unreadable_files(spark, tmp_path, monkeypatch):
     for i in range(7):
         put(tmp_path, f"f{i}.csv", "a\n1\n")
