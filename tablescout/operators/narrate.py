@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescout.functions import words
 from tablescout.functions.text import strip
@@ -34,23 +35,32 @@ def _headers(df: DataFrame) -> list[str]:
 
 def describe_rows(df: DataFrame, order_by: list[str] | None) -> DataFrame:
     """(row_no, text): ``Row i: h1 is v1; h2 is v2.`` for every row."""
-    cells = []
-    for name, header in zip(df.columns, _headers(df)):
-        value = strip(shown_cell(df, name))
-        cells.append(
-            F.concat(F.lit(f"{header} is "), F.when(value == "", "blank").otherwise(value))
-        )
-    sentence = F.concat_ws("; ", *cells).alias("sentence")
     keyed, keys = with_order(df, order_by)
-    numbered = number_rows(keyed.select(*keys, sentence), keys)
+    # values are numbered, not sentences: those are made once, after the shuffle
+    cells = [
+        (shown_cell(df, f.name) if isinstance(f.dataType, (T.MapType, T.VariantType)) else col(f.name)).alias(f"c{i}")
+        for i, f in enumerate(df.schema.fields)
+    ]
+    numbered = number_rows(keyed.select(*keys, *cells), keys)
+    said = [
+        F.concat(F.lit(f"{header} is "), F.coalesce(F.nullif(_stripped(numbered, f"c{i}"), F.lit("")), F.lit("blank")))
+        for i, header in enumerate(_headers(df))
+    ]
     return numbered.select(
         "row_no",
-        F.concat(F.lit("Row "), F.col("row_no").cast("string"), F.lit(": "), "sentence", F.lit(".")).alias(
+        F.concat(F.lit("Row "), F.col("row_no").cast("string"), F.lit(": "), F.concat_ws("; ", *said), F.lit(".")).alias(
             "text"
         ),
     )
 
 
+def _stripped(df: DataFrame, name: str) -> Column:
+    """Text of a cell without white space around it; that of a number, truth value or date has none."""
+    shown = shown_cell(df, name)
+    bare = isinstance(df.schema[name].dataType, (T.NumericType, T.BooleanType, T.DateType))
+    return shown if bare else strip(shown)
+
+
 def describe_table(df: DataFrame, order_by: list[str] | None) -> DataFrame:
     """(row_no, text): a structure sentence as row 0, then one sentence per row."""
     structure = F.concat(

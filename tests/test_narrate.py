@@ -37,6 +37,20 @@ def test_table_as_sentences(spark):
     assert as_read["text"].startswith("Row 1: id is 2;")
 
 
+def test_values_are_numbered_and_sentences_made_after(spark, monkeypatch):
+    moved = []
+
+    def seen(df, keys):
+        moved.append(dict(df.dtypes))
+        return number_rows(df, keys)
+
+    monkeypatch.setattr(narrate, "number_rows", seen)
+    df = spark.sql("select 2 as _at, 1.5d as row_no, map('a', 1) as _part, ' x\\t' as v, cast(null as int) as c0, null as n")
+    got = narrate.describe_rows(df, ["_at"]).first()
+    assert tuple(got) == (1, "Row 1: _at is 2; row_no is 1.5; _part is {a -> 1}; v is x; c0 is blank; n is blank.")
+    assert list(moved[0].values()) == ["int", "int", "double", "string", "string", "int", "void"]
+
+
 def test_long_documents_keep_their_order(spark):
     blocks = spark.range(5000).select(
         F.lit(1).alias("doc_id"), F.col("id").alias("seq"), F.lit("Normal").alias("style"),
