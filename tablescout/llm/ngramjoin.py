@@ -2,8 +2,10 @@
 
 1. Every document becomes the set of its distinct n-gram hashes (64 bits). Documents with
    equal sets (by a 128-bit digest) are one class, which its smallest id represents.
-2. Representatives are partitioned into groups of similar sets: by three min-hashes, and
-   where these agree into parts of about `group_tokens` tokens, however many agree.
+2. Representatives are partitioned into groups of similar sets: of MARKS min-hashes of a set,
+   each together with the magnitude of its size, the one counts that most sets have; so
+   nearly all of many near copies meet under a few marks, whatever their edits. Sets of one
+   mark are dealt to parts of about `group_tokens` tokens, however many they are.
 3. Two sets with similarity t or more share a token among the first n - ceil(t n) + 1 of
    each in any common order. Groups store the union of their members' first tokens; token
    by token, groups that share one and fit by size become candidates. The order puts rare
@@ -36,14 +38,14 @@ CHUNKS = 64  # the count table travels in so many parts
 GROUP_TOKENS = 32_768
 DOC_TOKENS = 128
 PAIRS_AT_ONCE = 1 << 20
+MARKS = 6
 COLUMNS = 512
 FULL = 255  # a count that may be larger; such a row is always opened
 
 LINKS = ["u", "v", "links"]
 
-PROFILE = (
-    "id long, n long, d1 long, d2 long, least long, chunk int, counts binary"
-)
+LEAST = [f"least{i}" for i in range(MARKS)]
+PROFILE = f"id long, n long, d1 long, d2 long, {', '.join(f'{x} long' for x in LEAST)}, chunk int, counts binary"
 
 
 def _needed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -66,13 +68,11 @@ def _digests(tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return one.view(np.int64), two.view(np.int64)
 
 
-def _min_hashes(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Three min-hashes of every set in one value: equal for sets that agree in all three."""
-    out = np.zeros(len(offsets) - 1, np.uint64)
+def _min_hashes(tokens: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """MARKS min-hashes of every set; tokens are hashes, so an odd factor orders them anew."""
+    factors = kernel.mix(np.arange(1, MARKS + 1, dtype=np.uint64) * kernel.STEP) | np.uint64(1)
     with np.errstate(over="ignore"):
-        for seed in (kernel.MIX2, kernel.STEP, kernel.MIX1):
-            out = kernel.mix(out * kernel.STEP + kernel.least(kernel.mix(tokens ^ seed), offsets))
-    return out.view(np.int64)
+        return [kernel.least(tokens * factor, offsets).view(np.int64) for factor in factors]
 
 
 def _columns(tokens: np.ndarray) -> bytes:
@@ -104,7 +104,7 @@ def _profiles(size: int, bits: int):
                         pa.array(np.diff(offsets)),
                         pa.array(one),
                         pa.array(two),
-                        pa.array(least),
+                        *map(pa.array, least),
                         pa.nulls(rows, pa.int32()),
                         pa.nulls(rows, pa.binary()),
                     ],
@@ -112,7 +112,7 @@ def _profiles(size: int, bits: int):
                 )
         if counts.any():
             packed, none = kernel.pack_counts(counts, CHUNKS), pa.nulls(CHUNKS, pa.int64())
-            yield pa.RecordBatch.from_arrays([none] * 5 + packed.columns, names)
+            yield pa.RecordBatch.from_arrays([none] * (4 + MARKS) + packed.columns, names)
 
     return run
 
@@ -359,6 +359,18 @@ def _with_members(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.join(one, "g1").join(two, "g2").select("g1", "g2", "one", "two")
 
 
+def _marked(classes: DataFrame, percent: int) -> DataFrame:
+    """Classes with the mark of their group: the most frequent of their min-hashes among sets of
+    like size; where none is shared, one of their own."""
+    magnitude = F.floor(F.log("n") / math.log(100 / min(percent, 99)))
+    marks = F.array(*[F.xxhash64(F.lit(i), x, magnitude) for i, x in enumerate(LEAST)])
+    each = classes.select("node", F.explode(marks).alias("mark"))
+    shared = each.groupBy("mark").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+    best = each.join(shared, "mark").groupBy("node").agg(F.max(F.struct("sets", "mark"))["mark"].alias("mark"))
+    own = F.xxhash64(F.lit(MARKS), "d1", "d2")
+    return classes.join(best, "node", "left").withColumn("mark", F.coalesce("mark", own)).drop(*LEAST)
+
+
 def ngram_jaccard_join(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -386,27 +398,28 @@ def ngram_jaccard_join(
     profiles = kept(rows.mapInArrow(_profiles(size, bits), PROFILE), "ngram-profiles")
     shared = spark.sparkContext.broadcast(_classes(profiles, bits).tobytes())
 
-    members = profiles.filter("chunk is null").select("id", "n", "d1", "d2", "least")
+    members = profiles.filter("chunk is null").select("id", "n", "d1", "d2", *LEAST)
     classes = (
         members.filter("n > 0 and id is not null")
         .groupBy("d1", "d2")
         .agg(
             F.min("id").alias("rep"),
             F.min("n").alias("n"),
-            F.min("least").alias("least"),
+            *[F.min(x).alias(x) for x in LEAST],
             F.count(F.lit(1)).alias("docs"),
         )
     )
     # the number of a class is written with it, so it stays the same
     classes = kept(classes.withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
+    marked = kept(_marked(classes, percent), "ngram-marked")
     # a document weighs some tokens itself, which bounds the rows of a group's matrix;
-    # only min-hashes with more than one part are joined, at most total / group_tokens
-    heavy = classes.groupBy("least").agg(F.sum(F.col("n") + DOC_TOKENS).alias("tokens"))
+    # only marks with more than one part are joined, at most total / group_tokens
+    heavy = marked.groupBy("mark").agg(F.sum(F.col("n") + DOC_TOKENS).alias("tokens"))
     heavy = heavy.filter(F.col("tokens") > group_tokens)
     heavy = kept(heavy.withColumn("parts", F.ceil(F.col("tokens") / group_tokens)), "ngram-heavy")
     part = F.pmod(F.xxhash64("d1"), F.coalesce("parts", F.lit(1)))
-    gid = F.xxhash64("least", part).alias("gid")
-    reps = classes.join(heavy, "least", "left").select("rep", "n", "d1", "d2", "docs", "node", gid)
+    gid = F.xxhash64("mark", part).alias("gid")
+    reps = marked.join(heavy, "mark", "left").select("rep", "n", "d1", "d2", "docs", "node", gid)
     reps = kept(reps, "ngram-reps")
 
     # groups that share a first token

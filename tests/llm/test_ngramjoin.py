@@ -4,7 +4,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tablescout.llm import kernel
+from tablescout.llm import kernel, ngramjoin
+from tablescout.llm.common import kept
 from tablescout.llm.components import components
 from tablescout.llm.ngramjoin import links_between, ngram_jaccard_join
 
@@ -85,6 +86,30 @@ def test_texts_under_one_id_are_documents_of_their_own(spark, documents):
     assert {(i, c) for i, _, c, _ in found if i in (3, 9)} == {(3, 3), (9, 5)}
 
 
+def test_near_copies_meet_in_few_groups(spark, documents, monkeypatch):
+    r = random.Random(8)
+    text = [f"w{r.randrange(10**6)}" for _ in range(60)]
+    rows = []
+    for i in range(600):
+        edited = list(text)
+        for _ in range(r.randrange(3)):
+            edited[r.randrange(60)] = f"e{r.randrange(10**6)}"
+        rows.append((i, " ".join(edited)))
+    pairs = []
+
+    def seen(df, label):
+        df = kept(df, label)
+        if label == "ngram-pairs":
+            pairs.append(df.count())
+        return df
+
+    monkeypatch.setattr(ngramjoin, "kept", seen)
+    got = ngram_jaccard_join(documents([(i, t, "en", "a") for i, t in rows]), size=3, percent=90)
+    assert Counter(map(tuple, got.collect())) == brute(rows, 3, 90)
+    # 600 sets of 188 tokens with their weight are four groups' worth
+    assert pairs[0] < 100
+
+
 def test_links_are_complete():
     r = np.random.default_rng(3)
     one = [np.unique(r.integers(0, 40, 30).astype(np.uint64)) for _ in range(12)]
