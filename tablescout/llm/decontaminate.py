@@ -306,7 +306,7 @@ def find_leaks(
         terms = block.select(F.explode("segments.terms").alias("terms")).select(F.explode("terms").alias("term"))
         df = dict(counted.join(terms.distinct(), "term", "left_semi").select("term", "df").collect())
         index = build_index(block.collect(), df, segments, words / max(1, segments), share)
-        hits = rows.mapInArrow(_search_batches(ship(spark, index), share, overlap), FOUND)
+        hits = rows.mapInArrow(kernel.tidy(_search_batches(ship(spark, index), share, overlap)), FOUND)
         out = hits if out is None else out.unionByName(hits)
     return out.select(
         F.col("doc").alias(id_col), F.col("item").alias(item_col), "score", "overlap", "answer_overlap"

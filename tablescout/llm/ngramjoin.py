@@ -395,7 +395,7 @@ def ngram_jaccard_join(
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     bits = min(24, max(20, math.ceil(math.log2(docs.count() + 1)) + 4))
-    profiles = kept(rows.mapInArrow(_profiles(size, bits), PROFILE), "ngram-profiles")
+    profiles = kept(rows.mapInArrow(kernel.tidy(_profiles(size, bits)), PROFILE), "ngram-profiles")
     shared = spark.sparkContext.broadcast(_classes(profiles, bits).tobytes())
 
     members = profiles.filter("chunk is null").select("id", "n", "d1", "d2", *LEAST)
@@ -424,7 +424,7 @@ def ngram_jaccard_join(
 
     # groups that share a first token
     first = rows.filter("id is not null").mapInArrow(
-        _prefixes(size, bits, percent, shared), "id long, d1 long, tokens array<long>, row binary"
+        kernel.tidy(_prefixes(size, bits, percent, shared)), "id long, d1 long, tokens array<long>, row binary"
     )
     first = first.join(reps.select(F.col("rep").alias("id"), "d1", "gid", "n"), ["id", "d1"])
     first = kept(first, "ngram-first")
@@ -433,7 +433,7 @@ def ngram_jaccard_join(
         .groupBy("token", "gid")
         .agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("docs"))
     )
-    pairs = unions.repartition("token").mapInArrow(_candidates(percent), "g1 long, g2 long")
+    pairs = unions.repartition("token").mapInArrow(kernel.tidy(_candidates(percent)), "g1 long, g2 long")
     pairs = kept(pairs.distinct(), "ngram-pairs")
 
     # the bound, on matrix rows
@@ -443,7 +443,7 @@ def ngram_jaccard_join(
     if repeated:  # rows repeat with id and text
         bounds = bounds.dropDuplicates(["id", "d1"])
     bounds = bounds.groupBy("gid").agg(F.collect_list(F.struct("n", "row")).alias("members"))
-    opened = _with_members(pairs, bounds).mapInArrow(_open(percent), "g1 long, g2 long")
+    opened = _with_members(pairs, bounds).mapInArrow(kernel.tidy(_open(percent)), "g1 long, g2 long")
     opened = kept(opened, "ngram-opened")
 
     # the sets of the groups that are opened
@@ -451,11 +451,11 @@ def ngram_jaccard_join(
     chosen = kept(reps.join(wanted, "gid").select(F.col("rep").alias("id"), "d1", "gid", "node", "docs"), "ngram-chosen")
     texts = rows.join(broadcast_if_small(chosen, chosen.count()), "id")
     texts = texts.select("id", "text", "d1", "gid", "node", "docs")
-    sets = texts.mapInArrow(_members(size), "gid long, node long, docs long, tokens array<long>")
+    sets = texts.mapInArrow(kernel.tidy(_members(size)), "gid long, node long, docs long, tokens array<long>")
     if repeated:
         sets = sets.dropDuplicates(["node"])
     groups = sets.groupBy("gid").agg(F.collect_list(F.struct("node", "docs", "tokens")).alias("members"))
-    found = _with_members(opened, groups).mapInArrow(_verify(percent), "u long, v long, links long")
+    found = _with_members(opened, groups).mapInArrow(kernel.tidy(_verify(percent)), "u long, v long, links long")
     found = kept(found, "ngram-links")
     joined = components(found.filter("v is not null").select("u", "v"))
     degrees = found.filter("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))

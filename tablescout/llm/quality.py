@@ -157,7 +157,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
         side = {0: -3.0, 1: 3.0}.get(next(iter(sizes), -1), 0.0)
         return Model(np.zeros(SIZE), np.zeros(SIZE), side)
     both = kernel.total_counts(
-        labelled.select("text", "label").mapInArrow(_counts, "chunk int, counts binary"), 2 * SIZE, CHUNKS
+        labelled.select("text", "label").mapInArrow(kernel.tidy(_counts), "chunk int, counts binary"), 2 * SIZE, CHUNKS
     )
     low, high = both[:SIZE] + SMOOTH, both[SIZE:] + SMOOTH
     ratio = np.log((high / (sizes[1] + 2 * SMOOTH)) / (low / (sizes[0] + 2 * SMOOTH)))
@@ -165,7 +165,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     spread = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 1_000_000
     share = F.when(F.col("label") == 1, sample_rows / sizes[1]).otherwise(sample_rows / sizes[0])
     sample = labelled.filter(spread < share).select(F.col("id").cast("string"), "text", "label")
-    got = sample.mapInArrow(_rows, "id string, features binary, label int").collect()
+    got = sample.mapInArrow(kernel.tidy(_rows), "id string, features binary, label int").collect()
     # the same model for any order of rows
     got.sort(key=lambda r: (r["id"] or "", r["label"], r["features"]))
     rows = [np.frombuffer(r["features"], np.int32) for r in got]
@@ -242,7 +242,7 @@ def quality_scores(
         F.col(f"`{text_col}`").cast("string").alias("text"),
     )
     schema = (rows if with_text else rows.drop("text")).withColumn("score", F.lit(0.0)).schema
-    return rows.mapInArrow(_score(shared, with_text), schema).select(
+    return rows.mapInArrow(kernel.tidy(_score(shared, with_text)), schema).select(
         *[F.col(f"k{n}").alias(c) for n, c in enumerate(others)],
         *([F.col("text").alias(text_col)] if with_text else []),
         F.col("id").alias(id_col),

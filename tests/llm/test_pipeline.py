@@ -5,6 +5,7 @@ from pathlib import Path
 
 import __spark_entry__
 import corpus_pipeline
+from tablescout.llm import kernel
 from tablescout.llm.common import table
 from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_ngramjoin import brute as near
@@ -103,3 +104,17 @@ def test_columns_of_any_name_pass_through(spark, small):
         rows = docs.collect()
         assert all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in own)
         assert sorted(map(tuple, plain.collect())) == sorted(tuple(r)[: -len(own)] for r in rows)
+
+
+def test_workers_give_free_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    given = []
+    monkeypatch.setattr(kernel, "give_back", lambda: given.append(1))
+    batches = [pa.record_batch([pa.array([i])], ["x"]) for i in range(3)]
+    run = kernel.tidy(lambda some: (b for b in some))
+    assert list(run(iter(batches))) == batches and given == [1]
+    stopped = run(iter(batches))
+    next(stopped)
+    stopped.close()
+    assert given == [1, 1]
