@@ -43,7 +43,7 @@ GRAM = 5
 FREE = 0.3  # what the non-essential terms may add up to, of a threshold of 1
 SAFE = 1 - 1e-9
 FRONT = 20  # bits of a hash that are looked up before the hash
-CELLS = 1 << 22  # window and block sums at once
+CELLS = 1 << 18  # terms, postings and block sums at once; the windows after the first wait
 
 ITEM = (
     "item long, words long, segments array<struct<terms array<long>, counts array<long>>>, "
@@ -191,11 +191,13 @@ def search(index: Index, w: kernel.Words, hashes: np.ndarray) -> dict[tuple[int,
     follows[:-1] = owner[1:] == owner[:-1]
     bound = total + np.where(follows, np.append(total[1:], 0), 0)
     windows = np.flatnonzero(bound >= SAFE)
-    at_once = max(1, CELLS // max(index.blocks, len(index.item_of) // 8, 1))
-    for low in range(0, len(windows), at_once):
-        some = windows[low : low + at_once]
-        last = np.where(follows[some], some + 2, some + 1)
-        at, row = kernel.ranges(pair_at[some], pair_at[last])
+    ends = np.where(follows[windows], windows + 2, windows + 1)
+    # what a window opens: its terms, all their postings, a sum for every block
+    opened = np.concatenate([[0], np.cumsum(1 + np.diff(index.post_at)[term])])
+    opened = opened[pair_at[ends]] - opened[pair_at[windows]] + index.blocks
+    for low, high in kernel.row_slices(np.concatenate([[0], np.cumsum(opened)]), CELLS):
+        some = windows[low:high]
+        at, row = kernel.ranges(pair_at[some], pair_at[ends[low:high]])
         both = _distinct(row * len(index.terms) + term[at])
         row, mine = both // len(index.terms), both % len(index.terms)
         # blocks: essential terms by their largest score in the block, the others by their top

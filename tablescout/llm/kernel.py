@@ -230,12 +230,12 @@ def pack_counts(counts: np.ndarray, chunks: int) -> pa.RecordBatch:
     )
 
 
-def add_counts(width: int):
-    """Sums the chunks that a task meets; `width` counts are in one chunk."""
+def add_counts(width: int, count: Callable | None = None):
+    """Sums the chunks that a task meets or, with `count`, that it makes of the batches; `width` counts are in one chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in count(batches) if count else batches:
             for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = pa.decompress(packed.as_buffer(), width * 4, "zstd")
                 add = np.frombuffer(raw, np.uint32).astype(np.uint64)
@@ -249,10 +249,13 @@ def add_counts(width: int):
     return run
 
 
-def total_counts(parts, length: int, chunks: int) -> np.ndarray:
-    """The sum of count tables (a DataFrame of chunk, counts): first per task, then per chunk."""
+def total_counts(parts, length: int, chunks: int, count: Callable | None = None) -> np.ndarray:
+    """The sum of count tables (a DataFrame of chunk, counts): first per task, then per chunk.
+
+    With `count` the tables are what it makes of the rows of parts, in the worker that sums them.
+    """
     width, schema = length // chunks, "chunk int, counts binary"
-    summed = parts.mapInArrow(add_counts(width), schema).repartition(chunks, "chunk")
+    summed = parts.mapInArrow(tidy(add_counts(width, count)), schema).repartition(chunks, "chunk")
     out = np.zeros(length, np.uint32)
     for row in summed.mapInArrow(add_counts(width), schema).collect():  # one row per chunk
         raw = pa.decompress(bytes(row["counts"]), width * 4, "zstd")

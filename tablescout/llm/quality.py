@@ -29,6 +29,7 @@ BITS = 18
 SIZE = 1 << BITS
 CHUNKS = 16
 SAMPLE_ROWS = 4_000
+SLICE = 512 << 10  # bytes of text at once; features take some 45 times as much
 SMOOTH = 1.0
 
 # the class of a byte: 0 other marks, 1 a-z, 2 A-Z, 3 digits, 4 beyond ASCII, 5 . , ; : ' -
@@ -129,7 +130,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(2 * SIZE, np.uint32)
     for batch in batches:
         labels = batch.column(1).to_numpy()
-        for low, high, data, offsets in kernel.texts(batch.column(0)):
+        for low, high, data, offsets in kernel.texts(batch.column(0), most=SLICE):
             found, ends = features(data, offsets)
             owner = np.repeat(labels[low:high], np.diff(ends)).astype(np.int64)
             counts += np.bincount(owner * SIZE + found, minlength=2 * SIZE).astype(np.uint32)
@@ -140,7 +141,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, features, label) of every text."""
     for batch in batches:
-        for low, high, data, offsets in kernel.texts(batch.column(1)):
+        for low, high, data, offsets in kernel.texts(batch.column(1), most=SLICE):
             found, ends = features(data, offsets)
             packed = [found[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             ids, labels = batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low)
@@ -156,9 +157,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     if len(sizes) < 2:
         side = {0: -3.0, 1: 3.0}.get(next(iter(sizes), -1), 0.0)
         return Model(np.zeros(SIZE), np.zeros(SIZE), side)
-    both = kernel.total_counts(
-        labelled.select("text", "label").mapInArrow(kernel.tidy(_counts), "chunk int, counts binary"), 2 * SIZE, CHUNKS
-    )
+    both = kernel.total_counts(labelled.select("text", "label"), 2 * SIZE, CHUNKS, _counts)
     low, high = both[:SIZE] + SMOOTH, both[SIZE:] + SMOOTH
     ratio = np.log((high / (sizes[1] + 2 * SMOOTH)) / (low / (sizes[0] + 2 * SMOOTH)))
     ratio[both[:SIZE].astype(np.int64) + both[SIZE:] < 3] = 0.0  # features of one or two rows say little
@@ -194,7 +193,7 @@ def _score(shared, with_text: bool):
         for batch in batches:
             kept_columns = batch.num_columns - (0 if with_text else 1)
             names = [*batch.schema.names[:kept_columns], "score"]
-            for low, high, data, offsets in kernel.texts(batch.column(batch.num_columns - 1)):
+            for low, high, data, offsets in kernel.texts(batch.column(batch.num_columns - 1), most=SLICE):
                 columns = [c.slice(low, high - low) for c in batch.columns[:kept_columns]]
                 scores = pa.array(model.score(*features(data, offsets)))
                 yield pa.RecordBatch.from_arrays([*columns, scores], names)

@@ -1,8 +1,12 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
+
+from tablescout.llm import decontaminate
 from tablescout.llm.decontaminate import B, K1, SEGMENT, STEP, find_leaks
 
 ITEM = "item_id bigint, text string, answer string, doc_id bigint, score double, item string"
@@ -82,3 +86,27 @@ def test_empty(spark, documents):
     assert find_leaks(documents([(1, "a b c", "en", "a")]), table.limit(0)).count() == 0
     got = find_leaks(documents([(1, "x A, b c! y", "en", "a")]), table).first()
     assert (got["doc_id"], got["item_id"], got["overlap"]) == (1, 1, 1.0)
+
+
+def test_search_opens_windows_by_their_work(monkeypatch):
+    """A slice whose windows meet many items takes little memory, and any chunk finds the same."""
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(300)]
+    items = pa.record_batch(
+        [pa.array(range(300)), pa.array([" ".join(r.choices(vocabulary, k=40)) for _ in range(300)]), pa.array([""] * 300)],
+        ["item", "question", "answer"],
+    )
+    rows = [x for batch in decontaminate._read_items(iter([items])) for x in batch.to_pylist()]
+    df = Counter(t for x in rows for s in x["segments"] for t in s["terms"])
+    index = decontaminate.build_index(rows, df, 300, 40.0, 0.4)
+    texts = pa.array([" ".join(r.choices([*vocabulary, *(f"x{i}" for i in range(50))], k=1000)) for _ in range(200)])
+    [(_, _, w, hashes)] = decontaminate._hashed(texts)
+    tracemalloc.start()
+    try:
+        found = decontaminate.search(index, w, hashes)
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
+    assert found
+    monkeypatch.setattr(decontaminate, "CELLS", 1)  # a window at a time
+    assert decontaminate.search(index, w, hashes) == found

@@ -1,10 +1,12 @@
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tablescout.llm import langid, toxicity
+from tablescout.llm import kernel, langid, quality, toxicity
 from tablescout.llm.common import python_fold
 from tablescout.llm.langid import forward, load_pieces, predict_language
 from tablescout.llm.quality import SIZE, descend, quality_scores
@@ -203,3 +205,22 @@ def test_languages_without_blanks(spark, documents):
     truth = {i: lang for i, _, lang, _ in rows}
     held = [x for x in got if x["held_out"]]
     assert held and all(x["lang_pred"] == truth[x["doc_id"]] for x in held)
+
+
+def test_quality_counts_within_bounds(spark):
+    """Features of a batch of 3 MB take little memory; tables are summed by the worker that makes them."""
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(500)]
+    texts = [" ".join(r.choices(words, k=1000)) for _ in range(500)]
+    labels = [i % 2 for i in range(500)]
+    batch = pa.record_batch([pa.array(texts), pa.array(labels, pa.int32())], ["text", "label"])
+    tracemalloc.start()
+    try:
+        tables = list(quality._counts(iter([batch])))
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
+    chunks = [np.frombuffer(pa.decompress(x.as_buffer(), SIZE // 2, "zstd"), np.uint32) for x in tables[0].column(1)]
+    rows = spark.createDataFrame(list(zip(texts, labels, strict=True)), "text string, label int").repartition(3)
+    got = kernel.total_counts(rows, 2 * SIZE, quality.CHUNKS, quality._counts)
+    assert got.sum() > 0 and (got == np.concatenate(chunks)).all()
