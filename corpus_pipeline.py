@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.llm.common import broadcast_if_small, kept, table, text_of
+from tablescout.llm.common import broadcast_if_small, kept, shuffles_go, table, text_of
 from tablescout.llm.decontaminate import find_leaks
 from tablescout.llm.linededup import drop_boilerplate
 from tablescout.llm.mixing import mix_sources
@@ -39,18 +39,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Repeated rows are such rows. Rows without an id come last; equal ids go by the MD5 of the
     text. A text without words is like no other and stays.
     """
-    docs, key = _numbered(docs, "near-rows")
-    joined = ngram_jaccard_join(docs, id_col=key, size=5, percent=80)
-    linked = joined.select(F.col(key), F.col("component_id").alias("of"))
-    # only rows of groups with more than one compete
-    groups = kept(linked.filter(F.col(key) != F.col("of")).select("of").distinct(), "near-groups")
-    many = groups.count()
-    linked = linked.join(broadcast_if_small(groups, many), "of", "left_semi")
-    rank = docs.select(key, F.struct(F.col("doc_id").isNull(), "doc_id", F.md5(text_of("text")), key).alias("rank"))
-    linked = kept(linked.join(rank, key), "near-linked")
-    first = linked.groupBy("of").agg(F.min("rank").getField(key).alias("stays"))
-    gone = linked.join(broadcast_if_small(first, many), "of").filter(F.col(key) != F.col("stays")).select(key)
-    return _without(docs, gone, key, "near-gone")
+    with shuffles_go(spark):
+        docs, key = _numbered(docs, "near-rows")
+        joined = ngram_jaccard_join(docs, id_col=key, size=5, percent=80)
+        linked = joined.select(F.col(key), F.col("component_id").alias("of"))
+        # only rows of groups with more than one compete
+        groups = kept(linked.filter(F.col(key) != F.col("of")).select("of").distinct(), "near-groups")
+        many = groups.count()
+        linked = linked.join(broadcast_if_small(groups, many), "of", "left_semi")
+        rank = docs.select(key, F.struct(F.col("doc_id").isNull(), "doc_id", F.md5(text_of("text")), key).alias("rank"))
+        linked = kept(linked.join(rank, key), "near-linked")
+        first = linked.groupBy("of").agg(F.min("rank").getField(key).alias("stays"))
+        gone = linked.join(broadcast_if_small(first, many), "of").filter(F.col(key) != F.col("stays")).select(key)
+        return _without(docs, gone, key, "near-gone")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +32,21 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a query go when it ends; else they wait for the driver's garbage collection.
+
+    For steps that write what they need later. A query that runs again makes its shuffles again.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Lower the session's limit of an Arrow batch to BATCH_BYTES where it is larger.
 

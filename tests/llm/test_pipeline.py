@@ -1,6 +1,7 @@
 import importlib
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import __spark_entry__
@@ -118,3 +119,22 @@ def test_workers_give_free_memory_back(monkeypatch):
     next(stopped)
     stopped.close()
     assert given == [1, 1]
+
+
+def test_near_duplicates_leave_no_shuffle_files(spark, small):
+    """Shuffles of the join go with the query that made them, and the setting is as it was."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    store = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {str(f) for f in store.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f and f.endswith(".data")}
+
+    docs = corpus_pipeline.kept(table(spark, small, "documents"), "test-shuffles")
+    there = shuffles()
+    corpus_pipeline.near_duplicates(spark, docs, small)
+    until = time.time() + 10  # files go in the background
+    while shuffles() - there and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - there
+    assert spark.conf.get(name) == before
